@@ -91,3 +91,41 @@ def replace_emoji_sql(col: str) -> str:
     )
     step2 = f"list_reduce({_emoticon_list_sql(E.emoticon_entries())}, lambda acc, e: replace(acc, e.k, e.v), {step1})"
     return step2
+
+
+def md5_key(cols: list[str], seed) -> str:
+    parts = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"md5(concat_ws(':', {parts}, {q(str(seed))}))"
+
+
+def map_labels_sql(col: str) -> str:
+    s = f"lower(trim(CAST({col} AS VARCHAR)))"
+    whens = " ".join(f"WHEN {s} = {q(k)} THEN {v}" for k, v in P.LABEL_MAPPING.items())
+    return (f"CAST(CASE WHEN {s} IS NULL THEN NULL WHEN {s} IN ('1', '1.0') THEN 1 WHEN {s} IN ('0', '0.0') THEN 0 {whens} "
+            f"ELSE error(concat('unrecognized claim label ', {s})) END AS INTEGER)")
+
+
+HYDRATED = """hydrated AS (
+SELECT CAST(e.tweet_id AS BIGINT) AS id, e.claim, e.toxic, p.text, p.lang, p.author_id, p.conversation_id
+FROM external_labels e LEFT JOIN posts p ON p.id = CAST(e.tweet_id AS BIGINT))"""
+
+UNION_LABELS = """union_labels AS (
+SELECT id, text, claim, CAST(NULL AS INTEGER) AS toxic, 'own' AS source FROM label_sheet
+UNION ALL SELECT id, text, claim, toxic, 'external' AS source FROM hydrated)"""
+
+
+def label_chain_ctes(seed=42) -> str:
+    """E6-E13 as CTEs ending in ``split_rows``."""
+    bal_key = md5_key(["source", "id"], f"balance:{seed}")
+    ord_key = md5_key(["source", "id"], f"order:{seed}")
+    return f"""{POSTS}, {LABEL_SHEET}, {EXTERNAL_LABELS}, {HYDRATED}, {UNION_LABELS},
+labelled AS (SELECT * FROM union_labels WHERE claim IS NOT NULL AND text IS NOT NULL),
+mapped AS (SELECT id, text, toxic, source, {map_labels_sql('claim')} AS claim FROM labelled),
+balanced AS (SELECT * FROM mapped
+  QUALIFY row_number() OVER (PARTITION BY claim ORDER BY {bal_key}, source, id)
+          <= (SELECT min(n) FROM (SELECT count(*) AS n FROM mapped GROUP BY claim))),
+renamed AS (SELECT id, source, toxic, text AS x, claim AS y FROM balanced),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {ord_key}, source, id) AS rank FROM renamed),
+split_rows AS (SELECT *, CASE WHEN rank <= floor((SELECT count(*) FROM ranked) * 0.8::DOUBLE) THEN 'train'
+                              WHEN rank <= floor((SELECT count(*) FROM ranked) * 0.93::DOUBLE) THEN 'test'
+                              ELSE 'val' END AS split FROM ranked)"""

@@ -26,4 +26,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from threadmill.plans import (  # noqa: F401
         q_clean,
+        q_labels,
+        q_store,
     )
