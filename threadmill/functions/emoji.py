@@ -106,32 +106,42 @@ def emoticon_dictionary(spark, emoji_entries=None):
     return merged
 
 
-def _lit_array(entries):
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entries])
+def sql_str(v: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def emoji_char_class(entries) -> str:
+def emoji_char_class() -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in EMOJI_BLOCKS) + "]"
 
 
-def replace_emoji(text: Column, emoji_entries=None, emoticons=None) -> Column:
-    """C11: ordered literal replacement, Unicode emoji first, then emoticons.
+def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
+    """Spark SQL text of C11 over the SQL expression ``text_sql``.
 
+    The dictionaries are written as literals in one expression (parsed once,
+    constant-folded), not built from thousands of separate column objects.
     Exact against a sequential pass over the whole dictionary:
     * Unicode keys are single code points and their values are ASCII, so they
       commute; only the emoji present in the row are looked up.
-    * The emoticon keys are applied in order, each feeding the next, but only
-      on rows that contain at least one key - otherwise no replacement fires.
+    * The emoticon keys are applied in order, each feeding the next.
     """
     emoji_entries = emoji_entries if emoji_entries is not None else unicode_emoji_entries()
     emoticons = emoticons if emoticons is not None else emoticon_entries()
-    keys = {k for k, _ in emoji_entries}
-    multi = [k for k in keys if len(k) != 1]
-    if multi:
+    if any(len(k) != 1 for k, _ in emoji_entries):
         raise ValueError("Unicode emoji keys must be single code points")
-    emo_map = F.create_map(*[x for k, v in emoji_entries for x in (F.lit(k), F.lit(v))])
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit("(" + emoji_char_class(emoji_entries) + ")"), 1))
-    step1 = F.aggregate(present, text, lambda acc, e: F.replace(acc, e, F.coalesce(F.element_at(emo_map, e), e)))
-    any_key = "|".join(re.escape(k) for k, _ in emoticons)
-    folded = F.aggregate(_lit_array(emoticons), step1, lambda acc, e: F.replace(acc, e["k"], e["v"]))
-    return F.when(step1.rlike(any_key), folded).otherwise(step1)
+    keys = ", ".join(sql_str(k) for k, _ in emoji_entries)
+    vals = ", ".join(sql_str(v) for _, v in emoji_entries)
+    emo_map = f"map_from_arrays(array({keys}), array({vals}))"
+    present = f"array_distinct(regexp_extract_all({text_sql}, {sql_str('(' + emoji_char_class() + ')')}, 1))"
+    step1 = f"aggregate({present}, {text_sql}, (acc, e) -> replace(acc, e, coalesce(element_at({emo_map}, e), e)))"
+    # The emoticons, in order, as nested literal replaces: compiled by
+    # whole-stage codegen (a lambda fold would be interpreted per element).
+    out = step1
+    for k, v in emoticons:
+        out = f"replace({out}, {sql_str(k)}, {sql_str(v)})"
+    return out
+
+
+def replace_emoji(column: str, emoji_entries=None, emoticons=None) -> Column:
+    """C11 on the named column."""
+    return F.expr(replace_emoji_sql(f"`{column}`", emoji_entries, emoticons))

@@ -51,8 +51,9 @@ def mask_hashtags(col="text") -> Column:
 
 def mask_retweet(col="text") -> Column:
     """A leading 'rt' (no word boundary) -> '[RT]'."""
-    c = _c(col)
-    return F.when(F.substring(c, 1, 2) == "rt", F.concat(F.lit(P.RT_TOKEN), c.substr(F.lit(3), F.length(c)))).otherwise(c)
+    # an anchored replace references the input once (a CASE would copy the
+    # whole mask chain into three branches)
+    return F.regexp_replace(_c(col), "^rt", P.RT_TOKEN)
 
 
 def mask_mentions(col="text") -> Column:
@@ -75,9 +76,9 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.col(text) != "")
 
 
-def replace_emoji(col="text", emoji_entries=None, emoticons=None) -> Column:
-    """C11."""
-    return E.replace_emoji(_c(col), emoji_entries, emoticons)
+def replace_emoji(df: DataFrame, col: str = "text", emoji_entries=None, emoticons=None) -> DataFrame:
+    """C11: emoji and emoticons -> their descriptions, in dictionary order."""
+    return df.withColumn(col, E.replace_emoji(col, emoji_entries, emoticons))
 
 
 def strip_urls(col="x") -> Column:
@@ -93,10 +94,14 @@ def flatten_newlines(col="text") -> Column:
 def clean_posts(posts: DataFrame, lang: str = "en", emoji: bool = True, emoji_entries=None, emoticons=None) -> DataFrame:
     """C14: the whole cleaning chain, DataFrame -> DataFrame."""
     df = drop_repeated_text(posts)
+    # C8 moved ahead of the masks: every mask puts a non-empty token in place
+    # of a non-empty match, so the masked text is empty exactly when the raw
+    # text is. The filter then runs on the raw column at the scan instead of
+    # re-running the mask chain inside a pushed-down predicate.
+    df = drop_empty(df)
     df = df.withColumn("text", mask_text("text"))
     df = lang_filter(df, lang)
     df = drop_repeated_text(df)
-    df = drop_empty(df)
     if emoji:
-        df = df.withColumn("text", replace_emoji("text", emoji_entries, emoticons))
+        df = replace_emoji(df, "text", emoji_entries, emoticons)
     return df

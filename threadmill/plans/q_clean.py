@@ -85,7 +85,7 @@ def q_drop_empty(spark, sf):
 
 @register("replace_emoji", f"WITH {O.POSTS} SELECT id, {O.replace_emoji_sql('lower(text)')} AS text FROM posts")
 def q_replace_emoji(spark, sf):
-    return V.posts(spark, sf).select("id", C.replace_emoji(C.lower_text("text")).alias("text"))
+    return C.replace_emoji(V.posts(spark, sf).select("id", C.lower_text("text").alias("text")))
 
 
 @register("strip_urls", f"WITH {O.TOPICS} SELECT id, regexp_replace(x, {O.url_re()}, '', 'g') AS x, topic, y, split FROM topics")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.sources.tables import table
+from threadmill.sources.tables import spread, table
 
 POST_COLUMNS = [
     "id", "author_id", "conversation_id", "created_at", "lang", "country", "lon", "lat",
@@ -57,7 +57,7 @@ def posts_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_from_documents(table(spark, sf_dir, "documents"))
+    return posts_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic-argument table (x, topic, y, split) keyed by document id."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     lab = table(spark, sf_dir, "labels")
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("id"),
