@@ -129,3 +129,99 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY {ord_key}, source, id) AS rank
 split_rows AS (SELECT *, CASE WHEN rank <= floor((SELECT count(*) FROM ranked) * 0.8::DOUBLE) THEN 'train'
                               WHEN rank <= floor((SELECT count(*) FROM ranked) * 0.93::DOUBLE) THEN 'test'
                               ELSE 'val' END AS split FROM ranked)"""
+
+
+# ---- tokens ------------------------------------------------------------------
+def pretokenize_sql(col: str, lower=True, strip_accents=True, cjk=False) -> str:
+    from threadmill.functions import tokens as T
+
+    t = f"regexp_replace({col}, {q(T.CONTROL_CLASS)}, '', 'g')"
+    t = f"regexp_replace({t}, {q(T.SPACE_CLASS)}, ' ', 'g')"
+    if cjk:
+        t = f"regexp_replace({t}, {q(T.CJK_CLASS)}, ' \\1 ', 'g')"
+    if lower:
+        t = f"lower({t})"
+    if strip_accents:
+        src, dst = T.accent_table()
+        t = f"regexp_replace(translate({t}, {q(src)}, {q(dst)}), {q(T.MARK_CLASS)}, '', 'g')"
+    return f"regexp_extract_all({t}, {q(T.TOKEN_PATTERN)})"
+
+
+def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None, limit_alphabet=None) -> str:
+    """word_counts_all, alpha, vocab CTEs over the CTE ``corpus``."""
+    vocab_size = vocab_size or P.VOCAB_SIZE
+    min_frequency = min_frequency or P.MIN_FREQUENCY
+    limit_alphabet = limit_alphabet or P.LIMIT_ALPHABET
+    n_sp = len(P.SPECIAL_TOKENS)
+    specials = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(P.SPECIAL_TOKENS))
+    room = vocab_size - n_sp - 2 * limit_alphabet
+    return f"""word_counts_all AS (
+  SELECT word, count(*) AS count FROM (SELECT unnest({pretokenize_sql(text_col, False, False, False)}) AS word FROM {corpus}) GROUP BY word),
+alpha AS (
+  SELECT ch, count, CAST(row_number() OVER (ORDER BY count DESC, ch) AS BIGINT) AS rank FROM (
+    SELECT ch, CAST(sum(count) AS BIGINT) AS count FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS ch, count FROM word_counts_all) GROUP BY ch
+    ORDER BY count DESC, ch LIMIT {limit_alphabet})),
+vocab_base AS (
+  SELECT * FROM (VALUES {specials}) s(token, id)
+  UNION ALL SELECT ch, CAST({n_sp} + rank - 1 AS INTEGER) FROM alpha
+  UNION ALL SELECT '##' || ch, CAST({n_sp} + (SELECT count(*) FROM alpha) + rank - 1 AS INTEGER) FROM alpha),
+vocab_words AS (
+  SELECT word, row_number() OVER (ORDER BY count DESC, word) AS rank FROM (
+    SELECT word, count FROM word_counts_all WHERE count >= {min_frequency} AND length(word) > 1
+      AND word NOT IN (SELECT token FROM vocab_base) ORDER BY count DESC, word LIMIT {max(room, 0)})),
+vocab AS (
+  SELECT token, CAST(id AS INTEGER) AS id FROM (
+    SELECT token, id FROM vocab_base
+    UNION ALL SELECT word, CAST({n_sp} + 2 * (SELECT count(*) FROM alpha) + rank - 1 AS INTEGER) FROM vocab_words)
+  WHERE id < {vocab_size})"""
+
+
+def wordpiece_ctes(words: str, max_chars=None) -> str:
+    """wp(word, pieces, piece_ids) for the distinct words of CTE ``words``
+    against CTE ``vocab``."""
+    max_chars = max_chars or P.MAX_WORD_CHARS
+    return f"""wp_longest AS (SELECT max(length(token)) AS l FROM vocab),
+wp_starts AS (SELECT word, unnest(range(0, length(word))) AS s FROM (SELECT DISTINCT word FROM {words} WHERE word IS NOT NULL) WHERE length(word) <= {max_chars}),
+wp_cand AS (SELECT word, s, e, CASE WHEN s = 0 THEN '' ELSE '##' END || substr(word, s + 1, e - s) AS piece FROM (
+  SELECT word, s, unnest(range(s + 1, least(length(word), s + least({max_chars}, (SELECT l FROM wp_longest))) + 1)) AS e FROM wp_starts)),
+wp_best AS (SELECT word, s, arg_max({{'e': e, 'piece': piece, 'pid': id}}, e) AS m FROM wp_cand JOIN vocab ON vocab.token = wp_cand.piece GROUP BY word, s),
+wp_chain AS (SELECT word, map_from_entries(list({{'key': s, 'value': m}})) AS mp FROM wp_best GROUP BY word),
+wp_walk AS (SELECT word, list_reduce(range(length(word)), lambda acc, x:
+    CASE WHEN acc.pos >= length(word) OR NOT acc.ok THEN acc
+         WHEN mp[acc.pos] IS NULL THEN {{'pos': acc.pos, 'pieces': acc.pieces, 'ids': acc.ids, 'ok': false}}
+         ELSE {{'pos': mp[acc.pos].e, 'pieces': list_append(acc.pieces, mp[acc.pos].piece), 'ids': list_append(acc.ids, mp[acc.pos].pid), 'ok': true}} END,
+    {{'pos': 0, 'pieces': []::VARCHAR[], 'ids': []::INTEGER[], 'ok': true}}) AS r FROM wp_chain),
+wp AS (
+  SELECT word, CASE WHEN r.ok THEN r.pieces ELSE ['[UNK]'] END AS pieces, CASE WHEN r.ok THEN r.ids ELSE [1] END AS piece_ids FROM wp_walk
+  UNION ALL SELECT DISTINCT word, ['[UNK]'], [1] FROM {words} WHERE word IS NOT NULL AND word NOT IN (SELECT word FROM wp_walk))"""
+
+
+def tokenize_ctes(name: str, src: str, key_cols: list[str], text_col: str, lower=True, strip_accents=True, cjk=True) -> str:
+    """``{name}_words`` (keys, pos, word) and ``{name}`` (keys, tokens, ids)
+    after ``wp`` is defined over ``{name}_words``: call in two parts."""
+    keys = ", ".join(key_cols)
+    pt = pretokenize_sql(text_col, lower, strip_accents, cjk)
+    return f"""{name}_pt AS (SELECT {keys}, {pt} AS pt FROM {src}),
+{name}_words AS (SELECT {keys}, unnest(pt) AS word, generate_subscripts(pt, 1) AS pos FROM {name}_pt)"""
+
+
+def tokenize_join_cte(name: str, src: str, key_cols: list[str]) -> str:
+    keys = ", ".join(key_cols)
+    on = " AND ".join(f"s.{k} IS NOT DISTINCT FROM g.{k}" for k in key_cols)
+    skeys = ", ".join(f"s.{k}" for k in key_cols)
+    return f"""{name}_g AS (SELECT {keys}, flatten(list(pieces ORDER BY pos)) AS tokens, flatten(list(piece_ids ORDER BY pos)) AS ids
+  FROM {name}_words w JOIN wp USING (word) GROUP BY {keys}),
+{name} AS (SELECT s.*, coalesce(g.tokens, []::VARCHAR[]) AS tokens, coalesce(g.ids, []::INTEGER[]) AS ids
+  FROM {src} s LEFT JOIN {name}_g g ON {on})"""
+
+
+def repair_sql(tokens: str) -> str:
+    j = f"(chr(1) || array_to_string({tokens}, chr(2) || chr(1)) || chr(2))"
+    for nm in ["rt", "men", "tag"]:
+        j = f"replace({j}, chr(1) || '[' || chr(2) || chr(1) || '{nm}' || chr(2) || chr(1) || ']' || chr(2), chr(1) || '[{nm.upper()}]' || chr(2))"
+    return f"(CASE WHEN len({tokens}) = 0 THEN {tokens} ELSE string_split(substr({j}, 2, length({j}) - 2), chr(2) || chr(1)) END)"
+
+
+def ids_sql(tokens: str) -> str:
+    """Vocabulary ids of a token list, unknown -> [UNK]."""
+    return f"list_transform({tokens}, lambda t: coalesce((SELECT id FROM vocab WHERE token = t), 1))"

@@ -28,4 +28,5 @@ def load_all() -> None:
         q_clean,
         q_labels,
         q_store,
+        q_vocab,
     )
