@@ -147,7 +147,7 @@ def pretokenize_sql(col: str, lower=True, strip_accents=True, cjk=False) -> str:
     return f"regexp_extract_all({t}, {q(T.TOKEN_PATTERN)})"
 
 
-def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None, limit_alphabet=None) -> str:
+def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None, limit_alphabet=None, lower=False, strip=False) -> str:
     """word_counts_all, alpha, vocab CTEs over the CTE ``corpus``."""
     vocab_size = vocab_size or P.VOCAB_SIZE
     min_frequency = min_frequency or P.MIN_FREQUENCY
@@ -156,7 +156,7 @@ def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None,
     specials = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(P.SPECIAL_TOKENS))
     room = vocab_size - n_sp - 2 * limit_alphabet
     return f"""word_counts_all AS (
-  SELECT word, count(*) AS count FROM (SELECT unnest({pretokenize_sql(text_col, False, False, False)}) AS word FROM {corpus}) GROUP BY word),
+  SELECT word, count(*) AS count FROM (SELECT unnest({pretokenize_sql(text_col, lower, strip, False)}) AS word FROM {corpus}) GROUP BY word),
 alpha AS (
   SELECT ch, count, CAST(row_number() OVER (ORDER BY count DESC, ch) AS BIGINT) AS rank FROM (
     SELECT ch, CAST(sum(count) AS BIGINT) AS count FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS ch, count FROM word_counts_all) GROUP BY ch
@@ -225,3 +225,30 @@ def repair_sql(tokens: str) -> str:
 def ids_sql(tokens: str) -> str:
     """Vocabulary ids of a token list, unknown -> [UNK]."""
     return f"list_transform({tokens}, lambda t: coalesce((SELECT id FROM vocab WHERE token = t), 1))"
+
+
+# ---- sentences and encoding --------------------------------------------------
+def merge_plan_sql(lengths: str, min_length: int) -> str:
+    """F3 plan on a list of lengths (DuckDB, 1-based lists)."""
+    init = f"list_transform({lengths}, lambda n, i: {{'n': n, 'first': i - 1, 'last': i - 1}})"
+    mg = lambda a, b: f"{{'n': ({a}).n + ({b}).n, 'first': ({a}).first, 'last': ({b}).last}}"
+    i = "coalesce(list_position(list_transform(arr, lambda z: z.n < " + str(min_length) + "), true), 0)"
+    m = "len(arr)"
+    body = f"""CASE WHEN {i} = 0 THEN arr
+      WHEN {m} = 1 THEN list_slice(arr, 1, 0)
+      WHEN {i} > 1 AND {i} < {m} AND arr[{i} - 1].n < arr[{i} + 1].n
+        THEN list_concat(list_slice(arr, 1, {i} - 2), [{mg(f'arr[{i} - 1]', f'arr[{i}]')}], list_slice(arr, {i} + 1, {m}))
+      WHEN {i} > 1 AND {i} < {m}
+        THEN list_concat(list_slice(arr, 1, {i} - 1), [{mg(f'arr[{i}]', f'arr[{i} + 1]')}], list_slice(arr, {i} + 2, {m}))
+      WHEN {i} = {m} THEN list_concat(list_slice(arr, 1, {i} - 2), [{mg(f'arr[{i} - 1]', f'arr[{i}]')}])
+      ELSE list_concat([{mg(f'arr[{i}]', f'arr[{i} + 1]')}], list_slice(arr, {i} + 2, {m})) END"""
+    return f"list_reduce(range(greatest(len({lengths}), 1)), lambda arr, _x: {body}, {init})"
+
+
+def merged_sentences_sql(sents: str, min_length: int) -> str:
+    plan = merge_plan_sql(f"list_transform({sents}, lambda s: len(s))", min_length)
+    return f"list_transform({plan}, lambda r: flatten(list_slice({sents}, r.first + 1, r.last + 1)))"
+
+
+def sents_str(col: str) -> str:
+    return f"array_to_string(list_transform({col}, lambda s: array_to_string(s, ' ')), ' | ')"

@@ -29,4 +29,5 @@ def load_all() -> None:
         q_labels,
         q_store,
         q_vocab,
+        q_encode,
     )
