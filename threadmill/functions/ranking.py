@@ -42,3 +42,22 @@ def hash_rank(
 
 def group_sizes(df: DataFrame, partition_cols=()) -> DataFrame:
     return df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordered_rank(df: DataFrame, order_col: str, rank_col: str = "rank", tie_cols=(), buckets: int = 4096) -> DataFrame:
+    """Global 1-based rank by a numeric column (input order), with the same
+    bucket-and-offset scheme as ``hash_rank``: buckets are equal-width ranges
+    of the key between its minimum and maximum."""
+    lo_hi = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
+    lo = lo_hi.select("lo").scalar()
+    hi = lo_hi.select("hi").scalar()
+    width = (hi - lo) / F.lit(buckets) + F.lit(1e-9)
+    bucket = F.least(F.floor((F.col(order_col) - lo) / width), F.lit(buckets - 1)).cast("int")
+    d = df.withColumn("_bkt", bucket)
+    w = Window.partitionBy("_bkt").orderBy(F.col(order_col), *[F.col(c) for c in tie_cols])
+    d = d.withColumn("_rn", F.row_number().over(w))
+    counts = df.select(bucket.alias("_bkt")).groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    out = d.join(F.broadcast(offsets), ["_bkt"])
+    return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_bkt", "_rn", "_off")

@@ -30,4 +30,5 @@ def load_all() -> None:
         q_store,
         q_vocab,
         q_encode,
+        q_model,
     )
