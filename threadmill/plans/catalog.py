@@ -31,4 +31,5 @@ def load_all() -> None:
         q_vocab,
         q_encode,
         q_model,
+        q_io,
     )
