@@ -32,4 +32,5 @@ def load_all() -> None:
         q_encode,
         q_model,
         q_io,
+        q_stream,
     )
