@@ -157,3 +157,108 @@ def tokenize(df: DataFrame, key_cols, text: str, vocab: DataFrame, out: str = "t
     if ids:
         return res.withColumnRenamed("_ids", ids)
     return res.drop("_ids")
+
+
+def word_symbols(counts: DataFrame) -> DataFrame:
+    """Distinct words as symbol lists: first character plain, the rest with
+    the '##' continuation prefix: (word, count, syms)."""
+    ch = T.chars(F.col("word"))
+    syms = F.transform(ch, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c)))
+    return counts.select("word", "count", syms.alias("syms"))
+
+
+def pair_counts(words: DataFrame, min_frequency: int = 1) -> DataFrame:
+    """Adjacent symbol pairs weighted by word count: (l, r, count)."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size("syms") - 2),
+                        lambda i: F.struct(F.element_at("syms", i + 1).alias("l"), F.element_at("syms", i + 2).alias("r")))
+    ex = words.where(F.size("syms") > 1).select("count", F.explode(pairs).alias("p"))
+    c = ex.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("count").alias("count"))
+    return c.where(F.col("count") >= min_frequency) if min_frequency > 1 else c
+
+
+def _merged(l: Column, r: Column) -> Column:
+    return F.concat(l, F.regexp_replace(r, "^##", ""))
+
+
+def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Rewrite every word's symbols with a set of merges, left to right,
+    without overlaps (as one BPE merge step does)."""
+    key = lambda l, r: F.concat(l, F.lit("\u0001"), r)
+    mp = F.create_map(*[x for l, r in merges for x in (F.lit(l + "\u0001" + r), F.lit(l + (r[2:] if r.startswith("##") else r)))])
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
+
+    def walk(s):
+        def step(acc, i):
+            cur, nxt = F.element_at(s, i + 1), F.element_at(s, i + 2)
+            m = F.when(i + 1 < F.size(s), F.element_at(mp, key(cur, nxt)))
+            return (F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip")))
+                    .when(m.isNotNull(), F.struct(F.concat(acc["out"], F.array(m)).alias("out"), F.lit(True).alias("skip")))
+                    .otherwise(F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), F.lit(False).alias("skip"))))
+
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), init, step)["out"]
+        return F.when(F.size(s) > 1, walked).otherwise(s)
+
+    # the previous symbols enter through one lambda binding, so stacking
+    # rounds grows the plan linearly (collapsed projections would otherwise
+    # copy the input into every reference)
+    return words.withColumn("syms", F.element_at(F.transform(F.array(F.col("syms")), walk), 1))
+
+
+def learn_merges(counts: DataFrame, vocab_size: int = P.VOCAB_SIZE, min_frequency: int = P.MIN_FREQUENCY,
+                 limit_alphabet: int = P.LIMIT_ALPHABET, merges_per_round: int = 1, candidates_per_round: int | None = None,
+                 max_rounds: int | None = None, checkpoint_every: int = 5, specials=P.SPECIAL_TOKENS) -> DataFrame:
+    """Grow pieces by merging the most frequent adjacent pair (weighted by
+    word count) until ``vocab_size`` pieces or no pair reaches
+    ``min_frequency``. Runs on the distinct-word table; each round is a
+    grouped pair count and a rewrite. With ``merges_per_round=1`` it is the
+    exact greedy order (ties by symbol text); larger values take that many
+    non-overlapping pairs from the top candidates per round (faster, an
+    approximation). Lineage is cut with reliable checkpoints.
+    Returns (rank, l, r, piece, count)."""
+    spark = counts.sparkSession
+    alpha = [r["ch"] for r in alphabet(counts, limit_alphabet).orderBy("rank").collect()]
+    alpha_set = set(alpha)
+    n_base = len(specials) + 2 * len(alpha)
+    words = word_symbols(counts).checkpoint()
+    merges: list[tuple[str, str, str, int]] = []
+    cand_n = candidates_per_round or 4 * merges_per_round
+    rounds = 0
+    while n_base + len(merges) < vocab_size and (max_rounds is None or rounds < max_rounds):
+        pc = pair_counts(words, min_frequency)
+        top = pc.orderBy(F.col("count").desc(), F.col("l"), F.col("r")).limit(cand_n).collect()
+        chosen, used = [], set()
+        for row in top:
+            l, r = row["l"], row["r"]
+            base = lambda s: s[2:] if s.startswith("##") else s
+            if len(base(l)) == 1 and base(l) not in alpha_set or len(base(r)) == 1 and base(r) not in alpha_set:
+                continue
+            if l in used or r in used:
+                continue
+            chosen.append((l, r, row["count"]))
+            used.update((l, r))
+            if len(chosen) >= merges_per_round or n_base + len(merges) + len(chosen) >= vocab_size:
+                break
+        if not chosen:
+            break
+        for l, r, c in chosen:
+            merges.append((l, r, l + (r[2:] if r.startswith("##") else r), c))
+        words = apply_merges(words, [(l, r) for l, r, _ in chosen])
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            words = words.checkpoint()
+    return spark.createDataFrame([(i + 1, l, r, p, c) for i, (l, r, p, c) in enumerate(merges)],
+                                 "rank int, l string, r string, piece string, count long")
+
+
+def build_vocab(counts: DataFrame, merges: DataFrame, limit_alphabet: int = P.LIMIT_ALPHABET, specials=P.SPECIAL_TOKENS) -> DataFrame:
+    """Specials in order, then the alphabet (plain, then '##' forms),
+    then the learned pieces in merge order: (token, id)."""
+    spark = counts.sparkSession
+    sp = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id int")
+    alpha = alphabet(counts, limit_alphabet)
+    n_sp = len(specials)
+    n_alpha = alpha.agg(F.count(F.lit(1))).scalar()
+    plain = alpha.select(F.col("ch").alias("token"), (F.lit(n_sp) + F.col("rank") - 1).cast("int").alias("id"))
+    cont = alpha.select(F.concat(F.lit("##"), F.col("ch")).alias("token"), (F.lit(n_sp) + n_alpha + F.col("rank") - 1).cast("int").alias("id"))
+    pieces = merges.select(F.col("piece").alias("token"), (F.lit(n_sp) + 2 * n_alpha + F.col("rank") - 1).cast("int").alias("id"))
+    return sp.unionByName(plain).unionByName(cont).unionByName(pieces)

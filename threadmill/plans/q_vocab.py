@@ -81,3 +81,21 @@ def q_ids(spark, sf):
     c = cleaned(spark, sf)
     t = D.tokenize(c, ["id"], "text", posts_vocab(spark, sf, c), ids="ids", repair=True)
     return t.select("id", joined("ids"))
+
+
+PAIR_SQL = f"""WITH {VOCAB_CTE},
+syms AS (SELECT word, count, list_transform(regexp_extract_all(word, '(?s).'), lambda c, i: CASE WHEN i = 1 THEN c ELSE '##' || c END) AS s FROM word_counts_all),
+pr AS (SELECT s[i] AS l, s[i + 1] AS r, count FROM (SELECT s, count, unnest(range(1, len(s))) AS i FROM syms WHERE len(s) > 1))
+SELECT l, r, CAST(sum(count) AS BIGINT) AS count FROM pr GROUP BY l, r HAVING sum(count) >= 2"""
+
+
+@register("pair_counts", PAIR_SQL)
+def q_pair_counts(spark, sf):
+    return D.pair_counts(D.word_symbols(D.word_counts(cleaned(spark, sf), "text")), min_frequency=2)
+
+
+@register("learn_merges")
+def q_learn_merges(spark, sf):
+    """Rows-only (iterative): 6 rounds of 8 non-overlapping merges each."""
+    counts = D.word_counts(cleaned(spark, sf), "text").checkpoint()
+    return D.learn_merges(counts, merges_per_round=8, max_rounds=6)
