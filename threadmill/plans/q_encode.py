@@ -17,6 +17,7 @@ from threadmill.operators import sentences as S
 from threadmill.operators import vocab as D
 from threadmill.plans import encoders as EN
 from threadmill.plans.catalog import register
+from threadmill.session import materialize
 from threadmill.plans.q_labels import split_table
 from threadmill.plans.q_vocab import cleaned, posts_vocab
 from threadmill.sources import views as V
@@ -288,16 +289,16 @@ def q_steps(spark, sf):
 
 @register("encode_claims")
 def q_encode_claims(spark, sf):
-    c = cleaned(spark, sf).checkpoint()
-    vocab = posts_vocab(spark, sf, c).checkpoint()
-    lab = split_table(spark, sf).select("source", "id", "x", "y")
+    c = cleaned(spark, sf)
+    vocab = posts_vocab(spark, sf, c)
+    lab = materialize(split_table(spark, sf).select("source", "id", "x", "y"))
     e = EN.encode_claims(lab, vocab, key_cols=["source", "id"])
     return e.select("source", "id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
 @register("encode_claims_topic")
 def q_encode_topic(spark, sf):
-    vocab = topic_vocab(spark, sf).checkpoint()
+    vocab = materialize(topic_vocab(spark, sf))
     t = V.topics(spark, sf).withColumn("y", L.binarize_labels("y"))
     e = EN.encode_claims(t, vocab, mode="topic")
     return e.select("id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
@@ -305,17 +306,35 @@ def q_encode_topic(spark, sf):
 
 @register("encode_pairs")
 def q_encode_pairs(spark, sf):
-    c = cleaned(spark, sf).checkpoint()
-    vocab = posts_vocab(spark, sf, c).checkpoint()
-    docs = EN.sentence_docs(c, ["id"], "text", vocab).checkpoint()
+    c = cleaned(spark, sf)
+    vocab = posts_vocab(spark, sf, c)
+    docs = materialize(EN.sentence_docs(c, ["id"], "text", vocab))
     e = EN.encode_pairs(docs, ["id"], vocab, SEED)
     return e.select("id", "delim", "pno", "rank", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
 @register("encode_masked")
 def q_encode_masked(spark, sf):
-    c = cleaned(spark, sf).checkpoint()
-    vocab = posts_vocab(spark, sf, c).checkpoint()
-    docs = EN.sentence_docs(c, ["id"], "text", vocab).checkpoint()
+    c = cleaned(spark, sf)
+    vocab = posts_vocab(spark, sf, c)
+    docs = materialize(EN.sentence_docs(c, ["id"], "text", vocab))
     m = EN.encode_masked(EN.masked_corpus(docs, ["id"], vocab), ["id"], vocab.count(), SEED, 0)
     return m.select("id", "delim", "sno", "length", js("x"), js("positions"), js("targets"), js("masked_x"))
+
+
+def _masked_sub(cols):
+    sql = masked_sql(0)
+    head, _ = sql.split("\nSELECT id, delim, sno, length")
+    sel = {"targets": "array_to_string(list_sort(targets), ' ') AS targets", "masked_x": "array_to_string(masked_x, ' ') AS masked_x",
+           "positions": "array_to_string(positions, ' ') AS positions"}
+    return head + "\nSELECT id, delim, sno, " + ", ".join(sel[c] for c in cols) + " FROM m4"
+
+
+@register("mask_targets", _masked_sub(["positions", "targets"]))
+def q_mask_targets(spark, sf):
+    return _masked(spark, sf, 0).select("id", "delim", "sno", "positions", "targets")
+
+
+@register("mask_corrupt", _masked_sub(["masked_x"]))
+def q_mask_corrupt(spark, sf):
+    return _masked(spark, sf, 0).select("id", "delim", "sno", "masked_x")

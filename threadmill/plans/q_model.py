@@ -13,6 +13,7 @@ from threadmill.operators import labels as L
 from threadmill.operators import model as M
 from threadmill.operators import sentences as S
 from threadmill.plans.catalog import register
+from threadmill.session import materialize
 from threadmill.plans.q_encode import SEED, SQL_DOCS, SQL_MASKED, PT, masked_sql, topic_docs, topic_masked, topic_vocab, _masked
 from threadmill.sources import views as V
 
@@ -27,8 +28,9 @@ def topic_tokens(spark, sf):
 
 
 def nb_predictions(spark, sf):
-    t = topic_tokens(spark, sf)
+    t = materialize(topic_tokens(spark, sf))
     model = M.train_classifier(L.split_filter(t, "train"), "tokens", "y")
+    model = M.NaiveBayes(materialize(model.token_counts), materialize(model.classes))
     test = t.where(F.col("split") != "train")
     s = M.score_classifier(model, test, ["id"], "tokens")
     s = s.withColumn("probs", M.softmax_scores("scores")).withColumn("prediction", M.argmax_class("probs"))

@@ -181,3 +181,10 @@ CAST(NULL AS VARCHAR) AS attachments, CAST(NULL AS VARCHAR) AS geo FROM posts"""
 def q_project_fields(spark, sf):
     p = V.posts(spark, sf).withColumn("created_at", ts_str())
     return S.project_fields(p, ["id", "author_id", "conversation_id", "created_at", "lang", "text", "attachments", "geo"])
+
+
+@register("search_sentiment", f"""WITH {BASE} SELECT id, {ts_sql()}, text FROM posts WHERE {search_sql(**SEARCH)}
+ORDER BY created_at DESC, id DESC LIMIT 100""")
+def q_search_sentiment(spark, sf):
+    """The sentiment flag is accepted and ignored, as in the reference."""
+    return S.keyword_search(V.posts(spark, sf), n=100, **SEARCH).select("id", ts_str(), "text")

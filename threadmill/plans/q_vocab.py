@@ -9,17 +9,22 @@ from threadmill.functions import tokens as T
 from threadmill.operators import clean as C
 from threadmill.operators import vocab as D
 from threadmill.plans.catalog import register
+from threadmill.session import materialize
 from threadmill.plans.q_clean import CLEAN_SQL_CTE
 from threadmill.sources import views as V
 
 
 def cleaned(spark, sf):
-    return C.clean_posts(V.posts(spark, sf))
+    """The cleaned corpus, materialised once: vocabulary training, word
+    extraction and tokenisation all read it."""
+    return materialize(C.clean_posts(V.posts(spark, sf)))
 
 
 def posts_vocab(spark, sf, corpus=None):
+    """Vocabulary of the cleaned corpus (bounded by the vocabulary size),
+    materialised so its scalar statistics do not re-run the corpus."""
     corpus = corpus if corpus is not None else cleaned(spark, sf)
-    return D.vocab_by_frequency(D.word_counts(corpus, "text"))
+    return materialize(D.vocab_by_frequency(D.word_counts(corpus, "text")))
 
 
 def joined(col):
@@ -97,5 +102,5 @@ def q_pair_counts(spark, sf):
 @register("learn_merges")
 def q_learn_merges(spark, sf):
     """Rows-only (iterative): 6 rounds of 8 non-overlapping merges each."""
-    counts = D.word_counts(cleaned(spark, sf), "text").checkpoint()
+    counts = materialize(D.word_counts(cleaned(spark, sf), "text"))
     return D.learn_merges(counts, merges_per_round=8, max_rounds=6)
