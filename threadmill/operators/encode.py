@@ -110,15 +110,19 @@ def mask_corrupt(ids, positions, key_cols, seed, vocab_size: int, mask_id: int =
     [0, V-1]; else unchanged."""
     x = _c(ids)
     keys = [F.col(c) for c in key_cols]
-    pos = _c(positions)
 
-    def f(v, i):
-        u = H.uniform(*keys, i, seed=f"u:{seed}")
-        r = (H.hash32(*keys, i, seed=f"r:{seed}") % vocab_size).cast("int")
-        return F.when(~F.array_contains(pos, i), v).when(u < P.MASK_TOKEN_SHARE, F.lit(mask_id)).when(
-            u < P.RANDOM_TOKEN_SHARE, r).otherwise(v)
+    def per_row(pos):
+        def f(v, i):
+            u = H.uniform(*keys, i, seed=f"u:{seed}")
+            r = (H.hash32(*keys, i, seed=f"r:{seed}") % vocab_size).cast("int")
+            return F.when(~F.array_contains(pos, i), v).when(u < P.MASK_TOKEN_SHARE, F.lit(mask_id)).when(
+                u < P.RANDOM_TOKEN_SHARE, r).otherwise(v)
 
-    return F.transform(x, f)
+        return F.transform(x, f)
+
+    # positions enter through one lambda binding: evaluated once per row,
+    # not once per element (a collapsed projection would inline them)
+    return F.element_at(F.transform(F.array(_c(positions)), per_row), 1)
 
 
 def batches(df: DataFrame, rank: str = "rank", size: int = P.BATCH_SIZE) -> DataFrame:

@@ -36,13 +36,13 @@ def jss(c):
 
 
 def topic_vocab(spark, sf):
-    return D.vocab_by_frequency(D.word_counts(V.topics(spark, sf), "x", lower=True, strip_accents=True))
+    return materialize(D.vocab_by_frequency(D.word_counts(V.topics(spark, sf), "x", lower=True, strip_accents=True)))
 
 
 def topic_docs(spark, sf):
     pieces = S.split_sentences(V.topics(spark, sf), ["id"], "x", DELIMS)
     tok = pieces.withColumn("tokens", T.pretokenize(F.col("piece"), True, True, True))
-    return S.documents_of_sentences(tok, ["id"], "tokens", MIN_LEN)
+    return materialize(S.documents_of_sentences(tok, ["id"], "tokens", MIN_LEN))
 
 
 def topic_pairs(spark, sf):
@@ -298,7 +298,7 @@ def q_encode_claims(spark, sf):
 
 @register("encode_claims_topic")
 def q_encode_topic(spark, sf):
-    vocab = materialize(topic_vocab(spark, sf))
+    vocab = topic_vocab(spark, sf)
     t = V.topics(spark, sf).withColumn("y", L.binarize_labels("y"))
     e = EN.encode_claims(t, vocab, mode="topic")
     return e.select("id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
