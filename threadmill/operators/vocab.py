@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import patterns as P
 from threadmill.functions import tokens as T
+from threadmill.session import work_partitions
 
 UNK_ID = P.SPECIAL_TOKENS.index("[UNK]")
 
@@ -69,7 +70,10 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, max_chars: int = P.MAX_W
     unk_id = UNK_ID
     v = vocab.select(F.col("token").alias("piece"), F.col("id").alias("pid"))
     longest = v.agg(F.max(F.length("piece"))).scalar()
+    # distinct words are few but each expands into many candidates: spread
+    # them by hash with an explicit count so AQE does not fold them into one task
     w = words.select("word").where(F.col("word").isNotNull())
+    w = w.repartition(work_partitions(words.sparkSession), "word")
     n = F.length("word")
     starts = w.where(n <= max_chars).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     cand = starts.select(
@@ -81,7 +85,18 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, max_chars: int = P.MAX_W
         F.concat(F.when(F.col("s") == 0, F.lit("")).otherwise(F.lit("##")), F.expr("substring(word, s + 1, e - s)")),
     )
     hit = cand.join(F.broadcast(v), "piece")
-    best = hit.groupBy("word", "s").agg(F.max_by(F.struct("e", "piece", "pid"), "e").alias("m"))
+    # longest match per start: e and the piece id packed into one bigint, so
+    # a plain max hash-aggregates (a max_by over a struct would sort)
+    packed = hit.groupBy("word", "s").agg(F.max(F.col("e").cast("bigint") * F.lit(1 << 32) + F.col("pid")).alias("_pk"))
+    best = packed.select(
+        "word", "s",
+        F.struct(
+            F.floor(F.col("_pk") / F.lit(1 << 32)).cast("int").alias("e"),
+            F.concat(F.when(F.col("s") == 0, F.lit("")).otherwise(F.lit("##")),
+                     F.expr("substring(word, s + 1, CAST(floor(_pk / 4294967296) AS INT) - s)")).alias("piece"),
+            (F.col("_pk") % F.lit(1 << 32)).cast("int").alias("pid"),
+        ).alias("m"),
+    )
     chains = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "m"))).alias("mp"))
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<piece:string,pid:int>>").alias("out"), F.lit(True).alias("ok"))
 

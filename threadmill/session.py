@@ -65,3 +65,14 @@ def materialize(df):
     of the executors that computed it; never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Partition count for CPU-heavy work on a small table (AQE would
+    coalesce a small shuffle into one task): the configured shuffle
+    partitions, at least the cluster's default parallelism."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        n = 0
+    return max(n, spark.sparkContext.defaultParallelism)
