@@ -43,7 +43,8 @@ def posts_from_documents(docs: DataFrame) -> DataFrame:
         d.alias("id"),
         (d % 37).alias("author_id"),
         (d - d % 5).alias("conversation_id"),
-        F.timestamp_seconds(F.lit(EPOCH_2024) + (d * 37 % 10007) * 60).alias("created_at"),
+        # zone-free (timestamp_ntz), so rendering does not depend on the session time zone
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(d * 37 % 10007).cast("int"))).alias("created_at"),
         "lang",
         F.when(d % 4 == 0, "US").when(d % 4 == 1, "CA").when(d % 4 == 2, "MX").otherwise("GB").alias("country"),
         (d * 7 % 360 - 180).cast("double").alias("lon"),

@@ -60,7 +60,9 @@ def stream_clean(stream: DataFrame, lang: str = "en") -> DataFrame:
 
 def stream_dedup_id(stream: DataFrame, delay: str = "3650 days", time_col: str = "created_at") -> DataFrame:
     """Each post id once, state kept for ``delay`` of event time."""
-    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
+    # watermarks need a zoned timestamp; the posts carry timestamp_ntz
+    s = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return s.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str) -> None:
