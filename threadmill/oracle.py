@@ -114,11 +114,12 @@ SELECT id, text, claim, CAST(NULL AS INTEGER) AS toxic, 'own' AS source FROM lab
 UNION ALL SELECT id, text, claim, toxic, 'external' AS source FROM hydrated)"""
 
 
-def label_chain_ctes(seed=42) -> str:
+def label_chain_ctes(seed=42, with_posts: bool = True) -> str:
     """E6-E13 as CTEs ending in ``split_rows``."""
     bal_key = md5_key(["source", "id"], f"balance:{seed}")
     ord_key = md5_key(["source", "id"], f"order:{seed}")
-    return f"""{POSTS}, {LABEL_SHEET}, {EXTERNAL_LABELS}, {HYDRATED}, {UNION_LABELS},
+    head = f"{POSTS}, " if with_posts else ""
+    return f"""{head}{LABEL_SHEET}, {EXTERNAL_LABELS}, {HYDRATED}, {UNION_LABELS},
 labelled AS (SELECT * FROM union_labels WHERE claim IS NOT NULL AND text IS NOT NULL),
 mapped AS (SELECT id, text, toxic, source, {map_labels_sql('claim')} AS claim FROM labelled),
 balanced AS (SELECT * FROM mapped

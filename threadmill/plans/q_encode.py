@@ -287,7 +287,25 @@ def q_steps(spark, sf):
     return X.train_steps(L.split_filter(split_table(spark, sf), "train"))
 
 
-@register("encode_claims")
+def _encode_claims_sql() -> str:
+    from threadmill.plans.q_vocab import VOCAB_CTE
+
+    keys = ["source", "id"]
+    return f"""WITH {VOCAB_CTE}, {O.label_chain_ctes(SEED, with_posts=False)},
+lab AS (SELECT source, id, x, y FROM split_rows),
+ymap AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT y AS category FROM lab WHERE y IS NOT NULL)),
+lab2 AS (SELECT l.source, l.id, l.x, m.idx AS y FROM lab l JOIN ymap m ON m.category = l.y),
+{O.tokenize_ctes('ctok', 'lab2', keys, 'x')}, {O.wordpiece_ctes('ctok_words')},
+{O.tokenize_join_cte('ctok', 'lab2', keys)},
+casm AS (SELECT source, id, y, list_concat(['[CLS]'], list_slice({O.repair_sql('tokens')}, 1, 61), ['[SEP]']) AS tokens FROM ctok),
+{ids_ctes('casm', keys, 'tokens', 'cenc0')},
+cenc AS (SELECT *, list_concat(list_transform(range(len(ids)), lambda z: 1), list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS input_mask,
+         list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS xx FROM cenc0)
+SELECT source, id, array_to_string(tokens, ' ') AS tokens, array_to_string(xx, ' ') AS x, array_to_string(input_mask, ' ') AS input_mask,
+       array_to_string(list_transform(range(64), lambda z: 0), ' ') AS segment_ids, y FROM cenc"""
+
+
+@register("encode_claims", _encode_claims_sql())
 def q_encode_claims(spark, sf):
     c = cleaned(spark, sf)
     vocab = posts_vocab(spark, sf, c)

@@ -9,6 +9,7 @@ from threadmill.operators import clean as C
 from threadmill.operators import labels as L
 from threadmill.operators import store as S
 from threadmill.plans.catalog import register
+from threadmill.session import materialize
 from threadmill.plans.q_clean import CLEAN_SQL_CTE
 from threadmill.sources import views as V
 
@@ -24,12 +25,14 @@ def labelled_union(spark, sf):
 
 
 def mapped_labels(spark, sf):
+    """Labelled rows with mapped labels, materialised: balancing reads them
+    three times (ranks, bucket counts, class sizes)."""
     d = L.drop_unlabelled(labelled_union(spark, sf))
-    return d.withColumn("claim", L.map_labels("claim"))
+    return materialize(d.withColumn("claim", L.map_labels("claim")))
 
 
 def balanced(spark, sf):
-    return L.balance_classes(mapped_labels(spark, sf), "claim", ("source", "id"), seed=SEED)
+    return materialize(L.balance_classes(mapped_labels(spark, sf), "claim", ("source", "id"), seed=SEED))
 
 
 def split_table(spark, sf):
