@@ -72,14 +72,7 @@ def topic_masked(spark, sf):
 PT = lambda c: O.pretokenize_sql(c, True, True, True)
 H = lambda cols, seed: O.h32(", ".join(f"CAST({c} AS VARCHAR)" for c in cols), seed)
 
-SQL_DOCS = f"""{O.TOPICS},
-dl(delim) AS (VALUES ('.'), (';'), (',')),
-pieces0 AS (SELECT id, delim, list_filter(string_split(x, delim), lambda p: length(p) > 0) AS ps FROM topics, dl WHERE x IS NOT NULL),
-pieces AS (SELECT id, delim, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sidx, unnest(ps) AS piece FROM pieces0),
-tp AS (SELECT id, delim, sidx, {PT('piece')} AS tokens FROM pieces),
-raw AS (SELECT id, delim, list(tokens ORDER BY sidx) AS raw FROM tp GROUP BY id, delim),
-docs AS (SELECT id, delim, {O.merged_sentences_sql('raw', MIN_LEN)} AS sentences FROM raw),
-pos AS (SELECT id, delim, CAST(i AS INTEGER) AS pno, sentences[i] AS A, sentences[i + 1] AS B, 1 AS y
+PAIRS_CTES = f"""pos AS (SELECT id, delim, CAST(i AS INTEGER) AS pno, sentences[i] AS A, sentences[i + 1] AS B, 1 AS y
         FROM (SELECT id, delim, sentences, unnest(range(1, len(sentences))) AS i FROM docs WHERE len(sentences) > 1)),
 d2 AS (SELECT * FROM docs WHERE len(sentences) > 1),
 didx AS (SELECT row_number() OVER (ORDER BY {O.md5_key(['id', 'delim'], f'docs:{SEED}')}, id, delim) AS doc_idx, sentences FROM d2),
@@ -92,6 +85,15 @@ neg AS (SELECT d.id, d.delim, d.pno, a.sentences[d.ha % len(a.sentences) + 1] AS
 pairs AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key(['id', 'delim', 'pno', 'y'], f'pairs:{SEED}')}, id, delim, pno, y) AS rank
           FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg))"""
 
+SQL_DOCS = f"""{O.TOPICS},
+dl(delim) AS (VALUES ('.'), (';'), (',')),
+pieces0 AS (SELECT id, delim, list_filter(string_split(x, delim), lambda p: length(p) > 0) AS ps FROM topics, dl WHERE x IS NOT NULL),
+pieces AS (SELECT id, delim, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sidx, unnest(ps) AS piece FROM pieces0),
+tp AS (SELECT id, delim, sidx, {PT('piece')} AS tokens FROM pieces),
+raw AS (SELECT id, delim, list(tokens ORDER BY sidx) AS raw FROM tp GROUP BY id, delim),
+docs AS (SELECT id, delim, {O.merged_sentences_sql('raw', MIN_LEN)} AS sentences FROM raw),
+{PAIRS_CTES}"""
+
 
 def trunc_sql(a, b, T_=61, tie_b=True):
     ca, fa = (T_ + 1) // 2, T_ // 2
@@ -119,13 +121,15 @@ enc AS (SELECT *, list_concat(list_transform(range(f), lambda z: 0), list_transf
         list_concat(list_transform(range(len(ids)), lambda z: 1), list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS input_mask,
         list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS x FROM enc0)"""
 
-SQL_MASKED = f"""{SQL_DOCS}, {TV},
-flat AS (SELECT id, delim, CAST(generate_subscripts(sentences, 1) - 1 AS INTEGER) AS sno, unnest(sentences) AS sentence FROM docs),
+MASK_TAIL = f"""flat AS (SELECT id, delim, CAST(generate_subscripts(sentences, 1) - 1 AS INTEGER) AS sno, unnest(sentences) AS sentence FROM docs),
 fl2 AS (SELECT id, delim, sno, list_concat(['[CLS]'], sentence, ['[SEP]']) AS tokens FROM flat),
 {ids_ctes('fl2', ['id', 'delim', 'sno'], 'tokens', 'm0')},
 m1 AS (SELECT id, delim, sno, CASE WHEN len(ids) > 64 THEN list_concat(list_slice(ids, 1, 63), [3]) ELSE ids END AS ids FROM m0),
 m2 AS (SELECT *, len(ids) AS length, list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS x FROM m1)"""
 
+SQL_MASKED = f"""{SQL_DOCS}, {TV},
+{MASK_TAIL}"""
+
 
 def positions_sql(seed):
     key = "concat_ws(':', CAST(id AS VARCHAR), CAST(delim AS VARCHAR), CAST(sno AS VARCHAR), CAST(i AS VARCHAR), " + O.q(seed) + ")"
@@ -141,9 +145,9 @@ def corrupt_sql(seed, vsize: str):
             f"WHEN {h('u')} / 4294967296.0 < 0.8 THEN 4 WHEN {h('u')} / 4294967296.0 < 0.9 THEN CAST({h('r')} % {vsize} AS INTEGER) ELSE v END)")
 
 
-def masked_sql(epoch: int) -> str:
+def masked_sql(epoch: int, base: str | None = None) -> str:
     s = f"{SEED}:{epoch}"
-    return f"""WITH {SQL_MASKED},
+    return f"""WITH {base or SQL_MASKED},
 m3 AS (SELECT *, {positions_sql('pos:' + s)} AS positions, (SELECT count(*) FROM vocab) AS vsize FROM m2),
 m4 AS (SELECT *, list_distinct(list_transform(positions, lambda i: x[i + 1])) AS targets, {corrupt_sql(s, 'vsize')} AS masked_x FROM m3)
 SELECT id, delim, sno, length, array_to_string(positions, ' ') AS positions, array_to_string(list_sort(targets), ' ') AS targets,
@@ -287,6 +291,39 @@ def q_steps(spark, sf):
     return X.train_steps(L.split_filter(split_table(spark, sf), "train"))
 
 
+def _posts_docs_sql() -> str:
+    from threadmill.plans.q_vocab import VOCAB_CTE
+
+    keys = ["id", "delim", "sidx"]
+    return f"""{VOCAB_CTE},
+pp0 AS (SELECT id, '.' AS delim, list_filter(string_split(text, '.'), lambda p: length(p) > 0) AS ps FROM cleaned WHERE text IS NOT NULL),
+ppieces AS (SELECT id, delim, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sidx, unnest(ps) AS piece FROM pp0),
+{O.tokenize_ctes('ptok', 'ppieces', keys, 'piece')}, {O.wordpiece_ctes('ptok_words')},
+{O.tokenize_join_cte('ptok', 'ppieces', keys)},
+praw AS (SELECT id, delim, list({O.repair_sql('tokens')} ORDER BY sidx) AS raw FROM ptok GROUP BY id, delim),
+docs AS (SELECT id, delim, {O.merged_sentences_sql('raw', MIN_LEN)} AS sentences FROM praw)"""
+
+
+def _encode_pairs_sql() -> str:
+    return f"""WITH {_posts_docs_sql()}, {PAIRS_CTES},
+ptr AS (SELECT id, delim, pno, y, rank, {TA} AS a2, {TB} AS b2 FROM pairs),
+pasm AS (SELECT id, delim, pno, y, rank, list_concat(['[CLS]'], a2, ['[SEP]'], b2, ['[SEP]']) AS tokens, len(a2) + 2 AS f, len(b2) + 1 AS s FROM ptr),
+{ids_ctes('pasm', ['id', 'delim', 'pno', 'y'], 'tokens', 'penc0')},
+penc AS (SELECT *, list_concat(list_transform(range(f), lambda z: 0), list_transform(range(s), lambda z: 1), list_transform(range(greatest(64 - f - s, 0)), lambda z: 0)) AS segment_ids,
+         list_concat(list_transform(range(len(ids)), lambda z: 1), list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS input_mask,
+         list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS x FROM penc0)
+SELECT id, delim, pno, rank, array_to_string(tokens, ' ') AS tokens, array_to_string(x, ' ') AS x, array_to_string(input_mask, ' ') AS input_mask,
+       array_to_string(segment_ids, ' ') AS segment_ids, y FROM penc"""
+
+
+def _encode_masked_sql() -> str:
+    sql = masked_sql(0, f"{_posts_docs_sql()}, {MASK_TAIL}")
+    head, _ = sql.split("\nSELECT id, delim, sno, length")
+    return head + """
+SELECT id, delim, sno, length, array_to_string(x, ' ') AS x, array_to_string(positions, ' ') AS positions,
+       array_to_string(list_sort(targets), ' ') AS targets, array_to_string(masked_x, ' ') AS masked_x FROM m4"""
+
+
 def _encode_claims_sql() -> str:
     from threadmill.plans.q_vocab import VOCAB_CTE
 
@@ -314,7 +351,26 @@ def q_encode_claims(spark, sf):
     return e.select("source", "id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
-@register("encode_claims_topic")
+def _encode_topic_sql() -> str:
+    return f"""WITH {O.TOPICS}, {TV},
+tb AS (SELECT id, x, topic, CASE WHEN y IS NOT DISTINCT FROM 'NoArgument' THEN 'NoArgument' ELSE 'Argument' END AS y FROM topics),
+ymap AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT y AS category FROM tb WHERE y IS NOT NULL)),
+tb2 AS (SELECT t.id, t.x, t.topic, m.idx AS y FROM tb t JOIN ymap m ON m.category = t.y),
+{O.tokenize_ctes('xtok', 'tb2', ['id'], 'x')}, {O.tokenize_ctes('ttok', 'tb2', ['id'], 'topic')},
+allw AS (SELECT word FROM xtok_words UNION ALL SELECT word FROM ttok_words), {O.wordpiece_ctes('allw')},
+{O.tokenize_join_cte('xtok', 'tb2', ['id'])}, {O.tokenize_join_cte('ttok', 'tb2', ['id'])},
+tt0 AS (SELECT x.id, x.y, t.tokens AS tt, x.tokens AS xt FROM xtok x JOIN ttok t USING (id)),
+tr2 AS (SELECT id, y, {TT_A} AS tt2, {TT_B} AS xt2 FROM tt0),
+asm2 AS (SELECT id, y, list_concat(['[CLS]'], tt2, ['[SEP]'], xt2, ['[SEP]']) AS tokens, len(tt2) + 2 AS f, len(xt2) + 1 AS s FROM tr2),
+{ids_ctes('asm2', ['id'], 'tokens', 'tenc0')},
+tenc AS (SELECT *, list_concat(list_transform(range(f), lambda z: 0), list_transform(range(s), lambda z: 1), list_transform(range(greatest(64 - f - s, 0)), lambda z: 0)) AS segment_ids,
+         list_concat(list_transform(range(len(ids)), lambda z: 1), list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS input_mask,
+         list_concat(ids, list_transform(range(greatest(64 - len(ids), 0)), lambda z: 0)) AS xx FROM tenc0)
+SELECT id, array_to_string(tokens, ' ') AS tokens, array_to_string(xx, ' ') AS x, array_to_string(input_mask, ' ') AS input_mask,
+       array_to_string(segment_ids, ' ') AS segment_ids, y FROM tenc"""
+
+
+@register("encode_claims_topic", _encode_topic_sql())
 def q_encode_topic(spark, sf):
     vocab = topic_vocab(spark, sf)
     t = V.topics(spark, sf).withColumn("y", L.binarize_labels("y"))
@@ -322,7 +378,7 @@ def q_encode_topic(spark, sf):
     return e.select("id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
-@register("encode_pairs")
+@register("encode_pairs", _encode_pairs_sql())
 def q_encode_pairs(spark, sf):
     c = cleaned(spark, sf)
     vocab = posts_vocab(spark, sf, c)
@@ -331,13 +387,14 @@ def q_encode_pairs(spark, sf):
     return e.select("id", "delim", "pno", "rank", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
-@register("encode_masked")
+@register("encode_masked", _encode_masked_sql())
 def q_encode_masked(spark, sf):
     c = cleaned(spark, sf)
     vocab = posts_vocab(spark, sf, c)
     docs = materialize(EN.sentence_docs(c, ["id"], "text", vocab))
     m = EN.encode_masked(EN.masked_corpus(docs, ["id"], vocab), ["id"], vocab.count(), SEED, 0)
-    return m.select("id", "delim", "sno", "length", js("x"), js("positions"), js("targets"), js("masked_x"))
+    return m.select("id", "delim", "sno", "length", js("x"), js("positions"),
+                    F.array_join(F.array_sort("targets").cast("array<string>"), " ").alias("targets"), js("masked_x"))
 
 
 def _masked_sub(cols):
