@@ -221,7 +221,7 @@ def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
 def learn_merges(counts: DataFrame, vocab_size: int = P.VOCAB_SIZE, min_frequency: int = P.MIN_FREQUENCY,
                  limit_alphabet: int = P.LIMIT_ALPHABET, merges_per_round: int = 1, candidates_per_round: int | None = None,
-                 max_rounds: int | None = None, checkpoint_every: int = 5, specials=P.SPECIAL_TOKENS) -> DataFrame:
+                 max_rounds: int | None = None, checkpoint_every: int = 1, specials=P.SPECIAL_TOKENS) -> DataFrame:
     """Grow pieces by merging the most frequent adjacent pair (weighted by
     word count) until ``vocab_size`` pieces or no pair reaches
     ``min_frequency``. Runs on the distinct-word table; each round is a
