@@ -10,6 +10,7 @@ from threadmill.operators import encode as X
 from threadmill.operators import labels as L
 from threadmill.operators import sentences as S
 from threadmill.operators import vocab as D
+from threadmill.session import materialize
 
 SEP_ID = P.SPECIAL_TOKENS.index("[SEP]")
 
@@ -53,7 +54,9 @@ def sentence_docs(df: DataFrame, key_cols, text: str, vocab: DataFrame, delims=(
 def encode_pairs(docs: DataFrame, key_cols, vocab: DataFrame, seed=42) -> DataFrame:
     """Next-sentence samples: pairs -> truncated -> [CLS] A [SEP] B [SEP] -> ids."""
     keys = list(key_cols) + ["delim"]
-    p = S.pair_dataset(docs, key_cols, seed)
+    # the pair table feeds the rank, the id lookup and its join back: written
+    # once to the checkpoint folder instead of recomputing the negative draws
+    p = materialize(S.pair_dataset(docs, key_cols, seed))
     a, b = X.truncate_pair("A", "B")
     p = p.withColumn("tokens", X.assemble_pair(a, b)).withColumn("_f", F.size(a) + 2).withColumn("_s", F.size(b) + 1)
     out = _finish(p, keys + ["pno", "y"], "tokens", vocab, X.segment_ids(F.col("_f"), F.col("_s")))

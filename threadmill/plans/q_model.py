@@ -14,7 +14,7 @@ from threadmill.operators import model as M
 from threadmill.operators import sentences as S
 from threadmill.plans.catalog import register
 from threadmill.session import materialize
-from threadmill.plans.q_encode import SEED, SQL_DOCS, SQL_MASKED, PT, masked_sql, topic_docs, topic_masked, topic_vocab, _masked
+from threadmill.plans.q_encode import SEED, SQL_DOCS, PT, masked_sql, topic_docs, topic_masked, topic_vocab
 from threadmill.sources import views as V
 
 R = 4  # decimals of log-scores compared against the oracle

@@ -5,10 +5,7 @@ them with ``availableNow`` and returns what the sink holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from threadmill import oracle as O
-from threadmill.operators import clean as C
 from threadmill.plans.catalog import register
 from threadmill.plans.q_clean import post_out, POST_OUT_SQL
 from threadmill.session import scratch_path

@@ -17,7 +17,6 @@ POST_COLUMNS = [
     "retweet_count", "reply_count", "like_count", "quote_count", "text",
 ]
 
-EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
 
 
 def _mod_str(c: Column, m: int) -> Column:
