@@ -104,3 +104,11 @@ def q_learn_merges(spark, sf):
     """Rows-only (iterative): 6 rounds of 8 non-overlapping merges each."""
     counts = materialize(D.word_counts(cleaned(spark, sf), "text"))
     return D.learn_merges(counts, merges_per_round=8, max_rounds=6)
+
+
+@register("build_vocab_merges")
+def q_build_vocab_merges(spark, sf):
+    """Rows-only: D5 in its merge form - specials, alphabet, then the pieces
+    learned by ``learn_merges`` (6 rounds of 8 merges)."""
+    counts = materialize(D.word_counts(cleaned(spark, sf), "text"))
+    return D.build_vocab(counts, D.learn_merges(counts, merges_per_round=8, max_rounds=6))

@@ -27,9 +27,10 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "threadmill") -> SparkSession:
+def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "threadmill",
+              extra_conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("THREADMILL_DRIVER_MEMORY", "16g"))
