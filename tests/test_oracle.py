@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SMALL
+from threadmill.plans import catalog
 from tools.check_oracle import duck, rows_of
 
 FAST = [
@@ -33,5 +34,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_known_rows_only():
     rows_only = {"batch_predict", "learn_merges", "build_vocab_merges"}
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == rows_only
+    catalog.load_all()
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == rows_only
