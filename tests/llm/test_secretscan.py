@@ -1,0 +1,94 @@
+"""Secret scan: candidates by a plain search, the forest's decisions, and masked texts."""
+
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from tests.conftest import SMALL
+from threadmill.llm import queries, secretscan
+
+HEX = hashlib.sha1(b"1").hexdigest()
+DATA = SMALL.replace("0.001", "0.01")
+
+
+def plain(text):
+    """(start, stop) of the candidates."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text or ""):
+        w = m.group()
+        if len(w) >= 16 and re.search("[A-Za-z]", w) and re.search("[0-9]", w):
+            end = m.end()
+            while end < len(text) and text[end] == "=" and end - m.end() < 2:
+                end += 1
+            out.append((m.start(), end))
+    return out
+
+
+def test_candidates_by_plain_search(spark):
+    texts = [
+        None, "", "no secret", f'token = "{HEX}"', f"{HEX}== {HEX}===x", "a" * 40, "1" * 40, "é" + HEX + "ü", f"x{HEX}\n{HEX} \U0001f389 {HEX}", ("ab1" * 6 + " ") * 3000, "word/word-word_word-2", "x" * 100_000 + "1",
+    ]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {}
+    for r in secretscan.candidates(df).collect():
+        t = texts[r["doc_id"]]
+        got.setdefault(r["doc_id"], []).append((r["start"], r["start"] + len(r["value"])))
+        assert t[r["start"] : r["start"] + len(r["value"])] == r["value"]
+        assert t[: r["start"]].endswith(r["before"]) and t[r["start"] + len(r["value"]) :].startswith(r["after"])
+    assert {k: sorted(v) for k, v in got.items()} == {i: plain(t) for i, t in enumerate(texts) if plain(t)}
+
+
+def known(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.col("source").alias("source"))
+
+
+def test_forest_keeps_secrets_and_removes_others(spark):
+    secret = [
+        (1, f'erti token = "{HEX}" thaou'), (2, f'ERTI TOKEN = "{HEX.upper()}"!! X'), (3, f"api_key: {hashlib.md5(b'2').hexdigest()} and"), (4, f'*** token = "{HEX}"### el'),
+    ]
+    plain_rows = [
+        (11, f"commit {HEX} by us"), (12, "see md5 " + hashlib.md5(b"3").hexdigest() + " of it"), (13, "the best-of-the-west-2 there"), (14, 'api_key = "your-api-key-here-123" '), (15, "run getUserNameFactory2 () now"),
+    ]
+    extra = spark.createDataFrame([(-i, t, "src1") for i, t in secret + plain_rows], "doc_id long, text string, source string")
+    got = secretscan.findings(known(spark).unionByName(extra)).where("doc_id < 0").collect()
+    by = {-r["doc_id"]: r["is_secret"] for r in got}
+    assert {i: by.get(i) for i, _ in secret} == {i: True for i, _ in secret}
+    assert {i: by.get(i) for i, _ in plain_rows} == {i: False for i, _ in plain_rows}
+
+
+def test_query_finds_every_candidate(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.op7_secret_scan(spark, SMALL).collect()
+    want = sorted((d, a, b, hashlib.sha256(t[a:b].encode()).hexdigest()) for d, t in texts.items() for a, b in plain(t))
+    assert sorted(tuple(r)[:4] for r in got) == want
+    marked = [texts[r["doc_id"]][: r["start"]].lower().endswith('token = "') for r in got]
+    assert [r["is_secret"] for r in got] == marked
+
+
+def test_redact_changes_secrets_only(spark):
+    hit = f'a token = "{HEX}" b token = "{HEX[::-1]}", c commit {HEX} d'
+    rows = [(1, hit, "s", None), (1, hit, "s", None), (None, hit, None, 3), (2, "clean", "s", 4), (3, None, "s", 5), (4, "", None, 6), (5, f"commit {HEX} x", "s", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, score int")
+    train = known(spark).withColumn("score", F.lit(0))
+    out = secretscan.redact(df.unionByName(train))
+    assert out.columns == df.columns
+    changed = f'a token = "[SECRET]" b token = "[SECRET]", c commit {HEX} d'
+    got = out.where("score > 0 or score is null").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, changed if t == hit else t, s, n)) for d, t, s, n in rows)
+    before = {r["doc_id"]: r["text"] for r in train.collect()}
+    for r in out.where("score = 0").collect():
+        assert r["text"] == re.sub(r"(?i)(token = \")[0-9a-f]{40}", r"\1[SECRET]", before[r["doc_id"]])
+
+
+def test_empty_table_and_no_forest(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert secretscan.findings(empty).count() == 0
+    assert secretscan.redact(empty).count() == 0
+    one = spark.createDataFrame([(None, f"x {HEX} y", None)], "doc_id long, text string, source string")
+    assert [r["is_secret"] for r in secretscan.findings(one).collect()] == [True]  # nothing to learn from: nothing is removed
+
+
+def test_findings_repeat(spark):
+    a = sorted(map(tuple, queries.op7_secret_scan(spark, SMALL).collect()))
+    assert a == sorted(map(tuple, queries.op7_secret_scan(spark, SMALL).collect()))

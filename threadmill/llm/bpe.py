@@ -54,6 +54,7 @@ class PairIndexBpe:
     """Encoder and decoder of one tokenizer file (its JSON text)."""
 
     def __init__(self, spec: str):
+        self.spec, self.library = spec, None
         spec = json.loads(spec)
         model = spec["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or spec["decoder"] is not None:
@@ -141,25 +142,37 @@ class PairIndexBpe:
         kept = sym >= 0
         return sym[kept], np.add.reduceat(kept, stop - lens + 1, dtype=np.int64)
 
-    def pieces(self, unit: str) -> list[str | int]:
+    def library_pieces(self, unit: str) -> list[bytes]:
+        """Words of a stretch with characters younger than this Python's Unicode tables, by the tokenizers library's tables."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.byte = {s: b for b, s in enumerate(byte_symbols())}
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(unit))
+        return [bytes(self.byte[s] for s in w) for w, _ in words]
+
+    def pieces(self, unit: str) -> list[str | bytes | int]:
         """Words of a stretch without spaces, and ids of added tokens in it."""
         if self.cut is not None and "<" in unit and len(parts := self.cut.split(unit)) > 1:
             return [x for k, part in enumerate(parts) for x in ([self.special[part]] if k % 2 else self.pieces(part))]
         if not unit.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in unit):
+                return self.library_pieces(unit)
             unit = unicodedata.normalize("NFC", unit).replace("Σ", "σ")  # lower() would look at the place in the word
         return self.word.findall(unit.lower())
 
     def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct stretches."""
-        at: dict[str, int] = {}
+        at: dict[str | bytes, int] = {}
         held, counts = [], []
         for u in units:
             found = self.pieces(u)
             counts.append(len(found))
-            held += [at.setdefault(w, len(at)) if isinstance(w, str) else -1 - w for w in found]
+            held += [-1 - w if isinstance(w, int) else at.setdefault(w, len(at)) for w in found]
         if not held:
             return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
-        ids, lens = self.merge([w.encode("utf-8", "replace") for w in at]) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ids, lens = self.merge([w if isinstance(w, bytes) else w.encode("utf-8", "replace") for w in at]) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         starts = np.cumsum(lens) - lens
         size = max(self.special.values(), default=-1) + 1
         arena = np.concatenate([ids, np.arange(size)])  # the ids of added tokens stand for themselves

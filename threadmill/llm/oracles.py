@@ -28,4 +28,49 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
-ORACLES = {"op2_url_filter": URL_FILTER, "op8_exact_topk": EXACT_TOPK}
+MIXING = r"""
+with q as (select doc_id, max(quality) as quality from labels where doc_id is not null group by doc_id),
+d as (
+    select documents.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+        -ln(((('0x' || substr(md5(coalesce(documents.doc_id::varchar, 'null') || ':17'), 1, 12))::bigint) + 0.5::double) / 281474976710656::double)
+            / (case q.quality when 1 then 2.0::double when 0 then 0.5::double else 1.0::double end) as key
+    from documents left join q on q.doc_id = documents.doc_id
+),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+    select *, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight,
+        (select sum(source_size) from s) as total
+    from s
+),
+-- sources in the order in which a rising share fills them: after the first k are full, the others share what is left
+o as (
+    select *, row_number() over (order by 2 * source_size / weight, source is null, source) as k,
+        sum(source_size) over (order by 2 * source_size / weight, source is null, source) as filled,
+        sum(weight) over () - sum(weight) over (order by 2 * source_size / weight, source is null, source) as free
+    from w
+),
+levels as (
+    select 0 as k, 1.5::double * max(total) / sum(weight) as unit from w
+    union all select k, (1.5::double * total - 2 * filled) / free from o where free > 0
+),
+level as (
+    select unit from levels l
+    where not exists (select 1 from o where o.k <= l.k and 2 * source_size > unit * weight)
+        and not exists (select 1 from o where o.k > l.k and 2 * source_size <= unit * weight)
+    order by k limit 1
+),
+t as (
+    select source, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs
+    from (select source, source_size, least(2.0::double * source_size, (select unit from level) * weight) as target from w)
+),
+p as (
+    select d.doc_id, d.size, t.source_size, t.target, t.epochs, t.target - t.epochs * t.source_size as rest,
+        coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id rows between unbounded preceding and 1 preceding), 0) as before
+    from d join t on t.source is not distinct from d.source
+)
+select doc_id, size, source_size::bigint as source_size, target,
+    ((epochs + (case when size > 0 and before + size / 2.0::double < rest then 1 else 0 end)) * size)::bigint as taken
+from p
+"""
+
+ORACLES = {"op2_url_filter": URL_FILTER, "op5_mixing": MIXING, "op8_exact_topk": EXACT_TOPK}

@@ -83,7 +83,8 @@ def cell(fp: Column, blocks: int) -> Column:
     mask = (1 << width) - 1
     out = F.lit(0).cast("long")
     for b in range(blocks):
-        stretch = F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit(mask).cast("long"))
+        stretch = F.shiftrightunsigned(fp, b * width)
+        stretch = stretch.bitwiseAND(F.lit(mask).cast("long")) if blocks > 1 else stretch
         out = out + F.shiftleft(F.bit_count(stretch).cast("long"), 8 * b)
     return out
 

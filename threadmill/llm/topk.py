@@ -125,7 +125,7 @@ def _kth(vectors: DataFrame, block: Queries, bound: np.ndarray, k: int) -> np.nd
                 high[i] = min(high[i], low[i] + width[i])
                 above[i] += found[i][1]
             else:
-                short[i] = True
+                short[i], high[i] = True, low[i]  # all its candidates count: nothing to look for
         if (width[~short] == 1).all():
             return np.where(short, LOW, low)
         width = np.maximum(1, -(-width // BINS))
