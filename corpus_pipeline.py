@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 Language identification drops what it rejects; SimHash keeps the document with
-the smallest id of each group (of rows of that id, one); the secret scan masks
+the smallest id of each group; the secret scan masks
 secrets; mixing repeats or leaves out documents to the sources' target weights;
 BPE encodes and decodes what remains. Each stage works on all its predecessor kept.
 """
@@ -25,14 +25,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component. Rows of one
-    id are told apart by their fingerprint and a hash of their text; one of them stays."""
+    """One document of each SimHash component: the one with the smallest id (an
+    id before none, then by a hash of the text). Of rows that agree in id and text
+    the first by their other columns stays."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
-    # without an id a row is only kept if no row of its component has one
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "doc_id"])
-    return rows.withColumn("_d_n", F.row_number().over(one)).where("_d_n = 1").select(*docs.columns)
+    key = {"_d_none": F.col("doc_id").isNull(), "_d_id": F.coalesce("doc_id", F.lit(0))}
+    first = found.withColumns(key).groupBy("root").agg(F.min(F.struct("_d_none", "_d_id", "text_hash")).alias("one"))
+    kept = first.select("one._d_none", "one._d_id", F.col("one.text_hash").alias("_d_hash"))
+    # narrow decisions; the documents move once, by the key of the window and the join
+    rows = docs.withColumns({**key, "_d_hash": F.xxhash64("text")})
+    one = Window.partitionBy("_d_none", "_d_id", "_d_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    rows = rows.withColumn("_d_n", F.row_number().over(one)).where("_d_n = 1")
+    return rows.join(kept, ["_d_none", "_d_id", "_d_hash"], "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +46,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rated = mixing.label_quality(docs, table(spark, sf_dir, "labels"))
-    taken = mixing.mix(rated, quality=F.col("mix_quality")).where("epochs > 0").select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("row_hash").alias("_m_hash"), "epochs")
+    taken = mixing.mix(docs, ratings=mixing.label_weights(table(spark, sf_dir, "labels"))).where("epochs > 0")
+    taken = taken.select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("row_hash").alias("_m_hash"), "epochs")
     # rows that agree in id, source and text are judged alike up to their order: the join takes their sum once
     taken = taken.groupBy("_m_id", "_m_source", "_m_hash").agg(F.max("epochs").alias("_m_epochs"))
     on = F.col("doc_id").eqNullSafe(F.col("_m_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (F.xxhash64("text") == F.col("_m_hash"))

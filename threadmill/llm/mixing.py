@@ -87,21 +87,24 @@ def targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -> DataF
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: Column | None = None,
-    weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, range_rows: int = 50_000,
+    ratings: DataFrame | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, range_rows: int = 50_000,
 ) -> DataFrame:
     """Each row's key columns with its size, its source's size and target, and
     what the mix takes of it: id, source, size, source_size, target, epochs
     (times the document is taken) and taken (words). Column ``row_hash`` tells
-    rows of one id apart."""
-    good = F.lit(1.0) if quality is None else F.when((quality > 0) & (quality < float("inf")), quality).otherwise(F.lit(1.0))
-    narrow = docs.select(
+    rows of one id apart. The quality of a document is the column ``quality``, or
+    its weight in ``ratings`` (columns id and weight, one row an id)."""
+    rows = docs.select(  # texts end here: what is joined and shuffled later is narrow
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        (-F.log(draw(F.col(id_col), seed)) / good.cast("double")).alias("key"),
+        (quality if quality is not None else F.lit(1.0)).cast("double").alias("weight"),
         F.xxhash64(F.col(text_col)).alias("row_hash"),
     )
-    rows = cut(narrow)
+    if ratings is not None:
+        rows = cut(rows.drop("weight")).join(ratings.select(F.col("id").alias("r_id"), "weight"), F.col("doc_id") == F.col("r_id"), "left").drop("r_id")
+    good = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(F.lit(1.0))
+    rows = cut(rows.withColumn("key", -F.log(draw(F.col("doc_id"), seed)) / good).drop("weight"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     sources = cut(targets(cut(ranked_sources(sources, weights)), share, most))
     epoch = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -130,10 +133,8 @@ def mix(
     )
 
 
-def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with column ``mix_quality``: 2 for documents labelled good,
-    0.5 for documents labelled bad, 1 without a label."""
-    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("l_quality"))
-    weight = F.when(F.col("l_quality") == 1, 2.0).when(F.col("l_quality") == 0, 0.5).otherwise(1.0)
-    kept = [c for c in docs.columns if c != "mix_quality"]
-    return docs.join(marks, F.col("doc_id") == F.col("l_id"), "left").select(*kept, weight.alias("mix_quality"))
+def label_weights(labels: DataFrame) -> DataFrame:
+    """id and weight: 2 for documents labelled good, 0.5 for documents labelled
+    bad; the best of several labels of a document counts."""
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    return marks.select("id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("weight"))

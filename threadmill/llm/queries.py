@@ -23,7 +23,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.label_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, quality=F.col("mix_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    ratings = mixing.label_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix(documents(spark, sf_dir), ratings=ratings).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,14 +67,14 @@ def fingerprints_of(texts: list[str], shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, text_hash (XXH64 of the text) and fp (the fingerprint's 64 bits as a signed long)."""
+    read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch, texts in text_steps(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fp long")
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def cell(fp: Column, blocks: int) -> Column:
@@ -183,11 +183,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row."""
+    """doc_id, fingerprint (16 hex digits), component_id, text_hash and root
+    (a fingerprint of the component, the same for all its rows) of every row."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(links(distinct.select("fp"), radius, blocks))
     rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = rooted.join(least, "root").select("fp", "component_id", "root")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias
+    return fps.join(by_fp, "fp").select("doc_id", digits("fp")("fingerprint"), "component_id", "text_hash", digits("root")("root"))
