@@ -1,12 +1,12 @@
-"""Cleaning: hand-made cases read from the reference's behaviour."""
+"""Cleaning: hand-made cases."""
 
 import re
 
-from pyspark.sql import functions as F
-
 from threadmill.functions import emoji as E
 from threadmill.functions import patterns as P
 from threadmill.operators import clean as C
+from threadmill.sources import views as V
+from tests.conftest import SMALL
 
 
 def run(spark, texts, fn):
@@ -54,21 +54,13 @@ def test_emoji_equals_sequential_pass(spark):
     assert got == [slow(t) for t in texts]
 
 
-def test_hashtag_single_pass_equals_loop(spark):
+def test_hashtags_are_named_at_each_sign(spark):
+    """Each '#' starts a tag that ends at the next stop sign, and the sign itself is a stop sign: so the pieces between '#' follow their mark."""
     import random
 
     rnd = random.Random(3)
-    pat = re.compile(P.NAME_STOP_CLASS.join(["#", "*"]))
-
-    def loop(text):
-        while True:
-            m = pat.search(text)
-            if not m:
-                return text
-            text = text[: m.start()] + "[TAG] " + m.group(0)[1:] + text[m.end():]
-
     texts = ["".join(rnd.choice("ab #@.x") for _ in range(rnd.randint(0, 20))) for _ in range(300)]
-    assert run(spark, texts, C.mask_hashtags) == [loop(t) for t in texts]
+    assert run(spark, texts, C.mask_hashtags) == ["[TAG] ".join(t.split("#")) for t in texts]
 
 
 def test_url_pattern_re2_form_agrees(spark):
@@ -89,11 +81,38 @@ def test_url_pattern_re2_form_agrees(spark):
 
 def test_drop_repeated_removes_every_copy(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "id int, text string")
-    assert sorted(r["id"] for r in C.drop_repeated_text(df).collect()) == [3]
+    out = C.drop_repeated_text(df)
+    assert out.columns == ["id", "text"] and [tuple(r) for r in out.collect()] == [(3, "b")]
+
+
+def test_drop_repeated_viral_text(spark):
+    df = spark.range(5000).selectExpr("id", "if(id % 50 = 0, concat('t', id), 'viral') AS text", "if(id = 50, null, id) AS extra")
+    got = {r["id"]: (r["text"], r["extra"]) for r in C.drop_repeated_text(df).collect()}
+    assert got == {i: (f"t{i}", None if i == 50 else i) for i in range(0, 5000, 50)}
+
+
+def test_clean_posts_scans_once(spark):
+    plan = C.clean_posts(V.posts(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_emoji_sequences_and_dictionary(spark):
+    flag, family, tone, star, check, box = "\U0001F1E9\U0001F1EA", "\U0001F468\u200d\U0001F469", "\U0001F44D\U0001F3FD", "\u2b50", "\u2713", "\u2610"
+    rows = [f"a{flag}b", f"{family}", tone, star, check, box, "\u2764\ufe0f", "\u231a \u00a9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string")
+    got = [r["text"] for r in C.replace_emoji(df, emoticons=[]).orderBy("i").collect()]
+    assert got[4:6] == [check, box]
+    assert got[3] == " white medium star " and got[7] == " watch   copyright sign "
+    assert got[0].startswith("a regional indicator") and got[2].count("emoji modifier") == 1
+    assert got[6] == " heavy black heart " and got[1] == " man  woman "
+    entries = [(flag, " germany "), ("\U0001F1E9", " d "), (family, " couple "), ("couple", "pair")]
+    got = [r["text"] for r in C.replace_emoji(df, emoji_entries=entries, emoticons=[]).orderBy("i").collect()]
+    assert got[0] == "a germany b" and got[1] == " pair " and got[2] == tone
+    table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(entries)], "ord int, k string, v string")
+    assert [r["text"] for r in C.replace_emoji(df, emoji_entries=table, emoticons=[]).orderBy("i").collect()] == got
 
 
 def test_drop_empty_before_masks_is_equivalent(spark):
     texts = ["", " ", "#", "@", "rt", "http://ab.cd"]
     masked = run(spark, texts, C.mask_text)
     assert [m == "" for m in masked] == [t == "" for t in texts]
-    assert F is not None

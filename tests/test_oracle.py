@@ -33,6 +33,6 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_known_rows_only():
-    rows_only = {"batch_predict", "learn_merges", "build_vocab_merges"}
+    rows_only = {"learn_merges", "build_vocab_merges"}
     catalog.load_all()
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == rows_only

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadmill.operators import encode as X
+from threadmill.operators import model as M
 from threadmill.operators import sentences as S
 from threadmill.operators import vocab as D
 
@@ -113,3 +115,97 @@ def test_repair_matches_loop(spark):
     got = df.select("i", D.repair_specials(F.col("t")).alias("r")).orderBy("i").collect()
     for r, c in zip(got, cases):
         assert r["r"] == repair_loop(list(c))
+
+
+def merges_loop(counts, min_frequency, alphabet):
+    """Greedy merges, one at a time, on plain lists."""
+    words = [([c if i == 0 else "##" + c for i, c in enumerate(w)], n) for w, n in counts]
+    words = [([s if s[-1] in alphabet else None for s in w], n) for w, n in words]
+    out = []
+    while True:
+        pairs = {}
+        for w, n in words:
+            for p in zip(w, w[1:]):
+                if None not in p:
+                    pairs[p] = pairs.get(p, 0) + n
+        if not pairs:
+            return out
+        (l, r), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        if n < min_frequency:
+            return out
+        piece = l + (r[2:] if r.startswith("##") else r)
+        out.append((l, r, piece, n))
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == (l, r):
+                    w[i : i + 2] = [piece]
+                i += 1
+
+
+@pytest.mark.parametrize("letters, n, limit", [("abc", 25, 1000), ("abcdef", 40, 1000), ("aab", 12, 1000), ("abcdefg", 30, 3)])
+def test_learn_merges_matches_loop(spark, letters, n, limit):
+    rnd = random.Random(len(letters) + n)
+    counts = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))): rnd.randint(1, 30) for _ in range(n)}
+    df = spark.createDataFrame(list(counts.items()), "word string, count long")
+    weight = {}
+    for w, k in counts.items():
+        for c in w:
+            weight[c] = weight.get(c, 0) + k
+    alphabet = sorted(weight, key=lambda c: (-weight[c], c))[:limit]
+    got = [tuple(r)[1:] for r in D.learn_merges(df, limit_alphabet=limit, candidates=20).orderBy("rank").collect()]
+    assert got == merges_loop(list(counts.items()), 2, set(alphabet))
+
+
+def test_pairs_outside_the_alphabet_do_not_end_the_merges(spark):
+    df = spark.createDataFrame([("bc", 9), ("de", 8), ("fg", 7), ("hi", 6), ("jk", 6), ("aa", 5), ("a", 1000)], "word string, count long")
+    (r,) = D.learn_merges(df, limit_alphabet=1, candidates=4).collect()
+    assert tuple(r) == (1, "a", "##a", "aa", 5)
+
+
+def test_small_vocabulary_holds_words(spark):
+    df = spark.createDataFrame([("w" + "abcdefghij"[i % 10] * (i // 10 + 1), 50) for i in range(50)], "word string, count long")
+    v = D.vocab_by_frequency(df, vocab_size=60)
+    tokens = [r["token"] for r in v.orderBy("id").collect()]
+    assert len(tokens) == 60 and [r["id"] for r in v.orderBy("id").collect()] == list(range(60))
+    assert sum(t.startswith("w") and len(t) > 1 for t in tokens) == 60 - 9 - 2 * 11
+
+
+def test_merge_of_a_very_long_document(spark):
+    n = 100_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_repeat(F.lit("t"), (i % 13).cast("int"))).alias("s"))
+    (r,) = df.select(F.size(S.merge_short_sentences(F.col("s"), 10)).alias("n")).collect()
+    assert r["n"] == len(merge_linear([i % 13 for i in range(n)], 10))
+
+
+def merge_linear(lens, min_length):
+    """Sizes after merging, with one list of the sentences before the first short one."""
+    done, rest = [], list(reversed(lens))
+    while rest:
+        cur = rest.pop()
+        if cur >= min_length:
+            done.append(cur)
+        elif not rest:
+            if done:
+                done[-1] += cur
+        elif done and done[-1] < rest[-1]:
+            done[-1] += cur
+        else:
+            rest[-1] += cur
+    return done
+
+
+def test_linear_reference_is_the_loop():
+    rnd = random.Random(8)
+    for _ in range(500):
+        c = [rnd.randint(0, 14) for _ in range(rnd.randint(0, 9))]
+        assert merge_linear(c, 10) == [g[0] for g in merge_loop(c, 10)]
+
+
+def test_softmax_of_many_classes(spark):
+    import math
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: (i % 7).cast("double")).alias("s"))
+    (r,) = df.select(M.softmax_scores("s").alias("p")).collect()
+    total = sum(math.exp(i % 7 - 6) for i in range(5000))
+    assert abs(sum(r["p"]) - 1) < 1e-9 and abs(r["p"][6] - 1 / total) < 1e-12

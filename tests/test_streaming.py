@@ -1,7 +1,5 @@
 """Streams equal the batch result, and a re-run from the checkpoint adds nothing."""
 
-from pyspark.sql import functions as F
-
 from threadmill.operators import clean as C
 from threadmill.session import scratch_path
 from threadmill.sources import views as V
@@ -42,4 +40,3 @@ def test_repeated_text_stream_equals_batch(spark):
     got = P.unique_text_posts(spark.read.parquet(src), spark.read.parquet(counts)).select("id")
     want = C.drop_repeated_text(V.posts(spark, SMALL)).select("id")
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.collect())
-    assert F is not None

@@ -33,17 +33,25 @@ EMOTICON_GROUPS = [
 ]
 # ------------------------------------------------------------------------------
 
-# Code point blocks that hold pictographic emoji. The package the reference
-# used is not available, so the Unicode table is generated from the character
-# names of these blocks (a rule, not a list): name -> " lower name ".
-EMOJI_BLOCKS = [
-    (0x2600, 0x27BF),
-    (0x1F300, 0x1F5FF),
-    (0x1F600, 0x1F64F),
-    (0x1F680, 0x1F6FF),
-    (0x1F900, 0x1F9FF),
-    (0x1FA70, 0x1FAFF),
-]
+# Unicode's emoji characters (property Emoji without the ASCII digits, '#' and
+# '*'), as ranges of code points. The package the reference used is not
+# available; a character's description is its Unicode name.
+EMOJI_RANGES = """
+A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0
+25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F 2638-263A 2640 2642 2648-2653
+265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE
+26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716
+271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07
+2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1E6-1F1FF
+1F201-1F202 1F21A 1F22F 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393 1F396-1F397 1F399-1F39B 1F39E-1F3F0
+1F3F3-1F3F5 1F3F7-1F4FD 1F4FF-1F53D 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A 1F587 1F58A-1F58D 1F590
+1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3 1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3
+1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D7 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0
+1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8
+"""
+EMOJI_BLOCKS = [tuple(int(x, 16) for x in (r.split("-") * 2)[:2]) for r in EMOJI_RANGES.split()]
+# What binds emoji into one sign: the joiner, the presentation mark, the key-cap mark.
+BINDERS = "\\x{200D}\\x{FE0F}\\x{20E3}"
 
 
 def emoticon_entries() -> list[tuple[str, str]]:
@@ -67,7 +75,7 @@ def unicode_emoji_entries() -> list[tuple[str, str]]:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
             name = unicodedata.name(ch, None)
-            if name and unicodedata.category(ch) == "So":
+            if name:
                 out.append((ch, describe_emoji_name(":" + name.replace(" ", "_") + ":")))
     return out
 
@@ -117,30 +125,41 @@ def emoji_char_class() -> str:
 def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
     """Spark SQL text of C11 over the SQL expression ``text_sql``.
 
-    The dictionaries are written as literals in one expression (parsed once,
-    constant-folded), not built from thousands of separate column objects.
-    Exact against a sequential pass over the whole dictionary:
-    * Unicode keys are single code points and their values are ASCII, so they
-      commute; only the emoji present in the row are looked up.
-    * The emoticon keys are applied in order, each feeding the next.
+    Without ``emoji_entries`` the Unicode characters are described: marks that
+    bind emoji into a sequence (a flag, a family, a skin tone) go, and each
+    part becomes its description. Keys are then single characters and values
+    ASCII, so they commute, and only the emoji present in a row are looked up.
+
+    ``emoji_entries`` is a user's dictionary, (key, description) in order; keys
+    may be of any length. A text that holds the first character of any key
+    gets one literal replace per entry, in order, each feeding the next.
+    The emoticons follow in the same way.
     """
-    emoji_entries = emoji_entries if emoji_entries is not None else unicode_emoji_entries()
     emoticons = emoticons if emoticons is not None else emoticon_entries()
-    if any(len(k) != 1 for k, _ in emoji_entries):
-        raise ValueError("Unicode emoji keys must be single code points")
-    keys = ", ".join(sql_str(k) for k, _ in emoji_entries)
-    vals = ", ".join(sql_str(v) for _, v in emoji_entries)
-    emo_map = f"map_from_arrays(array({keys}), array({vals}))"
-    present = f"array_distinct(regexp_extract_all({text_sql}, {sql_str('(' + emoji_char_class() + ')')}, 1))"
-    step1 = f"aggregate({present}, {text_sql}, (acc, e) -> replace(acc, e, coalesce(element_at({emo_map}, e), e)))"
+    if emoji_entries is None:
+        entries = unicode_emoji_entries()
+        keys = ", ".join(sql_str(k) for k, _ in entries)
+        vals = ", ".join(sql_str(v) for _, v in entries)
+        emo_map = f"map_from_arrays(array({keys}), array({vals}))"
+        bare = f"regexp_replace({text_sql}, {sql_str('(' + emoji_char_class() + ')[' + BINDERS + ']+')}, '$1')"
+        present = f"array_distinct(regexp_extract_all({bare}, {sql_str('(' + emoji_char_class() + ')')}, 1))"
+        out = f"aggregate({present}, {bare}, (acc, e) -> replace(acc, e, coalesce(element_at({emo_map}, e), e)))"
+    elif emoji_entries:
+        firsts = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted({k[0] for k, _ in emoji_entries if k})) + "]"
+        pairs = ", ".join(f"struct({sql_str(k)} as k, {sql_str(v)} as v)" for k, v in emoji_entries if k)
+        out = f"if({text_sql} rlike {sql_str(firsts)}, aggregate(array({pairs}), {text_sql}, (acc, e) -> replace(acc, e.k, e.v)), {text_sql})"
+    else:
+        out = text_sql
     # The emoticons, in order, as nested literal replaces: compiled by
     # whole-stage codegen (a lambda fold would be interpreted per element).
-    out = step1
     for k, v in emoticons:
         out = f"replace({out}, {sql_str(k)}, {sql_str(v)})"
     return out
 
 
 def replace_emoji(column: str, emoji_entries=None, emoticons=None) -> Column:
-    """C11 on the named column."""
+    """C11 on the named column. ``emoji_entries``: list of (key, description),
+    or a table (ord, k, v) of dictionary size, read in the order of ``ord``."""
+    if emoji_entries is not None and hasattr(emoji_entries, "orderBy"):
+        emoji_entries = [(r["k"], r["v"]) for r in emoji_entries.orderBy("ord").collect()]
     return F.expr(replace_emoji_sql(f"`{column}`", emoji_entries, emoticons))

@@ -1,10 +1,16 @@
-"""Global rank in a random (hash) order without a single-partition window.
+"""Global ranks without a single-partition window.
 
 ``row_number() over (partition by class order by key)`` would put a whole
-class - possibly a third of all rows - into one task. Instead the md5 order
-key is cut into 4096 buckets by its first three hex digits (monotone in the
-key), rows are numbered inside (class, bucket), and a small table of bucket
-counts gives each bucket its offset. Result: exact dense ranks 1..n per class.
+class - possibly a third of all rows - into one task.
+
+``hash_rank``: the md5 order key is cut into 16^5 buckets by its first hex
+digits (monotone in the key). Rows are numbered inside (class, bucket), and
+the bucket counts give each bucket its offset: exact dense ranks 1..n per
+class. 10^11 rows make buckets of about 10^5 rows.
+
+``ordered_rank``: a range sort deals any key out evenly, however it is
+spread; the sorted table is written once, and the row counts of its
+partitions give their offsets.
 """
 
 from __future__ import annotations
@@ -12,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_DIGITS = 3
+from threadmill.session import materialize
+
+BUCKET_DIGITS = 5
 
 
 def hash_rank(
@@ -25,8 +33,8 @@ def hash_rank(
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based position of the row in (order_col, tie_cols)
     order within ``partition_cols``. ``order_col`` must be a lowercase hex
-    string (md5); ``partition_cols`` must be of low cardinality (classes),
-    since the offset table has one row per (class, bucket) and is broadcast.
+    string (md5). The offset table has one row per (class, bucket) in use;
+    Spark broadcasts it only if it measures it as small.
     """
     pc = list(partition_cols)
     bucket = F.conv(F.substring(F.col(order_col), 1, bucket_digits), 16, 10).cast("int")
@@ -36,28 +44,18 @@ def hash_rank(
     counts = df.select(*pc, bucket.alias("_bkt")).groupBy(*pc, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*pc).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pc, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offsets), [*pc, "_bkt"])
+    out = d.join(offsets, [*pc, "_bkt"])
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_bkt", "_rn", "_off")
 
 
-def group_sizes(df: DataFrame, partition_cols=()) -> DataFrame:
-    return df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("n"))
-
-
-def ordered_rank(df: DataFrame, order_col: str, rank_col: str = "rank", tie_cols=(), buckets: int = 4096) -> DataFrame:
-    """Global 1-based rank by a numeric column (input order), with the same
-    bucket-and-offset scheme as ``hash_rank``: buckets are equal-width ranges
-    of the key between its minimum and maximum."""
-    lo_hi = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
-    lo = lo_hi.select("lo").scalar()
-    hi = lo_hi.select("hi").scalar()
-    width = (hi - lo) / F.lit(buckets) + F.lit(1e-9)
-    bucket = F.least(F.floor((F.col(order_col) - lo) / width), F.lit(buckets - 1)).cast("int")
-    d = df.withColumn("_bkt", bucket)
-    w = Window.partitionBy("_bkt").orderBy(F.col(order_col), *[F.col(c) for c in tie_cols])
-    d = d.withColumn("_rn", F.row_number().over(w))
-    counts = df.select(bucket.alias("_bkt")).groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offsets), ["_bkt"])
-    return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_bkt", "_rn", "_off")
+def ordered_rank(df: DataFrame, order_col: str, rank_col: str = "rank", tie_cols=()) -> DataFrame:
+    """Global 1-based rank by ``order_col`` and ``tie_cols`` (input order)."""
+    row = F.monotonically_increasing_id()  # partition number, then the row's place in it
+    d = materialize(df.orderBy(order_col, *tie_cols).withColumn("_row", row))
+    part = F.shiftright("_row", 33)
+    counts = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))  # one row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    out = d.withColumn("_part", part).join(offsets, "_part")
+    place = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(rank_col, (F.col("_off") + place + 1).cast("bigint")).drop("_row", "_part", "_off")

@@ -1,45 +1,58 @@
 """Basic (pre-)tokenisation as column expressions.
 
-BERT-style: drop control characters, turn whitespace into blanks, optionally
-lower-case and strip accents, then split on whitespace and around every
-punctuation character (Unicode P* plus the ASCII symbols $+<=>^`|~).
+BERT-style: drop control characters and U+FFFD, turn whitespace into blanks,
+keep the special tokens of the encoder whole, optionally lower-case and strip
+accents, then split on whitespace and around every punctuation character
+(Unicode P* plus the ASCII symbols $+<=>^`|~).
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# other-category characters except tab, newline and carriage return
-CONTROL_CLASS = r"[^\P{C}\t\n\r]"
-SPACE_CLASS = r"[\t\n\r\p{Zs}]"
+from threadmill.functions import patterns as P
+
+# other-category characters except tab, newline and carriage return, and the replacement character
+CONTROL_CLASS = r"[^\P{C}\t\n\r]|\x{FFFD}"
+SPACE_CLASS = r"[\t\n\r\p{Z}]"
 PUNCT = r"\p{P}$+<=>^`|~"
-TOKEN_PATTERN = r"[^\s" + PUNCT + r"]+|[" + PUNCT + r"]"
 MARK_CLASS = r"\p{Mn}"
 CJK_CLASS = r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}])"
-# Latin letters with canonical accents, generated by rule (NFD = base + marks)
-ACCENT_RANGES = [(0x00C0, 0x024F), (0x1E00, 0x1EFF)]
+# The five specials that the tokenizer itself knows. While a text is lower-cased
+# and split, each is one private-use character: the control step has removed
+# all such characters of the text before.
+WHOLE = P.SPECIAL_TOKENS[:5]
+HOLDERS = [chr(0xE000 + i) for i in range(len(WHOLE))]
+HOLDER_CLASS = "\\x{E000}-\\x{%X}" % (0xE000 + len(WHOLE) - 1)
+TOKEN_PATTERN = "[" + HOLDER_CLASS + r"]|[^\s" + PUNCT + HOLDER_CLASS + "]+|[" + PUNCT + "]"
 
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
+    """Letters that fall apart into one letter and marks, of all scripts, by
+    rule. (A Hangul syllable falls apart into several letters and stays.)"""
     src, dst = [], []
-    for lo, hi in ACCENT_RANGES:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            d = unicodedata.normalize("NFD", ch)
-            if len(d) > 1 and all(unicodedata.category(c) == "Mn" for c in d[1:]) and len(d[0]) == 1 and d[0] != ch:
+    for cp in range(0xA0, sys.maxunicode + 1):
+        ch = chr(cp)
+        if unicodedata.decomposition(ch) and not unicodedata.decomposition(ch).startswith("<"):
+            bare = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) != "Mn")
+            if len(bare) == 1 and bare != ch:
                 src.append(ch)
-                dst.append(d[0])
+                dst.append(bare)
     return "".join(src), "".join(dst)
 
 
 def normalize_text(text: Column, lower: bool = True, strip_accents: bool = True, cjk: bool = False) -> Column:
+    """The text in one line of blanks; specials are held by their characters."""
     t = F.regexp_replace(text, CONTROL_CLASS, "")
     t = F.regexp_replace(t, SPACE_CLASS, " ")
+    for token, holder in zip(WHOLE, HOLDERS):
+        t = F.replace(t, F.lit(token), F.lit(holder))
     if cjk:
         t = F.regexp_replace(t, CJK_CLASS, " $1 ")
     if lower:
@@ -51,8 +64,16 @@ def normalize_text(text: Column, lower: bool = True, strip_accents: bool = True,
 
 
 def pretokenize(text: Column, lower: bool = True, strip_accents: bool = True, cjk: bool = False) -> Column:
-    """Words and punctuation marks of the normalised text."""
-    return F.regexp_extract_all(normalize_text(text, lower, strip_accents, cjk), F.lit(TOKEN_PATTERN), 0)
+    """Words, punctuation marks and specials of the normalised text."""
+    found = F.regexp_extract_all(normalize_text(text, lower, strip_accents, cjk), F.lit(TOKEN_PATTERN), F.lit(0))
+
+    def back(t):
+        whole = t
+        for token, holder in zip(WHOLE, HOLDERS):
+            whole = F.when(t == holder, token).otherwise(whole)
+        return F.when(t < HOLDERS[0], t).otherwise(whole)
+
+    return F.transform(found, back)
 
 
 def chars(word: Column) -> Column:

@@ -21,17 +21,16 @@ def _c(col) -> Column:
 def drop_repeated_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Remove every copy of a text seen more than once (nulls count as equal).
 
-    Counted by a grouped aggregate (partial counts per map task, so a viral
-    text collapses before the shuffle), then the repeated texts are anti-joined
-    on a null-safe key. AQE broadcasts the repeated set when it is small and
-    splits the hot text's partition otherwise.
+    One shuffle: rows are grouped by their text with a count and any one row,
+    and groups of one are kept. Copies collapse before the shuffle, so a viral
+    text sends one row per map task.
     """
-    repeated = (
-        df.groupBy(F.col(text).alias("_rt")).count()
-        .where(F.col("count") > 1)
-        .select("_rt")
+    rest = [c for c in df.columns if c != text]
+    one = df.groupBy(F.col(text)).agg(
+        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest) if rest else F.lit(True)).alias("_row")
     )
-    return df.join(repeated, df[text].eqNullSafe(repeated["_rt"]), "left_anti")
+    kept = one.where(F.col("_n") == 1)
+    return kept.select(*[F.col(text) if c == text else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def lower_text(col="text") -> Column:

@@ -40,14 +40,14 @@ def truncate_single(x, target: int = L - 3) -> Column:
     return F.slice(_c(x), 1, target)
 
 
-def assemble_pair(a, b) -> Column:
-    """[CLS] A [SEP] B [SEP]."""
-    return F.concat(F.array(F.lit(CLS)), _c(a), F.array(F.lit(SEP)), _c(b), F.array(F.lit(SEP)))
+def assemble_pair(a, b, cls=CLS, sep=SEP) -> Column:
+    """[CLS] A [SEP] B [SEP] (with ids: their ids as ``cls`` and ``sep``)."""
+    return F.concat(F.array(F.lit(cls)), _c(a), F.array(F.lit(sep)), _c(b), F.array(F.lit(sep)))
 
 
-def assemble_single(x) -> Column:
+def assemble_single(x, cls=CLS, sep=SEP) -> Column:
     """[CLS] x [SEP]."""
-    return F.concat(F.array(F.lit(CLS)), _c(x), F.array(F.lit(SEP)))
+    return F.concat(F.array(F.lit(cls)), _c(x), F.array(F.lit(sep)))
 
 
 def truncate_ids(ids, sep_id: int, max_len: int = L) -> Column:
@@ -114,7 +114,7 @@ def mask_corrupt(ids, positions, key_cols, seed, vocab_size: int, mask_id: int =
     def per_row(pos):
         def f(v, i):
             u = H.uniform(*keys, i, seed=f"u:{seed}")
-            r = (H.hash32(*keys, i, seed=f"r:{seed}") % vocab_size).cast("int")
+            r = (H.hash60(*keys, i, seed=f"r:{seed}") % vocab_size).cast("int")
             return F.when(~F.array_contains(pos, i), v).when(u < P.MASK_TOKEN_SHARE, F.lit(mask_id)).when(
                 u < P.RANDOM_TOKEN_SHARE, r).otherwise(v)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadmill.functions import hashing as H
 from threadmill.functions import patterns as P
 from threadmill.functions.ranking import hash_rank
+from threadmill.session import bounded_broadcast
 
 METRIC_COLUMNS = ["retweet_count", "reply_count", "like_count", "quote_count"]
 
@@ -56,7 +57,7 @@ def map_labels(col="claim", on_error: str = "raise") -> Column:
     Numbers arrive as strings after a union with a sheet, so '0'/'1' (and
     '0.0'/'1.0') count as the numeric labels."""
     c = F.col(col) if isinstance(col, str) else col
-    s = F.lower(F.trim(c.cast("string")))
+    s = F.lower(c.cast("string"))
     # a missing label stays null (dropped by E7), so that the check holds
     # wherever the optimizer evaluates it
     mapped = F.when(s.isNull(), F.lit(None)).when(s.isin("1", "1.0"), 1).when(s.isin("0", "0.0"), 0)
@@ -127,7 +128,7 @@ def ordinal_fit(df: DataFrame, col: str = "y") -> DataFrame:
 
 def ordinal_transform(df: DataFrame, mapping: DataFrame, col: str = "y", out: str = "y") -> DataFrame:
     """Apply a fitted mapping; an unseen category raises."""
-    m = F.broadcast(mapping.withColumnRenamed("category", "_cat"))
+    m = bounded_broadcast(mapping.withColumnRenamed("category", "_cat"))
     j = df.join(m, df[col].eqNullSafe(m["_cat"]), "left")
     err = F.raise_error(F.concat(F.lit("unseen category: "), F.coalesce(F.col(col).cast("string"), F.lit("null"))))
     return j.withColumn(out, F.when(F.col("idx").isNotNull(), F.col("idx")).otherwise(err.cast("int"))).drop("_cat", "idx")

@@ -68,8 +68,18 @@ def score_classifier(model: NaiveBayes, df: DataFrame, key_cols, tokens: str = "
 def softmax_scores(scores) -> Column:
     """Probabilities, shifted by the maximum for stability."""
     s = F.col(scores) if isinstance(scores, str) else scores
-    e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+    # the maximum and the sum enter through one binding each: once per row, not once per element
+    def bind(value, body):
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def shifted(a):
+        return bind(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+
+    def divided(e):
+        return bind(F.aggregate(e, F.lit(0.0), lambda p, q: p + q), lambda t: F.transform(e, lambda x: x / t))
+
+    return bind(s, lambda a: bind(shifted(a), divided))
 
 
 def argmax_class(probs) -> Column:
@@ -87,18 +97,50 @@ def pair_features(a: str = "A", b: str = "B") -> Column:
     )
 
 
-def masked_predictor(train_corpus: DataFrame, ids: str = "x", length: str = "length", k_max: int = 16,
-                     exclude=(0, 1, 2, 3, 4)) -> DataFrame:
-    """G6 (frequency baseline): ids ranked by corpus frequency, specials
-    excluded; the first ``k_max`` (a bound on targets per sample:
-    floor(0.15 * 64) = 9) as (rank, id, logp). The full table of scores is
-    ``id_log_probs``."""
-    lp = id_log_probs(train_corpus, ids, length, exclude)
-    top = lp.orderBy(F.col("logp").desc(), F.col("id")).limit(k_max)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("logp").desc(), F.col("id"))))
+SPECIAL_IDS = (0, 1, 2, 3, 4)
 
 
-def id_log_probs(train_corpus: DataFrame, ids: str = "x", length: str = "length", exclude=(0, 1, 2, 3, 4)) -> DataFrame:
+def associations(corpus: DataFrame, ids: str = "x", length: str = "length", window: int = 2, partners: int = 64, exclude=SPECIAL_IDS) -> DataFrame:
+    """How often two ids stand within ``window`` places of each other:
+    (v, t, n), for each v its ``partners`` commonest t (the size of the model)."""
+    x, n = F.col(ids), F.col(length)
+    pairs = F.flatten(F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda i: F.transform(F.sequence(F.lit(1), F.lit(window)), lambda d: F.when(i + d < n, F.struct(F.get(x, i).alias("v"), F.get(x, i + d).alias("t")))),
+    ))
+    ex = corpus.select(F.explode(pairs).alias("p")).where("p is not null")
+    one = ex.where(~F.col("p.v").isin(list(exclude)) & ~F.col("p.t").isin(list(exclude))).groupBy("p.v", "p.t").agg(F.count(F.lit(1)).alias("n"))
+    both = one.select("v", "t", "n").unionByName(one.select(F.col("t").alias("v"), F.col("v").alias("t"), "n"))
+    both = both.groupBy("v", "t").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("n").desc(), "t"))
+    return both.withColumn("_r", rank).where(F.col("_r") <= partners).drop("_r")
+
+
+def masked_predictor(samples: DataFrame, assoc: DataFrame, freq: DataFrame, key_cols, ids: str = "x", length: str = "length",
+                     positions: str = "positions", targets: str = "targets", window: int = 2, exclude=SPECIAL_IDS, out: str = "predicted") -> DataFrame:
+    """For each sample as many ids as it has targets, from the visible
+    tokens near its masked places. Each visible token votes for its partners
+    (``associations``) with their counts; ties and gaps are filled by corpus
+    frequency (``freq``: id, logp), then by id. Keys must be unique."""
+    keys = list(key_cols)
+    x, n, pos = F.col(ids), F.col(length), F.col(positions)
+    near = F.flatten(F.transform(pos, lambda p: F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda d: F.when(
+        (d != 0) & (p + d >= 0) & (p + d < n) & ~F.array_contains(pos, p + d), F.get(x, p + d)))))
+    seen = samples.select(*keys, F.explode(near).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(list(exclude)))
+    votes = seen.join(assoc, "v").groupBy(*keys, F.col("t").alias("id_")).agg(F.sum("n").alias("votes"))
+    most = samples.agg(F.max(F.size(targets)).alias("k")).first()["k"] or 0
+    common = [r["id"] for r in freq.orderBy(F.col("logp").desc(), F.col("id")).limit(most).collect()]  # as many as a sample has targets
+    filler = samples.select(*keys, F.explode(F.array(*[F.lit(i) for i in common]).cast("array<int>")).alias("id_"), F.lit(0).cast("bigint").alias("votes"))
+    cand = votes.withColumn("id_", F.col("id_").cast("int")).unionByName(filler).groupBy(*keys, "id_").agg(F.max("votes").alias("votes"))
+    cand = cand.join(freq.select(F.col("id").alias("id_"), "logp"), "id_", "left")
+    order = Window.partitionBy(*keys).orderBy(F.col("votes").desc(), F.col("logp").desc_nulls_last(), "id_")
+    cand = cand.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.lit(int(most)))
+    best = cand.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id_"))), lambda s: s["id_"]).alias("_best"))
+    return samples.join(best, keys, "left").withColumn(
+        out, F.coalesce(F.slice("_best", 1, F.size(targets)), F.array().cast("array<int>"))).drop("_best")
+
+
+def id_log_probs(train_corpus: DataFrame, ids: str = "x", length: str = "length", exclude=SPECIAL_IDS) -> DataFrame:
     """log relative frequency of every id in the real (unpadded) positions."""
     ex = train_corpus.select(F.explode(F.slice(ids, 1, F.col(length))).alias("id"))
     ex = ex.where(~F.col("id").isin(list(exclude)))

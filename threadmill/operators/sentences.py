@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,37 +28,42 @@ def split_sentences(df: DataFrame, key_cols, text: str, delims=(".",)) -> DataFr
 
 def merge_plan(lengths: Column, min_length: int) -> Column:
     """F3 on lengths only: array<struct<n,first,last>> of the final sentences
-    as ranges of the original ones. Scans for the first sentence shorter than
-    ``min_length``; a middle one joins the strictly shorter previous one, else
+    as ranges of the original ones. The first sentence shorter than
+    ``min_length`` is merged until none is short: a middle one joins the strictly shorter previous one, else
     the next; the last joins the previous, the first the next; a lone short
-    sentence empties the document. Repeats until none is short."""
-    init = F.transform(lengths, lambda n, i: F.struct(n.alias("n"), i.alias("first"), i.alias("last")))
-
-    def merge(a, b):
-        return F.struct((a["n"] + b["n"]).alias("n"), a["first"].alias("first"), b["last"].alias("last"))
-
-    def step(arr, _):
-        m = F.size(arr)
-        i = F.array_position(F.transform(arr, lambda x: x["n"] < min_length), True).cast("int")
-        prev = F.element_at(arr, F.greatest(i - 1, F.lit(1)))
-        cur = F.element_at(arr, F.greatest(i, F.lit(1)))
-        nxt = F.element_at(arr, F.least(i + 1, F.greatest(m, F.lit(1))))
-        into_prev = F.concat(F.slice(arr, 1, F.greatest(i - 2, F.lit(0))), F.array(merge(prev, cur)),
-                             F.slice(arr, i + 1, F.greatest(m - i, F.lit(0))))
-        into_next = F.concat(F.slice(arr, 1, F.greatest(i - 1, F.lit(0))), F.array(merge(cur, nxt)),
-                             F.slice(arr, i + 2, F.greatest(m - i - 1, F.lit(0))))
-        empty = F.slice(arr, 1, 0)
-        return (F.when(i == 0, arr)
-                .when(m == 1, empty)
-                .when((i > 1) & (i < m), F.when(prev["n"] < nxt["n"], into_prev).otherwise(into_next))
-                .when(i == m, into_prev)
-                .otherwise(into_next))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1))), init, step)
+    sentence empties the document.
+
+    Everything before the first short sentence is final but for its last
+    member, so one pass with a stack does it, linear in the sentences; Spark's
+    array functions would copy the array at each step, so the pass over the lengths is a
+    vectorised helper. Texts never leave the JVM for it."""
+
+    def plans(batch: pd.Series) -> pd.Series:
+        out = []
+        for lens in batch:
+            done, wait = [], None  # finished sentences; a short one that waits for the next
+            for i, n in enumerate(() if lens is None else lens):
+                cur = [int(n), i, i]
+                if wait is not None:
+                    if done and done[-1][0] < cur[0]:
+                        done[-1] = [done[-1][0] + wait[0], done[-1][1], wait[2]]
+                    else:
+                        cur = [wait[0] + cur[0], wait[1], i]
+                    wait = None
+                if cur[0] < min_length:
+                    wait = cur
+                else:
+                    done.append(cur)
+            if wait is not None and done:
+                done[-1] = [done[-1][0] + wait[0], done[-1][1], wait[2]]
+            out.append([{"n": a, "first": b, "last": c} for a, b, c in done])
+        return pd.Series(out)
+
+    return F.pandas_udf(plans, "array<struct<n:int,first:int,last:int>>")(lengths)
 
 
 def merge_short_sentences(sentences: Column, min_length: int = 10) -> Column:
-    """sentences (array<array<string>>) -> merged sentences."""
+    """sentences (array<array<token>>) -> merged sentences."""
     plan = merge_plan(F.transform(sentences, lambda s: F.size(s)), min_length)
     return F.transform(plan, lambda r: F.flatten(F.slice(sentences, r["first"] + 1, r["last"] - r["first"] + 1)))
 
@@ -96,30 +102,30 @@ def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) ->
     among the others (by list position), one uniform sentence of each; y = 0.
 
     Documents get a dense index 1..n in a hash order (no single-partition
-    window); draws are hashes of the positive's key, so each negative is two
+    window); draws are hashes of the positive's key, so each negative is a few
     equi-joins on the index. Never a cross join."""
     keys = list(key_cols) + ["delim"]
     d = min_two_sentences(docs)
-    d = d.withColumn("_o", H.shuffle_key(*keys, seed=f"docs:{seed}"))
-    idx = hash_rank(d, "_o", rank_col="doc_idx", tie_cols=keys).select("doc_idx", "sentences")
+    o = d.select(*keys, F.size("sentences").alias("n")).withColumn("_o", H.shuffle_key(*keys, seed=f"docs:{seed}"))
+    idx = hash_rank(o, "_o", rank_col="doc_idx", tie_cols=keys).select(*keys, "doc_idx", "n")
     n = d.agg(F.count(F.lit(1))).scalar()
     pk = keys + ["pno"]
     draws = positives.select(
         *[F.col(k).alias(f"_k_{k}") for k in pk],
-        (H.hash32(*pk, seed=f"a:{seed}") % n + 1).alias("ia"),
-        (H.hash32(*pk, seed=f"b:{seed}") % (n - 1) + 1).alias("_ib"),
-        H.hash32(*pk, seed=f"sa:{seed}").alias("ha"),
-        H.hash32(*pk, seed=f"sb:{seed}").alias("hb"),
+        (H.hash60(*pk, seed=f"a:{seed}") % n + 1).alias("ia"),
+        (H.hash60(*pk, seed=f"b:{seed}") % (n - 1) + 1).alias("_ib"),
+        H.hash60(*pk, seed=f"sa:{seed}").alias("ha"),
+        H.hash60(*pk, seed=f"sb:{seed}").alias("hb"),
     ).withColumn("ib", F.when(F.col("_ib") >= F.col("ia"), F.col("_ib") + 1).otherwise(F.col("_ib")))
-    a = idx.select(F.col("doc_idx").alias("ia"), F.col("sentences").alias("sa"))
-    b = idx.select(F.col("doc_idx").alias("ib"), F.col("sentences").alias("sb"))
-    j = draws.join(a, "ia").join(b, "ib")
-    return j.select(
-        *[F.col(f"_k_{k}").alias(k) for k in pk],
-        F.element_at("sa", (F.col("ha") % F.size("sa") + 1).cast("int")).alias("A"),
-        F.element_at("sb", (F.col("hb") % F.size("sb") + 1).cast("int")).alias("B"),
-        F.lit(0).alias("y"),
-    )
+    # the sizes tell which sentence is drawn; then single sentences travel, never whole documents
+    sizes = idx.select("doc_idx", "n")
+    draws = draws.join(sizes.select(F.col("doc_idx").alias("ia"), F.col("n").alias("na")), "ia")
+    draws = draws.join(sizes.select(F.col("doc_idx").alias("ib"), F.col("n").alias("nb")), "ib")
+    draws = draws.withColumns({"sa": (F.col("ha") % F.col("na")).cast("int"), "sb": (F.col("hb") % F.col("nb")).cast("int")})
+    one = d.select(*keys, F.posexplode("sentences").alias("sno", "sentence")).join(idx.drop("n"), keys)
+    j = draws.join(one.select(F.col("doc_idx").alias("ia"), F.col("sno").alias("sa"), F.col("sentence").alias("A")), ["ia", "sa"])
+    j = j.join(one.select(F.col("doc_idx").alias("ib"), F.col("sno").alias("sb"), F.col("sentence").alias("B")), ["ib", "sb"])
+    return j.select(*[F.col(f"_k_{k}").alias(k) for k in pk], "A", "B", F.lit(0).alias("y"))
 
 
 def pair_dataset(docs: DataFrame, key_cols, seed=42) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.session import bounded_broadcast, materialize
+
 # ---- fixed values (must match the reference) ---------------------------------
 # Field presets of the post and user objects.
 TWEET_FIELDS_ALL_PUBLIC = [
@@ -112,6 +114,12 @@ def keyword_search(posts: DataFrame, all_of=(), any_of=(), none_of=(), countries
     return hits.orderBy(*newest_first()).limit(n) if n is not None else hits
 
 
+def search_sentiment(posts: DataFrame, sentiment: str | None = None, **search) -> DataFrame:
+    """The search with a wished sentiment. The argument is accepted and
+    has no effect, as in the reference."""
+    return keyword_search(posts, **search)
+
+
 def country_filter(posts: DataFrame, countries) -> DataFrame:
     """B7."""
     return posts.where(F.col("country").isin(list(countries)))
@@ -149,39 +157,38 @@ def author_with_replies(posts: DataFrame, users: DataFrame, username: str, compl
 
 def multi_seed_search(posts: DataFrame, seeds: DataFrame, completed: DataFrame | None = None,
                       users: DataFrame | None = None, usernames: DataFrame | None = None,
-                      lang: str = "en", max_broadcast_seeds: int = 100_000) -> DataFrame:
+                      lang: str = "en", max_broadcast_seeds: int = 100_000, newest: int = MAX_SEARCH_RESULTS) -> DataFrame:
     """B10 for every seed term and B11 for every user name, one store.
 
     Seeds are a table, joined to the exploded distinct words of each post (no
-    per-seed loop). The seed list is user input; it is broadcast only under a
-    checked size. Output: one row per reached post with the sorted seeds that
+    per-seed loop). Seed and author lists are user input; they are broadcast
+    only under a checked size. A user name reaches its ``newest`` posts. Output: one row per reached post with the sorted seeds that
     reached it (``seeds``)."""
     sd = seeds.select(F.lower(F.col(seeds.columns[0])).alias("seed")).distinct()
     # a plain word also matches its hashtag
     terms = sd.select("seed", F.col("seed").alias("term")).unionByName(
         sd.where(~F.col("seed").rlike("^[#@]")).select("seed", F.concat(F.lit("#"), F.col("seed")).alias("term"))
     )
-    if sd.count() <= max_broadcast_seeds:
-        terms = F.broadcast(terms)
+    terms = bounded_broadcast(terms, max_broadcast_seeds)
     words = posts.select("id", "lang", "conversation_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    hits = words.join(terms, "term").select("id", "lang", "conversation_id", "seed")
-    convs = hits.where(F.col("lang") == lang).select("seed", "conversation_id").distinct()
-    if completed is not None:
-        convs = convs.join(completed.select("conversation_id"), "conversation_id", "left_anti")
-    replies = posts.select("id", "conversation_id").join(convs, "conversation_id").select("id", "seed")
-    reached = hits.select("id", "seed").unionByName(replies)
+    # narrow rows that three later steps read: written once
+    hits = materialize(words.join(terms, "term").select("id", "lang", "conversation_id", "seed"))
+    reached = hits.select("id", "seed")
+    convs = hits.where(F.col("lang") == lang).select("seed", "conversation_id")
     if users is not None and usernames is not None:
         names = usernames.select(F.col(usernames.columns[0]).alias("username")).distinct()
         authors = users.join(names, "username").select(F.col("id").alias("author_id"), F.concat(F.lit("@"), "username").alias("seed"))
         w = Window.partitionBy("author_id").orderBy(*newest_first())
-        recent = (posts.join(F.broadcast(authors), "author_id")
-                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= MAX_SEARCH_RESULTS))
-        uconvs = recent.select("seed", "conversation_id").distinct()
-        if completed is not None:
-            uconvs = uconvs.join(completed.select("conversation_id"), "conversation_id", "left_anti")
-        ureplies = posts.select("id", "conversation_id").join(uconvs, "conversation_id").select("id", "seed")
-        reached = reached.unionByName(recent.select("id", "seed")).unionByName(ureplies)
-    return reached.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("seed")), ",").alias("seeds"))
+        recent = (posts.select("id", "author_id", "conversation_id", "created_at").join(bounded_broadcast(authors, max_broadcast_seeds), "author_id")
+                  .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= newest))
+        recent = materialize(recent.select("id", "conversation_id", "seed"))
+        reached = reached.unionByName(recent.select("id", "seed"))
+        convs = convs.unionByName(recent.select("seed", "conversation_id"))
+    convs = convs.distinct()
+    if completed is not None:
+        convs = convs.join(completed.select("conversation_id"), "conversation_id", "left_anti")
+    replies = posts.select("id", "conversation_id").join(convs, "conversation_id").select("id", "seed")
+    return reached.unionByName(replies).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("seed")), ",").alias("seeds"))
 
 
 def mark_complete(store: DataFrame, completed: DataFrame, flag: str = "conversation_complete") -> DataFrame:
@@ -198,9 +205,13 @@ def conversation_done(store: DataFrame, flag: str = "conversation_complete") ->
 
 
 def store_upsert(store: DataFrame, batch: DataFrame, batch_col: str = "batch") -> DataFrame:
-    """Add rows under their id; the latest batch wins."""
+    """Add rows under their id; the latest batch wins. Within a batch the
+    newest ``created_at`` wins, then the greatest row by its other columns in
+    name order, so the winner never depends on the partitioning."""
     u = store.unionByName(batch, allowMissingColumns=True)
-    w = Window.partitionBy("id").orderBy(F.col(batch_col).desc())
+    first = [batch_col] + [c for c in ["created_at"] if c in u.columns]
+    total = first + sorted(c for c in u.columns if c not in {"id", *first})
+    w = Window.partitionBy("id").orderBy(*[F.col(c).desc_nulls_last() for c in total])
     return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -213,9 +224,22 @@ def hydrate_labels(labels: DataFrame, posts: DataFrame, id_col: str = "tweet_id"
     return lab.join(p, "id", "left")
 
 
-def project_fields(df: DataFrame, fields: Iterable[str]) -> DataFrame:
-    """Requested field list -> columns (absent fields as null strings)."""
-    cols = []
-    for f in fields:
-        cols.append(F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f))
-    return df.select(*cols)
+# Types of the preset fields; all others, nested ones too, come as JSON text.
+FIELD_TYPES = {
+    "id": "bigint", "author_id": "bigint", "conversation_id": "bigint", "in_reply_to_user_id": "bigint", "pinned_tweet_id": "bigint",
+    "possibly_sensitive": "boolean", "protected": "boolean", "verified": "boolean",
+    "public_metrics": "map<string,bigint>", "non_public_metrics": "map<string,bigint>", "organic_metrics": "map<string,bigint>",
+    "promoted_metrics": "map<string,bigint>",
+}
+
+
+def project_fields(df: DataFrame, fields: Iterable[str], json_col: str | None = None) -> DataFrame:
+    """Requested field list (a preset or any names) -> columns. With
+    ``json_col`` the fields are read from its JSON objects; an absent field is
+    null with the type of the field."""
+    fields = list(fields)
+    kind = lambda f: FIELD_TYPES.get(f, "string")
+    if json_col is not None:
+        parsed = F.from_json(F.col(json_col), ", ".join(f"`{f}` {kind(f)}" for f in fields))
+        return df.select(parsed.alias("_p")).select(*[F.col("_p")[f].alias(f) for f in fields])
+    return df.select(*[F.col(f) if f in df.columns else F.lit(None).cast(kind(f)).alias(f) for f in fields])

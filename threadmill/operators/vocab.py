@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import patterns as P
 from threadmill.functions import tokens as T
-from threadmill.session import work_partitions
+from threadmill.session import bounded_broadcast, materialize, work_partitions
 
 UNK_ID = P.SPECIAL_TOKENS.index("[UNK]")
 
@@ -50,10 +50,10 @@ def vocab_by_frequency(counts: DataFrame, vocab_size: int = P.VOCAB_SIZE, min_fr
     n_alpha = alpha.agg(F.count(F.lit(1))).scalar()
     cont = alpha.select(F.concat(F.lit("##"), F.col("ch")).alias("token"), (F.lit(n_sp) + n_alpha + F.col("rank") - 1).cast("int").alias("id"))
     base = sp.unionByName(plain).unionByName(cont)
-    room = vocab_size - n_sp - 2 * limit_alphabet  # upper bound of the word block
     words = (counts.where((F.col("count") >= min_frequency) & (F.length("word") > 1))
              .join(base.select(F.col("token").alias("word")), "word", "left_anti"))
-    top = words.orderBy(F.col("count").desc(), F.col("word")).limit(max(room, 0))
+    # no more words than entries can get in; the id decides how many do
+    top = words.orderBy(F.col("count").desc(), F.col("word")).limit(vocab_size)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("word"))))
     wid = ranked.select(F.col("word").alias("token"), (F.lit(n_sp) + 2 * n_alpha + F.col("rank") - 1).cast("int").alias("id"))
     return base.unionByName(wid).where(F.col("id") < vocab_size)
@@ -67,7 +67,6 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, max_chars: int = P.MAX_W
     not generated (exact). Any position without a match, or a word longer
     than ``max_chars``, gives one unknown token.
     """
-    unk_id = UNK_ID
     v = vocab.select(F.col("token").alias("piece"), F.col("id").alias("pid"))
     longest = v.agg(F.max(F.length("piece"))).scalar()
     # distinct words are few but each expands into many candidates: spread
@@ -84,21 +83,18 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, max_chars: int = P.MAX_W
         "piece",
         F.concat(F.when(F.col("s") == 0, F.lit("")).otherwise(F.lit("##")), F.expr("substring(word, s + 1, e - s)")),
     )
-    hit = cand.join(F.broadcast(v), "piece")
+    hit = cand.join(bounded_broadcast(v), "piece")
     # longest match per start: e and the piece id packed into one bigint, so
     # a plain max hash-aggregates (a max_by over a struct would sort)
     packed = hit.groupBy("word", "s").agg(F.max(F.col("e").cast("bigint") * F.lit(1 << 32) + F.col("pid")).alias("_pk"))
     best = packed.select(
         "word", "s",
-        F.struct(
-            F.floor(F.col("_pk") / F.lit(1 << 32)).cast("int").alias("e"),
-            F.concat(F.when(F.col("s") == 0, F.lit("")).otherwise(F.lit("##")),
-                     F.expr("substring(word, s + 1, CAST(floor(_pk / 4294967296) AS INT) - s)")).alias("piece"),
-            (F.col("_pk") % F.lit(1 << 32)).cast("int").alias("pid"),
-        ).alias("m"),
+        F.struct(F.floor(F.col("_pk") / F.lit(1 << 32)).cast("int").alias("e"), (F.col("_pk") % F.lit(1 << 32)).cast("int").alias("pid")).alias("m"),
     )
     chains = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("s", "m"))).alias("mp"))
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<piece:string,pid:int>>").alias("out"), F.lit(True).alias("ok"))
+    # words without a match (and over-long ones) keep a null chain
+    linked = w.join(chains, "word", "left")
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,pid:int>>").alias("out"), F.lit(True).alias("ok"))
 
     def step(acc, _):
         nxt = F.element_at(F.col("mp"), acc["pos"])
@@ -107,160 +103,223 @@ def wordpiece_table(words: DataFrame, vocab: DataFrame, max_chars: int = P.MAX_W
             nxt.isNull(), F.struct(acc["pos"].alias("pos"), acc["out"].alias("out"), F.lit(False).alias("ok"))
         ).otherwise(
             F.struct(nxt["e"].alias("pos"),
-                     F.concat(acc["out"], F.array(F.struct(nxt["piece"].alias("piece"), nxt["pid"].alias("pid")))).alias("out"),
+                     F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("s"), nxt["e"].alias("e"), nxt["pid"].alias("pid")))).alias("out"),
                      F.lit(True).alias("ok"))
         )
 
-    walked = chains.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step).alias("r"))
-    walked = walked.select(
-        "word",
-        F.when(F.col("r.ok"), F.col("r.out.piece")).otherwise(F.array(F.lit(unk))).alias("pieces"),
-        F.when(F.col("r.ok"), F.col("r.out.pid")).otherwise(F.array(F.lit(unk_id))).alias("piece_ids"),
+    unknown = F.array(F.struct(F.lit(unk).alias("piece"), F.lit(UNK_ID).alias("pid")))
+    named = F.transform(
+        F.col("r.out"),
+        lambda m: F.struct(
+            F.concat(F.when(m["s"] == 0, F.lit("")).otherwise(F.lit("##")), F.substring(F.col("word"), m["s"] + 1, m["e"] - m["s"])).alias("piece"),
+            m["pid"].alias("pid"),
+        ),
     )
-    # words without any match at all, and over-long words
-    rest = w.join(walked.select("word"), "word", "left_anti").select(
-        "word", F.array(F.lit(unk)).alias("pieces"), F.array(F.lit(unk_id)).alias("piece_ids"))
-    return walked.unionByName(rest)
+    walked = linked.select("word", F.when(F.col("mp").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step)).alias("r"))
+    walked = walked.select("word", F.when(F.col("r.ok"), named).otherwise(unknown).alias("p"))
+    return walked.select("word", F.col("p.piece").alias("pieces"), F.col("p.pid").alias("piece_ids"))
 
 
 def repair_specials(tokens: Column, include_url: bool = False) -> Column:
     """Token triples '[', 'rt'|'men'|'tag', ']' -> one mask token,
     left to right. '[URL]' stays three tokens unless ``include_url``."""
-    names = ["rt", "men", "tag"] + (["url"] if include_url else [])
     joined = F.concat(F.lit("\u0001"), F.array_join(tokens, "\u0002\u0001"), F.lit("\u0002"))
-    for nm in names:
+    for nm in _masks(include_url):
         joined = F.replace(joined, F.lit(f"\u0001[\u0002\u0001{nm}\u0002\u0001]\u0002"), F.lit(f"\u0001[{nm.upper()}]\u0002"))
     body = joined.substr(F.lit(2), F.length(joined) - 2)  # strip the outer markers
     return F.when(F.size(tokens) == 0, tokens).otherwise(F.split(body, "\u0002\u0001", -1))
 
 
+def _masks(include_url: bool) -> list[str]:
+    return ["rt", "men", "tag"] + (["url"] if include_url else [])
+
+
+def repair_pieces(pieces: Column, include_url: bool = False) -> Column:
+    """D7 on array<struct<piece,pid>>: the mask tokens have fixed ids, so the
+    ids of the others are carried along and nothing is looked up again."""
+    packed = F.transform(pieces, lambda p: F.concat(F.lit("\u0001"), p["piece"], F.lit("\u0003"), p["pid"].cast("string"), F.lit("\u0002")))
+    joined = F.array_join(packed, "")
+    for nm in _masks(include_url):
+        triple = f"\u0001\\[\u0003[0-9]+\u0002\u0001{nm}\u0003[0-9]+\u0002\u0001\\]\u0003[0-9]+\u0002"
+        token = f"[{nm.upper()}]"
+        joined = F.regexp_replace(joined, triple, f"\u0001{token}\u0003{P.SPECIAL_TOKENS.index(token)}\u0002")
+    body = joined.substr(F.lit(2), F.length(joined) - 2)  # strip the outer markers
+    again = F.transform(
+        F.split(body, "\u0002\u0001", -1),
+        lambda t: F.struct(F.substring_index(t, "\u0003", 1).alias("piece"), F.substring_index(t, "\u0003", -1).cast("int").alias("pid")),
+    )
+    return F.when(F.size(pieces) == 0, pieces).otherwise(again)
+
+
 def tokens_to_ids(df: DataFrame, key_cols, tokens: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """Vocabulary lookup per token; unknown -> [UNK] id. Tokens are
-    exploded with their position, joined to the (broadcast, size-bounded)
-    vocabulary and put back in order."""
+    exploded with their position, joined to the vocabulary (broadcast if its
+    size is checked) and put back in order in one shuffle: the other columns ride on the first token's row."""
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode(tokens).alias("pos", "tok"))
-    v = F.broadcast(vocab.select(F.col("token").alias("tok"), F.col("id").alias("_vid")))
-    j = ex.join(v, "tok", "left").select(*keys, "pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("_vid"))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "_vid"))).alias("_p"))
-    g = g.select(*keys, F.col("_p._vid").alias(out))
-    res = df.join(g, keys, "left")
-    return res.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    rest = [c for c in df.columns if c not in keys]
+    ex = df.select(*keys, F.struct(*rest).alias("_rest"), F.posexplode_outer(tokens).alias("pos", "tok"))
+    ex = ex.withColumn("_rest", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("_rest")))
+    v = bounded_broadcast(vocab.select(F.col("token").alias("tok"), F.col("id").alias("_vid")))
+    j = ex.join(v, "tok", "left").withColumn("_vid", F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("_vid"), F.lit(UNK_ID)).alias("v"))))
+    g = j.groupBy(*keys).agg(F.any_value("_rest", F.lit(True)).alias("_rest"), F.array_sort(F.collect_list("_vid")).alias("_p"))
+    return g.select(*[F.col(c) if c in keys else F.col("_rest")[c].alias(c) for c in df.columns], F.col("_p.v").alias(out))
 
 
 def tokenize(df: DataFrame, key_cols, text: str, vocab: DataFrame, out: str = "tokens", ids: str | None = None,
              lower: bool = True, strip_accents: bool = True, cjk: bool = True, repair: bool = False,
              wordpieces: DataFrame | None = None) -> DataFrame:
-    """Text -> word pieces (and ids) per row, keyed by ``key_cols``.
+    """Text -> word pieces (and their ids) per row, keyed by ``key_cols``.
 
     Words are exploded with their position, the distinct ones go through
-    ``wordpiece_table`` once, and the pieces are joined back and re-assembled
-    in order. Null text -> empty list."""
+    ``wordpiece_table`` once, and the pieces with their ids are joined back
+    and re-assembled in order: one shuffle out and one back. The other columns
+    ride on the first word's row. Null text -> empty list."""
     keys = list(key_cols)
-    ex = df.select(*keys, F.posexplode(T.pretokenize(F.col(text), lower, strip_accents, cjk)).alias("pos", "word"))
-    wp = wordpieces if wordpieces is not None else wordpiece_table(ex.select("word").distinct(), vocab)
-    j = ex.join(wp, "word")
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "pieces", "piece_ids"))).alias("_p"))
-    g = g.select(*keys, F.flatten(F.col("_p.pieces")).alias(out), F.flatten(F.col("_p.piece_ids")).alias("_ids"))
-    res = df.join(g, keys, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
-    res = res.withColumn("_ids", F.coalesce(F.col("_ids"), F.array().cast("array<int>")))
+    rest = [c for c in df.columns if c not in keys and c not in (out, ids)]
+    words = F.coalesce(T.pretokenize(F.col(text), lower, strip_accents, cjk), F.array().cast("array<string>"))
+    ex = df.select(*keys, *([F.struct(*rest).alias("_rest")] if rest else [F.lit(True).alias("_rest")]), F.posexplode_outer(words).alias("pos", "word"))
+    ex = ex.withColumn("_rest", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("_rest")))
+    wp = wordpieces if wordpieces is not None else wordpiece_table(ex.select("word").where(F.col("word").isNotNull()).distinct(), vocab)
+    wp = wp.select("word", F.arrays_zip(F.col("pieces").alias("piece"), F.col("piece_ids").alias("pid")).alias("_w"))
+    j = ex.join(wp, "word", "left").withColumn("_w", F.when(F.col("pos").isNotNull(), F.struct("pos", "_w")))
+    g = j.groupBy(*keys).agg(F.any_value("_rest", F.lit(True)).alias("_rest"), F.array_sort(F.collect_list("_w")).alias("_p"))
+    g = g.withColumn("_p", F.flatten(F.col("_p._w")))
     if repair:
-        res = res.withColumn(out, repair_specials(F.col(out)))
-        if ids:
-            res = res.drop("_ids")
-            return tokens_to_ids(res, keys, out, vocab, ids)
-    if ids:
-        return res.withColumnRenamed("_ids", ids)
-    return res.drop("_ids")
+        g = g.withColumn("_p", repair_pieces(F.col("_p")))
+    made = [F.col("_p.piece").alias(out)] + ([F.col("_p.pid").alias(ids)] if ids else [])
+    return g.select(*[F.col(c) if c in keys else F.col("_rest")[c].alias(c) for c in df.columns if c in keys or c in rest], *made)
 
 
-def word_symbols(counts: DataFrame) -> DataFrame:
+def word_symbols(counts: DataFrame, alphabet: list[str] | None = None) -> DataFrame:
     """Distinct words as symbol lists: first character plain, the rest with
-    the '##' continuation prefix: (word, count, syms)."""
+    the '##' continuation prefix: (word, count, syms). A character outside
+    ``alphabet`` is a null symbol, which no pair holds."""
     ch = T.chars(F.col("word"))
     syms = F.transform(ch, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit("##"), c)))
+    if alphabet is not None:
+        known = F.array(*[F.lit(a) for a in alphabet]).cast("array<string>")
+        syms = F.transform(syms, lambda x: F.when(F.array_contains(known, F.substring(x, -1, 1)), x))
     return counts.select("word", "count", syms.alias("syms"))
 
 
 def pair_counts(words: DataFrame, min_frequency: int = 1) -> DataFrame:
     """Adjacent symbol pairs weighted by word count: (l, r, count)."""
     pairs = F.transform(F.sequence(F.lit(0), F.size("syms") - 2),
-                        lambda i: F.struct(F.element_at("syms", i + 1).alias("l"), F.element_at("syms", i + 2).alias("r")))
-    ex = words.where(F.size("syms") > 1).select("count", F.explode(pairs).alias("p"))
+                        lambda i: F.struct(F.get("syms", i).alias("l"), F.get("syms", i + 1).alias("r")))
+    ex = words.where(F.size("syms") > 1).select("count", F.explode(pairs).alias("p")).where("p.l is not null and p.r is not null")
     c = ex.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("count").alias("count"))
     return c.where(F.col("count") >= min_frequency) if min_frequency > 1 else c
 
 
-def _merged(l: Column, r: Column) -> Column:
-    return F.concat(l, F.regexp_replace(r, "^##", ""))
+def _around(words: DataFrame, pairs: list[tuple[str, str]]):
+    """What happens next to each pair (by its number): the largest count that a
+    pair made by merging it can have, and the count of triples in which two of the pairs overlap."""
+    spark = words.sparkSession
+    triples = F.transform(F.sequence(F.lit(0), F.size("syms") - 3),
+                          lambda i: F.struct(F.get("syms", i).alias("x"), F.get("syms", i + 1).alias("y"), F.get("syms", i + 2).alias("z")))
+    ex = words.where(F.size("syms") > 2).select("count", F.explode(triples).alias("t"))
+    ex = ex.where("t.x is not null and t.y is not null and t.z is not null")
+    tri = ex.groupBy("t.x", "t.y", "t.z").agg(F.sum("count").alias("n"))
+    table = spark.createDataFrame([(l, r, i) for i, (l, r) in enumerate(pairs)], "l string, r string, i int")  # at most ``candidates`` rows
+    first = F.broadcast(table.select(F.col("l").alias("x"), F.col("r").alias("y"), F.col("i").alias("a")))
+    second = F.broadcast(table.select(F.col("l").alias("y"), F.col("r").alias("z"), F.col("i").alias("b")))
+    hit = tri.join(first, ["x", "y"], "left").join(second, ["y", "z"], "left").where("a is not null or b is not null")
+    # one row a pair and one a pair of overlapping pairs
+    both = hit.where("a is not null and b is not null").select("a", "b", "n")
+    most = hit.select(F.explode(F.filter(F.array("a", "b"), lambda v: v.isNotNull())).alias("a"), "n").groupBy("a").agg(F.max("n").alias("n"))
+    bound, overlap = {}, {}
+    for r in most.select("a", F.lit(-1).alias("b"), "n").unionByName(both).collect():
+        if r["b"] < 0:
+            bound[r["a"]] = r["n"]
+        else:
+            overlap[(r["a"], r["b"])] = r["n"]
+    return bound, overlap
+
+
+def _piece(l: str, r: str) -> str:
+    return l + (r[2:] if r.startswith("##") else r)
+
+
+def _next_merges(top: list[tuple[str, str, int]], complete: bool, bound: dict, overlap: dict, pieces: set[str], room: int) -> list[tuple[int, int]]:
+    """Numbers and counts of the pairs that the greedy order takes next, as far as the counts prove it.
+
+    Merging a pair lowers an overlapping pair by their common triples (known
+    exactly while only one neighbour is merged) and makes new pairs that are at
+    most as frequent as the triples around it. A pair is taken only if it comes before
+    every other one and is more frequent than any new pair can be. A piece that
+    exists already adds to pairs that exist already, so the round ends with it."""
+    left = {i: [n, n] for i, (_, _, n) in enumerate(top)}  # least and largest count now
+    touched: set[int] = set()
+    chosen: list[tuple[int, int]] = []
+    ceiling = 0  # of the counts of new pairs
+    while left and len(chosen) < room:
+        best = min(left, key=lambda i: (-left[i][0], top[i][0], top[i][1]))
+        n, most = left[best]
+        l, r, _ = top[best]
+        if chosen:
+            if n != most or l == r or n <= ceiling or (best in touched and not complete and n <= top[-1][2]):
+                break
+            if any((-m, top[i][0], top[i][1]) < (-n, l, r) for i, (_, m) in left.items() if i != best):
+                break
+        chosen.append((best, n))
+        del left[best]
+        if l == r or _piece(l, r) in pieces:  # runs of one symbol are no plain sums
+            break
+        ceiling = max(ceiling, bound.get(best, 0))
+        for i in left:
+            lost = [overlap.get((best, i), 0), overlap.get((i, best), 0)]
+            if any(lost):
+                # occurrences lost on two sides may be the same ones
+                exact = i not in touched and not all(lost)
+                touched.add(i)
+                left[i][0] -= sum(lost)
+                if exact and top[i][0] != top[i][1]:
+                    left[i][1] = left[i][0]
+    return chosen
 
 
 def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Rewrite every word's symbols with a set of merges, left to right,
-    without overlaps (as one BPE merge step does)."""
-    key = lambda l, r: F.concat(l, F.lit("\u0001"), r)
-    mp = F.create_map(*[x for l, r in merges for x in (F.lit(l + "\u0001" + r), F.lit(l + (r[2:] if r.startswith("##") else r)))])
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
-
-    def walk(s):
-        def step(acc, i):
-            cur, nxt = F.element_at(s, i + 1), F.element_at(s, i + 2)
-            m = F.when(i + 1 < F.size(s), F.element_at(mp, key(cur, nxt)))
-            return (F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip")))
-                    .when(m.isNotNull(), F.struct(F.concat(acc["out"], F.array(m)).alias("out"), F.lit(True).alias("skip")))
-                    .otherwise(F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), F.lit(False).alias("skip"))))
-
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), init, step)["out"]
-        return F.when(F.size(s) > 1, walked).otherwise(s)
-
-    # the previous symbols enter through one lambda binding, so stacking
-    # rounds grows the plan linearly (collapsed projections would otherwise
-    # copy the input into every reference)
-    return words.withColumn("syms", F.element_at(F.transform(F.array(F.col("syms")), walk), 1))
+    """Rewrite every word's symbols with merges one after the other, each left
+    to right without overlaps (as one BPE merge step does)."""
+    mark = lambda x: F.coalesce(x, F.lit("\u0004"))
+    joined = F.concat(F.lit("\u0001"), F.array_join(F.transform(F.col("syms"), mark), "\u0002\u0001"), F.lit("\u0002"))
+    for l, r in merges:
+        joined = F.replace(joined, F.lit(f"\u0001{l}\u0002\u0001{r}\u0002"), F.lit(f"\u0001{_piece(l, r)}\u0002"))
+    parts = F.split(joined.substr(F.lit(2), F.length(joined) - 2), "\u0002\u0001", -1)
+    syms = F.transform(parts, lambda x: F.when(x != "\u0004", x))
+    return words.select(*[syms.alias("syms") if c == "syms" else F.col(c) for c in words.columns])
 
 
 def learn_merges(counts: DataFrame, vocab_size: int = P.VOCAB_SIZE, min_frequency: int = P.MIN_FREQUENCY,
-                 limit_alphabet: int = P.LIMIT_ALPHABET, merges_per_round: int = 1, candidates_per_round: int | None = None,
-                 max_rounds: int | None = None, checkpoint_every: int = 1, specials=P.SPECIAL_TOKENS) -> DataFrame:
+                 limit_alphabet: int = P.LIMIT_ALPHABET, candidates: int = 256, checkpoint_every: int = 4,
+                 specials=P.SPECIAL_TOKENS) -> DataFrame:
     """Grow pieces by merging the most frequent adjacent pair (weighted by
-    word count) until ``vocab_size`` pieces or no pair reaches
-    ``min_frequency``. Runs on the distinct-word table; each round is a
-    grouped pair count and a rewrite. With ``merges_per_round=1`` it is the
-    exact greedy order (ties by symbol text); larger values take that many
-    non-overlapping pairs from the top candidates per round (faster, an
-    approximation). Lineage is cut with reliable checkpoints.
-    Returns (rank, l, r, piece, count)."""
+    word count; ties by symbol text) until ``vocab_size`` pieces or no pair
+    reaches ``min_frequency``. The order is exactly the greedy one: a round
+    counts pairs and triples on the distinct-word table and takes as many of
+    the ``candidates`` most frequent pairs as these counts prove to come next (one at least). Pairs with a
+    character outside the alphabet are dropped before the candidates are
+    picked. Lineage is cut with reliable checkpoints. Returns (rank, l, r, piece, count)."""
     spark = counts.sparkSession
-    alpha = [r["ch"] for r in alphabet(counts, limit_alphabet).orderBy("rank").collect()]
-    alpha_set = set(alpha)
-    n_base = len(specials) + 2 * len(alpha)
-    words = word_symbols(counts).checkpoint()
+    alpha = [r["ch"] for r in alphabet(counts, limit_alphabet).orderBy("rank").collect()]  # at most limit_alphabet
+    room = vocab_size - len(specials) - 2 * len(alpha)
+    words = materialize(word_symbols(counts, alpha).where(F.size("syms") > 1).drop("word"))
     merges: list[tuple[str, str, str, int]] = []
-    cand_n = candidates_per_round or 4 * merges_per_round
+    pieces: set[str] = set()
     rounds = 0
-    while n_base + len(merges) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        pc = pair_counts(words, min_frequency)
-        top = pc.orderBy(F.col("count").desc(), F.col("l"), F.col("r")).limit(cand_n).collect()
-        chosen, used = [], set()
-        for row in top:
-            l, r = row["l"], row["r"]
-            base = lambda s: s[2:] if s.startswith("##") else s
-            if len(base(l)) == 1 and base(l) not in alpha_set or len(base(r)) == 1 and base(r) not in alpha_set:
-                continue
-            if l in used or r in used:
-                continue
-            chosen.append((l, r, row["count"]))
-            used.update((l, r))
-            if len(chosen) >= merges_per_round or n_base + len(merges) + len(chosen) >= vocab_size:
-                break
-        if not chosen:
+    while len(pieces) < room:
+        found = pair_counts(words, min_frequency).orderBy(F.col("count").desc(), F.col("l"), F.col("r")).limit(candidates).collect()
+        if not found:
             break
-        for l, r, c in chosen:
-            merges.append((l, r, l + (r[2:] if r.startswith("##") else r), c))
+        top = [(r["l"], r["r"], r["count"]) for r in found]
+        bound, overlap = _around(words, [t[:2] for t in top])
+        chosen = [(*top[i][:2], n) for i, n in _next_merges(top, len(top) < candidates, bound, overlap, pieces, room - len(pieces))]
+        merges += [(l, r, _piece(l, r), n) for l, r, n in chosen]
+        pieces.update(_piece(l, r) for l, r, _ in chosen)
         words = apply_merges(words, [(l, r) for l, r, _ in chosen])
         rounds += 1
         if rounds % checkpoint_every == 0:
-            words = words.checkpoint()
+            words = materialize(words)
     return spark.createDataFrame([(i + 1, l, r, p, c) for i, (l, r, p, c) in enumerate(merges)],
                                  "rank int, l string, r string, piece string, count long")
 
@@ -275,5 +334,8 @@ def build_vocab(counts: DataFrame, merges: DataFrame, limit_alphabet: int = P.LI
     n_alpha = alpha.agg(F.count(F.lit(1))).scalar()
     plain = alpha.select(F.col("ch").alias("token"), (F.lit(n_sp) + F.col("rank") - 1).cast("int").alias("id"))
     cont = alpha.select(F.concat(F.lit("##"), F.col("ch")).alias("token"), (F.lit(n_sp) + n_alpha + F.col("rank") - 1).cast("int").alias("id"))
-    pieces = merges.select(F.col("piece").alias("token"), (F.lit(n_sp) + 2 * n_alpha + F.col("rank") - 1).cast("int").alias("id"))
+    # a piece that two merges make counts once, at its first merge
+    first = merges.groupBy("piece").agg(F.min("rank").alias("rank"))
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy("rank")))  # at most a vocabulary
+    pieces = first.select(F.col("piece").alias("token"), (F.lit(n_sp) + 2 * n_alpha + F.col("rank") - 1).cast("int").alias("id"))
     return sp.unionByName(plain).unionByName(cont).unionByName(pieces)

@@ -21,7 +21,7 @@ SELECT doc_id AS id, doc_id % 37 AS author_id, doc_id - doc_id % 5 AS conversati
        CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 2 END AS quote_count,
        concat(CASE WHEN n_chars % 7 = 0 THEN 'RT ' ELSE '' END,
               CASE WHEN n_chars % 3 = 0 THEN concat('@', lang, '_', CAST(n_chars % 11 AS VARCHAR(20)), ' ') ELSE '' END,
-              substr(text, 1, 280),
+              text,
               CASE WHEN n_chars % 2 = 0 THEN concat(' #topic', CAST(n_chars % 9 AS VARCHAR(20))) ELSE '' END,
               CASE WHEN n_chars % 5 = 0 THEN concat(' https://www.ex', CAST(n_chars % 13 AS VARCHAR(20)), '.com/p?q=', CAST(doc_id AS VARCHAR(20))) ELSE '' END,
               CASE n_chars % 4 WHEN 0 THEN ' :)' WHEN 1 THEN ' ;)' WHEN 2 THEN ' :p' ELSE '' END) AS text
@@ -55,9 +55,9 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def h32(expr: str, seed) -> str:
-    """DuckDB form of functions.hashing.hash32 over one string expression."""
-    return f"('0x' || substr(md5(concat_ws(':', {expr}, {q(str(seed))})), 1, 8))::BIGINT"
+def h60(expr: str, seed) -> str:
+    """DuckDB form of functions.hashing.hash60 over one string expression."""
+    return f"('0x' || substr(md5(concat_ws(':', {expr}, {q(str(seed))})), 1, 15))::BIGINT"
 
 
 def url_re() -> str:
@@ -85,9 +85,10 @@ def replace_emoji_sql(col: str) -> str:
     emo = E.unicode_emoji_entries()
     emo_map = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in emo) + "}"
     cls = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in E.EMOJI_BLOCKS) + "]"
-    present = f"list_distinct(regexp_extract_all({col}, {q('(' + cls + ')')}, 1))"
+    bare = f"regexp_replace({col}, {q('(' + cls + ')[' + E.BINDERS + ']+')}, '\\1', 'g')"
+    present = f"list_distinct(regexp_extract_all({bare}, {q('(' + cls + ')')}, 1))"
     step1 = (
-        f"list_reduce({present}, lambda acc, e: replace(acc, e, coalesce({emo_map}[e], e)), {col})"
+        f"list_reduce({present}, lambda acc, e: replace(acc, e, coalesce({emo_map}[e], e)), {bare})"
     )
     step2 = f"list_reduce({_emoticon_list_sql(E.emoticon_entries())}, lambda acc, e: replace(acc, e.k, e.v), {step1})"
     return step2
@@ -99,9 +100,8 @@ def md5_key(cols: list[str], seed) -> str:
 
 
 def map_labels_sql(col: str) -> str:
-    s = f"lower(trim(CAST({col} AS VARCHAR)))"
-    whens = " ".join(f"WHEN {s} = {q(k)} THEN {v}" for k, v in P.LABEL_MAPPING.items())
-    return (f"CAST(CASE WHEN {s} IS NULL THEN NULL WHEN {s} IN ('1', '1.0') THEN 1 WHEN {s} IN ('0', '0.0') THEN 0 {whens} "
+    s = f"lower(CAST({col} AS VARCHAR))"
+    return (f"CAST(CASE WHEN {s} IS NULL THEN NULL WHEN {s} IN ('1', '1.0', 'y', 'yes', 'true', 't') THEN 1 WHEN {s} IN ('0', '0.0', 'n', 'no', 'false', 'f') THEN 0 "
             f"ELSE error(concat('unrecognized claim label ', {s})) END AS INTEGER)")
 
 
@@ -114,12 +114,12 @@ SELECT id, text, claim, CAST(NULL AS INTEGER) AS toxic, 'own' AS source FROM lab
 UNION ALL SELECT id, text, claim, toxic, 'external' AS source FROM hydrated)"""
 
 
-def label_chain_ctes(seed=42, with_posts: bool = True) -> str:
-    """E6-E13 as CTEs ending in ``split_rows``."""
+def label_chain_ctes(seed=42, with_posts: bool = True, own: str = "label_sheet") -> str:
+    """E6-E13 as CTEs ending in ``split_rows``; ``own`` names the table of own labels."""
     bal_key = md5_key(["source", "id"], f"balance:{seed}")
     ord_key = md5_key(["source", "id"], f"order:{seed}")
     head = f"{POSTS}, " if with_posts else ""
-    return f"""{head}{LABEL_SHEET}, {EXTERNAL_LABELS}, {HYDRATED}, {UNION_LABELS},
+    return f"""{head}{LABEL_SHEET + ", " if own == "label_sheet" else ""}{EXTERNAL_LABELS}, {HYDRATED}, {UNION_LABELS.replace("label_sheet", own)},
 labelled AS (SELECT * FROM union_labels WHERE claim IS NOT NULL AND text IS NOT NULL),
 mapped AS (SELECT id, text, toxic, source, {map_labels_sql('claim')} AS claim FROM labelled),
 balanced AS (SELECT * FROM mapped
@@ -134,18 +134,23 @@ split_rows AS (SELECT *, CASE WHEN rank <= floor((SELECT count(*) FROM ranked) *
 
 # ---- tokens ------------------------------------------------------------------
 def pretokenize_sql(col: str, lower=True, strip_accents=True, cjk=False) -> str:
-    from threadmill.functions import tokens as T
-
-    t = f"regexp_replace({col}, {q(T.CONTROL_CLASS)}, '', 'g')"
-    t = f"regexp_replace({t}, {q(T.SPACE_CLASS)}, ' ', 'g')"
+    """Words, punctuation marks and the five specials; each word is normalised on its own."""
+    punct = r"\p{P}$+<=>^`|~"
+    t = f"regexp_replace({col}, '[^\\P{{C}}\\t\\n\\r]|\\x{{FFFD}}', '', 'g')"
+    t = f"regexp_replace({t}, '[\\t\\n\\r\\p{{Z}}]', ' ', 'g')"
     if cjk:
-        t = f"regexp_replace({t}, {q(T.CJK_CLASS)}, ' \\1 ', 'g')"
+        ranges = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
+        cls = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
+        t = f"regexp_replace({t}, '([{cls}])', ' \\1 ', 'g')"
+    found = f"regexp_extract_all({t}, '\\[(?:PAD|UNK|CLS|SEP|MASK)\\]|[^\\s{punct}]+|[{punct}]')"
+    word = "w"
     if lower:
-        t = f"lower({t})"
+        word = f"lower({word})"
     if strip_accents:
-        src, dst = T.accent_table()
-        t = f"regexp_replace(translate({t}, {q(src)}, {q(dst)}), {q(T.MARK_CLASS)}, '', 'g')"
-    return f"regexp_extract_all({t}, {q(T.TOKEN_PATTERN)})"
+        word = f"strip_accents({word})"
+    if word == "w":
+        return found
+    return f"list_transform({found}, lambda w: CASE WHEN length(w) > 3 AND starts_with(w, '[') THEN w ELSE {word} END)"
 
 
 def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None, limit_alphabet=None, lower=False, strip=False) -> str:
@@ -155,7 +160,6 @@ def vocab_ctes(corpus: str, text_col: str, vocab_size=None, min_frequency=None,
     limit_alphabet = limit_alphabet or P.LIMIT_ALPHABET
     n_sp = len(P.SPECIAL_TOKENS)
     specials = ", ".join(f"({q(t)}, {i})" for i, t in enumerate(P.SPECIAL_TOKENS))
-    room = vocab_size - n_sp - 2 * limit_alphabet
     return f"""word_counts_all AS (
   SELECT word, count(*) AS count FROM (SELECT unnest({pretokenize_sql(text_col, lower, strip, False)}) AS word FROM {corpus}) GROUP BY word),
 alpha AS (
@@ -169,7 +173,7 @@ vocab_base AS (
 vocab_words AS (
   SELECT word, row_number() OVER (ORDER BY count DESC, word) AS rank FROM (
     SELECT word, count FROM word_counts_all WHERE count >= {min_frequency} AND length(word) > 1
-      AND word NOT IN (SELECT token FROM vocab_base) ORDER BY count DESC, word LIMIT {max(room, 0)})),
+      AND word NOT IN (SELECT token FROM vocab_base) ORDER BY count DESC, word LIMIT {vocab_size})),
 vocab AS (
   SELECT token, CAST(id AS INTEGER) AS id FROM (
     SELECT token, id FROM vocab_base
@@ -223,10 +227,6 @@ def repair_sql(tokens: str) -> str:
     return f"(CASE WHEN len({tokens}) = 0 THEN {tokens} ELSE string_split(substr({j}, 2, length({j}) - 2), chr(2) || chr(1)) END)"
 
 
-def ids_sql(tokens: str) -> str:
-    """Vocabulary ids of a token list, unknown -> [UNK]."""
-    return f"list_transform({tokens}, lambda t: coalesce((SELECT id FROM vocab WHERE token = t), 1))"
-
 
 # ---- sentences and encoding --------------------------------------------------
 def merge_plan_sql(lengths: str, min_length: int) -> str:

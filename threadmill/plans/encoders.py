@@ -15,8 +15,10 @@ from threadmill.session import materialize
 SEP_ID = P.SPECIAL_TOKENS.index("[SEP]")
 
 
-def _finish(df: DataFrame, keys, tokens: str, vocab: DataFrame, segments) -> DataFrame:
-    d = D.tokens_to_ids(df, keys, tokens, vocab, "ids")
+CLS_ID = P.SPECIAL_TOKENS.index("[CLS]")
+
+
+def _finish(d: DataFrame, segments) -> DataFrame:
     d = d.withColumn("input_mask", X.input_mask("ids")).withColumn("segment_ids", segments).withColumn("x", X.pad("ids"))
     return X.check_lengths(d)
 
@@ -25,32 +27,46 @@ def encode_claims(df: DataFrame, vocab: DataFrame, mode: str = "twitter", mappin
                   key_cols=("id",)) -> DataFrame:
     """Claim samples: (id, x, y[, topic]) -> (id, tokens, x, input_mask, segment_ids, y).
     ``mode='twitter'`` repairs mask tokens; ``mode='topic'`` encodes the pair
-    [CLS] topic [SEP] x [SEP]. The label mapping is fitted on ``df`` unless given."""
+    [CLS] topic [SEP] x [SEP]. Rows without a text are dropped. The label
+    mapping is the one of the training split; it is fitted on ``df`` only if
+    none is given, and a label that it does not know raises.
+
+    Word pieces carry their ids through repair, truncation and assembly, so
+    there is no second lookup."""
+    df = df.where(F.col("x").isNotNull())
     mapping = mapping if mapping is not None else L.ordinal_fit(df, "y")
     d = L.ordinal_transform(df, mapping, "y", "y")
     keys = list(key_cols)
-    t = D.tokenize(d, keys, "x", vocab, out="xt", repair=(mode == "twitter"))
+    t = D.tokenize(d, keys, "x", vocab, out="xt", ids="xi", repair=(mode == "twitter"))
     if mode == "topic":
-        t = D.tokenize(t, keys, "topic", vocab, out="tt")
-        tt, xt = X.truncate_topic_pair("tt", "xt")
-        t = t.withColumn("tokens", X.assemble_pair(tt, xt)).withColumn("_f", F.size(tt) + 2).withColumn("_s", F.size(xt) + 1)
+        t = D.tokenize(t, keys, "topic", vocab, out="tt", ids="ti")
+        (tt, xt), (ti, xi) = X.truncate_topic_pair("tt", "xt"), X.truncate_topic_pair("ti", "xi")
+        t = t.withColumn("tokens", X.assemble_pair(tt, xt)).withColumn("ids", X.assemble_pair(ti, xi, CLS_ID, SEP_ID))
+        t = t.withColumn("_f", F.size(tt) + 2).withColumn("_s", F.size(xt) + 1)
         seg = X.segment_ids(F.col("_f"), F.col("_s"))
     else:
-        t = t.withColumn("tokens", X.assemble_single(X.truncate_single("xt")))
+        t = t.withColumn("tokens", X.assemble_single(X.truncate_single("xt"))).withColumn("ids", X.assemble_single(X.truncate_single("xi"), CLS_ID, SEP_ID))
         seg = X.segment_ids(None)
-    out = _finish(t, keys, "tokens", vocab, seg)
+    out = _finish(t, seg)
     return out.select(*keys, "tokens", "x", "input_mask", "segment_ids", "y")
 
 
 def sentence_docs(df: DataFrame, key_cols, text: str, vocab: DataFrame, delims=(".",), min_length: int = 10,
                   repair: bool = True) -> DataFrame:
-    """(keys, delim, sentences) - split, tokenised, short ones merged."""
+    """(keys, delim, sentences) - split, tokenised, short ones merged.
+    A sentence is an array of struct<piece,pid>."""
     keys = list(key_cols)
     pieces = S.split_sentences(df, keys, text, delims)
-    tok = D.tokenize(pieces, keys + ["delim", "sidx"], "piece", vocab, out="tokens", repair=repair)
+    tok = D.tokenize(pieces, keys + ["delim", "sidx"], "piece", vocab, out="t", ids="i", repair=repair)
+    # each token with its id: sentences are merged, drawn and cut with their ids, and nothing is looked up again
+    tok = tok.withColumn("tokens", F.arrays_zip(F.col("t").alias("piece"), F.col("i").alias("pid")))
     return S.documents_of_sentences(tok, keys, "tokens", min_length)
 
 
+def _has_ids(df: DataFrame, col: str) -> bool:
+    return "struct" in df.schema[col].dataType.simpleString()
+
+
 def encode_pairs(docs: DataFrame, key_cols, vocab: DataFrame, seed=42) -> DataFrame:
     """Next-sentence samples: pairs -> truncated -> [CLS] A [SEP] B [SEP] -> ids."""
     keys = list(key_cols) + ["delim"]
@@ -58,8 +74,13 @@ def encode_pairs(docs: DataFrame, key_cols, vocab: DataFrame, seed=42) -> DataFr
     # once to the checkpoint folder instead of recomputing the negative draws
     p = materialize(S.pair_dataset(docs, key_cols, seed))
     a, b = X.truncate_pair("A", "B")
-    p = p.withColumn("tokens", X.assemble_pair(a, b)).withColumn("_f", F.size(a) + 2).withColumn("_s", F.size(b) + 1)
-    out = _finish(p, keys + ["pno", "y"], "tokens", vocab, X.segment_ids(F.col("_f"), F.col("_s")))
+    p = p.withColumn("_f", F.size(a) + 2).withColumn("_s", F.size(b) + 1)
+    if _has_ids(p, "A"):
+        p = p.withColumn("_a", a).withColumn("_b", b)
+        p = p.withColumn("tokens", X.assemble_pair("_a.piece", "_b.piece")).withColumn("ids", X.assemble_pair("_a.pid", "_b.pid", CLS_ID, SEP_ID))
+    else:
+        p = D.tokens_to_ids(p.withColumn("tokens", X.assemble_pair(a, b)), keys + ["pno", "y"], "tokens", vocab, "ids")
+    out = _finish(p, X.segment_ids(F.col("_f"), F.col("_s")))
     return out.select(*keys, "pno", "rank", "tokens", "x", "input_mask", "segment_ids", "y")
 
 
@@ -67,8 +88,11 @@ def masked_corpus(docs: DataFrame, key_cols, vocab: DataFrame) -> DataFrame:
     """Masked-token corpus before masking: one row per sentence with ids
     truncated to 64 ([SEP] kept last), ``length``, mask and segments."""
     keys = list(key_cols) + ["delim"]
-    s = S.flatten_sentences(docs, key_cols).withColumn("tokens", X.assemble_single("sentence"))
-    d = D.tokens_to_ids(s, keys + ["sno"], "tokens", vocab, "ids")
+    s = S.flatten_sentences(docs, key_cols)
+    if _has_ids(s, "sentence"):
+        d = s.withColumn("tokens", X.assemble_single("sentence.piece")).withColumn("ids", X.assemble_single("sentence.pid", CLS_ID, SEP_ID))
+    else:
+        d = D.tokens_to_ids(s.withColumn("tokens", X.assemble_single("sentence")), keys + ["sno"], "tokens", vocab, "ids")
     d = d.withColumn("ids", X.truncate_ids("ids", SEP_ID)).withColumn("length", F.size("ids"))
     d = d.withColumn("input_mask", X.input_mask("ids")).withColumn("segment_ids", X.segment_ids(None)).withColumn("x", X.pad("ids"))
     return X.check_lengths(d)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from threadmill import oracle as O
 from threadmill.operators import clean as C
 from threadmill.plans.catalog import register
+from threadmill.session import scratch_path
+from threadmill.sources import io as IO
 from threadmill.sources import views as V
 
 TS_FMT_SPARK = "yyyy-MM-dd HH:mm:ss"
@@ -33,7 +35,9 @@ POST_OUT_SQL = "id, author_id, conversation_id, " + ts_sql() + ", lang, text"
 
 @register("scan_posts", f"WITH {O.POSTS} SELECT {POST_OUT_SQL}, country, lon, lat, retweet_count, reply_count, like_count, quote_count FROM posts")
 def scan_posts(spark, sf):
-    return V.posts(spark, sf).select(
+    path = scratch_path(spark, "saved-posts")
+    V.posts(spark, sf).write.parquet(path)
+    return IO.scan_posts(spark, path).select(
         "id", "author_id", "conversation_id", ts_str(), "lang", "text", "country", "lon", "lat",
         "retweet_count", "reply_count", "like_count", "quote_count")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadmill import oracle as O
 from threadmill.functions import tokens as T
+from threadmill.operators import clean as C
 from threadmill.operators import encode as X
 from threadmill.operators import labels as L
 from threadmill.operators import sentences as S
@@ -64,13 +65,13 @@ def topic_encoded(spark, sf):
             .withColumn("input_mask", X.input_mask("ids")).withColumn("x", X.pad("ids")))
 
 
-def topic_masked(spark, sf):
-    return EN.masked_corpus(topic_docs(spark, sf), ["id"], topic_vocab(spark, sf))
+def topic_masked(spark, sf, vocab=None):
+    return EN.masked_corpus(topic_docs(spark, sf), ["id"], vocab if vocab is not None else topic_vocab(spark, sf))
 
 
 # ---- oracle pieces -------------------------------------------------------------
 PT = lambda c: O.pretokenize_sql(c, True, True, True)
-H = lambda cols, seed: O.h32(", ".join(f"CAST({c} AS VARCHAR)" for c in cols), seed)
+H = lambda cols, seed: O.h60(", ".join(f"CAST({c} AS VARCHAR)" for c in cols), seed)
 
 PAIRS_CTES = f"""pos AS (SELECT id, delim, CAST(i AS INTEGER) AS pno, sentences[i] AS A, sentences[i + 1] AS B, 1 AS y
         FROM (SELECT id, delim, sentences, unnest(range(1, len(sentences))) AS i FROM docs WHERE len(sentences) > 1)),
@@ -140,9 +141,9 @@ def positions_sql(seed):
 def corrupt_sql(seed, vsize: str):
     def h(tag):
         key = "concat_ws(':', CAST(id AS VARCHAR), CAST(delim AS VARCHAR), CAST(sno AS VARCHAR), CAST(i - 1 AS VARCHAR), " + O.q(f"{tag}:{seed}") + ")"
-        return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+        return f"('0x' || substr(md5({key}), 1, 15))::BIGINT"
     return (f"list_transform(x, lambda v, i: CASE WHEN NOT list_contains(positions, i - 1) THEN v "
-            f"WHEN {h('u')} / 4294967296.0 < 0.8 THEN 4 WHEN {h('u')} / 4294967296.0 < 0.9 THEN CAST({h('r')} % {vsize} AS INTEGER) ELSE v END)")
+            f"WHEN {h('u')} / 1152921504606846976.0 < 0.8 THEN 4 WHEN {h('u')} / 1152921504606846976.0 < 0.9 THEN CAST({h('r')} % {vsize} AS INTEGER) ELSE v END)")
 
 
 def masked_sql(epoch: int, base: str | None = None) -> str:
@@ -266,7 +267,7 @@ def q_trunc_ids(spark, sf):
 def _masked(spark, sf, epoch):
     v = topic_vocab(spark, sf)
     n = v.count()
-    m = EN.encode_masked(topic_masked(spark, sf), ["id"], n, SEED, epoch)
+    m = EN.encode_masked(topic_masked(spark, sf, v), ["id"], n, SEED, epoch)
     return m.select("id", "delim", "sno", "length", js("positions"),
                     F.array_join(F.array_sort("targets").cast("array<string>"), " ").alias("targets"), js("masked_x"))
 
@@ -291,21 +292,33 @@ def q_steps(spark, sf):
     return X.train_steps(L.split_filter(split_table(spark, sf), "train"))
 
 
-def _posts_docs_sql() -> str:
-    from threadmill.plans.q_vocab import VOCAB_CTE
-
+def _piece_docs_sql(base: str, src: str, text: str, delims, repair: bool) -> str:
+    """Sentences in word pieces from the table ``src`` of the CTEs ``base``."""
     keys = ["id", "delim", "sidx"]
-    return f"""{VOCAB_CTE},
-pp0 AS (SELECT id, '.' AS delim, list_filter(string_split(text, '.'), lambda p: length(p) > 0) AS ps FROM cleaned WHERE text IS NOT NULL),
+    dl = ", ".join(f"({O.q(d)})" for d in delims)
+    tokens = O.repair_sql("tokens") if repair else "tokens"
+    return f"""{base}, pdl(delim) AS (VALUES {dl}),
+pp0 AS (SELECT id, delim, list_filter(string_split({text}, delim), lambda p: length(p) > 0) AS ps FROM {src}, pdl WHERE {text} IS NOT NULL),
 ppieces AS (SELECT id, delim, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS sidx, unnest(ps) AS piece FROM pp0),
 {O.tokenize_ctes('ptok', 'ppieces', keys, 'piece')}, {O.wordpiece_ctes('ptok_words')},
 {O.tokenize_join_cte('ptok', 'ppieces', keys)},
-praw AS (SELECT id, delim, list({O.repair_sql('tokens')} ORDER BY sidx) AS raw FROM ptok GROUP BY id, delim),
+praw AS (SELECT id, delim, list({tokens} ORDER BY sidx) AS raw FROM ptok GROUP BY id, delim),
 docs AS (SELECT id, delim, {O.merged_sentences_sql('raw', MIN_LEN)} AS sentences FROM praw)"""
 
 
-def _encode_pairs_sql() -> str:
-    return f"""WITH {_posts_docs_sql()}, {PAIRS_CTES},
+def _posts_docs_sql() -> str:
+    from threadmill.plans.q_vocab import VOCAB_CTE
+
+    return _piece_docs_sql(VOCAB_CTE, "cleaned", "text", ["."], True)
+
+
+def _topics_docs_sql() -> str:
+    stripped = f"stripped AS (SELECT id, regexp_replace(x, {O.url_re()}, '', 'g') AS text FROM topics)"
+    return _piece_docs_sql(f"{O.TOPICS}, {TV}, {stripped}", "stripped", "text", DELIMS, False)
+
+
+def _encode_pairs_sql(docs: str) -> str:
+    return f"""WITH {docs}, {PAIRS_CTES},
 ptr AS (SELECT id, delim, pno, y, rank, {TA} AS a2, {TB} AS b2 FROM pairs),
 pasm AS (SELECT id, delim, pno, y, rank, list_concat(['[CLS]'], a2, ['[SEP]'], b2, ['[SEP]']) AS tokens, len(a2) + 2 AS f, len(b2) + 1 AS s FROM ptr),
 {ids_ctes('pasm', ['id', 'delim', 'pno', 'y'], 'tokens', 'penc0')},
@@ -316,8 +329,8 @@ SELECT id, delim, pno, rank, array_to_string(tokens, ' ') AS tokens, array_to_st
        array_to_string(segment_ids, ' ') AS segment_ids, y FROM penc"""
 
 
-def _encode_masked_sql() -> str:
-    sql = masked_sql(0, f"{_posts_docs_sql()}, {MASK_TAIL}")
+def _encode_masked_sql(docs: str) -> str:
+    sql = masked_sql(0, f"{docs}, {MASK_TAIL}")
     head, _ = sql.split("\nSELECT id, delim, sno, length")
     return head + """
 SELECT id, delim, sno, length, array_to_string(x, ' ') AS x, array_to_string(positions, ' ') AS positions,
@@ -329,8 +342,8 @@ def _encode_claims_sql() -> str:
 
     keys = ["source", "id"]
     return f"""WITH {VOCAB_CTE}, {O.label_chain_ctes(SEED, with_posts=False)},
-lab AS (SELECT source, id, x, y FROM split_rows),
-ymap AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT y AS category FROM lab WHERE y IS NOT NULL)),
+lab AS (SELECT source, id, x, y, split FROM split_rows WHERE x IS NOT NULL),
+ymap AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT y AS category FROM lab WHERE y IS NOT NULL AND split = 'train')),
 lab2 AS (SELECT l.source, l.id, l.x, m.idx AS y FROM lab l JOIN ymap m ON m.category = l.y),
 {O.tokenize_ctes('ctok', 'lab2', keys, 'x')}, {O.wordpiece_ctes('ctok_words')},
 {O.tokenize_join_cte('ctok', 'lab2', keys)},
@@ -346,8 +359,9 @@ SELECT source, id, array_to_string(tokens, ' ') AS tokens, array_to_string(xx, '
 def q_encode_claims(spark, sf):
     c = cleaned(spark, sf)
     vocab = posts_vocab(spark, sf, c)
-    lab = materialize(split_table(spark, sf).select("source", "id", "x", "y"))
-    e = EN.encode_claims(lab, vocab, key_cols=["source", "id"])
+    lab = materialize(split_table(spark, sf).select("source", "id", "x", "y", "split"))
+    mapping = L.ordinal_fit(L.split_filter(lab, "train"), "y")
+    e = EN.encode_claims(lab.drop("split"), vocab, mapping=mapping, key_cols=["source", "id"])
     return e.select("source", "id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
@@ -378,25 +392,51 @@ def q_encode_topic(spark, sf):
     return e.select("id", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
-@register("encode_pairs", _encode_pairs_sql())
-def q_encode_pairs(spark, sf):
+def posts_pieces(spark, sf):
+    """Sentences of the cleaned posts in word pieces, and the vocabulary."""
     c = cleaned(spark, sf)
     vocab = posts_vocab(spark, sf, c)
-    docs = materialize(EN.sentence_docs(c, ["id"], "text", vocab))
+    return materialize(EN.sentence_docs(c, ["id"], "text", vocab)), vocab
+
+
+def topic_pieces(spark, sf):
+    """The topic form: links removed, then a segmentation for each delimiter."""
+    vocab = topic_vocab(spark, sf)
+    t = V.topics(spark, sf).withColumn("x", C.strip_urls("x"))
+    return materialize(EN.sentence_docs(t, ["id"], "x", vocab, DELIMS, repair=False)), vocab
+
+
+def _pairs_out(docs, vocab):
     e = EN.encode_pairs(docs, ["id"], vocab, SEED)
     return e.select("id", "delim", "pno", "rank", js("tokens"), js("x"), js("input_mask"), js("segment_ids"), "y")
 
 
-@register("encode_masked", _encode_masked_sql())
-def q_encode_masked(spark, sf):
-    c = cleaned(spark, sf)
-    vocab = posts_vocab(spark, sf, c)
-    docs = materialize(EN.sentence_docs(c, ["id"], "text", vocab))
+def _masked_out(docs, vocab):
     m = EN.encode_masked(EN.masked_corpus(docs, ["id"], vocab), ["id"], vocab.count(), SEED, 0)
     return m.select("id", "delim", "sno", "length", js("x"), js("positions"),
                     F.array_join(F.array_sort("targets").cast("array<string>"), " ").alias("targets"), js("masked_x"))
 
 
+@register("encode_pairs", _encode_pairs_sql(_posts_docs_sql()))
+def q_encode_pairs(spark, sf):
+    return _pairs_out(*posts_pieces(spark, sf))
+
+
+@register("encode_pairs_topic", _encode_pairs_sql(_topics_docs_sql()))
+def q_encode_pairs_topic(spark, sf):
+    return _pairs_out(*topic_pieces(spark, sf))
+
+
+@register("encode_masked", _encode_masked_sql(_posts_docs_sql()))
+def q_encode_masked(spark, sf):
+    return _masked_out(*posts_pieces(spark, sf))
+
+
+@register("encode_masked_topic", _encode_masked_sql(_topics_docs_sql()))
+def q_encode_masked_topic(spark, sf):
+    return _masked_out(*topic_pieces(spark, sf))
+
+
 def _masked_sub(cols):
     sql = masked_sql(0)
     head, _ = sql.split("\nSELECT id, delim, sno, length")

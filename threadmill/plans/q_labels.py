@@ -16,27 +16,27 @@ from threadmill.sources import views as V
 SEED = 42
 
 
-def labelled_union(spark, sf):
+def labelled_union(spark, sf, own=None):
     """E6 input: own sheet + external labels hydrated from the post store."""
-    own = V.label_sheet(spark, sf).withColumn("source", F.lit("own"))
+    own = (own if own is not None else V.label_sheet(spark, sf)).withColumn("source", F.lit("own"))
     ext = S.hydrate_labels(V.external_labels(spark, sf), V.posts(spark, sf))
     ext = ext.select("id", "text", "claim", "toxic", F.lit("external").alias("source"))
     return L.union_labels(own, ext)
 
 
-def mapped_labels(spark, sf):
+def mapped_labels(spark, sf, own=None):
     """Labelled rows with mapped labels, materialised: balancing reads them
     three times (ranks, bucket counts, class sizes)."""
-    d = L.drop_unlabelled(labelled_union(spark, sf))
+    d = L.drop_unlabelled(labelled_union(spark, sf, own))
     return materialize(d.withColumn("claim", L.map_labels("claim")))
 
 
-def balanced(spark, sf):
-    return materialize(L.balance_classes(mapped_labels(spark, sf), "claim", ("source", "id"), seed=SEED))
+def balanced(spark, sf, own=None):
+    return materialize(L.balance_classes(mapped_labels(spark, sf, own), "claim", ("source", "id"), seed=SEED))
 
 
-def split_table(spark, sf):
-    b = L.rename_xy(balanced(spark, sf), "claim", "text")
+def split_table(spark, sf, own=None):
+    b = L.rename_xy(balanced(spark, sf, own), "claim", "text")
     return L.ordered_split(b, ("source", "id"), seed=SEED)
 
 
@@ -131,9 +131,15 @@ def q_tag_union(spark, sf):
     return split_table(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("n_claims"))
 
 
-@register("label_pipeline", f"WITH {O.label_chain_ctes(SEED)} SELECT id, source, x, y, split, rank FROM split_rows")
+@register("label_pipeline", f"""WITH {SHEET_EXPORT_CTE}, {O.LABEL_SHEET},
+own_sheet AS (SELECT s.id, s.text, l.claim FROM sheet s JOIN label_sheet l ON l.id = s.id),
+{O.label_chain_ctes(SEED, with_posts=False, own='own_sheet')} SELECT id, source, x, y, split, rank FROM split_rows""")
 def q_label_pipeline(spark, sf):
-    return split_table(spark, sf).select("id", "source", "x", "y", "split", "rank")
+    """E20 end to end: the exported sheet (E1-E5), labelled by people, united
+    with the external labels, mapped, balanced and split (E6-E14)."""
+    sheet = sheet_export(spark, sf).select("id", "text")
+    own = sheet.join(V.label_sheet(spark, sf).select("id", "claim"), "id")
+    return split_table(spark, sf, own).select("id", "source", "x", "y", "split", "rank")
 
 
 @register("split_filter", f"WITH {O.TOPICS} SELECT * FROM topics WHERE split = 'train'")

@@ -14,7 +14,7 @@ from threadmill.operators import model as M
 from threadmill.operators import sentences as S
 from threadmill.plans.catalog import register
 from threadmill.session import materialize
-from threadmill.plans.q_encode import SEED, SQL_DOCS, PT, masked_sql, topic_docs, topic_masked, topic_vocab
+from threadmill.plans.q_encode import SEED, SQL_DOCS, PT, masked_sql, topic_docs, topic_vocab
 from threadmill.sources import views as V
 
 R = 4  # decimals of log-scores compared against the oracle
@@ -154,7 +154,8 @@ def q_sample(spark, sf):
 
 # ---- pair classifier (G5) ----------------------------------------------------------
 def pair_rows(spark, sf):
-    p = S.pair_dataset(topic_docs(spark, sf), ["id"], SEED)
+    # training, its vocabulary size, the class table and scoring all read the pairs
+    p = materialize(S.pair_dataset(topic_docs(spark, sf), ["id"], SEED))
     p = p.withColumn("feats", M.pair_features("A", "B"))
     return p.withColumn("pid", F.concat_ws(":", F.col("id").cast("string"), "delim", F.col("pno").cast("string"), F.col("y").cast("string")))
 
@@ -171,6 +172,7 @@ def q_pair_clf(spark, sf):
     train = p.where(F.col("id") % 10 < 8)
     test = p.where(F.col("id") % 10 >= 8).select(F.col("pid").alias("id"), "y", "feats")
     model = M.train_classifier(train, "feats", "y")
+    model = M.NaiveBayes(materialize(model.token_counts), materialize(model.classes))
     s = M.score_classifier(model, test, ["id"], "feats")
     return s.select("id", "y", M.argmax_class(M.softmax_scores("scores")).alias("prediction"))
 
@@ -180,42 +182,66 @@ MASK_SQL = masked_sql(0)[len("WITH "):].split("\nSELECT id, delim, sno, length")
 G6_SQL = f"""{MASK_SQL},
 idf AS (SELECT id AS tid, count(*) AS n FROM (SELECT unnest(list_slice(x, 1, length)) AS id FROM m2) WHERE id NOT IN (0, 1, 2, 3, 4) GROUP BY id),
 lp AS (SELECT tid AS id, ln(n) - ln((SELECT sum(n) FROM idf)) AS logp FROM idf),
-top AS (SELECT id, logp, row_number() OVER (ORDER BY logp DESC, id) AS rank FROM lp ORDER BY logp DESC, id LIMIT 16),
-topl AS (SELECT list(id ORDER BY rank) AS predicted FROM top),
-ov AS (SELECT m4.id, m4.delim, m4.sno, CASE WHEN len(targets) > 0 THEN len(list_intersect(targets, list_slice(predicted, 1, len(targets)))) / len(targets) END AS overlap,
-       row_number() OVER (ORDER BY {O.md5_key(['m4.id', 'm4.delim', 'm4.sno'], f'eval:{SEED}')}, m4.id, m4.delim, m4.sno) AS rank FROM m4, topl)"""
-
-
-def masked_eval(spark, sf):
-    """Masked samples of epoch 0 with the baseline's top ids attached (the
-    top list is bounded by ``k_max`` ids, so it travels as a literal) and a
-    random evaluation order."""
-    from threadmill.plans.encoders import encode_masked
-
-    corpus = topic_masked(spark, sf)
-    m = encode_masked(corpus, ["id"], topic_vocab(spark, sf).count(), SEED, 0)
-    top_ids = [r["id"] for r in M.masked_predictor(corpus).orderBy("rank").collect()]
-    m = m.withColumn("predicted", F.array(*[F.lit(i) for i in top_ids]).cast("array<int>"))
+near2 AS (SELECT unnest(list_filter(flatten(list_transform(range(1, length + 1), lambda i: list_transform(range(1, 3), lambda d:
+            CASE WHEN i + d <= length THEN {{'v': x[i], 't': x[i + d]}} END))), lambda p: p IS NOT NULL)) AS p FROM m2),
+co1 AS (SELECT p.v AS v, p.t AS t, count(*) AS n FROM near2 WHERE p.v > 4 AND p.t > 4 GROUP BY p.v, p.t),
+co AS (SELECT v, t, sum(n) AS n FROM (SELECT v, t, n FROM co1 UNION ALL SELECT t AS v, v AS t, n FROM co1) GROUP BY v, t
+       QUALIFY row_number() OVER (PARTITION BY v ORDER BY sum(n) DESC, t) <= 64),
+ctx AS (SELECT id, delim, sno, unnest(list_filter(flatten(list_transform(positions, lambda p: list_transform([-2, -1, 1, 2], lambda d:
+          CASE WHEN p + d >= 0 AND p + d < length AND NOT list_contains(positions, p + d) THEN x[p + d + 1] END))), lambda z: z > 4)) AS v FROM m4),
+votes AS (SELECT c.id, c.delim, c.sno, co.t AS tid, sum(co.n) AS votes FROM ctx c JOIN co ON co.v = c.v GROUP BY c.id, c.delim, c.sno, co.t),
+fill AS (SELECT m4.id, m4.delim, m4.sno, f.id AS tid, 0 AS votes FROM m4, (SELECT id FROM lp ORDER BY logp DESC, id LIMIT (SELECT max(len(targets)) FROM m4)) f),
+cand AS (SELECT id, delim, sno, tid, max(votes) AS votes FROM (SELECT * FROM votes UNION ALL SELECT * FROM fill) GROUP BY id, delim, sno, tid),
+best AS (SELECT c.id, c.delim, c.sno, list(c.tid ORDER BY c.votes DESC, lp.logp DESC NULLS LAST, c.tid) AS ids FROM cand c LEFT JOIN lp ON lp.id = c.tid GROUP BY c.id, c.delim, c.sno),
+pr AS (SELECT m4.*, list_slice(coalesce(best.ids, []), 1, len(targets)) AS predicted FROM m4 LEFT JOIN best ON best.id = m4.id AND best.delim = m4.delim AND best.sno = m4.sno),
+ov AS (SELECT id, delim, sno, predicted, CASE WHEN len(targets) > 0 THEN len(list_intersect(targets, predicted)) / len(targets) END AS overlap,
+       row_number() OVER (ORDER BY {O.md5_key(['id', 'delim', 'sno'], f'eval:{SEED}')}, id, delim, sno) AS rank FROM pr)"""
+
+
+def masked_eval(spark, sf, head: int | None = None):
+    """Masked samples of epoch 0 with their predicted ids and a random
+    evaluation order; also the corpus and the vocabulary's size, each built
+    once. ``head``: only the samples of the first topics in input order (H7)."""
+    from threadmill.plans.encoders import encode_masked, masked_corpus
+
+    vocab = topic_vocab(spark, sf)
+    corpus = materialize(masked_corpus(topic_docs(spark, sf), ["id"], vocab))
+    n = vocab.count()
+    keys = ["id", "delim", "sno"]
+    part = corpus
+    if head is not None:
+        part = corpus.join(EV.head_rows(V.topics(spark, sf), ["id"], head).select("id"), "id", "left_semi")
+    m = encode_masked(part, ["id"], n, SEED, 0)
+    m = M.masked_predictor(m, M.associations(corpus), materialize(M.id_log_probs(corpus)), keys)
     m = EV.masked_topk_overlap(m, "targets", "predicted")
-    m = m.withColumn("_o", HS.shuffle_key("id", "delim", "sno", seed=f"eval:{SEED}"))
-    return hash_rank(m, "_o", rank_col="rank", tie_cols=["id", "delim", "sno"]).drop("_o"), corpus
+    m = m.withColumn("_o", HS.shuffle_key(*keys, seed=f"eval:{SEED}"))
+    return hash_rank(m, "_o", rank_col="rank", tie_cols=keys).drop("_o"), corpus, n
 
 
-@register("masked_predictor", f"WITH {G6_SQL} SELECT CAST(rank AS INTEGER) AS rank, id, round(logp, 6) AS logp FROM top")
+@register("masked_predictor", f"WITH {G6_SQL} SELECT id, delim, sno, array_to_string(predicted, ' ') AS predicted FROM ov")
 def q_masked_pred(spark, sf):
-    top = M.masked_predictor(topic_masked(spark, sf))
-    return top.select("rank", "id", F.round("logp", 6).alias("logp"))
+    m, _, _ = masked_eval(spark, sf)
+    return m.select("id", "delim", "sno", F.array_join(F.col("predicted").cast("array<string>"), " ").alias("predicted"))
 
 
 @register("masked_topk_overlap", f"WITH {G6_SQL} SELECT id, delim, sno, round(overlap, 6) AS overlap FROM ov")
 def q_topk_overlap(spark, sf):
-    m, _ = masked_eval(spark, sf)
+    m, _, _ = masked_eval(spark, sf)
     return m.select("id", "delim", "sno", F.round("overlap", 6).alias("overlap"))
 
 
 @register("masked_accuracy", f"WITH {G6_SQL} SELECT round(avg(a), 6) AS accuracy FROM (SELECT floor((rank - 1) / 16) AS b, avg(overlap) AS a FROM ov GROUP BY b)")
 def q_masked_acc(spark, sf):
-    m, _ = masked_eval(spark, sf)
+    m, _, _ = masked_eval(spark, sf)
+    return EV.masked_accuracy(m).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("masked_accuracy_head", f"""WITH {G6_SQL},
+hov AS (SELECT overlap, row_number() OVER (ORDER BY rank) AS rank FROM ov WHERE id IN (SELECT id FROM topics ORDER BY id LIMIT 256))
+SELECT round(avg(a), 6) AS accuracy FROM (SELECT floor((rank - 1) / 16) AS b, avg(overlap) AS a FROM hov GROUP BY b)""")
+def q_masked_acc_head(spark, sf):
+    """The masked evaluation on the first 256 rows, as one job."""
+    m, _, _ = masked_eval(spark, sf, head=256)
     return EV.masked_accuracy(m).select(F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -229,13 +255,12 @@ per AS (SELECT ((SELECT s FROM negall) + coalesce(corr.c, 0)) / (SELECT count(*)
         FROM m4 LEFT JOIN corr ON corr.sid = m4.id AND corr.delim = m4.delim AND corr.sno = m4.sno)
 SELECT round(avg(l), 6) AS bce FROM per""")
 def q_bce(spark, sf):
-    m, corpus = masked_eval(spark, sf)
+    m, corpus, v = masked_eval(spark, sf)
     lp = M.id_log_probs(corpus)
-    v = topic_vocab(spark, sf).count()
     return EV.bce_loss(m, lp, v, "targets", ["id", "delim", "sno"]).select(F.round("bce", 6).alias("bce"))
 
 
-@register("batch_predict")
+@register("batch_predict", f"WITH {SQL_NB} SELECT id, prediction FROM preds")
 def q_batch_predict(spark, sf):
     """A user's model through the Python door: here a tiny 'model' object
     that turns class scores into a label, loaded once per task."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadmill import oracle as O
+from threadmill.operators import labels as L
 from threadmill.operators import store as S
 from threadmill.plans.catalog import register
 from threadmill.plans.q_clean import ts_sql, ts_str
@@ -176,15 +177,18 @@ def q_hydrate(spark, sf):
     return S.hydrate_labels(V.external_labels(spark, sf), V.posts(spark, sf)).select("id", "claim", "toxic", "text", "lang")
 
 
-@register("project_fields", f"""WITH {BASE} SELECT id, author_id, conversation_id, {ts_sql()}, lang, text,
-CAST(NULL AS VARCHAR) AS attachments, CAST(NULL AS VARCHAR) AS geo FROM posts""")
+@register("project_fields", f"""WITH {BASE} SELECT id, author_id, conversation_id, {ts_sql()}, lang, text, CAST(NULL AS VARCHAR) AS attachments,
+'{{"lon":' || CAST(lon AS VARCHAR) || ',"lat":' || CAST(lat AS VARCHAR) || '}}' AS geo,
+CAST(retweet_count + reply_count + like_count + quote_count AS BIGINT) AS acknowledgments FROM posts""")
 def q_project_fields(spark, sf):
-    p = V.posts(spark, sf).withColumn("created_at", ts_str())
-    return S.project_fields(p, ["id", "author_id", "conversation_id", "created_at", "lang", "text", "attachments", "geo"])
+    """Rows as the API gives them (JSON), read with the preset of public fields."""
+    p = L.public_metrics(V.posts(spark, sf)).withColumns({"created_at": ts_str(), "geo": F.struct("lon", "lat")})
+    rows = p.select(F.to_json(F.struct("id", "author_id", "conversation_id", "created_at", "lang", "text", "geo", "public_metrics")).alias("json"))
+    out = S.project_fields(rows, S.TWEET_FIELDS_ALL_PUBLIC, "json")
+    return out.select("id", "author_id", "conversation_id", "created_at", "lang", "text", "attachments", "geo", L.acknowledgments().alias("acknowledgments"))
 
 
 @register("search_sentiment", f"""WITH {BASE} SELECT id, {ts_sql()}, text FROM posts WHERE {search_sql(**SEARCH)}
 ORDER BY created_at DESC, id DESC LIMIT 100""")
 def q_search_sentiment(spark, sf):
-    """The sentiment flag is accepted and ignored, as in the reference."""
-    return S.keyword_search(V.posts(spark, sf), n=100, **SEARCH).select("id", ts_str(), "text")
+    return S.search_sentiment(V.posts(spark, sf), "positive", n=100, **SEARCH).select("id", ts_str(), "text")

@@ -5,22 +5,22 @@ them with ``availableNow`` and returns what the sink holds."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from threadmill import oracle as O
 from threadmill.plans.catalog import register
-from threadmill.plans.q_clean import post_out, POST_OUT_SQL
+from threadmill.plans.q_clean import POST_OUT_SQL, TS_FMT_DUCK, post_out, ts_str
 from threadmill.session import scratch_path
 from threadmill.sources import views as V
 from threadmill.streaming import collector as P
 
-N_FILES = 4
-
-
-def post_files(spark, sf, copies: int = 1):
-    """The posts view as ``N_FILES`` parquet files (twice over for copies=2)."""
+def post_files(spark, sf, *more):
+    """The posts view written as parquet files (as many as it has tasks), then
+    each of the ``more`` functions of it as further files."""
     src = scratch_path(spark, "post-files")
     p = V.posts(spark, sf)
-    for c in range(copies):
-        p.repartition(N_FILES, "id").write.mode("append").parquet(src)
+    for f in (lambda x: x, *more):
+        f(p).write.mode("append").parquet(src)
     return src, spark.read.parquet(src).schema
 
 
@@ -32,12 +32,20 @@ def q_ingest(spark, sf):
     return post_out(spark.read.parquet(out))
 
 
-@register("stream_upsert", f"WITH {O.POSTS} SELECT id, like_count FROM posts")
+def _later(p):
+    """A second, newer copy of every other post with other counters."""
+    return p.where("id % 2 = 0").withColumns({
+        "created_at": F.col("created_at") + F.expr("INTERVAL '1' DAY"), "like_count": F.col("like_count") + 100})
+
+
+@register("stream_upsert", f"""WITH {O.POSTS} SELECT id, CASE WHEN id % 2 = 0 THEN like_count + 100 ELSE like_count END AS like_count,
+strftime(CASE WHEN id % 2 = 0 THEN created_at + INTERVAL '1' DAY ELSE created_at END, '{TS_FMT_DUCK}') AS created_at FROM posts""")
 def q_upsert(spark, sf):
-    src, schema = post_files(spark, sf, copies=2)
+    src, schema = post_files(spark, sf, _later)
     store = scratch_path(spark, "store")
     P.stream_upsert(P.stream_ingest(spark, src, schema), store, scratch_path(spark, "store-ckpt"))
-    return P.read_store(spark, store).select("id", "like_count")
+    done = P.compact_store(spark, store, scratch_path(spark, "store-compacted"))
+    return done.select("id", "like_count", ts_str())
 
 
 @register("stream_clean", f"""WITH {O.POSTS}, m AS (SELECT id, lang, {O.mask_text_sql('text')} AS text FROM posts WHERE text <> '')
@@ -51,9 +59,9 @@ def q_stream_clean(spark, sf):
 
 @register("stream_dedup_id", f"WITH {O.POSTS} SELECT id, text FROM posts")
 def q_dedup(spark, sf):
-    src, schema = post_files(spark, sf, copies=2)
+    src, schema = post_files(spark, sf, lambda p: p)
     out = scratch_path(spark, "dedup-out")
-    P.run_available(P.stream_dedup_id(P.stream_ingest(spark, src, schema)), out, scratch_path(spark, "dedup-ckpt"))
+    P.run_available(P.stream_dedup_id(P.stream_ingest(spark, src, schema), "30 days"), out, scratch_path(spark, "dedup-ckpt"))
     return spark.read.parquet(out).select("id", "text")
 
 
@@ -72,6 +80,7 @@ WHERE lang = 'en' AND conversation_id NOT IN (SELECT conversation_id FROM comple
 def q_frontier(spark, sf):
     src, schema = post_files(spark, sf)
     out = scratch_path(spark, "frontier")
-    completed = V.completed_conversations(V.posts(spark, sf))
+    completed = scratch_path(spark, "completed")
+    V.completed_conversations(V.posts(spark, sf)).write.parquet(completed)
     P.stream_frontier(P.stream_ingest(spark, src, schema), completed, out, scratch_path(spark, "frontier-ckpt"))
     return spark.read.parquet(out).select("conversation_id").distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints of tables that nobody refers to any more are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # streaming state (running text counts, id de-duplication) lives in
@@ -44,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a private folder is created.
+    is. Only when it is unset in a local session (tests) a private folder is
+    created; a cluster without it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,7 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="threadmill-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)  # private to this process
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -81,3 +89,14 @@ def work_partitions(spark: SparkSession) -> int:
     except (TypeError, ValueError):
         n = 0
     return max(n, spark.sparkContext.defaultParallelism)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df, rows: int = BROADCAST_ROWS):
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, which is
+    checked; otherwise as it is, and Spark joins it by a shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

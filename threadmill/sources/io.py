@@ -26,21 +26,42 @@ def scan_delimited(spark: SparkSession, path: str, schema: str, id_col: str = "t
     return df.withColumn(id_col, F.col(id_col).cast("string"))
 
 
+def _escape(c):
+    """Line breaks, NUL and the backslash as backslash sequences, so that a record is one line."""
+    for sign, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0")):
+        c = F.replace(c, F.lit(sign), F.lit(code))
+    return c
+
+
+def _unescape(c):
+    """Back from ``_escape``: what lies between two double backslashes is decoded on its own."""
+    def plain(p):
+        for sign, code in (("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0")):
+            p = F.replace(p, F.lit(code), F.lit(sign))
+        return p
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), plain), "\\")
+
+
 def write_sheet(df: DataFrame, path: str, index_col: str = "id") -> None:
-    """Sheet for people: the row id first, every field quoted, one file."""
+    """Sheet for people: the row id first, every field quoted, line breaks
+    escaped. Every task writes its own file, and every record is one line, so
+    the files can be split again when they are read."""
     cols = [index_col] + [c for c in df.columns if c != index_col]
-    (df.select(*cols).coalesce(1).write.mode("overwrite").option("header", True)
+    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    (df.select(*[_escape(F.col(c)).alias(c) if c in strings else F.col(c) for c in cols])
+     .write.mode("overwrite").option("header", True)
      .option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def scan_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A3: a labelling sheet; the first column is the row id (not a new index)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.option("header", True).option("escape", '"')
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("inferSchema", False).csv(path))
-    first = df.columns[0]
-    return df.withColumnRenamed(first, "id").withColumn("id", F.col("id").cast("bigint"))
+    first, *rest = df.columns
+    return df.select(F.col(first).cast("bigint").alias("id"), *[_unescape(F.col(c)).alias(c) for c in rest])
 
 
 def sink_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -52,8 +73,9 @@ def sink_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def sink_label_sheet(sheet: DataFrame, path: str, order_col: str = "rank") -> None:
-    """A5: shuffled sheet of (id, text) for labelling."""
-    write_sheet(sheet.orderBy(order_col).select("id", "text"), path)
+    """A5: shuffled sheet of (id, text) for labelling. The order is kept as a
+    column, and a range sort deals it out over many files."""
+    write_sheet(sheet.select("id", "text", order_col).orderBy(order_col), path)
 
 
 def sink_corpus_text(df: DataFrame, path: str, text: str = "text") -> None:
@@ -88,7 +110,8 @@ def load_or_fit_encoder(spark: SparkSession, path: str, fit) -> DataFrame:
     """A10: reuse a stored label mapping; fit and store a new one if absent."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        mapping = fit()
-        mapping.write.mode("overwrite").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fit().write.parquet(path)
         return spark.read.parquet(path)

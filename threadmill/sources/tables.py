@@ -13,12 +13,3 @@ TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a scan that arrived in fewer splits than there are
-    cores (a small single-row-group file), so per-row text work runs in
-    parallel. A large input already has many splits and is left alone."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par, *keys)
-    return df

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.sources.tables import spread, table
+from threadmill.sources.tables import table
 
 POST_COLUMNS = [
     "id", "author_id", "conversation_id", "created_at", "lang", "country", "lon", "lat",
@@ -30,7 +30,7 @@ def posts_from_documents(docs: DataFrame) -> DataFrame:
     text = F.concat(
         F.when(n % 7 == 0, F.lit("RT ")).otherwise(F.lit("")),
         F.when(n % 3 == 0, F.concat(F.lit("@"), F.col("lang"), F.lit("_"), _mod_str(n, 11), F.lit(" "))).otherwise(F.lit("")),
-        F.substring("text", 1, 280),
+        F.col("text"),
         F.when(n % 2 == 0, F.concat(F.lit(" #topic"), _mod_str(n, 9))).otherwise(F.lit("")),
         F.when(
             n % 5 == 0,
@@ -57,7 +57,7 @@ def posts_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
+    return posts_from_documents(table(spark, sf_dir, "documents"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic-argument table (x, topic, y, split) keyed by document id."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("id"),

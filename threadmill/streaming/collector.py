@@ -15,9 +15,16 @@ from threadmill.operators import clean as C
 from threadmill.operators import store as S
 
 
-def stream_ingest(spark: SparkSession, src: str, schema, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """Posts arriving in pages (files), appended."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(src)
+def stream_ingest(spark: SparkSession, src: str, schema, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None,
+                  fmt: str = "parquet") -> DataFrame:
+    """Posts arriving in pages (files), appended. A micro-batch takes all
+    new files unless a number of files or of bytes ('1g') is asked for."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.load(src)
 
 
 def run_available(stream: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append") -> None:
@@ -49,6 +56,13 @@ def read_store(spark: SparkSession, store_path: str) -> DataFrame:
     return S.store_upsert(updates.limit(0), updates, "batch").drop("batch")
 
 
+def compact_store(spark: SparkSession, store_path: str, compacted_path: str) -> DataFrame:
+    """The store as one table without overwritten rows, in a new folder (the
+    stream may go on writing to the old one)."""
+    read_store(spark, store_path).write.parquet(compacted_path)
+    return spark.read.parquet(compacted_path)
+
+
 def stream_clean(stream: DataFrame, lang: str = "en") -> DataFrame:
     """The stateless cleaning steps (C2-C8, C11) on a stream. Repeated
     text removal is not append-safe and lives in ``stream_repeated_text``."""
@@ -58,17 +72,25 @@ def stream_clean(stream: DataFrame, lang: str = "en") -> DataFrame:
     return C.replace_emoji(d, "text")
 
 
-def stream_dedup_id(stream: DataFrame, delay: str = "3650 days", time_col: str = "created_at") -> DataFrame:
-    """Each post id once, state kept for ``delay`` of event time."""
+def stream_dedup_id(stream: DataFrame, delay: str, time_col: str = "created_at") -> DataFrame:
+    """Each post id once. The state holds the ids of the last ``delay`` of
+    event time, so the caller chooses how much it may grow."""
     # watermarks need a zoned timestamp; the posts carry timestamp_ntz
     s = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return s.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def text_digest(text="text"):
+    """128 bits that stand for a text; a null text has a digest of its own."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.md5(F.coalesce(F.concat(F.lit("+"), c), F.lit("-")))
+
+
 def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str) -> None:
-    """P5: running count per text (update mode); each batch writes the
-    changed counts under its batch id."""
-    counts = stream.groupBy(F.xxhash64("text").alias("h"), "text").agg(F.count(F.lit(1)).alias("n"))
+    """P5: running count per text digest (update mode); each batch writes the
+    changed counts under its batch id. The state holds a digest and a count
+    per distinct text, never the text."""
+    counts = stream.groupBy(text_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     q = (counts.writeStream.outputMode("update").foreachBatch(_batch_writer(counts_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -76,17 +98,20 @@ def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str) -
 
 def unique_text_posts(posts: DataFrame, counts: DataFrame) -> DataFrame:
     """Batch view of P5: posts whose text was seen exactly once so far (the
-    latest running count per text is its total)."""
-    latest = counts.groupBy("h", "text").agg(F.max("n").alias("n"))
-    once = latest.where(F.col("n") == 1).select("text")
-    return posts.join(once, posts["text"].eqNullSafe(once["text"]), "left_semi")
+    largest running count per digest is its total)."""
+    once = counts.groupBy("digest").agg(F.max("n").alias("n")).where(F.col("n") == 1).select("digest")
+    return posts.withColumn("digest", text_digest()).join(once, "digest", "left_semi").drop("digest")
+
 
+def stream_frontier(stream: DataFrame, completed_path: str, frontier_path: str, checkpoint: str, lang: str = "en") -> None:
+    """Conversations of English posts not yet expanded, per batch.
 
-def stream_frontier(stream: DataFrame, completed: DataFrame, frontier_path: str, checkpoint: str, lang: str = "en") -> None:
-    """Conversations of English posts not yet expanded, per batch."""
+    ``completed_path`` holds the table of completed conversations; it is read
+    anew for each micro-batch, so later completions count."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         convs = batch.where(F.col("lang") == lang).select("conversation_id").distinct()
+        completed = batch.sparkSession.read.parquet(completed_path)
         todo = convs.join(completed, "conversation_id", "left_anti")
         todo.write.mode("overwrite").parquet(f"{frontier_path}/batch={batch_id}")
 
