@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from threadmill.session import ensure_checkpoint_dir
 from threadmill.sources.tables import table
 
 #: Characters of text that one in-task step works on (a longer single text is a step of its own).
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def work_parts(spark: SparkSession) -> int:
     """Partitions for a shuffle whose tasks do much work on few bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -69,6 +82,14 @@ def int_lists(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
 class Memo:
     """Bounded memo from a string to a run of values in one array. When it is
     full it starts anew, so it only saves work and never changes a result."""
@@ -78,7 +99,7 @@ class Memo:
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
+        self.at = Numbers()
         self.arena, self.starts, self.lens, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _grown(self, a: np.ndarray, need: int) -> np.ndarray:
@@ -92,19 +113,15 @@ class Memo:
         """Entry number of each word; unknown words are learnt together."""
         if len(self.at) > self.most:
             self.clear()
-        get = self.at.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        gaps = np.flatnonzero(found < 0)
-        if len(gaps):
-            new = list(dict.fromkeys([words[i] for i in gaps]))
+        n = len(self.at)
+        found = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.at, n, None))
+        if new:
             values, lens = self.learn(new)
-            n = len(self.at)
             self.arena = self._grown(self.arena, self.used + len(values))
             self.arena[self.used : self.used + len(values)] = values
             self.starts, self.lens = self._grown(self.starts, n + len(new)), self._grown(self.lens, n + len(new))
             self.lens[n : n + len(new)] = lens
             self.starts[n : n + len(new)] = self.used + np.cumsum(lens) - lens
             self.used += len(values)
-            self.at.update(zip(new, range(n, n + len(new))))
-            found[gaps] = [get(words[i]) for i in gaps]
         return found

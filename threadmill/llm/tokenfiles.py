@@ -30,9 +30,9 @@ No rows give no files and an empty result. Other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ from threadmill.session import scratch_path
 MARK = b"TOKEF001"
 BLOCK = 512
 FILE_TOKENS = 8_000_000
-#: A space with white space beside it.
-BESIDE = re.compile(r" \s|\s ")
+SPACE_SIGN = "\u0120"  # how a byte-level vocabulary writes the space
+WHOLE = -1  # stands for ids that only the whole text tells
 
 
 class EliasFano:
@@ -117,47 +117,81 @@ class Encoder:
         self.library.no_truncation()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.first, self.later = Memo(lambda u: self.learn(u, ""), np.int32, 100_000), Memo(lambda u: self.learn(u, " "), np.int32)
-
-    def learn(self, units: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the stretches, each with what stands before it."""
-        ids = [e.ids for e in self.library.encode_batch_fast([before + u for u in units], add_special_tokens=False)]
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(SPACE_SIGN)]] = True
+        self.first, self.later = Memo(self.learn_first, np.int32, 100_000), Memo(self.learn, np.int32, 800_000)
+
+    def alone(self, units: list[str]) -> list[bool]:
+        """Whether each stretch can be encoded by itself: it is not empty, has no
+        white space at its ends and no string of an added token in it."""
+        whole = " ".join(units)
+        if any(a in whole for a in self.added):
+            return [u.strip() == u != "" and not any(a in u for a in self.added) for u in units]
+        return [u.strip() == u != "" for u in units]
+
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches, each after a space; WHOLE alone for one that cannot be encoded by itself.
+        Many are encoded as one text: its spaces stand at the starts of the
+        stretches only, and a token holds a space at its start only, so these tokens part the ids."""
+        alone = self.alone(units)
+        kept = units if all(alone) else list(compress(units, alone))
+        texts = [" " + " ".join(kept[i : i + 500]) for i in range(0, len(kept), 500)]
+        ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.zeros(0, np.int32)])
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(kept):
+            raise ValueError("the vocabulary has tokens with a space inside")
+        size = np.diff(np.append(starts, len(ids)))
+        if len(kept) == len(units):
+            return ids, size
+        lens = np.ones(len(units), np.int64)
+        lens[alone] = size
+        out = np.full(int(lens.sum()), WHOLE, np.int32)
+        out[np.repeat(alone, lens)] = ids
+        return out, lens
+
+    def learn_first(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches at the start of a text, where an empty one is plain."""
+        ids = [i if a or not u else [WHOLE] for u, a, i in zip(units, self.alone(units), self.whole(units))]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for i in ids for x in i), np.int32, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        plain, heads, units, counts = [], [], [], []
-        special = [k for k, t in enumerate(texts) if self.needs_whole(t)]
-        skip = set(special)
-        for k, t in enumerate(texts):
-            if k not in skip:
-                u = t.split(" ")
-                plain.append(k)
-                heads.append(u[0])
-                counts.append(len(u) - 1)
-                units += u[1:]
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        heads, units, counts = [], [], []
+        for t in texts:
+            u = t.split(" ")
+            heads.append(u[0])
+            counts.append(len(u) - 1)
+            units += u[1:]
         head, later = self.first.find(heads), self.later.find(units)
-        ids_h, len_h = ragged(self.first.arena, self.first.starts[head], self.first.lens[head]), self.first.lens[head]
-        len_l = self.later.lens[later]
+        len_h, len_l = self.first.lens[head], self.later.lens[later]
+        ids_h = ragged(self.first.arena, self.first.starts[head], len_h)
         ids_l = ragged(self.later.arena, self.later.starts[later], len_l)
-        edge_h = np.concatenate([[0], np.cumsum(len_h)])
         ends = np.cumsum(counts, dtype=np.int64)
-        edge_l = np.concatenate([[0], np.cumsum(len_l)])
-        out: list = [None] * len(texts)
-        for j, k in enumerate(plain):
-            out[k] = (ids_h[edge_h[j] : edge_h[j + 1]], ids_l[edge_l[ends[j] - counts[j]] : edge_l[ends[j]]])
-        for k, ids in zip(special, self.whole([texts[k] for k in special])):
-            out[k] = (np.array(ids, np.int32), np.zeros(0, np.int32))
-        lens = np.array([len(a) + len(b) for a, b in out], np.int64)
-        return np.concatenate([x for pair in out for x in pair]) if out else np.zeros(0, np.int32), lens
-
-    def needs_whole(self, text: str) -> bool:
-        """White space beside a space or at an end, or an added token's string."""
-        return text != text.strip() or BESIDE.search(text) is not None or any(a in text for a in self.added)
+        edge = np.concatenate([[0], np.cumsum(len_l)])
+        own = edge[ends] - edge[ends - counts]
+        # heads and the rest in turn
+        parts = np.empty((len(texts), 2), np.int64)
+        parts[:, 0], parts[:, 1] = len_h, own
+        first = np.repeat(np.tile([True, False], len(texts)), parts.ravel())
+        ids = np.empty(len(first), np.int32)
+        ids[first], ids[~first] = ids_h, ids_l
+        lens = parts.sum(axis=1)
+        if not (ids == WHOLE).any():
+            return ids, lens
+        edge = np.concatenate([[0], np.cumsum(lens)])
+        out = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        redo = [k for k, x in enumerate(out) if (x == WHOLE).any()]
+        for k, x in zip(redo, self.whole([texts[k] for k in redo])):
+            out[k] = np.array(x, np.int32)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
 def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
@@ -171,7 +205,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "d
     with open(path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # of fixed size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    rows = rows.repartitionByRange(work_parts(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # half the usual partitions: a range's distinct words are encoded once, and twice the text has fewer than twice the words
+    parts = max(spark.sparkContext.defaultParallelism, work_parts(spark) // 2)
+    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -222,7 +258,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_stream(f"{root}/{name}") as f:
                     doc_ids, edges, ids = unpacked(f.read())
                 at = edges.select(np.arange(len(doc_ids) + 1))
-                crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                wide = ids.astype("<u4")
+                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(at[:-1] + first), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crcs, pa.int64())})
 
     return files.repartition(work_parts(spark), "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
