@@ -12,11 +12,11 @@ Training uses whole texts of at most ``per_language`` documents of each
 language, those with the smallest hash of their id among the rows that are not
 held out. This bound is the only sample; every row is judged on its whole text.
 
-Rejection is calibrated on sample documents that were left out of the counts:
-with m and s the mean and deviation of their cross-entropies and w the deviation
-of a single word's, a text of n words is rejected when its cross-entropy is above
-m + z (s + w / sqrt(n)), z twice the largest value that such a document reached (6 at
-least). ``score`` is the softmax of the log probabilities of the text, at most
+Rejection is calibrated on sample documents that were left out of the counts,
+as they are and with every letter exchanged for one drawn at random: with m the
+mean cross-entropy of the former, g that of the latter and w the deviation of a
+single word's, a text of n words is rejected when its cross-entropy is above
+m + LIMIT (g - m) + 3 w / sqrt(n), so what is as far from the language as two thirds of the way to random letters. ``score`` is the softmax of the log probabilities of the text, at most
 as sure as ``SURE`` characters make it.
 
 Defined results: null text or no letter: ``und``, score 0, rejected. Without
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from threadmill.llm.common import Memo, sums, text_steps
 
 UND = "und"
-ORDER, PER_LANGUAGE, DISCOUNT, SURE = 4, 300, 0.75, 50
+ORDER, PER_LANGUAGE, DISCOUNT, SURE, LIMIT = 4, 300, 0.75, 50, 0.67
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = 0xE000, 0xE001  # border signs: code points for private use, which no word holds
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -157,7 +157,7 @@ class Identifier:
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the sums of ``learn`` over its words, and the number of its words."""
         if self.memo is None:
-            self.memo = Memo(self.learn, np.float32, most=500_000)
+            self.memo = Memo(self.learn, np.float32, most=300_000)
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             w = words_of(t)
@@ -178,8 +178,8 @@ class Identifier:
         lowest = entropy.min(axis=1)
         sure = np.exp2(-(entropy - lowest[:, None]) * np.minimum(chars, SURE))
         score = 1.0 / sure.sum(axis=1)
-        m, s, w, z = self.limits[best].T
-        rejected = lowest > m + z * (s + w / np.sqrt(np.maximum(counts, 1)))
+        m, g, w = self.limits[best].T
+        rejected = lowest > m + LIMIT * (g - m) + 3 * w / np.sqrt(np.maximum(counts, 1))
         void = counts == 0
         return [UND if v else self.languages[b] for v, b in zip(void, best)], np.where(void, 0.0, score), rejected | void
 
@@ -191,7 +191,7 @@ class Identifier:
             if words := words_of(text):
                 by.setdefault(lang, []).append(words)
         languages = sorted(by)
-        letters = len({c for docs in by.values() for d in docs for w in d for c in w})
+        alphabet = sorted({c for docs in by.values() for d in docs for w in d for c in w})
         held = {lang: docs[::5] if len(docs) >= 10 else docs for lang, docs in by.items()}
         models = []
         for lang in languages:
@@ -199,18 +199,19 @@ class Identifier:
             for k, d in enumerate(by[lang]):
                 if len(by[lang]) < 10 or k % 5:
                     counted.update(d)
-            models.append(KneserNey(counted, order, letters))
-        limits = np.zeros((len(languages), 4))
+            models.append(KneserNey(counted, order, len(alphabet)))
+        limits = np.zeros((len(languages), 3))
         one = cls.of(languages, models, limits)
+        draw = np.random.default_rng(3)
+        signs = np.array(alphabet)
         for k, lang in enumerate(languages):
-            docs = held[lang]
-            table = [one.learn(d)[0].reshape(len(d), -1) for d in docs]
-            sizes = np.array([len(d) for d in docs])
-            entropy = np.array([-t[:, k].sum() / t[:, -1].sum() for t in table])
-            single = np.concatenate([-t[:, k] / t[:, -1] for t in table])
-            m, s, w = entropy.mean(), entropy.std() + 0.02, single.std() + 0.02
-            z = ((entropy - m) / (s + w / np.sqrt(sizes))).max()
-            limits[k] = m, s, w, max(6.0, 2 * z)
+            clean, noise = [], []
+            for d in held[lang]:
+                clean.append(one.learn(d)[0].reshape(len(d), -1))
+                noise.append(one.learn(["".join(draw.choice(signs, len(w))) for w in d])[0].reshape(len(d), -1))
+            entropy = lambda tables: np.mean([-t[:, k].sum() / t[:, -1].sum() for t in tables])
+            single = np.concatenate([-t[:, k] / t[:, -1] for t in clean])
+            limits[k] = entropy(clean), entropy(noise), single.std() + 0.02
         return one
 
 
@@ -224,8 +225,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     keyed = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), F.lit("sample")))
-    rank = Window.partitionBy("lang").orderBy("k", "id")
-    chosen = keyed.select("lang", "k", "id").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_language)
+    chosen = keyed.select("lang", "k", "id").withColumn("salt", F.pmod("k", F.lit(64)))
+    for part in (["lang", "salt"], ["lang"]):  # the smallest of each salt, then of each language: no task sees a whole language
+        first = F.row_number().over(Window.partitionBy(*part).orderBy("k", "id"))
+        chosen = chosen.withColumn("r", first).where(F.col("r") <= per_language)
     chosen = chosen.select("lang", "k", "id").distinct()
     rows = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).join(F.broadcast(chosen), ["lang", "k", "id"], "left_semi")
     taken: Counter = Counter()
