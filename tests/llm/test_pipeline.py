@@ -88,3 +88,14 @@ def test_odd_documents(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), SMALL).count() == 0
     assert corpus_pipeline.mix(spark, docs, SMALL).columns == docs.columns
     assert corpus_pipeline.encode(spark, docs, SMALL).count() == 5
+
+
+def test_clashing_columns_pass_through(spark):
+    """Extra columns named as helper columns keep their values through all stages but the last."""
+    names = ["lang_pred", "rejected", "id_none", "text_hash", "nth", "s_key", "s_flags", "m_id", "m_epochs", "score", "ids", "size"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)

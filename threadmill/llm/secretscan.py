@@ -18,8 +18,7 @@ Only DataFrame functions and Spark ML run; a text never leaves its row whole unl
 Defined results: null, empty and clean texts give no findings. Findings are reported once for repeated rows
 (equal id, path and text). A null id or path stays null. ``start`` and ``stop`` count
 characters of the text from 0; ``stop`` is the place after the last one. ``redact`` keeps all rows and all
-columns and changes only the text of rows with a secret. Columns named like helper columns (``_s_...``) are not allowed in
-its input; all others pass through.
+columns, whatever their names, and changes only the text of rows with a secret.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import cut
+from threadmill.llm.common import cut, fresh
 
 SIGNS = "A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{SIGNS}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{SIGNS}]{{16,}}+={{0,2}}"
@@ -209,18 +208,21 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = MASK) -> DataFrame:
     """The input with each secret in its texts replaced by the mask."""
-    marks = scan(docs, id_col, text_col, path_col).groupBy(F.col("row_key").alias("_s_key")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "is_secret"))), lambda x: x["is_secret"]).alias("_s_marks")
+    key, flags, hits, gaps = fresh(docs, "s_key", "s_flags", "s_hits", "s_gaps")
+    marks = scan(docs, id_col, text_col, path_col).groupBy(F.col("row_key").alias(key)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "is_secret"))), lambda x: x["is_secret"]).alias(flags)
     )
-    marks = cut(marks.where(F.array_contains("_s_marks", True)))
+    marks = cut(marks.where(F.array_contains(flags, True)))
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    hits, gaps = F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)), F.split(F.col(text_col), CANDIDATE, -1)
     shown = F.transform(
-        F.col("_s_gaps"),
-        lambda g, i: F.concat(g, F.when(F.get(F.col("_s_marks"), i), F.lit(mask)).otherwise(F.coalesce(F.get(F.col("_s_hits"), i), F.lit("")))),
+        F.col(gaps),
+        lambda g, i: F.concat(g, F.when(F.get(F.col(flags), i), F.lit(mask)).otherwise(F.coalesce(F.get(F.col(hits), i), F.lit("")))),
     )
     clean = docs.where(~has)
-    marked = docs.where(has).withColumn("_s_key", _row_key(id_col, path_col, text_col)).join(marks, "_s_key", "left")
-    marked = marked.withColumns({"_s_hits": hits, "_s_gaps": gaps})
-    marked = marked.withColumn(text_col, F.when(F.col("_s_marks").isNull(), F.col(text_col)).otherwise(F.array_join(shown, "")))
+    marked = docs.where(has).withColumn(key, _row_key(id_col, path_col, text_col)).join(marks, key, "left")
+    marked = marked.withColumns({
+        hits: F.regexp_extract_all(F.col(text_col), F.lit(CANDIDATE), F.lit(0)),
+        gaps: F.split(F.col(text_col), CANDIDATE, -1),
+    })
+    marked = marked.withColumn(text_col, F.when(F.col(flags).isNull(), F.col(text_col)).otherwise(F.array_join(shown, "")))
     return clean.unionByName(marked.select(*docs.columns))
