@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadmill.llm import bpe, langid, mixing, secretscan, simhash
+from threadmill.llm.common import fresh
 from threadmill.session import scratch_path
 from threadmill.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the identifier does not reject. Columns of documents."""
-    model = langid.train(docs)
-    judged = langid.identify(docs, model, lang_pred="_l_pred", score="_l_score", rejected="_l_rejected")
-    return judged.where(~F.col("_l_rejected")).select(*docs.columns)
+    lang, score, rejected = fresh(docs, "lang_pred", "lang_score", "rejected")
+    judged = langid.identify(docs, langid.train(docs), lang_pred=lang, score=score, rejected=rejected)
+    return judged.where(~F.col(rejected)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +30,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id before none, then by a hash of the text). Of rows that agree in id and text
     the first by their other columns stays."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
-    key = {"_d_none": F.col("doc_id").isNull(), "_d_id": F.coalesce("doc_id", F.lit(0))}
-    first = found.withColumns(key).groupBy("root").agg(F.min(F.struct("_d_none", "_d_id", "text_hash")).alias("one"))
-    kept = first.select("one._d_none", "one._d_id", F.col("one.text_hash").alias("_d_hash"))
+    none, number, text_hash, nth = fresh(docs, "id_none", "id_number", "text_hash", "nth")
+    key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0))}
+    first = found.select("root", *[c.alias(n) for n, c in key.items()], F.col("text_hash").alias(text_hash))
+    first = first.groupBy("root").agg(F.min(F.struct(none, number, text_hash)).alias("one"))
+    kept = first.select("one.*")
     # narrow decisions; the documents move once, by the key of the window and the join
-    rows = docs.withColumns({**key, "_d_hash": F.xxhash64("text")})
-    one = Window.partitionBy("_d_none", "_d_id", "_d_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    rows = rows.withColumn("_d_n", F.row_number().over(one)).where("_d_n = 1")
-    return rows.join(kept, ["_d_none", "_d_id", "_d_hash"], "left_semi").select(*docs.columns)
+    rows = docs.withColumns({**key, text_hash: F.xxhash64("text")})
+    one = Window.partitionBy(none, number, text_hash).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    rows = rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
+    return rows.join(kept, [none, number, text_hash], "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,18 +50,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix(docs, ratings=mixing.label_weights(table(spark, sf_dir, "labels"))).where("epochs > 0")
-    taken = taken.select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("row_hash").alias("_m_hash"), "epochs")
-    # rows that agree in id, source and text are judged alike up to their order: the join takes their sum once
-    taken = taken.groupBy("_m_id", "_m_source", "_m_hash").agg(F.max("epochs").alias("_m_epochs"))
-    on = F.col("doc_id").eqNullSafe(F.col("_m_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (F.xxhash64("text") == F.col("_m_hash"))
-    repeated = docs.join(taken, on).withColumn("_m_n", F.explode(F.sequence(F.lit(1), F.col("_m_epochs").cast("int"))))
-    return repeated.select(*docs.columns)
+    m_id, m_source, m_hash, m_epochs, nth = fresh(docs, "m_id", "m_source", "m_hash", "m_epochs", "nth")
+    # rows that agree in id, source and text take part as often as the one of them that is taken most
+    taken = taken.groupBy(F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("row_hash").alias(m_hash)).agg(F.max("epochs").alias(m_epochs))
+    on = F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source)) & (F.xxhash64("text") == F.col(m_hash))
+    return docs.join(taken, on).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(m_epochs).cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and decoded text of each document of the mix."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text"), path)
+    return bpe.encode_decode(docs.select("doc_id", "source", "text"), path).drop("text")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mixing", mix), ("bpe", encode)]

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import Memo, int_lists, ragged, text_steps
+from threadmill.llm.common import Memo, give_back, int_lists, ragged, text_steps
 
 # Fixed values of the tokenizer family: white space as its patterns see it, and the pattern of words.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 
 NONE = np.iinfo(np.int64).max
@@ -81,7 +81,7 @@ class PairIndexBpe:
         self.word = regex.compile(WORD)
         tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
-        self.memo = Memo(self.learn, np.int32)
+        self.memo = Memo(self.learn, np.int32, 200_000)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.width + b
@@ -211,49 +211,68 @@ class PairIndexBpe:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " ")
 
 
-def _mapped(df: DataFrame, name: str, kind: T.DataType, step) -> DataFrame:
-    """The input with column ``name`` made by ``step`` from batches."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), T.StructField(name, kind)])
+def _mapped(df: DataFrame, made: dict[str, T.DataType], step) -> DataFrame:
+    """The input with the columns ``made``; ``step`` turns batches into pairs of a batch and its new columns."""
+    kept = [c for c in df.columns if c not in made]
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *(T.StructField(c, k) for c, k in made.items())])
+    names = [*kept, *made]
 
     def run(batches):
-        for batch, column in step(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, name])
+        for batch, columns in step(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names)
+            del batch, columns
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _spec(df: DataFrame, path: str):
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())  # of fixed size
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add column ``ids`` (array of int) with the token ids of ``text``."""
-    with open(path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())  # of fixed size
+    spec = _spec(df, path)
 
-    def step(batches) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def step(batches) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         bpe = PairIndexBpe(spec.value)
-        for batch, texts in text_steps(batches, text):
-            yield batch, int_lists(*bpe.encode(texts), pa.int32())
+        for batch, texts in text_steps(batches, text, 1_000_000):
+            yield batch, [int_lists(*bpe.encode(texts), pa.int32())]
 
-    return _mapped(df, ids, T.ArrayType(T.IntegerType()), step)
+    return _mapped(df, {ids: T.ArrayType(T.IntegerType())}, step)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add column ``decoded`` with the text of the token ids."""
-    with open(path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    spec = _spec(df, path)
 
-    def step(batches) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    def step(batches) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         bpe = PairIndexBpe(spec.value)
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
-                yield part, bpe.decode(part.column(ids))
+                yield part, [bpe.decode(part.column(ids))]
+
+    return _mapped(df, {decoded: T.StringType()}, step)
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass of the tasks: one Python worker a task instead of two."""
+    spec = _spec(df, path)
+
+    def step(batches) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        bpe = PairIndexBpe(spec.value)
+        for batch, texts in text_steps(batches, text, 1_000_000):
+            lists = int_lists(*bpe.encode(texts), pa.int32())
+            yield batch, [lists, bpe.decode(lists)]
 
-    return _mapped(df, decoded, T.StringType(), step)
+    return _mapped(df, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, step)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, by way of ``encode`` and ``decode``."""
-    out = decode(encode(df.select("doc_id", "text"), path).drop("text"), path)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, by way of ``encode_decode``."""
+    out = encode_decode(df.select("doc_id", "text"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

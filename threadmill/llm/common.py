@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from threadmill.session import ensure_checkpoint_dir
 from threadmill.sources.tables import table
 
-#: Characters of text that one in-task step works on (a longer single text is a step of its own).
-STEP_CHARS = 2_000_000
+#: Bytes of text that one in-task step works on (a longer single text is a step of its own).
+STEP_BYTES = 2_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,19 +46,29 @@ def work_parts(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def text_steps(batches: Iterable[pa.RecordBatch], text: str, chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with at most ``chars`` characters of text each
-    (one row at least), with their texts; a null text is read as empty."""
+def text_steps(batches: Iterable[pa.RecordBatch], text: str, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with at most ``size`` bytes of text each (one row
+    at least), with their texts; a null text is read as empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and held + len(t) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < len(batch):
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + size, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or "" for t in part.column(text).to_pylist()]
+            start = stop
+
+
+def give_back() -> None:
+    """Hand freed memory back at the end of a task: Spark keeps its Python
+    workers, and what they hold on to counts for the tasks that run next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no GNU C library
+        pass
 
 
 def ragged(arena: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

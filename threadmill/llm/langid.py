@@ -12,12 +12,13 @@ Training uses whole texts of at most ``per_language`` documents of each
 language, those with the smallest hash of their id among the rows that are not
 held out. This bound is the only sample; every row is judged on its whole text.
 
-Rejection is calibrated on sample documents that were left out of the counts,
-as they are and with every letter exchanged for one drawn at random: with m the
-mean cross-entropy of the former, g that of the latter and w the deviation of a
-single word's, a text of n words is rejected when its cross-entropy is above
-m + LIMIT (g - m) + 3 w / sqrt(n), so what is as far from the language as two thirds of the way to random letters. ``score`` is the softmax of the log probabilities of the text, at most
-as sure as ``SURE`` characters make it.
+Rejection is calibrated on sample documents that were left out of the counts, as
+they are and with every letter exchanged for one drawn at random. With m the mean
+cross-entropy of the former, g that of the latter and w the deviation of a single
+word's, a text of n words is rejected when its cross-entropy is above
+m + LIMIT (g - m) + 3 w / sqrt(n): when it is two thirds of the way to random
+letters, with an allowance for few words. ``score`` is the softmax of the log
+probabilities of the text, at most as sure as ``SURE`` characters make it.
 
 Defined results: null text or no letter: ``und``, score 0, rejected. Without
 any training row: ``und`` and score 0 for all, rejected. Repeated rows and null ids give one row
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import Memo, sums, text_steps
+from threadmill.llm.common import Memo, give_back, sums, text_steps
 
 UND = "und"
 ORDER, PER_LANGUAGE, DISCOUNT, SURE, LIMIT = 4, 300, 0.75, 50, 0.67
@@ -252,5 +253,8 @@ def identify(docs: DataFrame, model: Identifier, text_col: str = "text", lang_pr
         for batch, texts in text_steps(batches, text_col):
             lang, p, no = own.judge(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(p, pa.float64()), pa.array(no, pa.bool_())], [*kept, *made])
+            del batch, texts
+        del own
+        give_back()
 
     return docs.mapInArrow(run, schema)
