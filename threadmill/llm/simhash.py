@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import cut, sums, text_steps, work_parts
+from threadmill.llm.common import cut, give_back, text_steps
 
 SEED = 42
 #: Fingerprints of a tile.
-TILE = 1024
+TILE = 256
 
 
 def text_hashes(text: str, shingle: int) -> list[int]:
@@ -73,6 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch, texts in text_steps(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], ["doc_id", "text_hash", "fp"])
+            del batch, texts
+        give_back()
 
     return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
@@ -124,7 +126,6 @@ def tile_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.nda
 
 def links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     """Links (a, b) that join the fingerprints ``fp`` (distinct) within the radius: a spanning forest of each pair of tiles."""
-    spark = distinct.sparkSession
     # tiles: a cell's fingerprints dealt by a hash into as many tiles as its count asks for
     cells = distinct.withColumn("cell", cell(F.col("fp"), blocks))
     counts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(TILE))).cast("int").alias("tiles"))
@@ -138,8 +139,7 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     left = tiles.select(F.col("cell").alias("l_cell"), F.col("tile").alias("l_tile"), F.col("fps").alias("l_fps"), F.explode(steps).alias("step"))
     left = left.withColumn("cell", F.col("l_cell") + F.col("step"))
     pairs = (
-        left.repartition(work_parts(spark), "cell")
-        .join(tiles, "cell")
+        left.join(tiles, "cell")
         .where("step > 0 or l_tile <= tile")
         .select("l_fps", "fps")
     )
@@ -147,9 +147,10 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     def run(batches):
         for batch in batches:
             found = []
-            for x, y in zip(batch.column("l_fps"), batch.column("fps")):
-                a, b = (np.array(v.values, np.int64).view(np.uint64) for v in (x, y))
-                p, q = tile_links(a, b, radius)
+            left_values, right_values = (batch.column(c).values.to_numpy().view(np.uint64) for c in ("l_fps", "fps"))
+            left_at, right_at = (batch.column(c).offsets.to_numpy() for c in ("l_fps", "fps"))
+            for i in range(len(batch)):
+                p, q = tile_links(left_values[left_at[i] : left_at[i + 1]], right_values[right_at[i] : right_at[i + 1]], radius)
                 own = p != q
                 if own.any():
                     found += forest(p[own].view(np.int64), q[own].view(np.int64))
