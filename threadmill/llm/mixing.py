@@ -35,9 +35,10 @@ SHARE, MOST = 1.5, 2
 
 
 def n_words(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+``: starts of runs are counted, so nothing is split."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "\u0001")
-    return F.length(F.regexp_replace(marked, r"[\x20\x09-\x0D]+", "")).cast("long")
+    """Number of ``[^\\x20\\x09-\\x0D]+``: each word shrinks to one letter together with the
+    white space around it; what may be left beside these letters is a text of white space only."""
+    ones = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")
+    return F.length(F.regexp_replace(ones, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
 def draw(key: Column, seed: int) -> Column:
