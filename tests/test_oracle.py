@@ -11,7 +11,8 @@ FAST = [
     "clean_posts", "drop_repeated_text", "replace_emoji", "label_pipeline", "keyword_search", "multi_seed_search",
     "store_upsert", "build_vocab", "wordpiece", "merge_short_sentences", "negative_pairs", "pad_and_mask",
     "mask_positions", "score_classifier", "f1_macro", "bce_loss", "sink_label_sheet", "stream_repeated_text",
-    "pair_counts", "encode_claims", "encode_masked",
+    "pair_counts", "encode_claims", "encode_masked", "masked_predictor", "project_fields", "encode_pairs_topic", "batch_predict",
+    "stream_upsert", "scan_sheet",
 ]
 
 

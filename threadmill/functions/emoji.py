@@ -50,6 +50,7 @@ A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8
 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8
 """
 EMOJI_BLOCKS = [tuple(int(x, 16) for x in (r.split("-") * 2)[:2]) for r in EMOJI_RANGES.split()]
+NEAR_EMOJI = "[\\x{A9}\\x{AE}\\x{203C}-\\x{3299}\\x{1F000}-\\x{1FAFF}]"
 # What binds emoji into one sign: the joiner, the presentation mark, the key-cap mark.
 BINDERS = "\\x{200D}\\x{FE0F}\\x{20E3}"
 
@@ -143,7 +144,9 @@ def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
         emo_map = f"map_from_arrays(array({keys}), array({vals}))"
         bare = f"regexp_replace({text_sql}, {sql_str('(' + emoji_char_class() + ')[' + BINDERS + ']+')}, '$1')"
         present = f"array_distinct(regexp_extract_all({bare}, {sql_str('(' + emoji_char_class() + ')')}, 1))"
-        out = f"aggregate({present}, {bare}, (acc, e) -> replace(acc, e, coalesce(element_at({emo_map}, e), e)))"
+        full = f"aggregate({present}, {bare}, (acc, e) -> replace(acc, e, coalesce(element_at({emo_map}, e), e)))"
+        # four wide ranges hold all emoji and few letters: the exact class, a hundred ranges long, only sees texts that meet them
+        out = f"if({text_sql} rlike {sql_str(NEAR_EMOJI)}, {full}, {text_sql})"
     elif emoji_entries:
         firsts = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted({k[0] for k, _ in emoji_entries if k})) + "]"
         pairs = ", ".join(f"struct({sql_str(k)} as k, {sql_str(v)} as v)" for k, v in emoji_entries if k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import hashing as H
 from threadmill.functions.ranking import hash_rank
+from threadmill.session import materialize
 
 SENT_T = "array<array<string>>"
 
@@ -107,8 +108,9 @@ def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) ->
     keys = list(key_cols) + ["delim"]
     d = min_two_sentences(docs)
     o = d.select(*keys, F.size("sentences").alias("n")).withColumn("_o", H.shuffle_key(*keys, seed=f"docs:{seed}"))
-    idx = hash_rank(o, "_o", rank_col="doc_idx", tie_cols=keys).select(*keys, "doc_idx", "n")
-    n = d.agg(F.count(F.lit(1))).scalar()
+    # narrow, and read four times below
+    idx = materialize(hash_rank(o, "_o", rank_col="doc_idx", tie_cols=keys).select(*keys, "doc_idx", "n"))
+    n = idx.agg(F.count(F.lit(1))).scalar()
     pk = keys + ["pno"]
     draws = positives.select(
         *[F.col(k).alias(f"_k_{k}") for k in pk],

@@ -67,7 +67,8 @@ def q_shuffle(spark, sf):
 
 def sheet_export(spark, sf):
     """Cleaned posts with acknowledgments and length, shuffled, text only."""
-    c = L.public_metrics(C.clean_posts(V.posts(spark, sf)))
+    # the length filter and the rank read the cleaned text: it is made once
+    c = L.public_metrics(materialize(C.clean_posts(V.posts(spark, sf))))
     c = L.ack_filter(c.withColumn("acknowledgments", L.acknowledgments()))
     c = L.min_length_filter(c)
     return L.shuffle(c.select("id", "text"), ["id"], seed=SEED)
