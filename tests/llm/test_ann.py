@@ -83,6 +83,35 @@ def test_tree_gives_all_rows_nearest_box_first():
     assert all(((points[rows] - points[5]) ** 2).sum(axis=1).min() >= f - 1e-9 for f, rows in leaves)
 
 
+def test_copies_in_many_leaves_rank_by_id(spark):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(1500, 16))
+    data[rng.permutation(1500)[:600]] = data[0]  # more copies than a leaf holds
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    same = [i for i, v in rows if v == rows[0][1]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (2000, 400):
+        got = ann.nearest(df, F.col("vec_id") % 10 == 0, shard_rows=shard_rows).collect()
+        for q in (i for i in same if i % 10 == 0):
+            own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            assert own == [(n + 1, i, 0.0) for n, i in enumerate([i for i in same if i != q][:10])]
+        assert recall(got, plain(rows, 10, 10)) >= 0.9
+
+
+def test_search_passes_leaves_on_the_bound():
+    data = np.random.default_rng(6).normal(size=(3000, 8))
+    data[::3] = data[0]
+    wide = ann.directions(8, 8, 7)
+    image, ids = data @ wide, np.arange(3000)
+    found, far = ann.search(ids, data, image, ann.KdTree(image), 0, data[0], data[0] @ wide, 10, ann.chi_square_point(0.99, 8), ann.rounding(data[0], wide))
+    assert found.tolist() == list(range(3, 33, 3)) and not far.any()
+
+
+def test_first_copies():
+    vectors = np.array([[1.0, 0.0], [2.0, 0.0], [1.0, -0.0], [1.0, 0.0], [2.0, 0.0]])
+    assert ann.first_copies(np.array([9, 1, 3, 5, 2]), vectors, 2).tolist() == [1, 2, 3, 4]
+
+
 def test_chi_square():
     # median and 99 % point of the law with 8 degrees of freedom, from tables
     assert ann.chi_square(7.344, 8) == pytest.approx(0.5, abs=1e-3)

@@ -6,9 +6,11 @@ chi-square law with ``dims`` degrees of freedom). The projections of each shard
 rows are indexed by a kd-tree with the bounding boxes of its nodes. A query takes
 the leaves in the order of their distance to its projection and verifies their
 rows with the original vectors, until the chi-square test holds: a row as near as the k-th found one would have been met with probability
-``sure`` or more. The best of all shards are then ranked.
+``sure`` or more. Leaves on the test's bound are still searched, so that equal vectors are ranked by their ids. The best of all shards
+are then ranked.
 
-The index holds every row; nothing is sampled or capped. The stated queries come
+The index holds every row that can be a result: of a shard's equal vectors, those of the k + 1 smallest ids (one may be
+the query's own); nothing is sampled or capped. The stated queries come
 in blocks of ``QUERY_BLOCK``, which bounds what is broadcast. Distances are
 computed in double precision from the original components.
 
@@ -97,11 +99,29 @@ class KdTree:
                     heapq.heappush(heap, (float(gap @ gap), c))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, tree: KdTree, own: int, query: np.ndarray, image: np.ndarray, k: int, point: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k nearest found in one shard."""
+def first_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
+    """Rows whose vector fewer than ``most`` rows with smaller ids share, in the given order."""
+    plain = np.ascontiguousarray(vectors + 0.0)  # one sign of zero
+    _, same = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    starts = np.flatnonzero(np.diff(same[order], prepend=-1))
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(starts, append=len(ids)))
+    return np.sort(order[place < most])
+
+
+def rounding(query: np.ndarray, wide: np.ndarray) -> float:
+    """How far the projections of two equal vectors may lie apart when their sums are taken in different orders."""
+    return float(np.linalg.norm(2 * len(query) * np.finfo(np.float64).eps * (np.abs(query) @ np.abs(wide))))
+
+
+def search(
+    ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, tree: KdTree, own: int, query: np.ndarray, image: np.ndarray, k: int, point: float,
+    slack: float = 0.0,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k nearest found in one shard; ``slack`` is the rounding of the projections."""
     best_id, best = np.zeros(0, np.int64), np.zeros(0)
     for far, rows in tree.nearest_leaves(image):
-        if len(best) == k and far >= point * best[-1] ** 2:
+        if len(best) == k and math.sqrt(far) > math.sqrt(point) * best[-1] + slack:
             break
         rows = rows[ids[rows] != own]
         d = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
@@ -130,12 +150,14 @@ def _searcher(held, k: int, dims: int, seed: int, point: float):
         wide = directions(length, dims, seed)
         ids = table.column("vec_id").to_numpy()
         vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, length)
+        kept = first_copies(ids, vectors, k + 1)
+        ids, vectors = ids[kept], vectors[kept]
         projected = vectors @ wide
         tree = KdTree(projected)
         query_ids, found, scores = [], [], []
         for own, query in held.value:
             if len(query) == length:
-                best_id, best = search(ids, vectors, projected, tree, own, query, query @ wide, k, point)
+                best_id, best = search(ids, vectors, projected, tree, own, query, query @ wide, k, point, rounding(query, wide))
                 query_ids += [own] * len(best_id)
                 found.append(best_id)
                 scores.append(best)
