@@ -64,3 +64,21 @@ def test_sample_is_bounded_and_repeats(spark):
 def test_lang_is_no_input(spark, model):
     df = spark.createDataFrame([(1, "the and of that", "de"), (2, "the and of that", None)], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()} == {("en", langid.identify(df, model).first()["score"])}
+
+
+def test_unlearnt_language_is_rejected(spark):
+    """Whole texts of a language that was not learnt, and with a many-character language among the learnt ones also random letters."""
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()]
+    draw = np.random.default_rng(9)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    many = [("zh", " ".join("".join(draw.choice(signs, 8)) for _ in range(100))) for _ in range(60)]
+    for out in ("de", "fr"):
+        learnt = [r for lang in sorted({lang for lang, _ in rows} - {out}) for r in [x for x in rows if x[0] == lang][:60]]
+        own = [t for lang in {lang for lang, _ in learnt} for t in [x for name, x in rows if name == lang][60:80]]
+        foreign = [t for lang, t in rows if lang == out][:60]
+        for sample in (learnt, learnt + many):
+            one = langid.Identifier.fit(sample)
+            assert one.judge(foreign)[2].mean() > 0.95
+            assert one.judge(own)[2].mean() < 0.02
+            rubbish = [" ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(50)) for _ in range(20)]
+            assert one.judge(rubbish)[2].all()

@@ -12,12 +12,13 @@ Training uses whole texts of at most ``per_language`` documents of each
 language, those with the smallest hash of their id among the rows that are not
 held out. This bound is the only sample; every row is judged on its whole text.
 
-Rejection is calibrated on sample documents that were left out of the counts, as
-they are and with every letter exchanged for one drawn at random. With m the mean
-cross-entropy of the former, g that of the latter and w the deviation of a single
-word's, a text of n words is rejected when its cross-entropy is above
-m + LIMIT (g - m) + 3 w / sqrt(n): when it is two thirds of the way to random
-letters, with an allowance for few words. ``score`` is the softmax of the log
+Rejection is calibrated for each language on sample documents that were left out of the
+counts (of a language with few documents, each under a model without it). m is the ``HIGH`` quantile of the cross-entropies of its own documents.
+g is the least of the ``LOW`` quantiles of what is foreign to it: its own documents with their letters
+shuffled, and the documents of each other language under its model, unless these lie below m (a
+language that it cannot be told from). With w the deviation of a single word's cross-entropy, a text of n words is
+rejected when its cross-entropy is above m + LIMIT (g - m) + 3 w / sqrt(n): when it is half of
+the way to the nearest foreign texts, with an allowance for few words. ``score`` is the softmax of the log
 probabilities of the text, at most as sure as ``SURE`` characters make it.
 
 Defined results: null text or no letter: ``und``, score 0, rejected. Without
@@ -42,7 +43,8 @@ from pyspark.sql import types as T
 from threadmill.llm.common import Memo, give_back, sums, text_steps
 
 UND = "und"
-ORDER, PER_LANGUAGE, DISCOUNT, SURE, LIMIT = 4, 300, 0.75, 50, 0.67
+ORDER, PER_LANGUAGE, DISCOUNT, SURE = 4, 300, 0.75, 50
+HIGH, LOW, LIMIT = 0.95, 0.25, 0.5
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = 0xE000, 0xE001  # border signs: code points for private use, which no word holds
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -204,15 +206,28 @@ class Identifier:
         limits = np.zeros((len(languages), 3))
         one = cls.of(languages, models, limits)
         draw = np.random.default_rng(3)
-        signs = np.array(alphabet)
+
+        def entropies(model: Identifier, docs: list[list[str]]) -> np.ndarray:
+            """Cross-entropy of each document under each model."""
+            tables = [model.learn(d)[0].reshape(len(d), -1).sum(axis=0) for d in docs]
+            return np.array([-t[:-1] / t[-1] for t in tables])
+
+        def shuffled(d: list[str]) -> list[str]:
+            signs, ends = draw.permutation(list("".join(d))), np.cumsum([len(w) for w in d])
+            return ["".join(signs[e - len(w) : e]) for w, e in zip(d, ends)]
+
+        under = [entropies(one, held[lang]) for lang in languages]
         for k, lang in enumerate(languages):
-            clean, noise = [], []
-            for d in held[lang]:
-                clean.append(one.learn(d)[0].reshape(len(d), -1))
-                noise.append(one.learn(["".join(draw.choice(signs, len(w))) for w in d])[0].reshape(len(d), -1))
-            entropy = lambda tables: np.mean([-t[:, k].sum() / t[:, -1].sum() for t in tables])
-            single = np.concatenate([-t[:, k] / t[:, -1] for t in clean])
-            limits[k] = entropy(clean), entropy(noise), single.std() + 0.02
+            own, few = under[k][:, k], by[lang]
+            if 1 < len(few) < 10:
+                rest = [KneserNey(Counter(w for j, d in enumerate(few) if j != i for w in d), order, len(alphabet)) for i in range(len(few))]
+                own = np.array([entropies(cls.of([lang], [m], limits), [d])[0, 0] for m, d in zip(rest, few)])
+            m = np.quantile(own, HIGH)
+            noise = entropies(one, [shuffled(d) for d in held[lang]])[:, k]
+            others = [np.quantile(under[j][:, k], LOW) for j in range(len(languages)) if j != k]
+            g = max(m, min([np.quantile(noise, LOW), *(x for x in others if x > m)]))
+            words = one.learn([w for d in held[lang] for w in d])[0].reshape(-1, len(languages) + 1)
+            limits[k] = m, g, (-words[:, k] / words[:, -1]).std() + 0.02
         return one
 
 
