@@ -92,3 +92,12 @@ def test_empty_table_and_no_forest(spark):
 def test_findings_repeat(spark):
     a = sorted(map(tuple, queries.op7_secret_scan(spark, SMALL).collect()))
     assert a == sorted(map(tuple, queries.op7_secret_scan(spark, SMALL).collect()))
+
+
+LOST = ['password = "Tr0ub4dor&3!x"', "secret: 'qWkZpLxVbNmTrHsDfG'", "api_key=84730192845610", "pwd = kX9!vQ2m", '"auth_token": "h7Kp2Lm9Qz"']
+
+
+def test_values_after_secret_words_are_candidates(spark):
+    df = spark.createDataFrame([(i, f"see {t} there", "s") for i, t in enumerate(LOST)] + [(90, "x " + "aBcDeFgH" * 3 + " y", "s"), (91, "my secret is out, author of this", "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["value"] for r in secretscan.candidates(df).collect()}
+    assert got == {0: "Tr0ub4dor&3!x", 1: "qWkZpLxVbNmTrHsDfG", 2: "84730192845610", 3: "kX9!vQ2m", 4: "h7Kp2Lm9Qz", 90: "aBcDeFgH" * 3}

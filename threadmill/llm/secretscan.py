@@ -1,7 +1,9 @@
 """Operator 7: secret scan with a random forest that removes false positives.
 
-Candidates are runs of 16 or more characters of ``A-Za-z0-9+/_-`` (and up to
-two ``=`` after them) with a letter and a digit, found in whole texts. A forest (Spark ML)
+Candidates, found in whole texts, are runs of 16 or more characters of ``A-Za-z0-9+/_-`` (and up to
+two ``=`` after them) with a letter and a digit, runs of ``LETTERS_ONLY`` or more letters of both cases, and whatever
+stands assigned or in quotes after a secret word: ``VALUE`` or more printable characters up to the closing quote, or to a
+blank, quote, comma or semicolon. A forest (Spark ML)
 judges each by its length, its character transitions (between letters, digits,
 cases and separators), its character shares, its dictionary coverage, its path and its neighbouring
 words, and removes what only looks like a secret: digests, slugs, identifiers, placeholders.
@@ -32,9 +34,19 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import cut, fresh
 
 SIGNS = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{SIGNS}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{SIGNS}]{{16,}}+={{0,2}}"
+VALUE, LETTERS_ONLY = 8, 24
+SECRETS = "token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer"
+#: Before a value: a secret word, the rest of its name, and an assignment, an opening quote or both.
+ASSIGNED = rf"(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})"
+QUOTED = rf"(?<=[\"'`])(?<=(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})?"
+CANDIDATE = "|".join([
+    *(rf"{QUOTED}{q})(?=[!-~]{{{VALUE}}})[!-~&&[^{q}]]{{{VALUE},}}+(?={q})" for q in "\"'`"),
+    rf"(?<=[:=> \t])(?<={ASSIGNED})[!-~&&[^\"'`,;:=> \t]][!-~&&[^\"'`,;]]{{{VALUE - 1},}}+",
+    rf"(?<![{SIGNS}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{SIGNS}]{{16,}}+={{0,2}}",
+    rf"(?<![{SIGNS}])(?=[A-Z]*+[a-z])(?=[a-z]*+[A-Z])[A-Za-z]{{{LETTERS_ONLY},}}+(?![{SIGNS}])",
+])
 CONTEXT = 80
-SECRET_WORDS = r"(?i)(token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
+SECRET_WORDS = rf"(?i)({SECRETS})"
 PLAIN_WORDS = r"(?i)(example|sample|dummy|placeholder|your|commit|checksum|digest|sha\d|md5|hash|uuid|revision|build|version|http|href|src=|img|isbn|order)"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|fixtures?|examples?|samples?|docs?|mocks?)([/_.-]|$)"
 MASK = "[SECRET]"
