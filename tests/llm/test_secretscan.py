@@ -101,3 +101,23 @@ def test_values_after_secret_words_are_candidates(spark):
     df = spark.createDataFrame([(i, f"see {t} there", "s") for i, t in enumerate(LOST)] + [(90, "x " + "aBcDeFgH" * 3 + " y", "s"), (91, "my secret is out, author of this", "s")], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["value"] for r in secretscan.candidates(df).collect()}
     assert got == {0: "Tr0ub4dor&3!x", 1: "qWkZpLxVbNmTrHsDfG", 2: "84730192845610", 3: "kX9!vQ2m", 4: "h7Kp2Lm9Qz", 90: "aBcDeFgH" * 3}
+
+
+def test_recall_on_forms_that_training_leaves_out(spark):
+    """Names, prefixes and closings that the labelled findings do not hold, also in test paths; words after the same names stay."""
+    names = ["db_password", "AWS_SECRET_ACCESS_KEY", "refresh_token", "X-Auth-Token"]
+    rows, words = [], []
+    for i in range(60):
+        raw = hashlib.sha512(str(i).encode()).hexdigest()
+        value = [raw[:36], "hvs." + raw[:24].replace("a", "Q"), f"{raw[:4].upper()}+{raw[4:9]}-Zx!", "pk9_" + raw[:28].upper()][i % 4]
+        rows.append((-1 - i, f"so {names[i // 4 % 4]} := '{value}' ### end", ["tests", "docs", "src"][i % 3]))
+        words.append((-101 - i, f'so {names[i % 4]} = "{["example-value", "your-password-here", "placeholder-2"][i % 3]}" end', ["tests", "docs", "src"][i // 3 % 3]))
+    extra = spark.createDataFrame(rows + words, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["is_secret"] for r in secretscan.findings(known(spark).unionByName(extra)).where("doc_id < 0").collect()}
+    assert sum(got.get(r[0], False) for r in rows) >= 54
+    assert sum(got.get(r[0], False) for r in words) <= 6
+
+
+def test_labels_do_not_hang_on_paths(spark):
+    made = secretscan.labelled_findings(known(spark)).groupBy("path").agg(F.avg("label").alias("p")).collect()
+    assert len(made) > 3 and max(r["p"] for r in made) - min(r["p"] for r in made) < 0.1

@@ -39,23 +39,25 @@ SECRETS = "token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|c
 #: Before a value: a secret word, the rest of its name, and an assignment, an opening quote or both.
 ASSIGNED = rf"(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})"
 QUOTED = rf"(?<=[\"'`])(?<=(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})?"
-CANDIDATE = "|".join([
+#: All begin after no sign; the short look back comes before the long one, which few places then need.
+CANDIDATE = rf"(?<![{SIGNS}])(?:" + "|".join([
     *(rf"{QUOTED}{q})(?=[!-~]{{{VALUE}}})[!-~&&[^{q}]]{{{VALUE},}}+(?={q})" for q in "\"'`"),
-    rf"(?<=[:=> \t])(?<={ASSIGNED})[!-~&&[^\"'`,;:=> \t]][!-~&&[^\"'`,;]]{{{VALUE - 1},}}+",
-    rf"(?<![{SIGNS}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{SIGNS}]{{16,}}+={{0,2}}",
-    rf"(?<![{SIGNS}])(?=[A-Z]*+[a-z])(?=[a-z]*+[A-Z])[A-Za-z]{{{LETTERS_ONLY},}}+(?![{SIGNS}])",
-])
+    rf"(?<=[:=> \t])(?<=[:=>][ \t]{{0,3}})(?<={ASSIGNED})[!-~&&[^\"'`,;:=> \t]][!-~&&[^\"'`,;]]{{{VALUE - 1},}}+",
+    r"(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])" + rf"[{SIGNS}]{{16,}}+={{0,2}}",
+    rf"(?=[A-Z]*+[a-z])(?=[a-z]*+[A-Z])[A-Za-z]{{{LETTERS_ONLY},}}+(?![{SIGNS}])",
+]) + ")"
 CONTEXT = 80
 SECRET_WORDS = rf"(?i)({SECRETS})"
+PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_(live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)"
 PLAIN_WORDS = r"(?i)(example|sample|dummy|placeholder|your|commit|checksum|digest|sha\d|md5|hash|uuid|revision|build|version|http|href|src=|img|isbn|order)"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|fixtures?|examples?|samples?|docs?|mocks?)([/_.-]|$)"
 MASK = "[SECRET]"
 TREES, DEPTH, SEED = 30, 6, 11
-SAMPLE_DOCS, DICTIONARY_USES = 300, 20
+SAMPLE_DOCS, KINDS, DICTIONARY_USES = 300, 24, 20
 
 FEATURES = [
     "length", "digits", "capitals", "hex", "separators", "kinds", "letter_digit", "case_change", "longest_word", "coverage",
-    "test_path", "secret_word", "secret_near", "plain_word", "assigned", "quoted",
+    "test_path", "secret_word", "secret_near", "plain_word", "assigned", "quoted", "signs", "prefix",
 ]
 
 
@@ -89,6 +91,8 @@ def shape_features(df: DataFrame) -> DataFrame:
         "plain_word": flag(F.concat(close, v).rlike(PLAIN_WORDS)),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$")),
+        "signs": _share(v, "[^A-Za-z0-9+/_=-]"),
+        "prefix": flag(v.rlike(PREFIX)),
     })
 
 
@@ -149,35 +153,47 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
     rows = rows.select("id", F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("word"))).alias("w"))
     rows = cut(rows)
-    salt = lambda s: F.concat(F.col("id"), F.lit(s) if isinstance(s, str) else s)
-    word = lambda s: F.element_at("w", (F.pmod(F.xxhash64(salt(s)), F.size("w")) + 1).cast("int"))
-    hex40, hex32, hex64 = F.sha1(salt("a")), F.md5(salt("b")), F.sha2(salt("c"), 256)
-    b64 = F.translate(F.base64(F.unhex(F.sha2(salt("d"), 256))), "=", "")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(KINDS - 1))))
+    draw = lambda s, m: F.pmod(F.xxhash64("id", "n", F.lit(s)), F.lit(m)).cast("int")
+    word = lambda s: F.element_at("w", F.pmod(F.xxhash64("id", "n", F.lit(s)), F.size("w")).cast("int") + 1)
+    one = lambda s, *of: F.get(F.array(*[F.lit(x) if isinstance(x, str) else x for x in of]), draw(s, len(of)))
+    part = lambda v, s, least, most: v.substr(F.lit(1), draw(s, most - least + 1) + least)
+    raw = F.sha2(F.concat_ws(":", "id", "n", F.lit("raw")), 512)
+    b64 = F.translate(F.base64(F.unhex(raw)), "=\r\n", "")
     alnum = F.translate(b64, "+/", "xY")
-    uuid = F.concat_ws("-", *[F.substring(hex32, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    slug = F.lower(F.concat_ws("-", word("e"), word("f"), word("g"), word("h"), F.lit("2")))
-    name = F.concat(F.lower(word("i")), F.initcap(word("j")), F.initcap(word("k")), F.lit("Factory2"))
-    key = F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 15)), F.lit("7"))
-    kinds = [
-        (hex40, "token = \"", "\" ", 1), (F.upper(hex40), "TOKEN = \"", "\"!! ", 1), (hex32, "api_key: ", " ", 1), (b64, "secret=", " ", 1),
-        (alnum, "password: '", "' ", 1), (key, "access key ", " ", 1), (F.concat(F.lit("ghp_"), F.substring(alnum, 1, 35), F.lit("4")), "", " ", 1),
-        (hex64, "auth_token=\"", "\" ", 1), (hex40, "Bearer ", "### ", 1), (F.substring(alnum, 1, 24), "client_secret = \"", "\", ", 1),
-        (hex40, "commit ", " ", 0), (hex32, "md5 ", " ", 0), (hex64, "sha256 checksum: ", " ", 0), (uuid, "uuid ", " ", 0), (uuid, "order ", " ", 0),
-        (slug, "", " ", 0), (slug, "token = \"", "\" ", 0), (name, "", "() ", 0), (name, "password = ", " ", 0), (F.concat(F.lit("your-api-key-here-"), F.lit("123")), "api_key = \"", "\" ", 0),
-        (F.concat(F.lit("img/"), hex32), "http://example.com/", " ", 0), (F.concat(F.lit("2024-01-02T03-04-"), F.substring(hex32, 1, 2)), "version ", " ", 0),
-        (F.concat(slug, F.lit("/"), slug), "href=", " ", 0), (F.concat(F.lit("isbn-"), F.lit("9781234567890")), "", " ", 0), (hex40, "digest = ", " ", 0),
-    ]
-    pick = lambda k: F.get(F.array(*[F.lit(x[k]) if isinstance(x[k], (str, int)) else x[k] for x in kinds]), F.col("n"))
-    near = lambda s: word(F.concat(F.lit(s), F.col("n").cast("string")))
-    made = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1)))).select(
-        pick(0).alias("value"),
-        F.concat(near("p"), F.lit(" "), near("q"), F.lit(" "), pick(1)).alias("before"),
-        F.concat(pick(2), near("r"), F.lit(" "), near("s")).alias("after"),
-        pick(3).alias("label"),
-        F.pmod(F.xxhash64(salt("t"), F.col("n")), F.lit(4)).alias("turn"),
+    letters, digits = F.translate(alnum, "0123456789", "GhJkMnPqRs"), F.translate(raw, "abcdef", "402975")
+    dashed = F.concat_ws("-", *[F.substring(raw, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    sign = lambda s: one(s, *"!@#$%^&*?.~")
+    signed = F.concat(part(alnum, "m", 3, 7), sign("n"), F.substring(alnum, 20, 3), sign("o"), part(F.substring(alnum, 30, 8), "p", 1, 8))
+    known = F.concat(one("q", "AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_"), part(alnum, "r", 16, 40))
+    between = one("s", "-", "_", "/")
+    slug = F.lower(F.concat(word("a"), between, word("b"), between, word("c"), between, word("d"), between, one("t", "2", "17", "2024")))
+    name = F.concat(F.lower(word("e")), F.initcap(word("f")), F.initcap(word("g")), one("u", "Factory2", "Handler", "V3", "Service"))
+    filler = F.concat(one("v", "your-", "example-", "my-dummy-", "sample_", "placeholder-"), one("w", "api-key-here-123", "token-goes-here", "password1", "secret-2"))
+    dated = F.concat(F.lit("2024-0"), draw("x", 9) + 1, F.lit("-02T03-04-"), F.substring(digits, 1, 2))
+    # values, names and what joins them are drawn one by one, so that no form belongs to one context
+    hexes = one("hex", part(raw, "len", 32, 64), F.substring(raw, 1, 32), F.substring(raw, 1, 40), F.upper(F.substring(raw, 1, 40)), F.substring(raw, 1, 64))
+    secret = one("value", hexes, hexes, part(b64, "len", 16, 64), part(alnum, "len", 12, 48), part(letters, "len", 12, 48), part(digits, "len", 8, 24), signed, signed, known)
+    digest = one("value", hexes, hexes, hexes, dashed, part(digits, "len", 10, 24), part(b64, "len", 16, 44))
+    common = one("value", slug, slug, name, filler, filler, F.lower(word("h")), F.initcap(word("h")), dated, F.concat(one("y", "img/", "assets/"), slug))
+    named = one("name", "token", "TOKEN", "access_token", "api_key", "apiKey", "API-KEY", "secret", "client_secret", "password", "passwd", "PWD", "auth", "access key", "private_key", "credential", "passphrase")
+    joined = one("join", " = \"", "=\"", ": \"", "\": \"", " = '", ": '", "=", ": ", " => ", " \"")
+    other = one("name", "commit ", "md5 ", "md5: ", "sha256 checksum: ", "digest = ", "hash=", "uuid ", "order ", "build ", "revision ", "version = \"", "href=\"", "http://example.com/", "isbn ", "")
+    none = one("name", "", "the ", "see ", "(", "\"", "id = ", "name: \"")
+    kind = F.col("n") % 4  # secrets; digests; what is made of words, after a secret name and elsewhere
+    value = F.when(kind == 0, secret).when(F.col("n") == 2, secret).when(kind == 1, digest).otherwise(common)
+    is_secret = (kind == 0) | (F.col("n") == 2) | (F.col("n") == 6)
+    value = F.when(F.col("n") == 6, known).otherwise(value)
+    lead = F.when(F.col("n") == 6, none).when(is_secret | (kind == 2), F.concat(named, joined)).when(kind == 1, other).otherwise(none)
+    close = F.when(lead.endswith("\""), "\"").when(lead.endswith("'"), "'").otherwise("")
+    made = rows.select(
+        value.alias("value"),
+        F.concat(word("i"), F.lit(" "), word("j"), F.lit(" "), lead).alias("before"),
+        F.concat(close, one("end", " ", ", ", "; ", ")\n", "\n", ". "), word("k"), F.lit(" "), word("l")).alias("after"),
+        one("path", "src", "lib", "app/config", "docs/examples", "tests", "samples").alias("path"),
+        is_secret.cast("int").alias("label"),
     )
-    path = F.when(F.col("turn") > 0, "src").when(F.col("label") == 1, "lib").otherwise("docs/examples")
-    return made.select("value", "before", "after", path.alias("path"), "label")
+    return made.where(F.length("value") >= VALUE)
 
 
 def train(labelled: DataFrame, words: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel | None:
