@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadmill.llm import ann, bpe, hmm, langid, mixing, oracles, secretscan, simhash, tokenfiles, topk, urlfilter
-from threadmill.llm.common import documents
+from threadmill.llm import ann, bpe, filteraudit, hmm, langid, linerules, mixing, oracles, secretscan, simhash, spelling, tokenfiles, topk, urlfilter
+from threadmill.llm.common import cut, documents
 from threadmill.sources.tables import table
 
 
@@ -57,6 +57,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(cut(filteraudit.mask_cells(documents(spark, sf_dir), table(spark, sf_dir, "labels"))))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.noisy_words(documents(spark, sf_dir)))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(documents(spark, sf_dir)).drop("host", "clean_text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_token_files, op7_secret_scan, op8_exact_topk, op9_lm_scoring, op10_ann, pipeline)
+    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_language_id, op5_mixing, op6_token_files, op7_secret_scan, op8_exact_topk, op9_lm_scoring, op10_ann,
+              op11_filter_audit, op12_spelling, op13_quality_rules, pipeline)
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
