@@ -143,8 +143,9 @@ def merges_loop(counts, min_frequency, alphabet):
                 i += 1
 
 
-@pytest.mark.parametrize("letters, n, limit", [("abc", 25, 1000), ("abcdef", 40, 1000), ("aab", 12, 1000), ("abcdefg", 30, 3)])
-def test_learn_merges_matches_loop(spark, letters, n, limit):
+@pytest.mark.parametrize("letters, n, limit, budget", [
+    ("abc", 25, 1000, 400_000), ("abc", 25, 1000, 60), ("abcdef", 40, 1000, 60), ("aab", 12, 1000, 8), ("abcdefg", 30, 3, 400_000), ("abcdefg", 30, 3, 20)])
+def test_learn_merges_matches_loop(spark, letters, n, limit, budget):
     rnd = random.Random(len(letters) + n)
     counts = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))): rnd.randint(1, 30) for _ in range(n)}
     df = spark.createDataFrame(list(counts.items()), "word string, count long")
@@ -153,16 +154,29 @@ def test_learn_merges_matches_loop(spark, letters, n, limit):
         for c in w:
             weight[c] = weight.get(c, 0) + k
     alphabet = sorted(weight, key=lambda c: (-weight[c], c))[:limit]
-    got = [tuple(r)[1:] for r in D.learn_merges(df, limit_alphabet=limit, candidates=20).orderBy("rank").collect()]
+    got = [tuple(r)[1:] for r in D.learn_merges(df, limit_alphabet=limit, budget=budget).orderBy("rank").collect()]
     assert got == merges_loop(list(counts.items()), 2, set(alphabet))
 
 
 def test_pairs_outside_the_alphabet_do_not_end_the_merges(spark):
     df = spark.createDataFrame([("bc", 9), ("de", 8), ("fg", 7), ("hi", 6), ("jk", 6), ("aa", 5), ("a", 1000)], "word string, count long")
-    (r,) = D.learn_merges(df, limit_alphabet=1, candidates=4).collect()
+    (r,) = D.learn_merges(df, limit_alphabet=1, budget=4).collect()
     assert tuple(r) == (1, "a", "##a", "aa", 5)
 
 
+def test_merges_over_a_large_alphabet(spark):
+    """More characters than the frequency vocabulary has room for still give merges, and the vocabulary is dense."""
+    rnd = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(500)]
+    counts = {"".join(rnd.choice(letters) for _ in range(rnd.randint(2, 4))): rnd.randint(1, 9) for _ in range(600)}
+    df = spark.createDataFrame(list(counts.items()), "word string, count long")
+    merges = D.learn_merges(df, budget=900)
+    got = [tuple(r)[1:] for r in merges.orderBy("rank").collect()]
+    assert got == merges_loop(list(counts.items()), 2, set(letters)) and len(got) > 100
+    vocab = [r["id"] for r in D.build_vocab(df, merges).orderBy("id").collect()]
+    assert vocab == list(range(len(vocab))) and len(vocab) == 9 + 2 * len({c for w in counts for c in w}) + len({g[2] for g in got})
+
+
 def test_small_vocabulary_holds_words(spark):
     df = spark.createDataFrame([("w" + "abcdefghij"[i % 10] * (i // 10 + 1), 50) for i in range(50)], "word string, count long")
     v = D.vocab_by_frequency(df, vocab_size=60)

@@ -211,117 +211,19 @@ def pair_counts(words: DataFrame, min_frequency: int = 1) -> DataFrame:
     return c.where(F.col("count") >= min_frequency) if min_frequency > 1 else c
 
 
-def _around(words: DataFrame, pairs: list[tuple[str, str]]):
-    """What happens next to each pair (by its number): the largest count that a
-    pair made by merging it can have, and the count of triples in which two of the pairs overlap."""
-    spark = words.sparkSession
-    triples = F.transform(F.sequence(F.lit(0), F.size("syms") - 3),
-                          lambda i: F.struct(F.get("syms", i).alias("x"), F.get("syms", i + 1).alias("y"), F.get("syms", i + 2).alias("z")))
-    ex = words.where(F.size("syms") > 2).select("count", F.explode(triples).alias("t"))
-    ex = ex.where("t.x is not null and t.y is not null and t.z is not null")
-    tri = ex.groupBy("t.x", "t.y", "t.z").agg(F.sum("count").alias("n"))
-    table = spark.createDataFrame([(l, r, i) for i, (l, r) in enumerate(pairs)], "l string, r string, i int")  # at most ``candidates`` rows
-    first = F.broadcast(table.select(F.col("l").alias("x"), F.col("r").alias("y"), F.col("i").alias("a")))
-    second = F.broadcast(table.select(F.col("l").alias("y"), F.col("r").alias("z"), F.col("i").alias("b")))
-    hit = tri.join(first, ["x", "y"], "left").join(second, ["y", "z"], "left").where("a is not null or b is not null")
-    # one row a pair and one a pair of overlapping pairs
-    both = hit.where("a is not null and b is not null").select("a", "b", "n")
-    most = hit.select(F.explode(F.filter(F.array("a", "b"), lambda v: v.isNotNull())).alias("a"), "n").groupBy("a").agg(F.max("n").alias("n"))
-    bound, overlap = {}, {}
-    for r in most.select("a", F.lit(-1).alias("b"), "n").unionByName(both).collect():
-        if r["b"] < 0:
-            bound[r["a"]] = r["n"]
-        else:
-            overlap[(r["a"], r["b"])] = r["n"]
-    return bound, overlap
-
-
-def _piece(l: str, r: str) -> str:
-    return l + (r[2:] if r.startswith("##") else r)
-
-
-def _next_merges(top: list[tuple[str, str, int]], complete: bool, bound: dict, overlap: dict, pieces: set[str], room: int) -> list[tuple[int, int]]:
-    """Numbers and counts of the pairs that the greedy order takes next, as far as the counts prove it.
-
-    Merging a pair lowers an overlapping pair by their common triples (known
-    exactly while only one neighbour is merged) and makes new pairs that are at
-    most as frequent as the triples around it. A pair is taken only if it comes before
-    every other one and is more frequent than any new pair can be. A piece that
-    exists already adds to pairs that exist already, so the round ends with it."""
-    left = {i: [n, n] for i, (_, _, n) in enumerate(top)}  # least and largest count now
-    touched: set[int] = set()
-    chosen: list[tuple[int, int]] = []
-    ceiling = 0  # of the counts of new pairs
-    while left and len(chosen) < room:
-        best = min(left, key=lambda i: (-left[i][0], top[i][0], top[i][1]))
-        n, most = left[best]
-        l, r, _ = top[best]
-        if chosen:
-            if n != most or l == r or n <= ceiling or (best in touched and not complete and n <= top[-1][2]):
-                break
-            if any((-m, top[i][0], top[i][1]) < (-n, l, r) for i, (_, m) in left.items() if i != best):
-                break
-        chosen.append((best, n))
-        del left[best]
-        if l == r or _piece(l, r) in pieces:  # runs of one symbol are no plain sums
-            break
-        ceiling = max(ceiling, bound.get(best, 0))
-        for i in left:
-            lost = [overlap.get((best, i), 0), overlap.get((i, best), 0)]
-            if any(lost):
-                # occurrences lost on two sides may be the same ones
-                exact = i not in touched and not all(lost)
-                touched.add(i)
-                left[i][0] -= sum(lost)
-                if exact and top[i][0] != top[i][1]:
-                    left[i][1] = left[i][0]
-    return chosen
-
-
-def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Rewrite every word's symbols with merges one after the other, each left
-    to right without overlaps (as one BPE merge step does)."""
-    mark = lambda x: F.coalesce(x, F.lit("\u0004"))
-    joined = F.concat(F.lit("\u0001"), F.array_join(F.transform(F.col("syms"), mark), "\u0002\u0001"), F.lit("\u0002"))
-    for l, r in merges:
-        joined = F.replace(joined, F.lit(f"\u0001{l}\u0002\u0001{r}\u0002"), F.lit(f"\u0001{_piece(l, r)}\u0002"))
-    parts = F.split(joined.substr(F.lit(2), F.length(joined) - 2), "\u0002\u0001", -1)
-    syms = F.transform(parts, lambda x: F.when(x != "\u0004", x))
-    return words.select(*[syms.alias("syms") if c == "syms" else F.col(c) for c in words.columns])
-
-
 def learn_merges(counts: DataFrame, vocab_size: int = P.VOCAB_SIZE, min_frequency: int = P.MIN_FREQUENCY,
-                 limit_alphabet: int = P.LIMIT_ALPHABET, candidates: int = 256, checkpoint_every: int = 4,
+                 limit_alphabet: int = P.LIMIT_ALPHABET, budget: int = 400_000, most_open: int = 100_000,
                  specials=P.SPECIAL_TOKENS) -> DataFrame:
     """Grow pieces by merging the most frequent adjacent pair (weighted by
     word count; ties by symbol text) until ``vocab_size`` pieces or no pair
-    reaches ``min_frequency``. The order is exactly the greedy one: a round
-    counts pairs and triples on the distinct-word table and takes as many of
-    the ``candidates`` most frequent pairs as these counts prove to come next (one at least). Pairs with a
-    character outside the alphabet are dropped before the candidates are
-    picked. Lineage is cut with reliable checkpoints. Returns (rank, l, r, piece, count)."""
-    spark = counts.sparkSession
+    reaches ``min_frequency``. The order is exactly the greedy one, decided in phases of many merges
+    (``operators.merges``); ``budget`` symbols and ``most_open`` pairs bound what the driver holds.
+    A character outside the alphabet belongs to no pair. Returns (rank, l, r, piece, count)."""
+    from threadmill.operators.merges import learn
+
     alpha = [r["ch"] for r in alphabet(counts, limit_alphabet).orderBy("rank").collect()]  # at most limit_alphabet
-    room = vocab_size - len(specials) - 2 * len(alpha)
-    words = materialize(word_symbols(counts, alpha).where(F.size("syms") > 1).drop("word"))
-    merges: list[tuple[str, str, str, int]] = []
-    pieces: set[str] = set()
-    rounds = 0
-    while len(pieces) < room:
-        found = pair_counts(words, min_frequency).orderBy(F.col("count").desc(), F.col("l"), F.col("r")).limit(candidates).collect()
-        if not found:
-            break
-        top = [(r["l"], r["r"], r["count"]) for r in found]
-        bound, overlap = _around(words, [t[:2] for t in top])
-        chosen = [(*top[i][:2], n) for i, n in _next_merges(top, len(top) < candidates, bound, overlap, pieces, room - len(pieces))]
-        merges += [(l, r, _piece(l, r), n) for l, r, n in chosen]
-        pieces.update(_piece(l, r) for l, r, _ in chosen)
-        words = apply_merges(words, [(l, r) for l, r, _ in chosen])
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = materialize(words)
-    return spark.createDataFrame([(i + 1, l, r, p, c) for i, (l, r, p, c) in enumerate(merges)],
-                                 "rank int, l string, r string, piece string, count long")
+    merges = learn(counts, alpha, vocab_size - len(specials) - 2 * len(alpha), min_frequency, budget, most_open)
+    return counts.sparkSession.createDataFrame([(i + 1, *m) for i, m in enumerate(merges)], "rank int, l string, r string, piece string, count long")
 
 
 def build_vocab(counts: DataFrame, merges: DataFrame, limit_alphabet: int = P.LIMIT_ALPHABET, specials=P.SPECIAL_TOKENS) -> DataFrame:

@@ -99,15 +99,10 @@ def q_pair_counts(spark, sf):
     return D.pair_counts(D.word_symbols(D.word_counts(cleaned(spark, sf), "text")), min_frequency=2)
 
 
-#: Entries of the vocabulary that the merge queries learn (the operator's own default is the full size).
-MERGE_VOCAB = 300
-
-
 @register("learn_merges")
 def q_learn_merges(spark, sf):
-    """Rows-only (a greedy loop that SQL cannot run in reasonable time); tested against a plain loop."""
-    counts = materialize(D.word_counts(cleaned(spark, sf), "text"))
-    return D.learn_merges(counts, vocab_size=MERGE_VOCAB)
+    """Rows-only (a greedy loop that SQL cannot run in reasonable time), at the operator's full size; tested against a plain loop."""
+    return D.learn_merges(materialize(D.word_counts(cleaned(spark, sf), "text")))
 
 
 @register("build_vocab_merges")
@@ -115,4 +110,4 @@ def q_build_vocab_merges(spark, sf):
     """Rows-only: D5 in its merge form - specials, alphabet, then the pieces
     learned by ``learn_merges``."""
     counts = materialize(D.word_counts(cleaned(spark, sf), "text"))
-    return D.build_vocab(counts, D.learn_merges(counts, vocab_size=MERGE_VOCAB))
+    return D.build_vocab(counts, D.learn_merges(counts))
