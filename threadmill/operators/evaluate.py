@@ -67,8 +67,8 @@ def cross_entropy(df: DataFrame, probs: str = "probs", y: str = "y") -> DataFram
     """H9: mean of -log softmax(out)[y], where ``out`` is already a
     probability vector (the reference applies softmax twice)."""
     p = F.col(probs)
-    e = F.transform(p, lambda x: F.exp(x - F.array_max(p)))
-    lse = F.log(F.aggregate(e, F.lit(0.0), lambda a, b: a + b)) + F.array_max(p)
+    # the maximum enters through one binding: once per row, not once per element
+    lse = F.element_at(F.transform(F.array(F.array_max(p)), lambda m: F.log(F.aggregate(p, F.lit(0.0), lambda a, x: a + F.exp(x - m))) + m), 1)
     loss = lse - F.element_at(p, F.col(y).cast("int") + 1)
     return df.agg(F.avg(loss).alias("cross_entropy"))
 

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadmill.session import materialize, work_partitions
+
 
 @dataclass
 class NaiveBayes:
@@ -100,9 +102,8 @@ def pair_features(a: str = "A", b: str = "B") -> Column:
 SPECIAL_IDS = (0, 1, 2, 3, 4)
 
 
-def associations(corpus: DataFrame, ids: str = "x", length: str = "length", window: int = 2, partners: int = 64, exclude=SPECIAL_IDS) -> DataFrame:
-    """How often two ids stand within ``window`` places of each other:
-    (v, t, n), for each v its ``partners`` commonest t (the size of the model)."""
+def associations(corpus: DataFrame, ids: str = "x", length: str = "length", window: int = 2, exclude=SPECIAL_IDS) -> DataFrame:
+    """How often two ids stand within ``window`` places of each other: (v, t, n), both ways round, all pairs."""
     x, n = F.col(ids), F.col(length)
     pairs = F.flatten(F.transform(
         F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
@@ -111,27 +112,86 @@ def associations(corpus: DataFrame, ids: str = "x", length: str = "length", wind
     ex = corpus.select(F.explode(pairs).alias("p")).where("p is not null")
     one = ex.where(~F.col("p.v").isin(list(exclude)) & ~F.col("p.t").isin(list(exclude))).groupBy("p.v", "p.t").agg(F.count(F.lit(1)).alias("n"))
     both = one.select("v", "t", "n").unionByName(one.select(F.col("t").alias("v"), F.col("v").alias("t"), "n"))
-    both = both.groupBy("v", "t").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("n").desc(), "t"))
-    return both.withColumn("_r", rank).where(F.col("_r") <= partners).drop("_r")
+    return both.groupBy("v", "t").agg(F.sum("n").alias("n"))
+
+
+def vote(seen: DataFrame, assoc: DataFrame, keys: list[str], most: int, slice_pairs: int = 2_000_000, task_votes: int = 20_000_000) -> DataFrame:
+    """The ``most`` best candidates of each key by the summed counts of all partners of its ids:
+    (keys, id_, votes). ``seen``: (keys, near array<int>); ``assoc``: (v, t, n, logp).
+
+    A product of two sparse matrices in tiles. The candidates are dealt into slices by a hash of their id (``slice_pairs`` pairs each) and the
+    samples into blocks by a hash of their key, so that a tile has about ``task_votes`` votes to add up. Within a tile all votes
+    for its candidates meet, so only the best of each sample leave it: no vote is shuffled, and an id with
+    many partners or many readers is spread over all tiles."""
+    spark = seen.sparkSession
+    degrees = assoc.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    reads = seen.select(F.explode("near").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("s"))
+    load = reads.join(degrees, "v").agg(F.sum(F.col("s") * F.col("d")).alias("votes")).first()["votes"] or 0
+    slices = max(1, -(-assoc.count() // slice_pairs))
+    blocks = max(1, -(-max(-(-load // task_votes), work_partitions(spark)) // slices))
+    deal = lambda *cols, n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = seen.select(*keys, "near", deal(*keys, n=blocks).alias("_b"), numbers(slices).alias("_s"))
+    right = assoc.select("v", "t", "n", "logp", deal("t", n=slices).alias("_s"), numbers(blocks).alias("_b"))
+    sides = [d.withColumn("_tile", F.col("_b") * slices + F.col("_s")).drop("_b", "_s").repartition(blocks * slices, "_tile").groupBy("_tile") for d in (left, right)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seen.select(*keys).schema.fields) + ", id_ int, votes bigint"
+
+    def tile(samples, pairs):
+        import numpy as np
+        import pyarrow as pa
+
+        v, t, n = (pairs.column(c).to_numpy() for c in ("v", "t", "n"))
+        logp = pairs.column("logp").to_numpy(zero_copy_only=False)
+        # candidates in the order that breaks ties, so that a stable sort by votes is the whole order
+        ids, first = np.unique(t, return_index=True)
+        rank = np.lexsort((ids, np.where(np.isnan(logp[first]), np.inf, -logp[first])))
+        ids, place = ids[rank], np.argsort(rank)[np.searchsorted(ids, t)]
+        order = np.argsort(v, kind="stable")
+        place, n = place[order], n[order]
+        readers, starts = np.unique(v[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        near = samples.column("near").combine_chunks()
+        near_ids, offsets = near.values.to_numpy(zero_copy_only=False), near.offsets.to_numpy()
+        rows, found, votes = [], [], []
+        for row in range(len(near)):
+            mine = near_ids[offsets[row] : offsets[row + 1]]
+            at = np.searchsorted(readers, mine)
+            at = at[(at < len(readers)) & (readers[np.minimum(at, len(readers) - 1)] == mine)] if len(readers) else at[:0]
+            total = np.zeros(len(ids), np.int64)
+            for a, b in zip(starts[at].tolist(), ends[at].tolist()):
+                total[place[a:b]] += n[a:b]  # an id has each partner once
+            hit = np.flatnonzero(total)
+            if len(hit) > most:
+                hit = hit[total[hit] >= np.partition(total[hit], -most)[-most]] if most else hit[:0]
+            hit = hit[np.argsort(-total[hit], kind="stable")][:most]
+            rows.append(np.full(len(hit), row))
+            found.append(ids[hit])
+            votes.append(total[hit])
+        pick = pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))
+        columns = [samples.column(k).take(pick) for k in keys]
+        columns += [pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind)) for x, kind in ((found, np.int32), (votes, np.int64))]
+        return pa.Table.from_arrays(columns, [*keys, "id_", "votes"])
+
+    return sides[0].cogroup(sides[1]).applyInArrow(tile, schema)
 
 
 def masked_predictor(samples: DataFrame, assoc: DataFrame, freq: DataFrame, key_cols, ids: str = "x", length: str = "length",
-                     positions: str = "positions", targets: str = "targets", window: int = 2, exclude=SPECIAL_IDS, out: str = "predicted") -> DataFrame:
+                     positions: str = "positions", targets: str = "targets", window: int = 2, exclude=SPECIAL_IDS, out: str = "predicted", **tiling) -> DataFrame:
     """For each sample as many ids as it has targets, from the visible
-    tokens near its masked places. Each visible token votes for its partners
+    tokens near its masked places. Each visible token votes for all its partners
     (``associations``) with their counts; ties and gaps are filled by corpus
-    frequency (``freq``: id, logp), then by id. Keys must be unique."""
+    frequency (``freq``: id, logp), then by id. Keys must be unique; ``tiling`` goes to ``vote``."""
     keys = list(key_cols)
     x, n, pos = F.col(ids), F.col(length), F.col(positions)
     near = F.flatten(F.transform(pos, lambda p: F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda d: F.when(
         (d != 0) & (p + d >= 0) & (p + d < n) & ~F.array_contains(pos, p + d), F.get(x, p + d)))))
-    seen = samples.select(*keys, F.explode(near).alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin(list(exclude)))
-    votes = seen.join(assoc, "v").groupBy(*keys, F.col("t").alias("id_")).agg(F.sum("n").alias("votes"))
+    seen = materialize(samples.select(*keys, F.filter(near, lambda v: v.isNotNull() & ~v.isin(list(exclude))).cast("array<int>").alias("near")).where(F.size("near") > 0))
     most = samples.agg(F.max(F.size(targets)).alias("k")).first()["k"] or 0
+    assoc = materialize(assoc.join(freq.select(F.col("id").alias("t"), "logp"), "t", "left"))
+    votes = vote(seen, assoc, keys, most, **tiling)
     common = [r["id"] for r in freq.orderBy(F.col("logp").desc(), F.col("id")).limit(most).collect()]  # as many as a sample has targets
     filler = samples.select(*keys, F.explode(F.array(*[F.lit(i) for i in common]).cast("array<int>")).alias("id_"), F.lit(0).cast("bigint").alias("votes"))
-    cand = votes.withColumn("id_", F.col("id_").cast("int")).unionByName(filler).groupBy(*keys, "id_").agg(F.max("votes").alias("votes"))
+    cand = votes.unionByName(filler).groupBy(*keys, "id_").agg(F.max("votes").alias("votes"))
     cand = cand.join(freq.select(F.col("id").alias("id_"), "logp"), "id_", "left")
     order = Window.partitionBy(*keys).orderBy(F.col("votes").desc(), F.col("logp").desc_nulls_last(), "id_")
     cand = cand.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.lit(int(most)))

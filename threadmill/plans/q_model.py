@@ -179,14 +179,14 @@ def q_pair_clf(spark, sf):
 
 # ---- masked tokens (G6, H5, H6, H10) -------------------------------------------
 MASK_SQL = masked_sql(0)[len("WITH "):].split("\nSELECT id, delim, sno, length")[0]
+LP_SQL = """idf AS (SELECT id AS tid, count(*) AS n FROM (SELECT unnest(list_slice(x, 1, length)) AS id FROM m2) WHERE id NOT IN (0, 1, 2, 3, 4) GROUP BY id),
+lp AS (SELECT tid AS id, ln(n) - ln((SELECT sum(n) FROM idf)) AS logp FROM idf)"""
 G6_SQL = f"""{MASK_SQL},
-idf AS (SELECT id AS tid, count(*) AS n FROM (SELECT unnest(list_slice(x, 1, length)) AS id FROM m2) WHERE id NOT IN (0, 1, 2, 3, 4) GROUP BY id),
-lp AS (SELECT tid AS id, ln(n) - ln((SELECT sum(n) FROM idf)) AS logp FROM idf),
+{LP_SQL},
 near2 AS (SELECT unnest(list_filter(flatten(list_transform(range(1, length + 1), lambda i: list_transform(range(1, 3), lambda d:
             CASE WHEN i + d <= length THEN {{'v': x[i], 't': x[i + d]}} END))), lambda p: p IS NOT NULL)) AS p FROM m2),
 co1 AS (SELECT p.v AS v, p.t AS t, count(*) AS n FROM near2 WHERE p.v > 4 AND p.t > 4 GROUP BY p.v, p.t),
-co AS (SELECT v, t, sum(n) AS n FROM (SELECT v, t, n FROM co1 UNION ALL SELECT t AS v, v AS t, n FROM co1) GROUP BY v, t
-       QUALIFY row_number() OVER (PARTITION BY v ORDER BY sum(n) DESC, t) <= 64),
+co AS (SELECT v, t, sum(n) AS n FROM (SELECT v, t, n FROM co1 UNION ALL SELECT t AS v, v AS t, n FROM co1) GROUP BY v, t),
 ctx AS (SELECT id, delim, sno, unnest(list_filter(flatten(list_transform(positions, lambda p: list_transform([-2, -1, 1, 2], lambda d:
           CASE WHEN p + d >= 0 AND p + d < length AND NOT list_contains(positions, p + d) THEN x[p + d + 1] END))), lambda z: z > 4)) AS v FROM m4),
 votes AS (SELECT c.id, c.delim, c.sno, co.t AS tid, sum(co.n) AS votes FROM ctx c JOIN co ON co.v = c.v GROUP BY c.id, c.delim, c.sno, co.t),
@@ -198,41 +198,45 @@ ov AS (SELECT id, delim, sno, predicted, CASE WHEN len(targets) > 0 THEN len(lis
        row_number() OVER (ORDER BY {O.md5_key(['id', 'delim', 'sno'], f'eval:{SEED}')}, id, delim, sno) AS rank FROM pr)"""
 
 
-def masked_eval(spark, sf, head: int | None = None):
-    """Masked samples of epoch 0 with their predicted ids and a random
-    evaluation order; also the corpus and the vocabulary's size, each built
-    once. ``head``: only the samples of the first topics in input order (H7)."""
+def masked_samples(spark, sf, head: int | None = None):
+    """Masked samples of epoch 0, the corpus they come from and the vocabulary's
+    size, each built once. ``head``: only the samples of the first topics in input order (H7)."""
     from threadmill.plans.encoders import encode_masked, masked_corpus
 
     vocab = topic_vocab(spark, sf)
     corpus = materialize(masked_corpus(topic_docs(spark, sf), ["id"], vocab))
     n = vocab.count()
-    keys = ["id", "delim", "sno"]
     part = corpus
     if head is not None:
         part = corpus.join(EV.head_rows(V.topics(spark, sf), ["id"], head).select("id"), "id", "left_semi")
-    m = encode_masked(part, ["id"], n, SEED, 0)
+    return materialize(encode_masked(part, ["id"], n, SEED, 0)), corpus, n
+
+
+def masked_eval(spark, sf, head: int | None = None):
+    """Masked samples with their predicted ids, the overlap and a random evaluation order."""
+    m, corpus, _ = masked_samples(spark, sf, head)
+    keys = ["id", "delim", "sno"]
     m = M.masked_predictor(m, M.associations(corpus), materialize(M.id_log_probs(corpus)), keys)
     m = EV.masked_topk_overlap(m, "targets", "predicted")
     m = m.withColumn("_o", HS.shuffle_key(*keys, seed=f"eval:{SEED}"))
-    return hash_rank(m, "_o", rank_col="rank", tie_cols=keys).drop("_o"), corpus, n
+    return hash_rank(m, "_o", rank_col="rank", tie_cols=keys).drop("_o")
 
 
 @register("masked_predictor", f"WITH {G6_SQL} SELECT id, delim, sno, array_to_string(predicted, ' ') AS predicted FROM ov")
 def q_masked_pred(spark, sf):
-    m, _, _ = masked_eval(spark, sf)
+    m = masked_eval(spark, sf)
     return m.select("id", "delim", "sno", F.array_join(F.col("predicted").cast("array<string>"), " ").alias("predicted"))
 
 
 @register("masked_topk_overlap", f"WITH {G6_SQL} SELECT id, delim, sno, round(overlap, 6) AS overlap FROM ov")
 def q_topk_overlap(spark, sf):
-    m, _, _ = masked_eval(spark, sf)
+    m = masked_eval(spark, sf)
     return m.select("id", "delim", "sno", F.round("overlap", 6).alias("overlap"))
 
 
 @register("masked_accuracy", f"WITH {G6_SQL} SELECT round(avg(a), 6) AS accuracy FROM (SELECT floor((rank - 1) / 16) AS b, avg(overlap) AS a FROM ov GROUP BY b)")
 def q_masked_acc(spark, sf):
-    m, _, _ = masked_eval(spark, sf)
+    m = masked_eval(spark, sf)
     return EV.masked_accuracy(m).select(F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -241,11 +245,12 @@ hov AS (SELECT overlap, row_number() OVER (ORDER BY rank) AS rank FROM ov WHERE
 SELECT round(avg(a), 6) AS accuracy FROM (SELECT floor((rank - 1) / 16) AS b, avg(overlap) AS a FROM hov GROUP BY b)""")
 def q_masked_acc_head(spark, sf):
     """The masked evaluation on the first 256 rows, as one job."""
-    m, _, _ = masked_eval(spark, sf, head=256)
+    m = masked_eval(spark, sf, head=256)
     return EV.masked_accuracy(m).select(F.round("accuracy", 6).alias("accuracy"))
 
 
-@register("bce_loss", f"""WITH {G6_SQL},
+@register("bce_loss", f"""WITH {MASK_SQL},
+{LP_SQL},
 pp AS (SELECT id, exp(logp) AS p FROM lp),
 negall AS (SELECT sum(-greatest(ln(1 - p), -100)) AS s FROM pp),
 ex AS (SELECT m4.id AS sid, m4.delim, m4.sno, unnest(targets) AS tid FROM m4),
@@ -255,7 +260,7 @@ per AS (SELECT ((SELECT s FROM negall) + coalesce(corr.c, 0)) / (SELECT count(*)
         FROM m4 LEFT JOIN corr ON corr.sid = m4.id AND corr.delim = m4.delim AND corr.sno = m4.sno)
 SELECT round(avg(l), 6) AS bce FROM per""")
 def q_bce(spark, sf):
-    m, corpus, v = masked_eval(spark, sf)
+    m, corpus, v = masked_samples(spark, sf)
     lp = M.id_log_probs(corpus)
     return EV.bce_loss(m, lp, v, "targets", ["id", "delim", "sno"]).select(F.round("bce", 6).alias("bce"))
 
