@@ -115,10 +115,12 @@ def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) ->
     draws = positives.select(
         *[F.col(k).alias(f"_k_{k}") for k in pk],
         (H.hash60(*pk, seed=f"a:{seed}") % n + 1).alias("ia"),
-        (H.hash60(*pk, seed=f"b:{seed}") % (n - 1) + 1).alias("_ib"),
+        F.try_mod(H.hash60(*pk, seed=f"b:{seed}"), n - 1).alias("_ib"),
         H.hash60(*pk, seed=f"sa:{seed}").alias("ha"),
         H.hash60(*pk, seed=f"sb:{seed}").alias("hb"),
-    ).withColumn("ib", F.when(F.col("_ib") >= F.col("ia"), F.col("_ib") + 1).otherwise(F.col("_ib")))
+    ).withColumn("_ib", F.col("_ib") + 1)
+    # a single document has no other: its draws are null and meet nothing
+    draws = draws.withColumn("ib", F.when(F.col("_ib") >= F.col("ia"), F.col("_ib") + 1).otherwise(F.col("_ib")))
     # the sizes tell which sentence is drawn; then single sentences travel, never whole documents
     sizes = idx.select("doc_idx", "n")
     draws = draws.join(sizes.select(F.col("doc_idx").alias("ia"), F.col("n").alias("na")), "ia")

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 from threadmill.session import bounded_broadcast, materialize
 
@@ -204,21 +205,35 @@ def conversation_done(store: DataFrame, flag: str = "conversation_complete") ->
     return store.groupBy("conversation_id").agg(F.bool_or(F.coalesce(F.col(flag), F.lit(False))).alias("done"))
 
 
+def _orderable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType, CalendarIntervalType))
+
+
+def row_order(df: DataFrame, cols: Iterable[str]) -> list[Column]:
+    """Columns that put rows in a total order whatever their types: maps and variants go by their JSON text."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [F.col(c) if _orderable(kinds[c]) else F.to_json(F.struct(F.col(c))) for c in cols]
+
+
 def store_upsert(store: DataFrame, batch: DataFrame, batch_col: str = "batch") -> DataFrame:
     """Add rows under their id; the latest batch wins. Within a batch the
     newest ``created_at`` wins, then the greatest row by its other columns in
-    name order, so the winner never depends on the partitioning."""
+    name order (columns of any type), so the winner never depends on the partitioning."""
     u = store.unionByName(batch, allowMissingColumns=True)
     first = [batch_col] + [c for c in ["created_at"] if c in u.columns]
     total = first + sorted(c for c in u.columns if c not in {"id", *first})
-    w = Window.partitionBy("id").orderBy(*[F.col(c).desc_nulls_last() for c in total])
+    w = Window.partitionBy("id").orderBy(*[c.desc_nulls_last() for c in row_order(u, total)])
     return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def hydrate_labels(labels: DataFrame, posts: DataFrame, id_col: str = "tweet_id", prefix: str = "post_") -> DataFrame:
     """A label file keyed by post id, left-joined to the store. Posts not
-    found keep nulls; overlapping columns of the store get ``prefix``."""
-    lab = labels.withColumn("id", F.col(id_col).cast("bigint")).drop(id_col)
+    found keep nulls, also for an id that is no id of the store's type; overlapping columns of the store get ``prefix``."""
+    lab = labels.withColumn("id", F.col(id_col).try_cast(posts.schema["id"].dataType)).drop(id_col)
     overlap = (set(lab.columns) & set(posts.columns)) - {"id"}
     p = posts.select(*[F.col(c).alias(prefix + c) if c in overlap else F.col(c) for c in posts.columns])
     return lab.join(p, "id", "left")

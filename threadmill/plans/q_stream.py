@@ -1,7 +1,7 @@
 """Registered queries: streams over post files equal the batch results.
 
 Each query writes the posts view as several files, drains a stream over
-them with ``availableNow`` and returns what the sink holds."""
+them in micro-batches of one or two files with ``availableNow`` and returns what the sink holds."""
 
 from __future__ import annotations
 
@@ -14,13 +14,21 @@ from threadmill.session import scratch_path
 from threadmill.sources import views as V
 from threadmill.streaming import collector as P
 
+#: Files that a view is written as, and files a micro-batch takes.
+FILES, PER_BATCH = 6, 2
+
+
+def arriving(spark, src, schema):
+    return P.stream_ingest(spark, src, schema, files_per_trigger=PER_BATCH)
+
+
 def post_files(spark, sf, *more):
-    """The posts view written as parquet files (as many as it has tasks), then
-    each of the ``more`` functions of it as further files."""
+    """The posts view written as ``FILES`` parquet files, then each of the
+    ``more`` functions of it as further, later files."""
     src = scratch_path(spark, "post-files")
     p = V.posts(spark, sf)
     for f in (lambda x: x, *more):
-        f(p).write.mode("append").parquet(src)
+        f(p).repartition(FILES, "id").write.mode("append").parquet(src)
     return src, spark.read.parquet(src).schema
 
 
@@ -28,7 +36,7 @@ def post_files(spark, sf, *more):
 def q_ingest(spark, sf):
     src, schema = post_files(spark, sf)
     out = scratch_path(spark, "ingest-out")
-    P.run_available(P.stream_ingest(spark, src, schema), out, scratch_path(spark, "ingest-ckpt"))
+    P.run_available(arriving(spark, src, schema), out, scratch_path(spark, "ingest-ckpt"))
     return post_out(spark.read.parquet(out))
 
 
@@ -43,9 +51,8 @@ strftime(CASE WHEN id % 2 = 0 THEN created_at + INTERVAL '1' DAY ELSE created_at
 def q_upsert(spark, sf):
     src, schema = post_files(spark, sf, _later)
     store = scratch_path(spark, "store")
-    P.stream_upsert(P.stream_ingest(spark, src, schema), store, scratch_path(spark, "store-ckpt"))
-    done = P.compact_store(spark, store, scratch_path(spark, "store-compacted"))
-    return done.select("id", "like_count", ts_str())
+    P.stream_upsert(arriving(spark, src, schema), store, scratch_path(spark, "store-ckpt"))
+    return P.read_store(spark, store).select("id", "like_count", ts_str())
 
 
 @register("stream_clean", f"""WITH {O.POSTS}, m AS (SELECT id, lang, {O.mask_text_sql('text')} AS text FROM posts WHERE text <> '')
@@ -53,7 +60,7 @@ SELECT id, {O.replace_emoji_sql('text')} AS text FROM m WHERE lang = 'en'""")
 def q_stream_clean(spark, sf):
     src, schema = post_files(spark, sf)
     out = scratch_path(spark, "clean-out")
-    P.run_available(P.stream_clean(P.stream_ingest(spark, src, schema)), out, scratch_path(spark, "clean-ckpt"))
+    P.run_available(P.stream_clean(arriving(spark, src, schema)), out, scratch_path(spark, "clean-ckpt"))
     return spark.read.parquet(out).select("id", "text")
 
 
@@ -61,7 +68,7 @@ def q_stream_clean(spark, sf):
 def q_dedup(spark, sf):
     src, schema = post_files(spark, sf, lambda p: p)
     out = scratch_path(spark, "dedup-out")
-    P.run_available(P.stream_dedup_id(P.stream_ingest(spark, src, schema), "30 days"), out, scratch_path(spark, "dedup-ckpt"))
+    P.run_available(P.stream_dedup_id(arriving(spark, src, schema), "30 days"), out, scratch_path(spark, "dedup-ckpt"))
     return spark.read.parquet(out).select("id", "text")
 
 
@@ -70,9 +77,9 @@ WHERE text NOT IN (SELECT text FROM posts GROUP BY text HAVING count(*) > 1)""")
 def q_repeated(spark, sf):
     src, schema = post_files(spark, sf)
     counts = scratch_path(spark, "text-counts")
-    P.stream_repeated_text(P.stream_ingest(spark, src, schema), counts, scratch_path(spark, "counts-ckpt"))
+    P.stream_repeated_text(arriving(spark, src, schema), counts, scratch_path(spark, "counts-ckpt"))
     posts = spark.read.parquet(src)
-    return post_out(P.unique_text_posts(posts, spark.read.parquet(counts)))
+    return post_out(P.unique_text_posts(posts, P.read_counts(spark, counts)))
 
 
 @register("stream_frontier", f"""WITH {O.POSTS}, {O.COMPLETED} SELECT DISTINCT conversation_id FROM posts
@@ -82,5 +89,5 @@ def q_frontier(spark, sf):
     out = scratch_path(spark, "frontier")
     completed = scratch_path(spark, "completed")
     V.completed_conversations(V.posts(spark, sf)).write.parquet(completed)
-    P.stream_frontier(P.stream_ingest(spark, src, schema), completed, out, scratch_path(spark, "frontier-ckpt"))
-    return spark.read.parquet(out).select("conversation_id").distinct()
+    P.stream_frontier(arriving(spark, src, schema), completed, out, scratch_path(spark, "frontier-ckpt"))
+    return spark.read.parquet(out).select("conversation_id")

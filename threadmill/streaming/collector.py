@@ -1,7 +1,7 @@
 """Streams of posts.
 
 Posts arrive as files in a folder. Every sink is idempotent per micro-batch
-(a batch writes its own partition, overwritten on replay), and progress is
+(a batch writes its own partition or version, overwritten on replay), and progress is
 kept in the checkpoint location, so a restarted or lost executor repeats
 work but never duplicates it.
 """
@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from threadmill.operators import clean as C
 from threadmill.operators import store as S
+from threadmill.streaming import keyed_store as K
 
 
-def stream_ingest(spark: SparkSession, src: str, schema, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None,
+def stream_ingest(spark: SparkSession, src: str, schema, files_per_trigger: int | None = None, bytes_per_trigger: int | None = 10 << 30,
                   fmt: str = "parquet") -> DataFrame:
-    """Posts arriving in pages (files), appended. A micro-batch takes all
-    new files unless a number of files or of bytes ('1g') is asked for."""
+    """Posts arriving in pages (files), appended. A micro-batch takes new
+    files up to a number of bytes (one file at least), or up to a number of files if that is asked for."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if bytes_per_trigger is not None:
+    elif bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.load(src)
 
@@ -34,26 +35,26 @@ def run_available(stream: DataFrame, sink_path: str, checkpoint: str, fmt: str =
     q.awaitTermination()
 
 
-def _batch_writer(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # one partition folder per micro-batch: a replayed batch overwrites it
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _drain(stream: DataFrame, write, checkpoint: str) -> None:
+    """Give every micro-batch of what is available now to ``write`` and stop."""
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
-    return write
 
+def stream_upsert(stream: DataFrame, store_path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Every micro-batch is merged into a store by post id; the latest batch
+    wins (B15). The store is as large as its posts, and a batch rewrites only the buckets that its ids fall in."""
 
-def stream_upsert(stream: DataFrame, store_path: str, checkpoint: str) -> None:
-    """Every micro-batch lands under its batch id (idempotent); the store
-    is read as latest-batch-wins per post id (``read_store``)."""
-    q = (stream.writeStream.foreachBatch(_batch_writer(store_path)).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        K.merge_batch(rows, batch_id, store_path, "id", lambda both: S.store_upsert(both.limit(0), both, "batch"), buckets)
+
+    _drain(stream, write, checkpoint)
 
 
 def read_store(spark: SparkSession, store_path: str) -> DataFrame:
     """The upserted store: one row per id, from the latest batch."""
-    updates = spark.read.parquet(store_path)
-    return S.store_upsert(updates.limit(0), updates, "batch").drop("batch")
+    return K.read(spark, store_path).drop("batch")
 
 
 def compact_store(spark: SparkSession, store_path: str, compacted_path: str) -> DataFrame:
@@ -86,35 +87,48 @@ def text_digest(text="text"):
     return F.md5(F.coalesce(F.concat(F.lit("+"), c), F.lit("-")))
 
 
-def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str) -> None:
-    """P5: running count per text digest (update mode); each batch writes the
-    changed counts under its batch id. The state holds a digest and a count
+def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str, buckets: int = 64) -> None:
+    """P5: copies per text digest, added up in a table by digest. There is no
+    state to expire: however late a copy comes, its digest's row is there. The table holds a digest and a count
     per distinct text, never the text."""
-    counts = stream.groupBy(text_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
-    q = (counts.writeStream.outputMode("update").foreachBatch(_batch_writer(counts_path))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(text_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+        K.merge_batch(counts, batch_id, counts_path, "digest", lambda both: both.groupBy("bucket", "digest").agg(F.sum("n").alias("n")), buckets)
+
+    _drain(stream, write, checkpoint)
+
+
+def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
+    """(digest, n) of all texts so far."""
+    return K.read(spark, counts_path)
 
 
 def unique_text_posts(posts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Batch view of P5: posts whose text was seen exactly once so far (the
-    largest running count per digest is its total)."""
-    once = counts.groupBy("digest").agg(F.max("n").alias("n")).where(F.col("n") == 1).select("digest")
+    """Batch view of P5: posts whose text was seen exactly once so far."""
+    once = counts.where(F.col("n") == 1).select("digest")
     return posts.withColumn("digest", text_digest()).join(once, "digest", "left_semi").drop("digest")
 
 
-def stream_frontier(stream: DataFrame, completed_path: str, frontier_path: str, checkpoint: str, lang: str = "en") -> None:
-    """Conversations of English posts not yet expanded, per batch.
+def stream_frontier(stream: DataFrame, completed_path: str, frontier_path: str, checkpoint: str, lang: str = "en",
+                    forget: str | None = None, time_col: str = "created_at") -> None:
+    """Conversations of English posts not yet expanded, each once. The keyed
+    state remembers which conversations have been asked for over all micro-batches, or over
+    the last ``forget`` of event time, after which a conversation that is still open may be asked for again.
 
     ``completed_path`` holds the table of completed conversations; it is read
     anew for each micro-batch, so later completions count."""
+    asked = stream.where(F.col("lang") == lang)
+    if forget is None:
+        asked = asked.select("conversation_id").dropDuplicates(["conversation_id"])
+    else:
+        asked = asked.select("conversation_id", F.col(time_col).cast("timestamp").alias("_at")).withWatermark("_at", forget)
+        asked = asked.dropDuplicatesWithinWatermark(["conversation_id"]).select("conversation_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        convs = batch.where(F.col("lang") == lang).select("conversation_id").distinct()
         completed = batch.sparkSession.read.parquet(completed_path)
-        todo = convs.join(completed, "conversation_id", "left_anti")
+        todo = batch.join(completed, "conversation_id", "left_anti")
+        # one folder per micro-batch: a replayed batch overwrites it
         todo.write.mode("overwrite").parquet(f"{frontier_path}/batch={batch_id}")
 
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(asked, write, checkpoint)
