@@ -71,7 +71,8 @@ def test_rounds_see_whole_texts(spark):
     chunks = hmm.chunked(spark.createDataFrame(list(zip(held, texts)), "doc_id long, text string").coalesce(1), "doc_id", "text", 7, 2)
     m = hmm.Hmm.first(np.full(hmm.CLASSES + 1, 1 / (hmm.CLASSES + 1)), 3)
     m.start = np.array([0.7, 0.2, 0.1])
-    start, move, emit = hmm._expected(chunks, m, 3)
+    start, move, emit, likelihood = hmm._expected(chunks, m, 3)
+    plain = 0.0
     w_start, w_move, w_emit = np.zeros(3), np.zeros((3, 3)), np.zeros((hmm.CLASSES + 1, 3))
     for t in texts:
         seq = [hmm.xxhash.xxh64_intdigest(w) & (hmm.CLASSES - 1) for w in t.encode().split()] + [hmm.END]
@@ -81,22 +82,65 @@ def test_rounds_see_whole_texts(spark):
             f[i] = (m.start if i == 0 else f[i - 1] @ m.move) * e[i]
             c[i] = f[i].sum()
             f[i] /= c[i]
+        plain += np.log(c).sum()
         for i in range(len(seq) - 2, -1, -1):
             b[i] = m.move @ (e[i + 1] * b[i + 1]) / c[i + 1]
             w_move += m.move * np.outer(f[i], e[i + 1] * b[i + 1] / c[i + 1])
         w_start += f[0] * b[0]
         np.add.at(w_emit, seq, f * b)
     assert start.sum() == pytest.approx(3) and move.sum() == pytest.approx(2203)
-    assert np.allclose(start, w_start) and np.allclose(move, w_move) and np.allclose(emit, w_emit)
-
-
-def test_stretches_cover_training_texts():
-    lens, train = np.array([1, 600, 256, 257, 3]), np.array([1, 1, 0, 1, 1])
-    first, size = hmm.stretches(lens, train)
-    places = sorted(p for a, n in zip(first, size) for p in range(a, a + n))
-    ends = np.cumsum(lens)
-    assert places == [p for e, n, t in zip(ends, lens, train) if t for p in range(e - n, e)]
-    assert size.max() <= hmm.STRETCH
+    assert np.allclose(start, w_start) and np.allclose(move, w_move) and np.allclose(emit, w_emit) and likelihood == pytest.approx(plain)
+
+
+@pytest.mark.parametrize("parts", [6, 40])
+def test_scores_do_not_depend_on_the_split(spark, parts):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one = {r["doc_id"]: r["score"] for r in hmm.score(docs.coalesce(1)).collect()}
+    other = {r["doc_id"]: r["score"] for r in hmm.score(docs.repartition(parts, "text")).collect()}
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 * max(1, abs(one[k])) for k in one)
+
+
+def test_the_score_is_a_plain_baum_welch(spark):
+    """The whole query against loops over single tokens of single texts."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "e"], rng.integers(0, 9), p=[0.4, 0.3, 0.1, 0.1, 0.1]))) for i in range(40)] + [(50, "a zz b")]
+    rounds, states = 3, 2
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=states, rounds=rounds, settled=0.0).collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(w for d, t in rows if not held(d) for w in tokens(t))
+    of = lambda w: hmm.END if w == "</end>" else hmm.xxhash.xxh64_intdigest(w.encode()) & (hmm.CLASSES - 1)
+    weight = np.ones(hmm.CLASSES + 1)  # of a class: counts, one more for each known word, one for the unseen
+    for w, c in count.items():
+        weight[of(w)] += c + (w != "</end>")
+    share = weight / weight.sum()
+    m = hmm.Hmm.first(share, states)
+    start, move, emit = m.start, m.move, m.emit
+    for _ in range(rounds):
+        n_start, n_move, n_emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(emit)
+        for d, t in rows:
+            if held(d):
+                continue
+            e = [emit[of(w)] for w in tokens(t)]
+            f = [start * e[0]]
+            for x in e[1:]:
+                f.append((f[-1] @ move) * x)
+            b = [np.ones(states)]
+            for x in e[:0:-1]:
+                b.insert(0, move @ (x * b[0]))
+            z = f[-1].sum()
+            n_start += f[0] * b[0] / z
+            for i, w in enumerate(tokens(t)):
+                n_emit[of(w)] += f[i] * b[i] / z
+                if i:
+                    n_move += np.outer(f[i - 1], e[i] * b[i]) * move / z
+        n_start, n_move, n_emit = n_start + hmm.EVEN, n_move + hmm.EVEN, n_emit + hmm.KEEP * share[:, None]
+        start, move, emit = n_start / n_start.sum(), n_move / n_move.sum(axis=1, keepdims=True), n_emit / n_emit.sum(axis=0)
+    for d, t in rows:
+        a, log = start, 0.0
+        for i, w in enumerate(tokens(t)):
+            a = (a @ move if i else a) * emit[of(w)]
+            log += math.log10((count[w] + 1) / weight[of(w)]) if w != "</end>" else 0.0
+        assert got[d] == pytest.approx(log + math.log10(a.sum()), abs=1e-8)
 
 
 def tokens(text):

@@ -11,8 +11,9 @@ words' hashes with their counts among training documents. Word counts are summed
 shuffle on the hash and sent back to the chunks that hold the word. Baum-Welch
 runs over all training documents of all chunks, each a whole sequence: the forward pass keeps its vector at every
 ``STRETCH``-th token, and the backward pass, from the document's end, makes the forward vectors between these anew.
-Each task sums its expected counts and a shuffle adds them up by class. A start from one
-chunk (``START_TOKENS`` tokens of it, as stretches of ``STRETCH`` tokens) breaks the symmetry of the states. The scaled forward recursion over the whole text gives its exact likelihood.
+Each task sums its expected counts and a shuffle adds them up by class. Where the states begin depends on the words'
+hashes and corpus counts alone, and every round reads all training documents, so the scores do not depend on how the input is split (but
+for the rounding of sums). Rounds end when the likelihood settles, or after ``rounds``. The scaled forward recursion over the whole text gives its exact likelihood.
 
 Words are told apart by 64 bits of XXH64; among a billion words, two share
 one with a chance of 3 %.
@@ -37,7 +38,7 @@ from threadmill.llm.common import cut, sums, text_steps
 
 CLASSES, STATES, STRETCH, GROUP = 1 << 15, 4, 256, 2048
 END = CLASSES
-CHUNK_CHARS, START_TOKENS = 32_000_000, 150_000
+CHUNK_CHARS = 32_000_000
 #: Strength of the corpus share of a class in a state's emissions, and of even odds in its transitions.
 KEEP, EVEN = 200.0, 1.0
 
@@ -155,8 +156,9 @@ class Hmm:
             a = a / s
             yield seen, a, s
 
-    def expected(self, classes: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """Add the expected counts of the texts (their first places and sizes) to start, move and emit."""
+    def expected(self, classes: np.ndarray, first: np.ndarray, size: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+        """Add the expected counts of the texts (their first places and sizes) to start, move and emit; their log likelihood."""
+        likelihood = 0.0
         states = len(self.start)
         order = np.argsort(-size, kind="stable")
         for k in range(0, len(order), GROUP):
@@ -175,54 +177,47 @@ class Hmm:
                     b = np.concatenate([on @ self.move.T, np.ones((len(seen[t]) - m, states))])
                     on = self.emit[seen[t]] * b / scale[t]
                     forward[t] = forward[t] * b
+                likelihood += float(np.log(np.concatenate(scale)).sum())
                 places, weights = np.concatenate(seen), np.concatenate(forward)
                 for s in range(states):
                     emit[:, s] += np.bincount(places, weights=weights[:, s], minlength=len(emit))
             start += forward[0].sum(axis=0)
+        return likelihood
 
 
-def stretches(lens: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and sizes of the stretches of the training texts."""
-    pieces = -(-lens // STRETCH)
-    text = np.repeat(np.arange(len(lens)), pieces)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = (np.cumsum(lens) - lens)[text] + nth * STRETCH
-    size = np.minimum(STRETCH, lens[text] - nth * STRETCH)
-    used = train[text] > 0
-    return first[used], size[used]
-
-
-def _expected(chunks: DataFrame, model: Hmm, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of start, move and emit over all chunks. What reaches the driver has the size of the model."""
+def _expected(chunks: DataFrame, model: Hmm, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of start, move and emit over all chunks, and the log likelihood. What reaches the driver has the size of the model."""
     held = chunks.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
 
     def run(batches):
         model = Hmm(*held.value)
         start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
+        likelihood = np.zeros((1, states))
         for batch in batches:
             for row in batch.to_pylist():
                 classes = spread(row["classes"], "<u2")[spread(row["tokens"], "<i4")]
                 lens, used = np.array(row["lens"], np.int64), np.array(row["train"]) > 0
                 if used.any():
-                    model.expected(classes, (np.cumsum(lens) - lens)[used], lens[used], start, move, emit)
-        # rows 0 .. CLASSES: emissions of a class; then transitions from a state; then the start
-        table = np.concatenate([emit, move, start[None, :]])
+                    likelihood[0, 0] += model.expected(classes, (np.cumsum(lens) - lens)[used], lens[used], start, move, emit)
+        # rows 0 .. CLASSES: emissions of a class; then transitions from a state; then the start and the likelihood
+        table = np.concatenate([emit, move, start[None, :], likelihood])
         kept = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_pydict({"row": pa.array(kept), **{f"s{s}": pa.array(table[kept, s]) for s in range(states)}})
 
     schema = "row long, " + ", ".join(f"s{s} double" for s in range(states))
     added = chunks.select("lens", "train", "tokens", "classes").mapInArrow(run, schema).groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)])
-    table = np.zeros((CLASSES + 1 + states + 1, states))
+    table = np.zeros((CLASSES + 1 + states + 2, states))
     for r in added.collect():
         table[r["row"]] = r[1:]
-    return table[-1], table[CLASSES + 1 : -1], table[: CLASSES + 1]
+    return table[-2], table[CLASSES + 1 : -2], table[: CLASSES + 1], float(table[-1, 0])
 
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2,
-    states: int = STATES, rounds: int = 2, start_rounds: int = 12,
+    states: int = STATES, rounds: int = 8, settled: float = 0.01,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text. Training ends when a
+    round adds less than ``settled`` nats a token."""
     chunks = cut(chunked(docs, id_col, text_col, folds, fold))
     places = chunks.select("chunk", F.posexplode(F.arrays_zip("h", "n")).alias("at", "word")).select("chunk", "at", "word.h", "word.n")
     counts = cut(places.groupBy("h").agg(F.sum("n").alias("c")))
@@ -238,9 +233,13 @@ def score(
 
     model = Hmm.first(share, states)
     if total:
-        model = _started(chunks, model, share, start_rounds)
+        before = -math.inf
         for _ in range(rounds):
-            model = Hmm.of(*_expected(chunks, model, states), share)
+            *counted, likelihood = _expected(chunks, model, states)
+            model = Hmm.of(*counted, share)
+            if likelihood - before < settled * total:
+                break
+            before = likelihood
 
     # counts of the words back to their chunks, in the order of the local numbers
     routed = places.select("chunk", "at", "h").join(counts, "h").select("chunk", "at", "c")
@@ -278,17 +277,3 @@ def score(
 
     return whole.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-
-def _started(chunks: DataFrame, model: Hmm, share: np.ndarray, rounds: int) -> Hmm:
-    """Baum-Welch on the first chunk's training texts, up to START_TOKENS tokens; it only sets where the rounds over all texts begin."""
-    least = chunks.where(F.exists("train", lambda x: x == 1)).agg(F.min("chunk").alias("c")).first()["c"]
-    row = chunks.where(F.col("chunk") == least).select("lens", "train", "tokens", "classes").first()
-    classes = spread(row["classes"], "<u2")[spread(row["tokens"], "<i4")]
-    first, size = stretches(np.array(row["lens"], np.int64), np.array(row["train"]))
-    some = np.cumsum(size) <= max(START_TOKENS, int(size[0]))
-    states = len(model.start)
-    for _ in range(rounds):
-        start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES + 1, states))
-        model.expected(classes, first[some], size[some], start, move, emit)
-        model = Hmm.of(start, move, emit, share)
-    return model
