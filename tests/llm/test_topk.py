@@ -1,6 +1,7 @@
 """Exact top-k against brute force."""
 
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,19 +12,13 @@ from tools.check_oracle import duck, rows_of
 
 
 def plain(rows, k, every):
-    """rows: (vec_id, vector)."""
-    by = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        s = [math.floor(256.0 * x) for x in v]
-        if all(abs(x) < 1 << 26 for x in s):
-            by[i] = max(by.get(i, s), s)
-    out = []
-    for q, v in by.items():
+    """rows: (vec_id, vector). Whole numbers of any size; scores beyond a long count as the nearest one."""
+    used = [(i, [math.floor(256.0 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out, most = [], 2**63 - 1
+    for n, (q, v) in enumerate(used):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in by.items() if i != q and len(w) == len(v))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+            scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, w)))), i) for m, (i, w) in enumerate(used) if m != n and len(w) == len(v))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -58,3 +53,20 @@ def test_few_candidates_and_none(spark):
     assert run(spark, [(0, [1.0])]) == []
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 256 * 512)]
+
+
+def test_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [300000.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 0.0]), (3, [4.0, 0.0])]
+    assert [r[2] for r in run(spark, rows, 4) if r[0] == 0] == [1, 3, 3, 2]
+    assert run(spark, rows, 4) == plain(rows, 4, 2)
+
+
+def test_scores_of_any_size(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i % 40, [rnd.choice([-1, 1]) * 2.0 ** rnd.uniform(-4, top) for _ in range(3)]) for i, top in enumerate([3, 20, 30, 60, 120] * 12)]
+    rows += [(50, [1e38, -1e38, 1.0]), (52, [3e38, 3e38, 3e38]), (54, [-3e38, 1.0, 0.0])]
+    rows = [(i, [struct.unpack("f", struct.pack("f", x))[0] for x in v]) for i, v in rows]  # the column holds floats
+    assert run(spark, rows, 5) == plain(rows, 5, 2)
+    assert run(spark, rows, 3, query_block=4) == plain(rows, 3, 2)

@@ -3,11 +3,11 @@
 Every row is projected to ``dims`` directions with normal components (2-stable:
 a pair's projected squared distance over its squared distance follows a
 chi-square law with ``dims`` degrees of freedom). The projections of each shard of about ``shard_rows``
-rows are indexed by a kd-tree with the bounding boxes of its nodes. A query takes
-the leaves in the order of their distance to its projection and verifies their
-rows with the original vectors, until the chi-square test holds: a row as near as the k-th found one would have been met with probability
-``sure`` or more. Leaves on the test's bound are still searched, so that equal vectors are ranked by their ids. The best of all shards
-are then ranked.
+rows are indexed by a kd-tree with the bounding boxes of its nodes. A query meets rows in the order of their
+projected distance, boxes standing for what is in them, and verifies each with the original vectors, until the chi-square test holds: a row
+as near as the k-th found one would have been met with probability ``sure`` or more. Rows on the test's bound are
+still verified, so that equal vectors are ranked by their ids. A query searches its own shard first; the k-th distance found there
+is a bound for all other shards. The best of all shards are then ranked.
 
 The index holds every row that can be a result: of a shard's equal vectors, those of the k + 1 smallest ids (one may be
 the query's own); nothing is sampled or capped. The stated queries come
@@ -15,8 +15,8 @@ in blocks of ``QUERY_BLOCK``, which bounds what is broadcast. Distances are
 computed in double precision from the original components.
 
 Defined results: vectors that are null, empty, all zero or hold a null or
-non-finite component, and rows with a null id take no part. Of several rows of one id
-the one with the greatest vector takes part. Queries meet vectors of their own length only. A query without
+non-finite component, and rows with a null id take no part. Rows are told apart as rows: of several rows of one id each is a
+candidate, and each is a query if its id is one, with all other rows as candidates. Queries meet vectors of their own length only. A query without
 candidates has no rows. Other columns are not read.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import cut
 from threadmill.llm.topk import query_blocks, usable
 
-DIMS, SURE, SHARD_ROWS, LEAF = 8, 0.99, 8192, 64
+DIMS, SURE, SHARD_ROWS, LEAF = 24, 0.93, 8192, 64
+#: Rows verified between two looks at the test.
+STEP = 16
 QUERY_BLOCK = 4096
 
 
@@ -116,55 +119,77 @@ def rounding(query: np.ndarray, wide: np.ndarray) -> float:
 
 def search(
     ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, tree: KdTree, own: int, query: np.ndarray, image: np.ndarray, k: int, point: float,
-    slack: float = 0.0,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k nearest found in one shard; ``slack`` is the rounding of the projections."""
-    best_id, best = np.zeros(0, np.int64), np.zeros(0)
-    for far, rows in tree.nearest_leaves(image):
-        if len(best) == k and math.sqrt(far) > math.sqrt(point) * best[-1] + slack:
+    slack: float = 0.0, bound: float = math.inf,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and distances of the k nearest found in one shard, and the number of rows verified. ``own``: place of the
+    query's own row, or -1; ``slack``: rounding of the projections; ``bound``: a k-th distance known already."""
+    best_id, best, verified = np.zeros(0, np.int64), np.zeros(0), 0
+    waiting, gaps = np.zeros(0, np.int64), np.zeros(0)
+
+    def limit() -> float:
+        return math.sqrt(point) * (min(bound, best[-1]) if len(best) == k else bound) + slack
+
+    for far, rows in chain(tree.nearest_leaves(image), [(math.inf, waiting)]):
+        far = math.sqrt(far)
+        ready = np.flatnonzero(gaps <= far)  # nearer than all that lies in the boxes to come
+        ready = ready[np.argsort(gaps[ready], kind="stable")]
+        for at in range(0, len(ready), STEP):
+            part = ready[at : at + STEP]
+            part = part[gaps[part] <= limit()]
+            if not len(part):
+                return best_id, best, verified
+            verified += len(part)
+            part = waiting[part]
+            d = np.sqrt(((vectors[part] - query) ** 2).sum(axis=1))
+            best_id, best = np.concatenate([best_id, ids[part]]), np.concatenate([best, d])
+            kept = np.lexsort((best_id, best))[:k]
+            best_id, best = best_id[kept], best[kept]
+        if far > limit():
             break
-        rows = rows[ids[rows] != own]
-        d = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
-        best_id, best = np.concatenate([best_id, ids[rows]]), np.concatenate([best, d])
-        kept = np.lexsort((best_id, best))[:k]
-        best_id, best = best_id[kept], best[kept]
-    return best_id, best
+        left = gaps > far
+        rows = rows[rows != own]
+        waiting = np.concatenate([waiting[left], rows])
+        gaps = np.concatenate([gaps[left], np.sqrt(((projected[rows] - image) ** 2).sum(axis=1))])
+    return best_id, best, verified
 
 
 def index(rows: DataFrame, id_col: str, vector_col: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """length, shard, vec_id, v: every usable row in its shard."""
+    """length, shard, row, vec_id, v: every usable row in its shard."""
     vector = F.col(vector_col)
     v = F.transform(vector, lambda x: x.cast("double"))
     read = rows.select(F.col(id_col).alias("vec_id"), F.when(usable(vector), v).alias("v"))
     read = read.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0.0))
-    read = cut(read.groupBy("vec_id").agg(F.max("v").alias("v")))
+    read = cut(read.withColumn("row", F.monotonically_increasing_id()))
     shards = max(1, -(-read.count() // shard_rows))
-    return read.select(F.size("v").alias("length"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "v")
+    return read.select(F.size("v").alias("length"), F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "vec_id", "v")
 
 
-def _searcher(held, k: int, dims: int, seed: int, point: float):
-    """The search of one shard for the broadcast queries."""
+def _searcher(held, k: int, dims: int, seed: int, point: float, own_shard: bool):
+    """The search of one shard for the broadcast queries: those of the shard, or all others with their bounds."""
 
     def run(key, table):
-        length = key[0].as_py()
-        wide = directions(length, dims, seed)
-        ids = table.column("vec_id").to_numpy()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, length)
-        kept = first_copies(ids, vectors, k + 1)
-        ids, vectors = ids[kept], vectors[kept]
-        projected = vectors @ wide
-        tree = KdTree(projected)
-        query_ids, found, scores = [], [], []
-        for own, query in held.value:
-            if len(query) == length:
-                best_id, best = search(ids, vectors, projected, tree, own, query, query @ wide, k, point, rounding(query, wide))
-                query_ids += [own] * len(best_id)
-                found.append(best_id)
-                scores.append(best)
+        length, shard = key[0].as_py(), key[1].as_py()
+        queries = [q for q in held.value if len(q[2]) == length and (q[3] == shard) == own_shard]
+        found, scores, verified = [], [], []
+        if queries:
+            wide = directions(length, dims, seed)
+            ids, numbers = (table.column(c).to_numpy() for c in ("vec_id", "row"))
+            vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, length)
+            kept = first_copies(ids, vectors, k + 1)
+            ids, numbers, vectors = ids[kept], numbers[kept], vectors[kept]
+            projected = vectors @ wide
+            tree = KdTree(projected)
+            for row, _, query, _, bound in queries:
+                own = np.flatnonzero(numbers == row)
+                a, b, n = search(ids, vectors, projected, tree, int(own[0]) if len(own) else -1, query, query @ wide, k, point, rounding(query, wide), bound)
+                found.append(a)
+                scores.append(b)
+                verified.append(n)
+        sizes = [len(a) for a in found]
         return pa.table({
-            "query_id": pa.array(query_ids, pa.int64()),
-            "vec_id": pa.array(np.concatenate(found) if found else [], pa.int64()),
-            "score": pa.array(np.concatenate(scores) if scores else [], pa.float64()),
+            "query": pa.array(np.repeat([q[0] for q in queries], sizes).astype(np.int64)), "query_id": pa.array(np.repeat([q[1] for q in queries], sizes).astype(np.int64)),
+            "vec_id": pa.array(np.concatenate([np.zeros(0, np.int64), *found])), "score": pa.array(np.concatenate([np.zeros(0), *scores])),
+            "verified": pa.array(np.repeat(verified, sizes).astype(np.int64)),
         })
 
     return run
@@ -174,18 +199,30 @@ def nearest(
     rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     dims: int = DIMS, sure: float = SURE, seed: int = 7, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (distance). ``dims`` is even; ``is_query`` is a condition on column vec_id."""
+    """query_id, rank (from 1), vec_id, score (distance), verified (rows that the
+    result's shard verified). ``dims`` is even; ``is_query`` is a condition on column vec_id."""
     if dims % 2:
         raise ValueError("dims must be even")
     indexed = cut(index(rows, id_col, vector_col, shard_rows))
     point = chi_square_point(sure, dims)
     spark, out = rows.sparkSession, None
-    for block in query_blocks(indexed.where(is_query), query_block):
-        held = spark.sparkContext.broadcast([(r["vec_id"], np.array(r["v"])) for r in block])
+    schema = "query long, query_id long, vec_id long, score double, verified long"
+
+    def part(queries: list[tuple], own_shard: bool) -> DataFrame:
+        held = spark.sparkContext.broadcast(queries)
+        return indexed.groupBy("length", "shard").applyInArrow(_searcher(held, k, dims, seed, point, own_shard), schema)
 
-        part = indexed.groupBy("length", "shard").applyInArrow(_searcher(held, k, dims, seed, point), "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
+    one_shard = indexed.select("shard").distinct().count() < 2
+    for block in query_blocks(indexed.where(is_query), query_block):
+        queries = [(r["row"], r["vec_id"], np.array(r["v"]), r["shard"], math.inf) for r in block]
+        found = part(queries, True)
+        if not one_shard:
+            found = cut(found)
+            kth = found.groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+            bounds = {r["query"]: r["far"] for r in kth.collect()}  # one row a query of the block
+            found = found.unionByName(part([(*q[:4], bounds.get(q[0], math.inf)) for q in queries], False))
+        out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = spark.createDataFrame([], schema)
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")

@@ -13,10 +13,12 @@ The stated queries come in blocks of ``QUERY_BLOCK`` vectors, which bounds what
 is broadcast; each block meets all rows. A query's candidates are all rows
 of the same length but its own.
 
+Scores are exact: products that might not fit in 64 bits are taken with whole numbers of any size.
+
 Defined results: null vectors, empty vectors, vectors with a null or non-finite
-component or with one of 2^26 or more after scaling (a score might not fit a
-long) and rows with a null id take no part. Of several rows of one id the
-one with the greatest vector takes part. A query without candidates has no rows. Other columns are not read.
+component and rows with a null id take no part. A score beyond the range of a long counts as the
+nearest long. Rows are told apart as rows: of several rows of one id each is a candidate, and each is a
+query if its id is one, with all other rows as candidates. A query without candidates has no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from threadmill.llm.common import cut
 BINS = 256
 QUERY_BLOCK = 4096
 ROWS = 1024
-LOW = np.iinfo(np.int64).min
+LOW, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: Scores beyond this are one bin end of the histograms.
+EDGE = (1 << 62) - 2
 
 
 def usable(vector: Column) -> Column:
@@ -41,10 +45,10 @@ def usable(vector: Column) -> Column:
 
 
 def matrices(batch: pa.RecordBatch, vector: str = "v"):
-    """(rows, matrix) for each length of vectors in the batch."""
+    """(rows, matrix of whole numbers as doubles) for each length of vectors in the batch."""
     column = batch.column(vector)
     offsets = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False)
+    flat = np.nan_to_num(np.floor(column.values.to_numpy(zero_copy_only=False)))
     lens = np.diff(offsets)
     for d in np.unique(lens):
         rows = np.flatnonzero(lens == d)
@@ -52,37 +56,56 @@ def matrices(batch: pa.RecordBatch, vector: str = "v"):
 
 
 def scaled(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v (the scaled components), one row for each id."""
+    """vec_id, row (a number of its own) and v (the components times 256, not yet floored)."""
     vector = F.col(vector_col)
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * 256.0).cast("long"))
+    v = F.transform(vector, lambda x: x.cast("double") * 256.0)
     read = rows.select(F.col(id_col).alias("vec_id"), F.when(usable(vector), v).alias("v"))
-    read = read.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: F.abs(x) < 1 << 26))
-    return read.groupBy("vec_id").agg(F.max("v").alias("v"))
+    return read.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).withColumn("row", F.monotonically_increasing_id())
+
+
+def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers held as doubles, exact, as longs."""
+    d = q.shape[1]
+    q_most, r_most = np.abs(q).max(axis=1, initial=0), np.abs(rows).max(axis=1, initial=0)
+    if q_most.max(initial=0) * r_most.max(initial=0) * d < 2.0**53:
+        return (q @ rows.T).astype(np.int64)
+    far = (2.0**62 / d) ** 0.5  # below it on both sides a sum stays below 2^62
+    q_far, r_far = q_most >= far, r_most >= far
+    out = np.where(q_far[:, None], 0, q).astype(np.int64) @ np.where(r_far[:, None], 0, rows).astype(np.int64).T
+
+    def whole(a: np.ndarray) -> np.ndarray:
+        return np.array([[int(x) for x in r] for r in a], object).reshape(a.shape)
+
+    def fit(a: np.ndarray) -> np.ndarray:
+        return np.minimum(np.maximum(a, -MOST), MOST).astype(np.int64)
+
+    if q_far.any():
+        out[q_far] = fit(whole(q[q_far]) @ whole(rows).T)
+    if r_far.any():
+        out[:, r_far] = fit(whole(q) @ whole(rows[r_far]).T)
+    return out
 
 
 class Queries:
-    """A block of queries: ids and vectors by length, with places in the block."""
+    """A block of queries: rows, ids and vectors by length, with places in the block."""
 
-    def __init__(self, ids: list[int], vectors: list[list[int]]):
-        self.plain = (ids, vectors)
-        self.ids, self.by = np.array(ids, np.int64), {}
+    def __init__(self, rows: list[int], ids: list[int], vectors: list[list[float]]):
+        self.plain = (rows, ids, vectors)
+        self.rows, self.ids, self.by = np.array(rows, np.int64), np.array(ids, np.int64), {}
         for i, v in enumerate(vectors):
             self.by.setdefault(len(v), []).append(i)
-        self.by = {d: (np.array(at), np.array([vectors[i] for i in at], np.int64)) for d, at in self.by.items()}
+        self.by = {d: (np.array(at), np.nan_to_num(np.floor(np.array([vectors[i] for i in at], np.float64)))) for d, at in self.by.items()}
 
     def scores(self, batch: pa.RecordBatch):
         """(places of queries, ids of rows, scores as queries x rows, own row marked) in blocks."""
-        ids = batch.column("vec_id").to_numpy()
+        ids, numbers = batch.column("vec_id").to_numpy(), batch.column("row").to_numpy()
         for d, rows, matrix in matrices(batch):
             if d not in self.by:
                 continue
             places, q = self.by[d]
-            exact = float(np.abs(q).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * d < 2.0**53
             for k in range(0, len(rows), ROWS):
-                part = matrix[k : k + ROWS]
-                s = (q.astype(np.float64) @ part.T.astype(np.float64)).astype(np.int64) if exact else q @ part.T
-                own = ids[rows[k : k + ROWS]]
-                yield places, own, s, self.ids[places][:, None] == own[None, :]
+                part = rows[k : k + ROWS]
+                yield places, ids[part], products(q, matrix[k : k + ROWS]), self.rows[places][:, None] == numbers[part][None, :]
 
 
 def _histogram(vectors: DataFrame, block, low: np.ndarray, high: np.ndarray, width: np.ndarray, k: int) -> DataFrame:
@@ -95,7 +118,7 @@ def _histogram(vectors: DataFrame, block, low: np.ndarray, high: np.ndarray, wid
         counts = np.zeros((len(queries.ids), BINS), np.int64)
         for batch in batches:
             for places, _, s, own in queries.scores(batch):
-                s = np.where(own, LOW, s)
+                s = np.where(own, LOW, np.clip(s, -EDGE, EDGE))
                 s = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, -k:]  # lower ones of these rows decide nothing
                 b = (np.where(s == LOW, low[places][:, None] - 1, s) - low[places][:, None]) // width[places][:, None]
                 q, j = np.nonzero((b >= 0) & (s < high[places][:, None]))
@@ -127,12 +150,12 @@ def _kth(vectors: DataFrame, block: Queries, bound: np.ndarray, k: int) -> np.nd
             else:
                 short[i], high[i] = True, low[i]  # all its candidates count: nothing to look for
         if (width[~short] == 1).all():
-            return np.where(short, LOW, low)
+            return np.where(short | (low <= -EDGE), LOW, low)
         width = np.maximum(1, -(-width // BINS))
 
 
 def _best(vectors: DataFrame, block: Queries, least: np.ndarray, k: int) -> DataFrame:
-    """query_id, vec_id and score of the scores from the k-th value on, at most k a task and query."""
+    """query (its row), query_id, vec_id and score of the scores from the k-th value on, at most k a task and query."""
     held = vectors.sparkSession.sparkContext.broadcast((block.plain, least))
 
     def run(batches):
@@ -149,37 +172,39 @@ def _best(vectors: DataFrame, block: Queries, least: np.ndarray, k: int) -> Data
                     first = np.searchsorted(best_q, best_q)
                     kept = np.arange(len(best_q)) - first < k
                     best_q, best_v, best_s = best_q[kept], best_v[kept], best_s[kept]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(queries.ids[best_q], pa.int64()), "vec_id": pa.array(best_v, pa.int64()), "score": pa.array(best_s, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"query": pa.array(queries.rows[best_q], pa.int64()), "query_id": pa.array(queries.ids[best_q], pa.int64()), "vec_id": pa.array(best_v, pa.int64()), "score": pa.array(best_s, pa.int64())})
 
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+    return vectors.mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
 def query_blocks(queries: DataFrame, block: int):
-    """The queries in ascending order of id, ``block`` rows at a time."""
-    last = None
+    """The queries (vec_id, row, ...) in ascending order of id and row, ``block`` rows at a time."""
+    rest = queries
     while True:
-        rest = queries if last is None else queries.where(F.col("vec_id") > last)
-        rows = rest.orderBy("vec_id").limit(block).collect()  # at most a block
+        rows = rest.orderBy("vec_id", "row").limit(block).collect()  # at most a block
         if not rows:
             return
         yield rows
         if len(rows) < block:
             return
-        last = rows[-1]["vec_id"]
+        last = rows[-1]
+        rest = queries.where((F.col("vec_id") > last["vec_id"]) | ((F.col("vec_id") == last["vec_id"]) & (F.col("row") > last["row"])))
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. ``is_query`` is a condition on column vec_id."""
     vectors = cut(scaled(rows, id_col, vector_col))
-    reach = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first()["m"] or 0.0
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + (F.abs(x) + 1.0) * (F.abs(x) + 1.0))
+    reach = vectors.agg(F.max(norm).alias("m")).first()["m"] or 0.0
     out = None
     for block in query_blocks(vectors.where(is_query), query_block):
-        queries = Queries([r["vec_id"] for r in block], [r["v"] for r in block])
+        queries = Queries([r["row"] for r in block], [r["vec_id"] for r in block], [r["v"] for r in block])
         # no score is larger than the product of the norms
-        bound = np.array([int(np.ceil(np.sqrt(float(sum(x * x for x in r["v"])) * reach))) + 1 for r in block], np.int64)
+        norms = [sum((abs(x) + 1.0) ** 2 if abs(x) < 1e150 else float("inf") for x in r["v"]) for r in block]
+        bound = np.array([int(min(np.ceil(np.sqrt(n) * np.sqrt(reach) * (1 + 1e-9)) + 1, EDGE)) for n in norms], np.int64)
         part = _best(vectors, queries, _kth(vectors, queries, bound, k), k)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        out = vectors.sparkSession.createDataFrame([], "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
