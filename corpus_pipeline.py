@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm import bpe, langid, mixing, secretscan, simhash
 from threadmill.llm.common import fresh
+from threadmill.operators.store import row_order
 from threadmill.session import scratch_path
 from threadmill.sources.tables import table
 
@@ -28,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest id (an
     id before none, then by a hash of the text). Of rows that agree in id and text
-    the first by their other columns stays."""
+    the first by their other columns, of any type, stays."""
     found = simhash.near_duplicates(docs, shingle=3, radius=2)
     none, number, text_hash, nth = fresh(docs, "id_none", "id_number", "text_hash", "nth")
     key = {none: F.col("doc_id").isNull(), number: F.coalesce("doc_id", F.lit(0))}
@@ -37,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = first.select("one.*")
     # narrow decisions; the documents move once, by the key of the window and the join
     rows = docs.withColumns({**key, text_hash: F.xxhash64("text")})
-    one = Window.partitionBy(none, number, text_hash).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    one = Window.partitionBy(none, number, text_hash).orderBy(*row_order(docs, [c for c in docs.columns if c not in ("doc_id", "text")]))
     rows = rows.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
     return rows.join(kept, [none, number, text_hash], "left_semi").select(*docs.columns)
 
