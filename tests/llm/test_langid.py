@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy, proper distributions, defined cases."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -61,6 +64,62 @@ def test_sample_is_bounded_and_repeats(spark):
     assert all((x[1] == y[1]).all() for x, y in zip(a.grams, b.grams))
 
 
+def test_sample_is_read_by_all_tasks_at_once(spark):
+    """Neither jobs nor rows at the driver grow with the partitions."""
+    rows = [(i, f"der tag und die nacht {i}", "de") for i in range(400)]
+    jobs = []
+    for parts in (2, 40):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        spark.sparkContext.setJobGroup(f"sample-{parts}", "")
+        langid.train(df, per_language=20)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sample-{parts}")))
+    spark.sparkContext.setJobGroup("tests", "")
+    assert 0 < jobs[1] <= jobs[0] + 2
+
+
+def test_sample_is_bounded_in_characters(spark):
+    rows = [(i, "das ende " * 100, "de") for i in range(50)] + [(100, "zu lang " * 5000, "de"), (101, "the end", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = langid.train(df, most_chars=3000), langid.train(df)
+    assert few.languages == all_.languages == ["de", "en"] and len(few.grams) and len(all_.learn(["zu"])[0])
+
+
+def test_a_plain_kneser_ney(spark):
+    """The probability of each sign against counts and continuation counts taken straight from the definition."""
+    from collections import defaultdict
+
+    words = Counter({"banana": 3, "bandana": 2, "an": 5, "cab": 1})
+    order, letters = 3, 26
+    model = langid.Identifier.of(["x"], [langid.KneserNey(words, order, letters)], np.zeros((1, 3)))
+    pad, end = chr(langid.START), chr(langid.END)
+    full = Counter()
+    for w, n in words.items():
+        s = pad * (order - 1) + w + end
+        for i in range(order - 1, len(s)):
+            full[s[i - order + 1 : i + 1]] += n
+    levels = {order: full}
+    for m in range(order - 1, 0, -1):
+        before = defaultdict(set)
+        for g in levels[m + 1]:
+            before[g[1:]].add(g[0])
+        levels[m] = Counter({g: len(b) for g, b in before.items()})
+
+    def p(context, sign):
+        m = len(context) + 1
+        lower = p(context[1:], sign) if context else 1 / (letters + 1)
+        own = {g: n for g, n in levels[m].items() if g[:-1] == context}
+        total = sum(own.values())
+        if not total:
+            return lower
+        return max(own.get(context + sign, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(own) / total * lower
+
+    for w in ("banana", "cabana", "zzz", "a"):
+        s = pad * (order - 1) + w + end
+        due = sum(math.log2(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s)))
+        got = model.learn([w])[0].reshape(1, -1)[0, 0]
+        assert got == pytest.approx(due, rel=1e-5)
+
+
 def test_lang_is_no_input(spark, model):
     df = spark.createDataFrame([(1, "the and of that", "de"), (2, "the and of that", None)], "doc_id long, text string, lang string")
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(df, model).collect()} == {("en", langid.identify(df, model).first()["score"])}

@@ -99,3 +99,15 @@ def test_clashing_columns_pass_through(spark):
         assert out.columns == docs.columns
         rows = out.select("doc_id", *names).collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
+def test_near_duplicates_with_columns_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
+    docs = docs.withColumns({"m": F.expr("map('a', doc_id)"), "s": F.expr("named_struct('m', map(1, array(2)))"), "v": F.parse_json(F.lit('{"a": [1]}'))})
+    docs = docs.unionByName(docs.withColumn("m", F.expr("map('b', 1L)")))
+    got = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    plain = corpus_pipeline.near_dedup(spark, docs.drop("m", "s", "v"), SMALL)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect())

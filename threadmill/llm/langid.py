@@ -40,10 +40,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadmill.llm.common import Memo, give_back, sums, text_steps
+from threadmill.llm.common import Memo, cut, give_back, sums, text_steps
+from threadmill.session import bounded_broadcast
 
 UND = "und"
-ORDER, PER_LANGUAGE, DISCOUNT, SURE = 4, 300, 0.75, 50
+ORDER, PER_LANGUAGE, MOST_CHARS, DISCOUNT, SURE = 4, 300, 5_000_000, 0.75, 50
 HIGH, LOW, LIMIT = 0.95, 0.25, 0.5
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START, END = 0xE000, 0xE001  # border signs: code points for private use, which no word holds
@@ -236,8 +237,10 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: int = ORDER) -> Identifier:
-    """Models from the bounded sample. Ids alone are ranked; texts are read for the chosen ones only."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, order: int = ORDER,
+          most_chars: int = MOST_CHARS) -> Identifier:
+    """Models from the bounded sample: ``per_language`` documents and about ``most_chars`` characters a language, whole texts
+    of at most that length. Ids alone are ranked; texts are read for the chosen ones only, by all tasks at once."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     known = known.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     keyed = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), F.lit("sample")))
@@ -245,14 +248,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for part in (["lang", "salt"], ["lang"]):  # the smallest of each salt, then of each language: no task sees a whole language
         first = F.row_number().over(Window.partitionBy(*part).orderBy("k", "id"))
         chosen = chosen.withColumn("r", first).where(F.col("r") <= per_language)
-    chosen = chosen.select("lang", "k", "id").distinct()
-    rows = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).join(F.broadcast(chosen), ["lang", "k", "id"], "left_semi")
-    taken: Counter = Counter()
-    sample = []
-    for r in rows.select("lang", "text").toLocalIterator():
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= per_language:
-            sample.append((r["lang"], r["text"]))
+    chosen = bounded_broadcast(cut(chosen.select("lang", "k", "id").distinct()))
+    rows = known.withColumn("k", F.xxhash64(F.col("id").cast("string"), F.lit("sample"))).join(chosen, ["lang", "k", "id"], "left_semi")
+    rows = rows.groupBy("lang", "k", "id").agg(F.min("text").alias("text"))  # repeated rows of an id are one
+    # whole texts in the sample's order, as long as the characters before them are fewer than the bound
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("k", "id")) - F.length("text")
+    rows = rows.withColumn("before", before).where((F.col("before") < most_chars) & (F.length("text") <= most_chars))
+    sample = [(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()]
     return Identifier.fit(sample, order)
 
 
