@@ -22,7 +22,6 @@ candidates has no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 from itertools import chain
 
@@ -31,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import cut
+from threadmill.llm.common import cut, work_parts
 from threadmill.llm.topk import query_blocks, usable
 
 DIMS, SURE, SHARD_ROWS, LEAF = 24, 0.93, 8192, 64
-#: Rows verified between two looks at the test.
-STEP = 16
+#: Rows verified between two looks at the test, and leaves opened at once.
+STEP, LEAVES = 32, 16
 QUERY_BLOCK = 4096
 
 
@@ -88,18 +87,15 @@ class KdTree:
                 self.order[a:b] = self.order[a:b][np.argpartition(own[:, wide], mid - a)]
                 self.first[2 * i + 1], self.last[2 * i + 1], self.first[2 * i + 2], self.last[2 * i + 2] = a, mid, mid, b
 
-    def nearest_leaves(self, point: np.ndarray):
-        """(squared distance of the box, rows) of the leaves, nearest first."""
-        heap = [(0.0, 0)]
-        while heap:
-            far, i = heapq.heappop(heap)
-            if i >= self.leaves:
-                yield far, self.order[self.first[i] : self.last[i]]
-                continue
-            for c in (2 * i + 1, 2 * i + 2):
-                if self.first[c] < self.last[c]:
-                    gap = np.maximum(np.maximum(self.low[c] - point, point - self.high[c]), 0)
-                    heapq.heappush(heap, (float(gap @ gap), c))
+    def nearest_leaves(self, point: np.ndarray, together: int = 1):
+        """(squared distance of the box, rows) of the leaves, nearest first, some together."""
+        leaves = self.leaves + np.flatnonzero(self.first[self.leaves :] < self.last[self.leaves :])
+        gaps = np.maximum(np.maximum(self.low[leaves] - point, point - self.high[leaves]), 0)
+        gaps = (gaps * gaps).sum(axis=1)
+        order = np.argsort(gaps, kind="stable")
+        for at in range(0, len(order), together):
+            part = leaves[order[at : at + together]]
+            yield float(gaps[order[at]]), np.concatenate([self.order[self.first[i] : self.last[i]] for i in part])
 
 
 def first_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
@@ -129,7 +125,7 @@ def search(
     def limit() -> float:
         return math.sqrt(point) * (min(bound, best[-1]) if len(best) == k else bound) + slack
 
-    for far, rows in chain(tree.nearest_leaves(image), [(math.inf, waiting)]):
+    for far, rows in chain(tree.nearest_leaves(image, LEAVES), [(math.inf, waiting)]):
         far = math.sqrt(far)
         ready = np.flatnonzero(gaps <= far)  # nearer than all that lies in the boxes to come
         ready = ready[np.argsort(gaps[ready], kind="stable")]
@@ -210,13 +206,15 @@ def nearest(
 
     def part(queries: list[tuple], own_shard: bool) -> DataFrame:
         held = spark.sparkContext.broadcast(queries)
-        return indexed.groupBy("length", "shard").applyInArrow(_searcher(held, k, dims, seed, point, own_shard), schema)
+        # few bytes and much work: a task for each shard
+        dealt = indexed.repartition(max(work_parts(spark), shards), "length", "shard")
+        return dealt.groupBy("length", "shard").applyInArrow(_searcher(held, k, dims, seed, point, own_shard), schema)
 
-    one_shard = indexed.select("shard").distinct().count() < 2
+    shards = indexed.select("shard").distinct().count()
     for block in query_blocks(indexed.where(is_query), query_block):
         queries = [(r["row"], r["vec_id"], np.array(r["v"]), r["shard"], math.inf) for r in block]
         found = part(queries, True)
-        if not one_shard:
+        if shards > 1:
             found = cut(found)
             kth = found.groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
             bounds = {r["query"]: r["far"] for r in kth.collect()}  # one row a query of the block

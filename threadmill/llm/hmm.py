@@ -214,7 +214,7 @@ def _expected(chunks: DataFrame, model: Hmm, states: int) -> tuple[np.ndarray, n
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2,
-    states: int = STATES, rounds: int = 8, settled: float = 0.01,
+    states: int = STATES, rounds: int = 6, settled: float = 0.01,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text. Training ends when a
     round adds less than ``settled`` nats a token."""
