@@ -1,8 +1,10 @@
 """Operator 7: secret scan with a random forest that removes false positives.
 
-Candidates, found in whole texts, are runs of 16 or more characters of ``A-Za-z0-9+/_-`` (and up to
-two ``=`` after them) with a letter and a digit, runs of ``LETTERS_ONLY`` or more letters of both cases, and whatever
-stands assigned or in quotes after a secret word: ``VALUE`` or more printable characters up to the closing quote, or to a
+Candidates, found in whole texts, are private key blocks from their first to their last line, passwords between
+``://user:`` and ``@``, runs of 16 or more characters of ``A-Za-z0-9+/_-`` (and up to
+two ``=`` after them) with a letter and a digit, runs of ``LETTERS_ONLY`` or more letters that are not one letter repeated, and whatever
+stands assigned or in quotes after a secret word, after a secret word and ``is`` or ``was``, or after ``bearer``: ``VALUE`` or more printable
+characters up to the closing quote (blanks included where the quote is assigned), or to a
 blank, quote, comma or semicolon. A forest (Spark ML)
 judges each by its length, its character transitions (between letters, digits,
 cases and separators), its character shares, its dictionary coverage, its path and its neighbouring
@@ -34,30 +36,39 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import cut, fresh
 
 SIGNS = "A-Za-z0-9+/_-"
-VALUE, LETTERS_ONLY = 8, 24
+VALUE, URL_VALUE, LETTERS_ONLY = 8, 4, 24
 SECRETS = "token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer"
 #: Before a value: a secret word, the rest of its name, and an assignment, an opening quote or both.
 ASSIGNED = rf"(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})"
 QUOTED = rf"(?<=[\"'`])(?<=(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{0,3}}(?:[:=][=>]?[ \t]{{0,3}})?"
-#: All begin after no sign; the short look back comes before the long one, which few places then need.
-CANDIDATE = rf"(?<![{SIGNS}])(?:" + "|".join([
+#: Before a value: a secret word with "is" or "was", or "bearer".
+SAID = rf"(?:(?i:{SECRETS})[A-Za-z0-9_.-]{{0,16}}[\"'`]?[ \t]{{1,3}}(?i:is|was):?|(?i:bearer):?)[ \t]{{1,3}}"
+URL_USER = r"://[^\s/:@\"'`]{0,64}:"
+BLOCK_NAME = r"[A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----"
+#: From the first line of a key block to its last; the lines between hold no two dashes in a row.
+BLOCK = rf"-----BEGIN {BLOCK_NAME}[^-]*+(?:-[^-]++){{0,20}}+-----END {BLOCK_NAME}"
+#: All but blocks begin after no sign; the short look back comes before the long one, which few places then need.
+CANDIDATE = rf"{BLOCK}|(?<![{SIGNS}])(?:" + "|".join([
+    rf"(?<=:)(?<={URL_USER})[!-~&&[^\"'`/:@]]{{{URL_VALUE},}}+(?=@)",
+    *(rf"(?<={q})(?<={ASSIGNED}{q})(?=[!-~])[ -~&&[^{q}]]{{{VALUE},}}+(?={q})" for q in "\"'`"),
     *(rf"{QUOTED}{q})(?=[!-~]{{{VALUE}}})[!-~&&[^{q}]]{{{VALUE},}}+(?={q})" for q in "\"'`"),
     rf"(?<=[:=> \t])(?<=[:=>][ \t]{{0,3}})(?<={ASSIGNED})[!-~&&[^\"'`,;:=> \t]][!-~&&[^\"'`,;]]{{{VALUE - 1},}}+",
+    rf"(?<=[ \t])(?<=(?i:is|was|bearer):?[ \t]{{1,3}})(?<={SAID})[!-~&&[^\"'`,;:=> \t]][!-~&&[^\"'`,;]]{{{VALUE - 1},}}+",
     r"(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])" + rf"[{SIGNS}]{{16,}}+={{0,2}}",
-    rf"(?=[A-Z]*+[a-z])(?=[a-z]*+[A-Z])[A-Za-z]{{{LETTERS_ONLY},}}+(?![{SIGNS}])",
+    rf"(?!([A-Za-z])\1*+(?![A-Za-z]))[A-Za-z]{{{LETTERS_ONLY},}}+(?![{SIGNS}])",
 ]) + ")"
 CONTEXT = 80
-SECRET_WORDS = rf"(?i)({SECRETS})"
-PREFIX = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_(live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)"
+SECRET_WORDS = rf"(?i)({SECRETS}|\bkeys?\b)"
+PREFIX = r"^(-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_(live|test)_|sk-|xox[abprs]-|AIza|npm_|hf_|eyJ)"
 PLAIN_WORDS = r"(?i)(example|sample|dummy|placeholder|your|commit|checksum|digest|sha\d|md5|hash|uuid|revision|build|version|http|href|src=|img|isbn|order)"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|fixtures?|examples?|samples?|docs?|mocks?)([/_.-]|$)"
 MASK = "[SECRET]"
-TREES, DEPTH, SEED = 30, 6, 11
-SAMPLE_DOCS, KINDS, DICTIONARY_USES = 300, 24, 20
+TREES, DEPTH, SEED = 30, 7, 11
+SAMPLE_DOCS, KINDS, DICTIONARY_USES = 300, 32, 20
 
 FEATURES = [
-    "length", "digits", "capitals", "hex", "separators", "kinds", "letter_digit", "case_change", "longest_word", "coverage",
-    "test_path", "secret_word", "secret_near", "plain_word", "assigned", "quoted", "signs", "prefix",
+    "length", "digits", "capitals", "hex", "separators", "kinds", "letter_digit", "case_change", "longest_word", "vowels", "vowel_change", "coverage",
+    "test_path", "secret_word", "secret_near", "plain_word", "assigned", "quoted", "signs", "blanks", "prefix",
 ]
 
 
@@ -85,13 +96,16 @@ def shape_features(df: DataFrame) -> DataFrame:
         "letter_digit": _changes(v, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"),
         "case_change": _changes(v, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"),
         "longest_word": F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), lambda w: F.length(w))) / F.length(v),
+        "vowels": _share(v, "(?i)[aeiouy]"),
+        "vowel_change": _changes(v, "(?i)(?<=[aeiouy])(?=[b-df-hj-np-tv-xz])|(?<=[b-df-hj-np-tv-xz])(?=[aeiouy])"),
         "test_path": flag(F.coalesce(F.col("path"), F.lit("")).rlike(TEST_PATH)),
         "secret_word": flag(near.rlike(SECRET_WORDS)),
-        "secret_near": flag(close.rlike(SECRET_WORDS)),
+        "secret_near": flag(close.rlike(SECRET_WORDS) | before.rlike(URL_USER + "$")),
         "plain_word": flag(F.concat(close, v).rlike(PLAIN_WORDS)),
-        "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
+        "assigned": flag(before.rlike(r"(?i)([:=]>?|\b(is|was|bearer):?)\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$")),
-        "signs": _share(v, "[^A-Za-z0-9+/_=-]"),
+        "signs": _share(v, "[^A-Za-z0-9+/_= -]"),
+        "blanks": _share(v, " "),
         "prefix": flag(v.rlike(PREFIX)),
     })
 
@@ -162,6 +176,11 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     b64 = F.translate(F.base64(F.unhex(raw)), "=\r\n", "")
     alnum = F.translate(b64, "+/", "xY")
     letters, digits = F.translate(alnum, "0123456789", "GhJkMnPqRs"), F.translate(raw, "abcdef", "402975")
+    # what the values are made of is written once: nested any deeper, the expressions outgrow generated code
+    pieces = {"raw": raw, "b64": b64, "alnum": alnum, "letters": letters, "digits": digits, **{f"w_{s}": word(s) for s in "abcdefghijklmop"}}
+    rows = cut(rows.select("id", "n", *[c.alias(name) for name, c in pieces.items()]))
+    raw, b64, alnum, letters, digits = map(F.col, ("raw", "b64", "alnum", "letters", "digits"))
+    word = lambda s: F.col(f"w_{s}")
     dashed = F.concat_ws("-", *[F.substring(raw, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     sign = lambda s: one(s, *"!@#$%^&*?.~")
     signed = F.concat(part(alnum, "m", 3, 7), sign("n"), F.substring(alnum, 20, 3), sign("o"), part(F.substring(alnum, 30, 8), "p", 1, 8))
@@ -171,21 +190,31 @@ def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     name = F.concat(F.lower(word("e")), F.initcap(word("f")), F.initcap(word("g")), one("u", "Factory2", "Handler", "V3", "Service"))
     filler = F.concat(one("v", "your-", "example-", "my-dummy-", "sample_", "placeholder-"), one("w", "api-key-here-123", "token-goes-here", "password1", "secret-2"))
     dated = F.concat(F.lit("2024-0"), draw("x", 9) + 1, F.lit("-02T03-04-"), F.substring(digits, 1, 2))
+    one_case = part(one("c", F.lower(letters), F.upper(letters)), "len", 24, 48)
+    half = lambda c, first: F.substring(c, 1, 6) if first else F.when(F.length(c) > 6, F.substring(c, -6, 6)).otherwise(c)
+    coined = F.lower(F.concat(half(word("h"), True), half(word("p"), False)))  # like a word, but in no dictionary
+    phrase = F.concat_ws(" ", F.lower(word("a")), F.lower(word("b")), one("s", F.lower(word("c")), digits.substr(1, 3)), F.lower(word("d")))
+    block_name = one("bn", "", "RSA ", "EC ", "OPENSSH ")
+    block = F.concat(F.lit("-----BEGIN "), block_name, F.lit("PRIVATE KEY-----\n"), b64, F.lit("\n-----END "), block_name, F.lit("PRIVATE KEY-----"))
     # values, names and what joins them are drawn one by one, so that no form belongs to one context
     hexes = one("hex", part(raw, "len", 32, 64), F.substring(raw, 1, 32), F.substring(raw, 1, 40), F.upper(F.substring(raw, 1, 40)), F.substring(raw, 1, 64))
-    secret = one("value", hexes, hexes, part(b64, "len", 16, 64), part(alnum, "len", 12, 48), part(letters, "len", 12, 48), part(digits, "len", 8, 24), signed, signed, known)
+    secret = one("value", hexes, hexes, part(b64, "len", 16, 64), part(alnum, "len", 12, 48), part(letters, "len", 12, 48), part(digits, "len", 8, 24), signed, signed, known, one_case, one_case, F.lower(part(alnum, "len", 10, 20)))
     digest = one("value", hexes, hexes, hexes, dashed, part(digits, "len", 10, 24), part(b64, "len", 16, 44))
-    common = one("value", slug, slug, name, filler, filler, F.lower(word("h")), F.initcap(word("h")), dated, F.concat(one("y", "img/", "assets/"), slug))
-    named = one("name", "token", "TOKEN", "access_token", "api_key", "apiKey", "API-KEY", "secret", "client_secret", "password", "passwd", "PWD", "auth", "access key", "private_key", "credential", "passphrase")
-    joined = one("join", " = \"", "=\"", ": \"", "\": \"", " = '", ": '", "=", ": ", " => ", " \"")
+    common = one("value", slug, slug, name, filler, filler, F.concat(F.lit("your "), F.lower(word("e")), F.lit(" here")), F.lower(word("h")), F.initcap(word("h")), coined, coined, dated, F.concat(one("y", "img/", "assets/"), slug))
+    named = one("name", "token", "TOKEN", "access_token", "api_key", "apiKey", "API-KEY", "secret", "client_secret", "password", "passwd", "PWD", "auth", "access key", "private_key", "credential", "passphrase", "the key", "key")
+    joined = one("join", " = \"", "=\"", ": \"", "\": \"", " = '", ": '", "=", ": ", " => ", " \"", " is ", " was ", ": Bearer ", " ")
     other = one("name", "commit ", "md5 ", "md5: ", "sha256 checksum: ", "digest = ", "hash=", "uuid ", "order ", "build ", "revision ", "version = \"", "href=\"", "http://example.com/", "isbn ", "")
     none = one("name", "", "the ", "see ", "(", "\"", "id = ", "name: \"")
     kind = F.col("n") % 4  # secrets; digests; what is made of words, after a secret name and elsewhere
-    value = F.when(kind == 0, secret).when(F.col("n") == 2, secret).when(kind == 1, digest).otherwise(common)
-    is_secret = (kind == 0) | (F.col("n") == 2) | (F.col("n") == 6)
-    value = F.when(F.col("n") == 6, known).otherwise(value)
-    lead = F.when(F.col("n") == 6, none).when(is_secret | (kind == 2), F.concat(named, joined)).when(kind == 1, other).otherwise(none)
-    close = F.when(lead.endswith("\""), "\"").when(lead.endswith("'"), "'").otherwise("")
+    plain = F.col("n")  # of the word-made rows after a secret name some are secrets of a form of their own
+    value = F.when(kind == 0, secret).when(plain == 2, secret).when(plain == 6, one("b", known, known, block)).when(plain == 10, phrase)
+    value = value.when(plain == 14, secret).when(kind == 1, digest).otherwise(common)
+    is_secret = (kind == 0) | plain.isin(2, 6, 10, 14)
+    url = one("url", "postgres://", "https://", "mysql://", "amqp://", "ftp://")
+    lead = F.when(plain == 6, none).when(plain == 10, F.concat(named, one("join", " = \"", "=\"", ": \"", " = '", ": '")))
+    lead = lead.when(plain == 14, F.concat(url, F.lower(word("m")), F.lit(":")))
+    lead = lead.when(is_secret | (kind == 2), F.concat(named, joined)).when(kind == 1, other).otherwise(none)
+    close = F.when(lead.endswith("\""), "\"").when(lead.endswith("'"), "'").when(plain == 14, F.concat(F.lit("@"), F.lower(word("o")))).otherwise("")
     made = rows.select(
         value.alias("value"),
         F.concat(word("i"), F.lit(" "), word("j"), F.lit(" "), lead).alias("before"),
