@@ -106,3 +106,21 @@ def test_near_copies_send_few_links():
     a, b = simhash.tile_links(tile, tile, 2)
     assert len(a) == 64 * 64
     assert len(simhash.forest(a.view(np.int64), b.view(np.int64))) == 63
+
+
+def test_lanes_spread_over_the_parts(spark, monkeypatch):
+    """A cell of many tiles is split into lanes: the same links, in as many tasks as there are parts."""
+    monkeypatch.setattr(simhash, "TILE", 2)
+    monkeypatch.setattr(simhash, "LANE", 2)
+    fps = [1 << i for i in range(16)] + [(1 << 40) + 3, (1 << 40) + 1, 7 << 50, 0]
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert found.rdd.getNumPartitions() >= simhash.work_parts(spark)
+    roots = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    near = {f: {g for g in fps if (f ^ g).bit_count() <= 2} for f in fps}
+    for f in fps:
+        seen, todo = {f}, [f]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert roots.get(f, f) == min(seen)

@@ -8,7 +8,8 @@ No words: fingerprint zero.
 Links: two fingerprints link at ``radius`` or fewer differing bits. Copies fall
 together first (distinct fingerprints). Fingerprints lie in cells by the
 population counts of ``blocks`` equal stretches of their bits, and each cell is
-cut into tiles. Two fingerprints within the radius have population counts that
+cut into tiles, ``LANE`` of which make a lane: a task's unit is a lane and the tiles that meet it, so a cell of any size
+is the work of many tasks. Two fingerprints within the radius have population counts that
 differ by the radius at most, summed over the stretches, so tiles meet only
 tiles of their own and of such neighbouring cells (an equi-join on the cell);
 all other pairs of tiles are skipped. A pair of tiles is compared in full by
@@ -32,11 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import cut, give_back, text_steps
+from threadmill.llm.common import cut, give_back, text_steps, work_parts
 
 SEED = 42
-#: Fingerprints of a tile.
-TILE = 256
+#: Fingerprints of a tile, tiles of a lane.
+TILE, LANE = 256, 16
 
 
 def text_hashes(text: str, shingle: int) -> list[int]:
@@ -138,8 +139,13 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 4) -> DataFrame:
     steps = F.array(*[F.lit(s).cast("long") for s in neighbour_steps(blocks, radius)])
     left = tiles.select(F.col("cell").alias("l_cell"), F.col("tile").alias("l_tile"), F.col("fps").alias("l_fps"), F.explode(steps).alias("step"))
     left = left.withColumn("cell", F.col("l_cell") + F.col("step"))
+    # few bytes and much work: a left tile goes to every lane of the cell it meets, and the lanes to a fixed number of parts
+    lanes = tiles.groupBy("cell").agg((F.max("tile") / F.lit(LANE)).cast("int").alias("last"))
+    left = left.join(lanes, "cell").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    right = tiles.withColumn("lane", (F.col("tile") / F.lit(LANE)).cast("int"))
+    parts = work_parts(distinct.sparkSession)
     pairs = (
-        left.join(tiles, "cell")
+        left.repartition(parts, "cell", "lane").join(right.repartition(parts, "cell", "lane"), ["cell", "lane"])
         .where("step > 0 or l_tile <= tile")
         .select("l_fps", "fps")
     )
