@@ -8,6 +8,10 @@ digits (monotone in the key). Rows are numbered inside (class, bucket), and
 the bucket counts give each bucket its offset: exact dense ranks 1..n per
 class. 10^11 rows make buckets of about 10^5 rows.
 
+``nth_keys``: where only the n-th row is asked for, the bucket counts tell in
+which bucket it lies, and only that bucket's keys are sorted. Wide rows are
+then compared with the key found and never move.
+
 ``ordered_rank``: a range sort deals any key out evenly, however it is
 spread; the sorted table is written once, and the row counts of its
 partitions give their offsets.
@@ -15,7 +19,7 @@ partitions give their offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.session import materialize
@@ -48,6 +52,36 @@ def hash_rank(
     return out.withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_bkt", "_rn", "_off")
 
 
+def order_key(order_col: str, tie_cols=()) -> Column:
+    """What ``nth_keys`` compares rows by."""
+    return F.struct(order_col, *tie_cols)
+
+
+def nth_keys(
+    df: DataFrame,
+    order_col: str,
+    at: list[Column],
+    partition_cols=(),
+    tie_cols=(),
+    bucket_digits: int = BUCKET_DIGITS,
+) -> DataFrame:
+    """``partition_cols``, ``nth`` (index into ``at``) and ``key``: the order key of
+    the at[nth]-th row (from 1) in (order_col, tie_cols) order of each partition.
+    A place below 1 or beyond the last row gives no row. ``order_col`` as in
+    ``hash_rank``; only keys are shuffled, and only one bucket of them is sorted."""
+    pc = list(partition_cols)
+    bucket = F.conv(F.substring(F.col(order_col), 1, bucket_digits), 16, 10).cast("int")
+    narrow = df.select(*dict.fromkeys([*pc, order_col, *tie_cols])).withColumn("_bkt", bucket)
+    counts = narrow.groupBy(*pc, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = F.sum("_cnt").over(Window.partitionBy(*pc).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0))
+    places = counts.withColumns({"_upto": upto, "_at": F.array(*[n.cast("bigint") for n in at])})
+    hit = places.select(*pc, "_bkt", (F.col("_upto") - F.col("_cnt")).alias("_before"), "_upto", F.posexplode("_at").alias("nth", "_n"))
+    hit = hit.where("_before < _n and _n <= _upto").select(*pc, "_bkt", "nth", (F.col("_n") - F.col("_before")).alias("_place"))
+    inside = Window.partitionBy(*pc, "nth").orderBy(order_col, *tie_cols)
+    found = narrow.join(hit, [*pc, "_bkt"]).withColumn("_rn", F.row_number().over(inside)).where("_rn = _place")
+    return found.select(*pc, "nth", order_key(order_col, tie_cols).alias("key"))
+
+
 def ordered_rank(df: DataFrame, order_col: str, rank_col: str = "rank", tie_cols=()) -> DataFrame:
     """Global 1-based rank by ``order_col`` and ``tie_cols`` (input order)."""
     row = F.monotonically_increasing_id()  # partition number, then the row's place in it

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import hashing as H
 from threadmill.functions import patterns as P
-from threadmill.functions.ranking import hash_rank
+from threadmill.functions.ranking import hash_rank, nth_keys, order_key
 from threadmill.session import bounded_broadcast
 
 METRIC_COLUMNS = ["retweet_count", "reply_count", "like_count", "quote_count"]
@@ -81,13 +81,22 @@ def class_counts(df: DataFrame, label: str = "claim") -> DataFrame:
     return c.withColumn("min_n", smallest)
 
 
-def balance_classes(df: DataFrame, label: str = "claim", key_cols=("id",), seed=42) -> DataFrame:
+def balance_classes(df: DataFrame, label: str = "claim", key_cols=("id",), seed=42, unique_keys: bool = False) -> DataFrame:
     """Down-sample every class without replacement to the smallest
-    class size. Exact sizes; the random choice is a hash order per class."""
-    ranked = shuffle(df, key_cols, seed=f"balance:{seed}", rank_col="_crank", partition_cols=[label])
+    class size. Exact sizes; the random choice is a hash order per class.
+    With ``unique_keys`` (no two rows of a class agree in ``key_cols``) the order
+    is cut at the key of its last row, and no row but the keys is shuffled.
+    Rows without a label take no part in the result."""
+    if not unique_keys:
+        ranked = shuffle(df, key_cols, seed=f"balance:{seed}", rank_col="_crank", partition_cols=[label])
+        sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+        return ranked.where(F.col("_crank") <= sizes.agg(F.min("n")).scalar()).drop("_crank")
+    keyed = df.withColumn("_ord", H.shuffle_key(*key_cols, seed=f"balance:{seed}"))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     smallest = sizes.agg(F.min("n")).scalar()
-    return ranked.where(F.col("_crank") <= smallest).drop("_crank")
+    last = nth_keys(keyed, "_ord", [smallest], [label], list(key_cols)).select(label, F.col("key").alias("_last"))
+    kept = keyed.join(bounded_broadcast(last), label).where(order_key("_ord", list(key_cols)) <= F.col("_last"))
+    return kept.select(*df.columns)
 
 
 def rename_xy(df: DataFrame, label: str = "claim", text: str = "text") -> DataFrame:
@@ -95,14 +104,22 @@ def rename_xy(df: DataFrame, label: str = "claim", text: str = "text") -> DataFr
     return df.withColumnsRenamed({label: "y", text: "x"})
 
 
-def ordered_split(df: DataFrame, key_cols=("id",), seed=42, train=P.TRAIN_CUT, test=P.TEST_CUT) -> DataFrame:
+def ordered_split(df: DataFrame, key_cols=("id",), seed=42, train=P.TRAIN_CUT, test=P.TEST_CUT, rank_col: str | None = "rank") -> DataFrame:
     """Shuffle, then the first floor(.8n) rows are train, up to
-    floor(.93n) test, the rest val. The position is kept as ``rank``."""
-    ranked = shuffle(df, key_cols, seed=f"order:{seed}", rank_col="rank")
+    floor(.93n) test, the rest val. The position is kept as ``rank_col``;
+    without one only the keys of the two cuts are looked up, and rows do not
+    move; the keys must be unique then (rows equal in ``key_cols`` share a part)."""
     n = df.agg(F.count(F.lit(1))).scalar()
     cut1 = F.floor(n * F.lit(float(train)))
     cut2 = F.floor(n * F.lit(float(test)))
-    split = F.when(F.col("rank") <= cut1, "train").when(F.col("rank") <= cut2, "test").otherwise("val")
+    if rank_col is None:
+        keyed = df.withColumn("_ord", H.shuffle_key(*key_cols, seed=f"order:{seed}"))
+        cuts = nth_keys(keyed, "_ord", [cut1, cut2], (), list(key_cols))
+        # a cut before the first row has no key: nothing is below it
+        upto = lambda i: order_key("_ord", list(key_cols)) <= cuts.where(F.col("nth") == i).select("key").scalar()
+        return keyed.withColumn("split", F.when(upto(0), "train").when(upto(1), "test").otherwise("val")).drop("_ord")
+    ranked = shuffle(df, key_cols, seed=f"order:{seed}", rank_col=rank_col)
+    split = F.when(F.col(rank_col) <= cut1, "train").when(F.col(rank_col) <= cut2, "test").otherwise("val")
     return ranked.withColumn("split", split)
 
 

@@ -32,12 +32,12 @@ def mapped_labels(spark, sf, own=None):
 
 
 def balanced(spark, sf, own=None):
-    return materialize(L.balance_classes(mapped_labels(spark, sf, own), "claim", ("source", "id"), seed=SEED))
+    return materialize(L.balance_classes(mapped_labels(spark, sf, own), "claim", ("source", "id"), seed=SEED, unique_keys=True))
 
 
-def split_table(spark, sf, own=None):
+def split_table(spark, sf, own=None, rank_col="rank"):
     b = L.rename_xy(balanced(spark, sf, own), "claim", "text")
-    return L.ordered_split(b, ("source", "id"), seed=SEED)
+    return L.ordered_split(b, ("source", "id"), seed=SEED, rank_col=rank_col)
 
 
 ACK_SQL = "CAST(retweet_count + reply_count + like_count + quote_count AS BIGINT)"
@@ -129,7 +129,7 @@ def q_ordered_split(spark, sf):
 
 @register("tag_and_union", f"WITH {O.label_chain_ctes(SEED)} SELECT split, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_claims FROM split_rows GROUP BY split")
 def q_tag_union(spark, sf):
-    return split_table(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("n_claims"))
+    return split_table(spark, sf, rank_col=None).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("n_claims"))
 
 
 @register("label_pipeline", f"""WITH {SHEET_EXPORT_CTE}, {O.LABEL_SHEET},
