@@ -77,7 +77,7 @@ def conversation_root(posts: DataFrame) -> DataFrame:
     return posts.join(roots, posts["conversation_id"] == roots["root_id"], "left")
 
 
-def _words(text: Column) -> Column:
+def split_words(text: Column) -> Column:
     return F.split(F.lower(text), WORD_SPLIT)
 
 
@@ -92,7 +92,7 @@ def _term_hit(words: Column, term: str) -> Column:
 def search_predicate(all_of=(), any_of=(), none_of=(), countries=(), text: str = "text") -> Column:
     """Case-folded whole-word search: all terms, one of a group, none of the
     excluded ones, and an optional country clause."""
-    w = _words(F.col(text))
+    w = split_words(F.col(text))
     cond = F.lit(True)
     for t in all_of:
         cond = cond & _term_hit(w, t)
@@ -158,12 +158,14 @@ def author_with_replies(posts: DataFrame, users: DataFrame, username: str, compl
 
 def multi_seed_search(posts: DataFrame, seeds: DataFrame, completed: DataFrame | None = None,
                       users: DataFrame | None = None, usernames: DataFrame | None = None,
-                      lang: str = "en", max_broadcast_seeds: int = 100_000, newest: int = MAX_SEARCH_RESULTS) -> DataFrame:
+                      lang: str = "en", max_broadcast_seeds: int = 100_000, newest: int = MAX_SEARCH_RESULTS,
+                      words: DataFrame | None = None) -> DataFrame:
     """B10 for every seed term and B11 for every user name, one store.
 
     Seeds are a table, joined to the exploded distinct words of each post (no
     per-seed loop). Seed and author lists are user input; they are broadcast
-    only under a checked size. A user name reaches its ``newest`` posts. Output: one row per reached post with the sorted seeds that
+    only under a checked size. A user name reaches its ``newest`` posts. ``words`` (id, lang, conversation_id,
+    term) stands in for the words of the posts where an index has them. Output: one row per reached post with the sorted seeds that
     reached it (``seeds``)."""
     sd = seeds.select(F.lower(F.col(seeds.columns[0])).alias("seed")).distinct()
     # a plain word also matches its hashtag
@@ -171,7 +173,8 @@ def multi_seed_search(posts: DataFrame, seeds: DataFrame, completed: DataFrame |
         sd.where(~F.col("seed").rlike("^[#@]")).select("seed", F.concat(F.lit("#"), F.col("seed")).alias("term"))
     )
     terms = bounded_broadcast(terms, max_broadcast_seeds)
-    words = posts.select("id", "lang", "conversation_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    if words is None:
+        words = posts.select("id", "lang", "conversation_id", F.explode(F.array_distinct(split_words(F.col("text")))).alias("term"))
     # narrow rows that three later steps read: written once
     hits = materialize(words.join(terms, "term").select("id", "lang", "conversation_id", "seed"))
     reached = hits.select("id", "seed")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from threadmill import oracle as O
 from threadmill.operators import labels as L
+from threadmill.operators import search_index as X
 from threadmill.operators import store as S
 from threadmill.plans.catalog import register
 from threadmill.plans.q_clean import ts_sql, ts_str
+from threadmill.session import scratch_path
 from threadmill.sources import views as V
 
 WORDS_SQL = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_#@]+')"
@@ -145,6 +147,45 @@ def q_multi_seed(spark, sf):
     return S.multi_seed_search(p, seeds, V.completed_conversations(p), V.users(spark, sf), names)
 
 
+def _index(spark, sf):
+    return X.build_index(V.posts(spark, sf), scratch_path(spark, "index"), buckets=32, lanes=2)
+
+
+@register("index_keyword_search", f"""WITH {BASE} SELECT id, {ts_sql()}, text FROM posts WHERE {search_sql(**SEARCH)}
+ORDER BY created_at DESC, id DESC LIMIT 100""")
+def q_index_search(spark, sf):
+    return X.keyword_search(_index(spark, sf), V.posts(spark, sf), n=100, **SEARCH).select("id", ts_str(), "text")
+
+
+@register("index_exclusion_search", f"""WITH {BASE} SELECT id, conversation_id FROM posts WHERE {search_sql(none_of=["the", "#topic3"])}""")
+def q_index_exclusion(spark, sf):
+    return X.find(_index(spark, sf), none_of=["the", "#topic3"]).select("id", "conversation_id")
+
+
+@register("index_search_with_replies", f"""WITH {BASE}, hits AS (SELECT * FROM posts WHERE {search_sql(**SEED_SEARCH)})
+SELECT id, conversation_id FROM hits
+UNION
+SELECT id, conversation_id FROM posts
+WHERE conversation_id IN (SELECT conversation_id FROM hits WHERE lang = 'en')
+  AND conversation_id NOT IN (SELECT conversation_id FROM completed)""")
+def q_index_replies(spark, sf):
+    return X.search_with_replies(_index(spark, sf), V.completed_conversations(V.posts(spark, sf)), **SEED_SEARCH)
+
+
+@register("index_multi_seed_search", f"""WITH {BASE}, {_seed_sql()},
+words AS (SELECT DISTINCT id, lang, conversation_id, unnest({WORDS_SQL}) AS term FROM posts),
+hits AS (SELECT w.id, w.lang, w.conversation_id, t.seed FROM words w JOIN terms t ON t.term = w.term),
+convs AS (SELECT DISTINCT seed, conversation_id FROM hits WHERE lang = 'en'
+          AND conversation_id NOT IN (SELECT conversation_id FROM completed)),
+reached AS (
+  SELECT id, seed FROM hits
+  UNION ALL SELECT p.id, c.seed FROM posts p JOIN convs c ON c.conversation_id = p.conversation_id)
+SELECT id, array_to_string(list_sort(list_distinct(list(seed))), ',') AS seeds FROM reached GROUP BY id""")
+def q_index_multi_seed(spark, sf):
+    seeds = spark.createDataFrame([(s,) for s in SEEDS], "seed string")
+    return X.multi_seed_search(_index(spark, sf), seeds, V.completed_conversations(V.posts(spark, sf)))
+
+
 MARK_SQL = f"""marked AS (SELECT p.*, (p.conversation_id IN (SELECT conversation_id FROM completed)) AS conversation_complete FROM posts p)"""
 
 
