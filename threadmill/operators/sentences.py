@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,31 +38,54 @@ def merge_plan(lengths: Column, min_length: int) -> Column:
 
     Everything before the first short sentence is final but for its last
     member, so one pass with a stack does it, linear in the sentences; Spark's
-    array functions would copy the array at each step, so the pass over the lengths is a
-    vectorised helper. Texts never leave the JVM for it."""
-
-    def plans(batch: pd.Series) -> pd.Series:
-        out = []
-        for lens in batch:
-            done, wait = [], None  # finished sentences; a short one that waits for the next
-            for i, n in enumerate(() if lens is None else lens):
-                cur = [int(n), i, i]
-                if wait is not None:
-                    if done and done[-1][0] < cur[0]:
-                        done[-1] = [done[-1][0] + wait[0], done[-1][1], wait[2]]
-                    else:
-                        cur = [wait[0] + cur[0], wait[1], i]
-                    wait = None
-                if cur[0] < min_length:
-                    wait = cur
-                else:
-                    done.append(cur)
-            if wait is not None and done:
-                done[-1] = [done[-1][0] + wait[0], done[-1][1], wait[2]]
-            out.append([{"n": a, "first": b, "last": c} for a, b, c in done])
-        return pd.Series(out)
-
-    return F.pandas_udf(plans, "array<struct<n:int,first:int,last:int>>")(lengths)
+    array functions would copy the array at each step, so the pass over the lengths is an Arrow
+    helper on the batch's flat lengths: a document without a short sentence is copied as a slice, only the
+    others are walked. Texts never leave the JVM for it. A null document has no sentence, a null length is 0."""
+
+    def plans(docs: pa.Array) -> pa.Array:
+        # flat arrays: sizes of all sentences, and where each document starts
+        offsets = docs.offsets.to_numpy()
+        size = pc.fill_null(docs.values, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        shorts = np.concatenate([[0], np.cumsum(size < min_length)])
+        has_short = (shorts[offsets[1:]] > shorts[offsets[:-1]]).tolist()
+        n, first, last, ends = [], [], [], [0]
+        for start, stop, short in zip(offsets[:-1].tolist(), offsets[1:].tolist(), has_short):
+            sizes = size[start:stop].tolist()
+            if short:
+                _merge(sizes, min_length, n, first, last)
+            else:
+                n += sizes
+                first += range(len(sizes))
+                last += range(len(sizes))
+            ends.append(len(n))
+        merged = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (n, first, last)], ["n", "first", "last"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), merged)
+
+    return F.arrow_udf(plans, "array<struct<n:int,first:int,last:int>>")(F.coalesce(lengths, F.array().cast("array<int>")))
+
+
+def _merge(sizes: list[int], min_length: int, n: list[int], first: list[int], last: list[int]) -> None:
+    """Append the merged sentences of one document to the flat lists."""
+    base = len(n)
+    held, since = None, 0  # size and start of a short sentence that waits for the next
+    for i, size in enumerate(sizes):
+        start = i
+        if held is not None:
+            if len(n) > base and n[-1] < size:
+                n[-1] += held
+                last[-1] = i - 1
+            else:
+                size, start = held + size, since
+            held = None
+        if size < min_length:
+            held, since = size, start
+        else:
+            n.append(size)
+            first.append(start)
+            last.append(i)
+    if held is not None and len(n) > base:
+        n[-1] += held
+        last[-1] = len(sizes) - 1
 
 
 def merge_short_sentences(sentences: Column, min_length: int = 10) -> Column:
@@ -98,20 +123,18 @@ def adjacent_pairs(docs: DataFrame, key_cols) -> DataFrame:
         *keys, "_p.pno", "_p.A", "_p.B", F.lit(1).alias("y"))
 
 
-def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) -> DataFrame:
-    """one negative per positive. Document a uniform, document b uniform
-    among the others (by list position), one uniform sentence of each; y = 0.
+def _document_index(docs: DataFrame, keys: list[str], seed) -> DataFrame:
+    """Keys, number of sentences ``n`` and dense index ``doc_idx`` 1..N in a
+    hash order (no single-partition window). Narrow, and written once."""
+    o = docs.select(*keys, F.size("sentences").alias("n")).withColumn("_o", H.shuffle_key(*keys, seed=f"docs:{seed}"))
+    return materialize(hash_rank(o, "_o", rank_col="doc_idx", tie_cols=keys).select(*keys, "doc_idx", "n"))
 
-    Documents get a dense index 1..n in a hash order (no single-partition
-    window); draws are hashes of the positive's key, so each negative is a few
-    equi-joins on the index. Never a cross join."""
-    keys = list(key_cols) + ["delim"]
-    d = min_two_sentences(docs)
-    o = d.select(*keys, F.size("sentences").alias("n")).withColumn("_o", H.shuffle_key(*keys, seed=f"docs:{seed}"))
-    # narrow, and read four times below
-    idx = materialize(hash_rank(o, "_o", rank_col="doc_idx", tie_cols=keys).select(*keys, "doc_idx", "n"))
+
+def _draws(positives: DataFrame, idx: DataFrame, keys: list[str], seed) -> DataFrame:
+    """For each positive the two sentences of its negative, as places only:
+    ``a`` and ``b``, structs of a document's keys and a sentence number. No text moves."""
     n = idx.agg(F.count(F.lit(1))).scalar()
-    pk = keys + ["pno"]
+    pk = [*keys, "pno"]
     draws = positives.select(
         *[F.col(k).alias(f"_k_{k}") for k in pk],
         (H.hash60(*pk, seed=f"a:{seed}") % n + 1).alias("ia"),
@@ -121,22 +144,55 @@ def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) ->
     ).withColumn("_ib", F.col("_ib") + 1)
     # a single document has no other: its draws are null and meet nothing
     draws = draws.withColumn("ib", F.when(F.col("_ib") >= F.col("ia"), F.col("_ib") + 1).otherwise(F.col("_ib")))
-    # the sizes tell which sentence is drawn; then single sentences travel, never whole documents
-    sizes = idx.select("doc_idx", "n")
-    draws = draws.join(sizes.select(F.col("doc_idx").alias("ia"), F.col("n").alias("na")), "ia")
-    draws = draws.join(sizes.select(F.col("doc_idx").alias("ib"), F.col("n").alias("nb")), "ib")
-    draws = draws.withColumns({"sa": (F.col("ha") % F.col("na")).cast("int"), "sb": (F.col("hb") % F.col("nb")).cast("int")})
-    one = d.select(*keys, F.posexplode("sentences").alias("sno", "sentence")).join(idx.drop("n"), keys)
-    j = draws.join(one.select(F.col("doc_idx").alias("ia"), F.col("sno").alias("sa"), F.col("sentence").alias("A")), ["ia", "sa"])
-    j = j.join(one.select(F.col("doc_idx").alias("ib"), F.col("sno").alias("sb"), F.col("sentence").alias("B")), ["ib", "sb"])
-    return j.select(*[F.col(f"_k_{k}").alias(k) for k in pk], "A", "B", F.lit(0).alias("y"))
+    for side in "ab":
+        place = F.struct(*keys, (F.col(f"h{side}") % F.col("n")).cast("int").alias("sno")).alias(side)
+        drawn = idx.withColumnRenamed("doc_idx", f"i{side}")
+        draws = draws.join(drawn, f"i{side}").select(*[c for c in draws.columns if c != f"i{side}"], place)
+    return draws.select(*[F.col(f"_k_{k}").alias(k) for k in pk], "a", "b")
+
+
+def _fetch(pairs: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with places ``a`` and ``b`` -> the same rows with sentences A and B.
+
+    Sentences are exploded once and meet the places of both sides in one join on (document, sentence);
+    then the two sides of a pair are put together. Only sentences that are asked for travel twice."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("at")) for s in "ab"])).alias("_p")
+    asked = pairs.select(*rest, sides).select(*rest, "_p.side", "_p.at")
+    one = docs.select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.posexplode("sentences").alias("_sno", "sentence"))
+    same = F.col("at.sno") == F.col("_sno")
+    for k in keys:
+        same = same & F.col(f"at.{k}").eqNullSafe(F.col(f"_d_{k}"))
+    found = asked.join(one, same)
+    pick = lambda s: F.first(F.when(F.col("side") == s, F.col("sentence")), ignorenulls=True)
+    return found.groupBy(*rest).agg(pick("a").alias("A"), pick("b").alias("B"))
+
+
+def negative_pairs(docs: DataFrame, positives: DataFrame, key_cols, seed=42) -> DataFrame:
+    """one negative per positive. Document a uniform, document b uniform
+    among the others (by list position), one uniform sentence of each; y = 0.
+
+    Draws are hashes of the positive's key, so each negative is a few
+    equi-joins on a narrow document index. Never a cross join."""
+    keys = list(key_cols) + ["delim"]
+    d = min_two_sentences(docs)
+    pairs = _fetch(_draws(positives, _document_index(d, keys, seed), keys, seed), d, keys)
+    return pairs.select(*keys, "pno", "A", "B", F.lit(0).alias("y"))
 
 
 def pair_dataset(docs: DataFrame, key_cols, seed=42) -> DataFrame:
-    """F8: positives and negatives, in a repeatable random order (``rank``)."""
+    """F8: positives (F6) and negatives (F7), in a repeatable random order (``rank``).
+
+    Both kinds are drawn and ranked as places of sentences; the sentences are fetched last, so neither the draws nor the
+    rank move a text."""
     keys = list(key_cols) + ["delim"]
-    pos = adjacent_pairs(docs, key_cols)
-    neg = negative_pairs(docs, pos, key_cols, seed)
-    allp = pos.unionByName(neg)
-    allp = allp.withColumn("_o", H.shuffle_key(*keys, "pno", "y", seed=f"pairs:{seed}"))
-    return hash_rank(allp, "_o", rank_col="rank", tie_cols=keys + ["pno", "y"]).drop("_o")
+    d = min_two_sentences(docs)
+    idx = _document_index(d, keys, seed)
+    pos = idx.select(*keys, F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("pno"))
+    at = lambda sno: F.struct(*keys, sno.cast("int").alias("sno"))
+    both = pos.select(*keys, "pno", at(F.col("pno") - 1).alias("a"), at(F.col("pno")).alias("b"), F.lit(1).alias("y")).unionByName(
+        _draws(pos, idx, keys, seed).withColumn("y", F.lit(0)))
+    # the rank reads its rows twice: narrow rows, written once
+    both = materialize(both.withColumn("_o", H.shuffle_key(*keys, "pno", "y", seed=f"pairs:{seed}")))
+    ranked = hash_rank(both, "_o", rank_col="rank", tie_cols=[*keys, "pno", "y"]).drop("_o")
+    return _fetch(ranked, d, keys).select(*keys, "pno", "A", "B", "y", "rank")
