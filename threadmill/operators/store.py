@@ -222,14 +222,14 @@ def row_order(df: DataFrame, cols: Iterable[str]) -> list[Column]:
     return [F.col(c) if _orderable(kinds[c]) else F.to_json(F.struct(F.col(c))) for c in cols]
 
 
-def store_upsert(store: DataFrame, batch: DataFrame, batch_col: str = "batch") -> DataFrame:
+def store_upsert(store: DataFrame, batch: DataFrame, batch_col: str = "batch", key_cols=("id",)) -> DataFrame:
     """Add rows under their id; the latest batch wins. Within a batch the
     newest ``created_at`` wins, then the greatest row by its other columns in
     name order (columns of any type), so the winner never depends on the partitioning."""
     u = store.unionByName(batch, allowMissingColumns=True)
     first = [batch_col] + [c for c in ["created_at"] if c in u.columns]
-    total = first + sorted(c for c in u.columns if c not in {"id", *first})
-    w = Window.partitionBy("id").orderBy(*[c.desc_nulls_last() for c in row_order(u, total)])
+    total = first + sorted(c for c in u.columns if c not in {*key_cols, *first})
+    w = Window.partitionBy(*key_cols).orderBy(*[c.desc_nulls_last() for c in row_order(u, total)])
     return u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

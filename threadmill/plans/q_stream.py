@@ -1,7 +1,7 @@
 """Registered queries: streams over post files equal the batch results.
 
 Each query writes the posts view as several files, drains a stream over
-them in micro-batches of one or two files with ``availableNow`` and returns what the sink holds."""
+them in a few micro-batches with ``availableNow`` and returns what the sink holds."""
 
 from __future__ import annotations
 
@@ -14,21 +14,26 @@ from threadmill.session import scratch_path
 from threadmill.sources import views as V
 from threadmill.streaming import collector as P
 
-#: Files that a view is written as, and files a micro-batch takes.
-FILES, PER_BATCH = 6, 2
+#: Micro-batches that the files of a view make, and files that one takes at least.
+BATCHES, PER_BATCH = 3, 2
+
+
+def per_batch(spark):
+    """Files of a micro-batch: work for all cores, also where a file is too small to be split."""
+    return max(PER_BATCH, 2 * spark.sparkContext.defaultParallelism)
 
 
 def arriving(spark, src, schema):
-    return P.stream_ingest(spark, src, schema, files_per_trigger=PER_BATCH)
+    return P.stream_ingest(spark, src, schema, files_per_trigger=per_batch(spark))
 
 
 def post_files(spark, sf, *more):
-    """The posts view written as ``FILES`` parquet files, then each of the
+    """The posts view written as parquet files for ``BATCHES`` micro-batches, then each of the
     ``more`` functions of it as further, later files."""
     src = scratch_path(spark, "post-files")
     p = V.posts(spark, sf)
     for f in (lambda x: x, *more):
-        f(p).repartition(FILES, "id").write.mode("append").parquet(src)
+        f(p).repartition(BATCHES * per_batch(spark), "id").write.mode("append").parquet(src)
     return src, spark.read.parquet(src).schema
 
 
@@ -52,7 +57,7 @@ def q_upsert(spark, sf):
     src, schema = post_files(spark, sf, _later)
     store = scratch_path(spark, "store")
     P.stream_upsert(arriving(spark, src, schema), store, scratch_path(spark, "store-ckpt"))
-    return P.read_store(spark, store).select("id", "like_count", ts_str())
+    return P.read_store(spark, store, ["id", "like_count", "created_at"]).select("id", "like_count", ts_str())
 
 
 @register("stream_clean", f"""WITH {O.POSTS}, m AS (SELECT id, lang, {O.mask_text_sql('text')} AS text FROM posts WHERE text <> '')

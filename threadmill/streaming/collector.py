@@ -43,18 +43,26 @@ def _drain(stream: DataFrame, write, checkpoint: str) -> None:
 
 def stream_upsert(stream: DataFrame, store_path: str, checkpoint: str, buckets: int = 64) -> None:
     """Every micro-batch is merged into a store by post id; the latest batch
-    wins (B15). The store is as large as its posts, and a batch rewrites only the buckets that its ids fall in."""
+    wins (B15). A batch writes its own posts; overwritten ones go when their bucket's versions are merged."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        K.merge_batch(rows, batch_id, store_path, "id", lambda both: S.store_upsert(both.limit(0), both, "batch"), buckets)
+        K.merge_batch(rows, batch_id, store_path, "id", lambda r: S.store_upsert(r.limit(0), r, "batch", ["bucket", "id"]), buckets)
 
     _drain(stream, write, checkpoint)
 
 
-def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    """The upserted store: one row per id, from the latest batch."""
-    return K.read(spark, store_path).drop("batch")
+def read_store(spark: SparkSession, store_path: str, columns: list[str] | None = None) -> DataFrame:
+    """The upserted store: one row per id, from the latest batch; with ``columns`` no others are read."""
+
+    def latest(rows: DataFrame) -> DataFrame:
+        # a version has an id once, and no two versions of a bucket have posts of one batch
+        rest = [c for c in columns or rows.columns if c not in ("bucket", "id", "batch")]
+        one = rows.groupBy("bucket", "id").agg(F.max_by(F.struct("batch", *rest), "batch").alias("_row"))
+        return one.select("bucket", "id", "_row.*")
+
+    posts = K.read(spark, store_path, latest)
+    return posts.select(*columns) if columns else posts.drop("batch")
 
 
 def compact_store(spark: SparkSession, store_path: str, compacted_path: str) -> DataFrame:
@@ -87,6 +95,10 @@ def text_digest(text="text"):
     return F.md5(F.coalesce(F.concat(F.lit("+"), c), F.lit("-")))
 
 
+def _added(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("bucket", "digest").agg(F.sum("n").alias("n"))
+
+
 def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str, buckets: int = 64) -> None:
     """P5: copies per text digest, added up in a table by digest. There is no
     state to expire: however late a copy comes, its digest's row is there. The table holds a digest and a count
@@ -94,14 +106,14 @@ def stream_repeated_text(stream: DataFrame, counts_path: str, checkpoint: str, b
 
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(text_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
-        K.merge_batch(counts, batch_id, counts_path, "digest", lambda both: both.groupBy("bucket", "digest").agg(F.sum("n").alias("n")), buckets)
+        K.merge_batch(counts, batch_id, counts_path, "digest", _added, buckets)
 
     _drain(stream, write, checkpoint)
 
 
 def read_counts(spark: SparkSession, counts_path: str) -> DataFrame:
     """(digest, n) of all texts so far."""
-    return K.read(spark, counts_path)
+    return K.read(spark, counts_path, _added)
 
 
 def unique_text_posts(posts: DataFrame, counts: DataFrame) -> DataFrame:
