@@ -123,7 +123,21 @@ def emoji_char_class() -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in EMOJI_BLOCKS) + "]"
 
 
-def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
+def telling_chars(emoticons) -> set[str]:
+    """Characters of the emoticons that no description holds: a replacement never makes one, so an
+    emoticon whose telling characters are not all in a text cannot come up in it at any step."""
+    return {c for k, _ in emoticons for c in k} - {c for _, v in emoticons for c in v}
+
+
+def emoticon_marks(column: str, emoticons=None) -> Column:
+    """The telling characters of a text: short, so that asking it is cheap."""
+    chars = telling_chars(emoticons if emoticons is not None else emoticon_entries())
+    if not chars:
+        return F.lit("")
+    return F.regexp_replace(F.col(column), "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(chars)) + "]+", "")
+
+
+def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None, marks_sql: str | None = None) -> str:
     """Spark SQL text of C11 over the SQL expression ``text_sql``.
 
     Without ``emoji_entries`` the Unicode characters are described: marks that
@@ -134,7 +148,8 @@ def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
     ``emoji_entries`` is a user's dictionary, (key, description) in order; keys
     may be of any length. A text that holds the first character of any key
     gets one literal replace per entry, in order, each feeding the next.
-    The emoticons follow in the same way.
+    The emoticons follow in the same way; with ``marks_sql`` (``emoticon_marks`` of the text after the emoji) only those whose
+    telling characters are there are looked for.
     """
     emoticons = emoticons if emoticons is not None else emoticon_entries()
     if emoji_entries is None:
@@ -155,14 +170,18 @@ def replace_emoji_sql(text_sql: str, emoji_entries=None, emoticons=None) -> str:
         out = text_sql
     # The emoticons, in order, as nested literal replaces: compiled by
     # whole-stage codegen (a lambda fold would be interpreted per element).
+    telling = telling_chars(emoticons) if marks_sql else set()
     for k, v in emoticons:
-        out = f"replace({out}, {sql_str(k)}, {sql_str(v)})"
+        asked = " and ".join(f"contains({marks_sql}, {sql_str(c)})" for c in sorted(set(k) & telling, reverse=True))
+        # replacing the empty string changes nothing and reads nothing
+        key = f"if({asked}, {sql_str(k)}, '')" if asked else sql_str(k)
+        out = f"replace({out}, {key}, {sql_str(v)})"
     return out
 
 
-def replace_emoji(column: str, emoji_entries=None, emoticons=None) -> Column:
-    """C11 on the named column. ``emoji_entries``: list of (key, description),
+def replace_emoji(column: str, emoji_entries=None, emoticons=None, marks: str | None = None) -> Column:
+    """C11 on the named column (``marks``: the column of its ``emoticon_marks``). ``emoji_entries``: list of (key, description),
     or a table (ord, k, v) of dictionary size, read in the order of ``ord``."""
     if emoji_entries is not None and hasattr(emoji_entries, "orderBy"):
         emoji_entries = [(r["k"], r["v"]) for r in emoji_entries.orderBy("ord").collect()]
-    return F.expr(replace_emoji_sql(f"`{column}`", emoji_entries, emoticons))
+    return F.expr(replace_emoji_sql(f"`{column}`", emoji_entries, emoticons, f"`{marks}`" if marks else None))

@@ -39,8 +39,8 @@ def lower_text(col="text") -> Column:
 
 
 def mask_urls(col="text") -> Column:
-    """Links -> [URL]."""
-    return F.regexp_replace(_c(col), P.URL_PATTERN, P.URL_TOKEN)
+    """Links -> [URL]. Each alternative begins with h or w: the look-ahead spares the others at all other places."""
+    return F.regexp_replace(_c(col), "(?=[hw])" + P.URL_PATTERN, P.URL_TOKEN)
 
 
 def mask_hashtags(col="text") -> Column:
@@ -77,7 +77,9 @@ def drop_empty(df: DataFrame, text: str = "text") -> DataFrame:
 
 def replace_emoji(df: DataFrame, col: str = "text", emoji_entries=None, emoticons=None) -> DataFrame:
     """C11: emoji and emoticons -> their descriptions, in dictionary order."""
-    return df.withColumn(col, E.replace_emoji(col, emoji_entries, emoticons))
+    df = df.withColumn(col, E.replace_emoji(col, emoji_entries, []))
+    marked = df.withColumn("_marks", E.emoticon_marks(col, emoticons))
+    return marked.withColumn(col, E.replace_emoji(col, [], emoticons, "_marks")).drop("_marks")
 
 
 def strip_urls(col="x") -> Column:
