@@ -43,3 +43,9 @@ def test_adjacent_pairs_make_their_sentences_once(spark):
     assert _tokenised(pairs) == 1
     got = {(r["id"], r["delim"], r["pno"]): (r["A"], r["B"]) for r in pairs.collect()}
     assert got == {(1, ".", 1): ("a b", "x y"), (1, ".", 2): ("x y", "c d z"), (1, ".", 3): ("c d z", "e f g")}
+
+
+def test_documents_of_two_sentences_make_them_once(spark):
+    docs = S.min_two_sentences(_docs(spark))
+    assert _tokenised(docs) == 1
+    assert [(r["id"], r["delim"], r["sentences"]) for r in docs.collect()] == [(1, ".", ["a b", "x y", "c d z", "e f g"])]
