@@ -52,3 +52,9 @@ def test_large_head_settles_and_small_one_does_not(spark):
     tie = (np.zeros(0, np.int64), np.zeros(0, np.int32))
     of = lambda head: df.select(M.settled(near, F.lit(1), M.associations(df), tie, head).alias("p")).where("p is not null").count()
     assert of(128) == df.where(F.size("targets") > 0).count() and of(0) == 0
+
+
+def test_votes_are_not_counted_again_for_the_rank(spark):
+    load_all()
+    plan = Q.masked_eval(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "ArrowEvalPython" not in plan
