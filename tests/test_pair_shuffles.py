@@ -32,3 +32,15 @@ def test_encode_pairs_moves_texts_once_and_no_tokens(spark):
     assert _plan(docs, "executedPlan").count("Exchange hashpartitioning") == 1
     rows = {r["id"]: [[t["piece"] for t in s] for s in r["sentences"]] for r in docs.collect()}
     assert rows == dict.fromkeys((1, 2, None), [s.split() for s in TEXT.split(".")])
+
+
+def test_encode_pairs_topic_looks_ids_up_once(spark):
+    pairs = EN.encode_pairs(_docs(spark), ["id"], _vocab(spark))
+    assert _plan(pairs).count("look_up") <= 2  # the step and the name of its column
+    assert "Window" not in _plan(pairs)
+    names = {r["id"]: r["token"] for r in _vocab(spark).collect()}
+    rows = pairs.collect()
+    assert len(rows) == 12 and sorted(r["rank"] for r in rows) == list(range(1, 13))
+    for r in rows:
+        n = len(r["tokens"])
+        assert [names[i] for i in r["x"][:n]] == r["tokens"] and not any(r["x"][n:]) and sum(r["input_mask"]) == n
