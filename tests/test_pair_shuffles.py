@@ -44,3 +44,9 @@ def test_encode_pairs_topic_looks_ids_up_once(spark):
     for r in rows:
         n = len(r["tokens"])
         assert [names[i] for i in r["x"][:n]] == r["tokens"] and not any(r["x"][n:]) and sum(r["input_mask"]) == n
+
+
+def test_pairs_for_the_classifier_are_kept_without_their_rank(spark):
+    load_all()
+    plan = _plan(Q.pair_rows(spark, SMALL).select("pid", "feats"))
+    assert "rank" not in plan and "Join" not in plan
