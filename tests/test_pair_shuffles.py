@@ -50,3 +50,16 @@ def test_pairs_for_the_classifier_are_kept_without_their_rank(spark):
     load_all()
     plan = _plan(Q.pair_rows(spark, SMALL).select("pid", "feats"))
     assert "rank" not in plan and "Join" not in plan
+
+
+def test_truncated_pairs_rank_their_places_once(spark):
+    docs = spark.createDataFrame([(k, ".", [f"{k} {i}" for i in range(4)]) for k in (1, 2, None)], "id long, delim string, sentences array<string>")
+    pairs = S.pair_dataset(docs, ["id"])
+    assert "Window" not in _plan(pairs)
+    rows = pairs.collect()
+    assert len(rows) == 18 and sorted(r["rank"] for r in rows) == list(range(1, 19))
+    for r in rows:
+        if r["y"]:
+            assert (r["A"], r["B"]) == (f"{r['id']} {r['pno'] - 1}", f"{r['id']} {r['pno']}")
+        else:
+            assert r["A"].split()[0] != r["B"].split()[0]
